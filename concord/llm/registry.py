@@ -7,6 +7,8 @@ from importlib import import_module
 #: Query name: its module.
 _QUERIES = {
     "op5_byte_bpe": "bpe",
+    "op7_simhash": "simhash",
+    "op9_line_dedup": "linededup",
 }
 
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _QUERIES.items()}
