@@ -9,6 +9,7 @@ _QUERIES = {
     "op4_toxicity": "toxicity",
     "op5_byte_bpe": "bpe",
     "op7_simhash": "simhash",
+    "op8_token_file": "tokenfile",
     "op9_line_dedup": "linededup",
 }
 
