@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name: its module.
 _QUERIES = {
+    "op1_fingerprints": "fingerprint",
     "op4_toxicity": "toxicity",
     "op5_byte_bpe": "bpe",
     "op7_simhash": "simhash",
