@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name: its module.
 _QUERIES = {
     "op1_fingerprints": "fingerprint",
+    "op2_decontamination": "decontaminate",
     "op4_toxicity": "toxicity",
     "op5_byte_bpe": "bpe",
     "op7_simhash": "simhash",
