@@ -129,13 +129,19 @@ def _digests(batches, path):
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _ids(batches, path):
+def _ids(batches, path, digests):
     bpe = encoder(path)
     for batch in batches:
-        ids = [np.frombuffer(x, "<i4") for x in bpe.encode(batch["text"].to_pylist())]
+        found = list(bpe.encode(batch["text"].to_pylist()))
+        ids = [np.frombuffer(x, "<i4") for x in found]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names if c != "text"), lists], [*(c for c in batch.schema.names if c != "text"), "ids"])
+        columns = {c: batch[c] for c in batch.schema.names if c != "text"}
+        columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)))
+        if digests:
+            columns["n_tokens"] = pa.array([len(x) for x in ids], pa.int64())
+            columns["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string())
+            columns["decoded_sha256"] = pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in found], pa.string())
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def _texts(batches, path):
@@ -151,12 +157,13 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(partial(_digests, path=path or vocabulary()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns in keep, and ids (array of int)."""
+def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = (), digests: bool = False) -> DataFrame:
+    """doc_id, the columns in keep, and ids (array of int); with digests also n_tokens, ids_sha256 and decoded_sha256."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select("doc_id", *keep, text_or_empty().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text_or_empty().alias("text"))
     kinds = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes if c != "text")
-    return rows.mapInArrow(partial(_ids, path=path or vocabulary()), f"{kinds}, ids array<int>")
+    more = ", n_tokens long, ids_sha256 string, decoded_sha256 string" * digests
+    return rows.mapInArrow(partial(_ids, path=path or vocabulary(), digests=digests), f"{kinds}, ids array<int>{more}")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

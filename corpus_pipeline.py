@@ -1,21 +1,54 @@
-"""A training corpus from raw documents, in stages that are each written and read again."""
+"""A training corpus from raw documents, in stages that are each written as Parquet and read again.
+
+Every stage but the last returns the columns of documents. Documents without doc_id count as documents of their own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from concord.llm import bpe, decontaminate, linededup, simhash, toxicity
+from concord.llm.common import DOCUMENT_COLUMNS, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier (operator 4, fitted on the labelled ones among docs) scores under 0.5."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs.select(*DOCUMENT_COLUMNS), model).where("score < 0.5").select(*DOCUMENT_COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that operator 9 drops; n_chars follows the text."""
+    return linededup.dedup(docs.select(*DOCUMENT_COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(*DOCUMENT_COLUMNS)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates (operator 7), the document with the least doc_id. Rows of one doc_id stay or go together if their texts are near."""
+    found = simhash.near_duplicates(docs)
+    gone = written(found.where("doc_id != component_id").select("doc_id", "fp").distinct(), "copies")
+    # Only ids are compared with ids; the texts follow in one join.
+    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+
 
-from concord.llm import bpe
-from concord.llm.common import written
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that operator 2 doesn't find contaminated by the benchmark."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contamination(docs.select(*DOCUMENT_COLUMNS), bench).where("not contaminated").select(*DOCUMENT_COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document (operator 5)."""
-    return bpe.encode(docs, keep=("lang", "source"))
+    """Token ids of each document (operator 5), with digests of the ids and of what they decode to."""
+    return bpe.encode(docs, keep=("lang", "source"), digests=True)
 
 
 #: Name and function of each stage, in order.
 STAGES = [
-    ("encode", encode),
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("near dedup", drop_copies),
+    ("decontamination", drop_contaminated),
+    ("encoding", encode),
 ]
 
 #: The toxicity stage's model is fitted, which SQL can't express.
@@ -25,5 +58,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
