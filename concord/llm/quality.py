@@ -158,7 +158,8 @@ def fit(rows: list[tuple[int, list[int], list[float]]], steps: int = STEPS) -> M
 def _learnt_from(batches):
     for batch in batches:
         found = [features(t) for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["grade"], pa.array([f[0].tolist() for f in found], pa.list_(pa.int32())), pa.array([f[1].tolist() for f in found], pa.list_(pa.float64()))], ["grade", "buckets", "values"])
+        parts = [pa.array([f[i].astype(kind).tobytes() for f in found], pa.binary()) for i, kind in ((0, "<i4"), (1, "<f4"))]
+        yield pa.RecordBatch.from_arrays([batch["grade"], *parts], ["grade", "buckets", "values"])
 
 
 def train(docs: DataFrame, ratings: DataFrame, grade: Column, sample: int = SAMPLE) -> Model:
@@ -167,7 +168,8 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, sample: int = SAMP
     known = ratings.select("doc_id", grade.cast("int").alias("grade")).where("grade is not null and doc_id is not null").where(fold(F.col("doc_id")) != 0)
     chosen = known.groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("grade", "text")  # at most so many ids
-    return fit([tuple(r) for r in rows.mapInArrow(_learnt_from, "grade int, buckets array<int>, values array<double>").toLocalIterator()])
+    found = rows.mapInArrow(_learnt_from, "grade int, buckets binary, values binary").collect()  # at most so many rows
+    return fit([(r["grade"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["values"], "<f4")) for r in found])
 
 
 def _scores(batches, model, grade):
