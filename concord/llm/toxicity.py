@@ -1,6 +1,6 @@
 """Toxicity: a sparse logistic model whose score may not hang on whom a text mentions.
 
-Features are the presence of words and of their first 4, 5 and 6 letters, hashed, so
+Features are the presence of words and of their first 4 and 6 letters, hashed, so
 inflections of a stem share weight. The loss is log-loss with balanced classes, an L1
 term that keeps few weights, and the counterfactual term: labelled texts that mention an identity
 group are read once more with the term swapped for another of its group, and the squared change of
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, text_or_empty
 
-SAMPLE, FOLDS, BUCKETS, RARE = 12_000, 5, 1 << 20, 3
-PREFIXES = (4, 5, 6)
+SAMPLE, FOLDS, BUCKETS, RARE = 8_000, 5, 1 << 20, 3
+PREFIXES = (4, 6)
 L1, SWAP, STEPS = 1e-3, 1.0, 150
 
 #: Terms that name a group of people, by what they have in common; a term is swapped for the next of its row.
@@ -105,14 +105,14 @@ def fit(rows: list[tuple[int, list[int], list[int] | None]], l1: float = L1, swa
         share = float(y.mean()) if len(y) else 0.0
         return Model(-30.0 if share == 0 else 30.0, {})
     pairs = [(i, r[2]) for i, r in enumerate(rows) if r[2] is not None]
-    counts = np.bincount(np.concatenate([np.array(r[1], np.int64) for r in rows]), minlength=BUCKETS)
-    column = np.cumsum(counts >= RARE) * (counts >= RARE)  # 0: not learnt; else its place
+    counts = np.bincount(np.concatenate([np.asarray(r[1], np.int32) for r in rows]), minlength=BUCKETS)
+    column = (np.cumsum(counts >= RARE) * (counts >= RARE)).astype(np.int32)  # 0: not learnt; else its place
     names = np.flatnonzero(counts >= RARE)
 
     def sparse(lists):
         lengths = [len(x) for x in lists]
-        col = column[np.concatenate([np.array(x, np.int64) for x in lists] + [np.zeros(0, np.int64)])]
-        row = np.repeat(np.arange(len(lists)), lengths)
+        col = column[np.concatenate([np.asarray(x, np.int32) for x in lists] + [np.zeros(0, np.int32)])]
+        row = np.repeat(np.arange(len(lists), dtype=np.int32), lengths)
         return row[col > 0], col[col > 0] - 1
 
     d, n = len(names), len(rows)
@@ -174,10 +174,9 @@ def _learnt_from(batches):
         for text in batch["text"].to_pylist():
             found = words(text)
             changed = swapped(found)
-            own.append(features(found))
-            other.append(None if changed is None else features(changed))
-        kind = pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(own, kind), pa.array(other, kind)], ["toxic", "own", "other"])
+            own.append(np.array(features(found), "<i4").tobytes())
+            other.append(None if changed is None else np.array(features(changed), "<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(own, pa.binary()), pa.array(other, pa.binary())], ["toxic", "own", "other"])
 
 
 def fold(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -190,8 +189,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id")) != 0)
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most so many ids
-    rows = rows.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(_learnt_from, "toxic int, own array<int>, other array<int>")
-    return fit([(1 if r.toxic else 0, r.own, r.other) for r in rows.toLocalIterator()])
+    rows = rows.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(_learnt_from, "toxic int, own binary, other binary")
+    number = lambda x: None if x is None else np.frombuffer(x, "<i4")
+    return fit([(1 if r.toxic else 0, number(r.own), number(r.other)) for r in rows.collect()])  # at most so many rows
 
 
 def _scores(batches, model):
