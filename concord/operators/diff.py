@@ -1,12 +1,12 @@
-"""Document differences: a join of two sides on the document key, and a typed comparison.
+"""Document differences: two sides meet on the document key, and what isn't equal is compared by type.
 
 Both sides are first made into documents: key (canonical text), fields (name, ordered and
 sorted canonical value, type) and size. Each side may be filtered before; a document that
 only one side's filter lets through is missing on the other.
 
-compare() ships what the method needs and no more. With the default plan only key, two
-hashes and the size cross the network for documents that are equal; the documents themselves
-are fetched for the keys that differ, by a semi join.
+Only key, two hashes and the size of each document are shuffled, once, for both sides together: an aggregation
+counts equal documents of a key against each other, which also settles keys that repeat. What
+it leaves over differs; the documents themselves are fetched for these keys alone.
 """
 
 from __future__ import annotations
@@ -23,17 +23,15 @@ ORDER_ONLY = f"{MISMATCH} : only field order differs"
 
 
 def documents(df: DataFrame, key: Sequence[str], *, missing_if_null: bool = False, filter: str | dict | Column | None = None) -> DataFrame:
-    """key, occ, fields, size of a table's rows. Several rows of one key are told apart by their order among themselves."""
+    """key, fields, size of a table's rows. Keys may repeat."""
     if filter is not None:
         df = df.where(filters.condition(filter))
-    made = df.select(keys.key_text(df, key).alias("key"), canonical.fields_of(df.schema, missing_if_null).alias("fields"))
-    return numbered(made)
+    return sized(df.select(keys.key_text(df, key).alias("key"), canonical.fields_of(df.schema, missing_if_null).alias("fields")))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """Adds occ and size to key and fields."""
-    text = canonical.ordered_text(F.col("fields"))
-    return docs.select("key", "fields", text.alias("_text")).select("key", keys.occurrence("key", ["_text"]).alias("occ"), "fields", F.octet_length("_text").alias("size"))
+def sized(docs: DataFrame) -> DataFrame:
+    """Adds size to key and fields."""
+    return docs.select("key", "fields", F.octet_length(canonical.ordered_text(F.col("fields"))).alias("size"))
 
 
 def restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -44,15 +42,20 @@ def restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _digest(method: Method) -> tuple[Column, Column]:
     """Two hashes of what the method holds equal."""
     text = canonical.sorted_text(F.col("fields")) if method is Method.IGNORE_ORDER else canonical.ordered_text(F.col("fields"))
-    return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+    return F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b")
 
 
 def differing(src: DataFrame, dst: DataFrame, method: Method, natural: bool) -> DataFrame:
-    """key, occ, src_size, dst_size (null: not there) of documents that aren't equal."""
-    h1, h2 = _digest(method)
-    slim = lambda df, p: df.select("key", "occ", F.struct(h1.alias("a"), h2.alias("b"), "size").alias(p))
-    met = slim(src, "s").join(slim(dst, "d"), ["key", "occ"], "left_outer" if natural else "full_outer")
-    return met.where(~F.col("s").eqNullSafe(F.col("d"))).select("key", "occ", F.col("s.size").alias("src_size"), F.col("d.size").alias("dst_size"))
+    """key, s, d: digests (a, b, size) of documents that have no equal on the other side; one of the two may be null.
+
+    Several of one key on either side meet in the order of their digests, whatever order they came in.
+    """
+    slim = lambda df, n: df.select("key", *_digest(method), "size", F.lit(n).cast("long").alias("n"))
+    left = slim(src, 1).unionByName(slim(dst, -1)).groupBy("key", "a", "b", "size").agg(F.sum("n").alias("n")).where("n != 0")
+    each = left.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("n")))).select("key", F.struct("a", "b", "size").alias("x"), (F.col("n") > 0).alias("from_src"))
+    placed = each.withColumn("occ", F.row_number().over(Window.partitionBy("key", "from_src").orderBy("x")))
+    met = placed.groupBy("key", "occ").agg(F.max(F.when(F.col("from_src"), F.col("x"))).alias("s"), F.max(F.when(~F.col("from_src"), F.col("x"))).alias("d"))
+    return met.where("s is not null") if natural else met
 
 
 def _rows_of_pair(method: Method) -> Column:
@@ -62,7 +65,7 @@ def _rows_of_pair(method: Method) -> Column:
         return F.array(row(F.lit(""), F.lit(MISMATCH), DST))
     by_name = lambda fields, value: F.map_from_entries(F.transform(fields, lambda f: F.struct(f["name"], value(f))))
     last = lambda fields: F.filter(fields, lambda f, i: ~F.exists(F.slice(fields, i + 2, F.greatest(F.size(fields) - i - 1, F.lit(0))), lambda g: g["name"] == f["name"]))
-    src, dst = last(F.col("src_fields")), last(F.col("dst_fields"))
+    src, dst = last(F.col("s_fields")), last(F.col("d_fields"))
     names = lambda fields: F.transform(fields, lambda f: f["name"])
     no_src = F.transform(F.array_except(names(dst), names(src)), lambda n: row(n, F.lit(MISSING), SRC))
     no_dst = F.transform(F.array_except(names(src), names(dst)), lambda n: row(n, F.lit(MISSING), DST))
@@ -80,30 +83,35 @@ def _rows_of_pair(method: Method) -> Column:
 def compare(src: DataFrame, dst: DataFrame, method: str | Method = Method.IGNORE_ORDER, *, natural: bool = False, ids: DataFrame | None = None) -> DataFrame:
     """id, field, details, cluster, data_size: a row for each top-level field that differs, or for a document that one side lacks.
 
-    src, dst: key, occ, fields, size. natural: documents only the destination has are not looked for. ids: only these keys.
+    src, dst: key, fields, size. natural: documents only the destination has are not looked for. ids: only these keys.
     """
     method = Method.of(method)
     if ids is not None:
         src, dst = restricted(src, ids), restricted(dst, ids)
     found = differing(src, dst, method, natural)
-    size = F.greatest(F.coalesce("src_size", F.lit(0)), F.coalesce("dst_size", F.lit(0))).alias("data_size")
-    one = found.where("src_size is null or dst_size is null").select(
-        F.col("key").alias("id"), F.lit("").alias("field"), F.lit(MISSING).alias("details"), F.when(F.col("src_size").isNull(), SRC).otherwise(DST).alias("cluster"), size
+    size = F.greatest(F.coalesce("s.size", F.lit(0)), F.coalesce("d.size", F.lit(0))).alias("data_size")
+    one = found.where("s is null or d is null").select(
+        F.col("key").alias("id"), F.lit("").alias("field"), F.lit(MISSING).alias("details"), F.when(F.col("s").isNull(), SRC).otherwise(DST).alias("cluster"), size
     )
-    pair = found.where("src_size is not null and dst_size is not null")
+    pair = found.where("s is not null and d is not null").select("key", "s", "d", size)
     if method is Method.HASH:
-        told = pair.select("key", size, F.explode(_rows_of_pair(method)).alias("r"))
+        told = pair.select("key", "data_size", F.explode(_rows_of_pair(method)).alias("r"))
     else:
-        fetch = lambda df, name: df.join(pair.select("key", "occ"), ["key", "occ"], "left_semi").select("key", "occ", F.col("fields").alias(name))
-        both = pair.join(fetch(src, "src_fields"), ["key", "occ"]).join(fetch(dst, "dst_fields"), ["key", "occ"])
-        told = both.select("key", size, F.explode(_rows_of_pair(method)).alias("r"))
+        told = _with_fields(_with_fields(pair, src, "s", method), dst, "d", method).select("key", "data_size", F.explode(_rows_of_pair(method)).alias("r"))
     return one.unionByName(told.select(F.col("key").alias("id"), "r.field", "r.details", "r.cluster", "data_size"))
 
 
+def _with_fields(pair: DataFrame, docs: DataFrame, side: str, method: Method) -> DataFrame:
+    """Adds the fields of the document that a digest is of, as s_fields or d_fields. Documents of one digest are alike."""
+    wanted = docs.join(pair.select("key").distinct(), "key", "left_semi").select("key", "fields", *_digest(method))
+    once = wanted.groupBy("key", "a", "b").agg(F.first("fields").alias(f"{side}_fields")).withColumnsRenamed({"key": "_key", "a": "_a", "b": "_b"})
+    return pair.join(once, (F.col("key") == F.col("_key")) & (F.col(f"{side}.a") == F.col("_a")) & (F.col(f"{side}.b") == F.col("_b"))).drop("_key", "_a", "_b")
+
+
 def compare_columns(src: DataFrame, dst: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, *, natural: bool = False, filter: str | dict | Column | None = None) -> DataFrame:
     """The same rows for two tables of one schema with unique keys, without canonical texts: key columns, field, details, cluster.
 
-    Only the compared columns are read. Equal rows leave the plan at the join's own filter, before anything is exploded.
+    Only the compared columns are read. Equal rows leave the plan right after the join, before anything is exploded.
     """
     columns = [c for c in (columns or src.columns) if c not in key]
     if filter is not None:

@@ -14,7 +14,7 @@ DOCS = "key string, fields array<struct<name:string,ordered:string,sorted:string
 
 def docs(spark, values, key=("_id",)):
     rows = [("".join(canonical.python_text(v[k], True) for k in key), canonical.document(v)) for v in values]
-    return diff.numbered(spark.createDataFrame(rows, DOCS))
+    return diff.sized(spark.createDataFrame(rows, DOCS))
 
 
 def found(spark, src, dst, method="ignoreOrder", **more):
@@ -84,6 +84,12 @@ def test_any_order_of_arrival_gives_the_same(spark):
     assert len(results) == 1
 
 
+def test_copies_of_a_key_meet_their_equals_first(spark):
+    one, other = A, A | {"b": I(7)}
+    assert found(spark, [one, other, one], [other, one]) == [(K, "", "Missing", DST)]
+    assert found(spark, [one], [one, one, other]) == [(K, "", "Missing", SRC)] * 2
+
+
 def test_sizes_and_ages(spark):
     (row,) = diff.compare(docs(spark, [A]), docs(spark, [A | {"b": "longer text"}])).collect()
     assert row.data_size > 20
