@@ -33,19 +33,31 @@ def shard_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("namespace").agg(F.sum("size").alias("size"), F.sum("count").alias("count"), F.first("capped").alias("capped"))
 
 
+def _search(edges: DataFrame) -> DataFrame:
+    """One row that places keys among sorted edges (column e) in two steps of about the square root of their number."""
+    n, g = F.size("e"), F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("e"))).cast("int"))
+    groups = F.when(n == 0, F.array().cast(f"array<{edges.schema['e'].dataType.simpleString()}>")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / g).cast("int"), F.lit(0))), lambda i: F.slice("e", i * g + 1, g))
+    )
+    return edges.select(g.alias("_g"), groups.alias("_groups")).select("_g", "_groups", F.transform("_groups", lambda x: F.get(x, F.lit(0))).alias("_heads"))
+
+
+def _place(key: str) -> Column:
+    """How many edges are at most key."""
+    heads = F.size(F.filter("_heads", lambda x: x <= F.col(key)))
+    inside = F.size(F.filter(F.get("_groups", heads - 1), lambda x: x <= F.col(key)))
+    return F.when(heads == 0, 0).otherwise((heads - 1) * F.col("_g") + inside)
+
+
 def ranked(df: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
     """key and rank (from 0) of all rows in the order of key, without a task that sees them all.
 
-    Rows are dealt to ranges; each range ranks its own, after the rows of the ranges before it, whose counts are one row a range.
+    Rows are dealt to ranges between approximate quantiles; each range ranks its own after the rows of the ranges before it, whose counts are one row a range.
     """
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A second pass must see the same ranges: bounds are computed once and used twice.
-    bounds = df.select(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000).alias("b")) if n > 1 else None
-    dealt = df.select(key)
-    if bounds is not None:
-        dealt = dealt.join(F.broadcast(bounds)).select(key, F.size(F.filter(F.array_distinct("b"), lambda x: x <= F.col(key))).alias("_range"))  # n - 1 numbers
-    else:
-        dealt = dealt.withColumn("_range", F.lit(0))
+    quantiles = F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000)
+    edges = df.agg(F.array_sort(F.array_distinct(F.coalesce(quantiles, F.array().cast(f"array<{df.schema[key].dataType.simpleString()}>")))).alias("e"))
+    dealt = df.select(key).join(F.broadcast(_search(edges))).select(key, _place(key).alias("_range"))  # n - 1 edges
     before = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = before.select("_range", (F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
@@ -81,9 +93,9 @@ def inside(key: Column, lower: Column, upper: Column) -> Column:
 
 
 def counts(df: DataFrame, key: str, ranges: DataFrame) -> DataFrame:
-    """part, lower, upper, documents. ranges is a table of bounds, one row a partition of hundreds of MB, and is broadcast if Spark finds it small."""
-    edges = ranges.agg(F.array_sort(F.collect_list("upper")).alias("_edges"))
-    placed = df.select(key).join(F.broadcast(edges)).select(F.size(F.filter("_edges", lambda e: e <= F.col(key))).alias("part"))
+    """part, lower, upper, documents. ranges has a row for each partition of hundreds of MB; their bounds reach all tasks as one row."""
+    edges = ranges.agg(F.array_sort(F.collect_list("upper")).alias("e"))
+    placed = df.select(key).join(F.broadcast(_search(edges))).select(_place(key).alias("part"))
     n = placed.groupBy("part").agg(F.count(F.lit(1)).alias("documents"))
     return ranges.join(n, "part", "left").select("part", "lower", "upper", F.coalesce("documents", F.lit(0)).alias("documents"))
 
