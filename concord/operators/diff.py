@@ -58,26 +58,28 @@ def differing(src: DataFrame, dst: DataFrame, method: Method, natural: bool) ->
     return met.where("s is not null") if natural else met
 
 
+def _by_name(fields: Column) -> Column:
+    """Name to sorted value and type; of fields that share a name the last counts."""
+    last = F.filter(fields, lambda f, i: ~F.exists(F.slice(fields, i + 2, F.greatest(F.size(fields) - i - 1, F.lit(0))), lambda g: g["name"] == f["name"]))
+    return F.map_from_entries(F.transform(last, lambda f: F.struct(f["name"], F.struct(f["sorted"], f["type"]))))
+
+
+def _row(field: Column, details: Column, cluster: str) -> Column:
+    return F.struct(field.alias("field"), details.alias("details"), F.lit(cluster).alias("cluster"))
+
+
 def _rows_of_pair(method: Method) -> Column:
-    """The mismatch rows of a document that is on both sides: an array of (field, details, cluster)."""
-    row = lambda field, details, cluster: F.struct(field.alias("field"), details.alias("details"), F.lit(cluster).alias("cluster"))
-    if method is Method.HASH:
-        return F.array(row(F.lit(""), F.lit(MISMATCH), DST))
-    by_name = lambda fields, value: F.map_from_entries(F.transform(fields, lambda f: F.struct(f["name"], value(f))))
-    last = lambda fields: F.filter(fields, lambda f, i: ~F.exists(F.slice(fields, i + 2, F.greatest(F.size(fields) - i - 1, F.lit(0))), lambda g: g["name"] == f["name"]))
-    src, dst = last(F.col("s_fields")), last(F.col("d_fields"))
-    names = lambda fields: F.transform(fields, lambda f: f["name"])
-    no_src = F.transform(F.array_except(names(dst), names(src)), lambda n: row(n, F.lit(MISSING), SRC))
-    no_dst = F.transform(F.array_except(names(src), names(dst)), lambda n: row(n, F.lit(MISSING), DST))
-    sv, dv = by_name(src, lambda f: F.struct(f["sorted"], f["type"])), by_name(dst, lambda f: F.struct(f["sorted"], f["type"]))
-    both = F.filter(F.array_intersect(names(src), names(dst)), lambda n: sv[n]["sorted"] != dv[n]["sorted"])
+    """The mismatch rows of a document that is on both sides (columns sv, dv: fields by name): an array of (field, details, cluster)."""
+    sv, dv = F.col("sv"), F.col("dv")
+    s, d = F.map_keys(sv), F.map_keys(dv)
+    no_src = F.transform(F.array_except(d, s), lambda n: _row(n, F.lit(MISSING), SRC))
+    no_dst = F.transform(F.array_except(s, d), lambda n: _row(n, F.lit(MISSING), DST))
+    both = F.filter(F.array_intersect(s, d), lambda n: sv[n]["sorted"] != dv[n]["sorted"])
     differs = F.transform(
         both,
-        lambda n: row(n, F.when(sv[n]["type"] != dv[n]["type"], F.concat(F.lit(f"{MISMATCH} : type mismatch: src="), sv[n]["type"], F.lit(", dst="), dv[n]["type"])).otherwise(F.lit(MISMATCH)), DST),
+        lambda n: _row(n, F.when(sv[n]["type"] != dv[n]["type"], F.concat(F.lit(f"{MISMATCH} : type mismatch: src="), sv[n]["type"], F.lit(", dst="), dv[n]["type"])).otherwise(F.lit(MISMATCH)), DST),
     )
-    found = F.concat(no_src, no_dst, differs)
-    order = F.array(row(F.lit(""), F.lit(ORDER_ONLY), DST)) if method is Method.BINARY else found
-    return F.when(F.size(found) == 0, order).otherwise(found)
+    return F.concat(no_src, no_dst, differs)
 
 
 def compare(src: DataFrame, dst: DataFrame, method: str | Method = Method.IGNORE_ORDER, *, natural: bool = False, ids: DataFrame | None = None) -> DataFrame:
@@ -95,9 +97,13 @@ def compare(src: DataFrame, dst: DataFrame, method: str | Method = Method.IGNORE
     )
     pair = found.where("s is not null and d is not null").select("key", "s", "d", size)
     if method is Method.HASH:
-        told = pair.select("key", "data_size", F.explode(_rows_of_pair(method)).alias("r"))
+        told = pair.select("key", "data_size", _row(F.lit(""), F.lit(MISMATCH), DST).alias("r"))
     else:
-        told = _with_fields(_with_fields(pair, src, "s", method), dst, "d", method).select("key", "data_size", F.explode(_rows_of_pair(method)).alias("r"))
+        both = _with_fields(_with_fields(pair, src, "s", method), dst, "d", method)
+        named = both.select("key", "data_size", _by_name(F.col("s_fields")).alias("sv"), _by_name(F.col("d_fields")).alias("dv")).select("key", "data_size", _rows_of_pair(method).alias("rows"))
+        order = F.array(_row(F.lit(""), F.lit(ORDER_ONLY), DST))
+        rows = F.when(F.size("rows") == 0, order).otherwise(F.col("rows")) if method is Method.BINARY else F.col("rows")
+        told = named.select("key", "data_size", F.explode(rows).alias("r"))
     return one.unionByName(told.select(F.col("key").alias("id"), "r.field", "r.details", "r.cluster", "data_size"))
 
 

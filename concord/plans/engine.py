@@ -120,17 +120,15 @@ class Engine:
     def _record_tasks(self, g: int, status: DataFrame, counted: DataFrame | None, mine: DataFrame, reduced: DataFrame | None) -> None:
         """Audit rows of the generation: one for each table's metadata and one for its documents."""
         null = lambda kind: F.lit(None).cast(kind)
-        times = reduced.agg(F.max("src_ts").alias("src_ts"), F.max("dst_ts").alias("dst_ts")) if reduced is not None else None
+        times = reduced.agg(F.max("src_ts").alias("src_ts"), F.max("dst_ts").alias("dst_ts")).first() if reduced is not None else None
         kinds = status.select("namespace", F.lit(TaskType.COLLECTION.value).alias("type"), "status", F.col("namespace").alias("to_namespace"), null("long").alias("n"), null("long").alias("b"))
         if counted is not None:
             wrong = mine.where(F.col("task_type") == TaskType.DOCUMENTS.value).select("namespace").distinct().withColumn("_bad", F.lit(True))
             docs = counted.join(wrong, "namespace", "left").select("namespace", F.lit(TaskType.DOCUMENTS.value).alias("type"), F.when(F.col("_bad"), Status.FAILED.value).otherwise(Status.COMPLETED.value).alias("status"), "to_namespace", "n", "b")
             totals = counted.select("namespace", "n", "b").withColumnsRenamed({"n": "_n", "b": "_b"})
             kinds = kinds.join(totals, "namespace", "left").select("namespace", "type", "status", "to_namespace", F.col("_n").alias("n"), F.col("_b").alias("b")).unionByName(docs)
-        if times is not None:
-            kinds = kinds.crossJoin(F.broadcast(times))  # one row
-        else:
-            kinds = kinds.withColumns({"src_ts": null("struct<t:bigint,i:int>"), "dst_ts": null("struct<t:bigint,i:int>")})
+        time = lambda x: null("struct<t:bigint,i:int>") if x is None else F.struct(F.lit(x["t"]).cast("long").alias("t"), F.lit(x["i"]).cast("int").alias("i"))
+        kinds = kinds.withColumns({c: time(times and times[c]) for c in ("src_ts", "dst_ts")})
         shaped = kinds.select(
             F.concat_ws("-", F.lit(g), "type", "namespace").alias("task_id"), "type", "status", F.lit(g).alias("generation"), "namespace", "to_namespace", null("string").alias("lower"), null("string").alias("upper"), null("array<string>").alias("ids"),
             F.col("n").alias("documents_count"), F.col("n").alias("found_source_documents_count"), F.col("b").alias("source_bytes_count"), "src_ts", "dst_ts",
