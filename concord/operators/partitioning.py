@@ -88,6 +88,11 @@ def sampled_bounds(df: DataFrame, key: str, per_partition: int) -> DataFrame:
     return every.select((F.row_number().over(w) - 1).alias("part"), F.lag("upper").over(w).alias("lower"), "upper")
 
 
+def sampled(df: DataFrame, key: str, rate: float, seed: int = 0) -> DataFrame:
+    """Each key with this probability: what bounds are made of where the table is too large to rank."""
+    return df.select(key).sample(withReplacement=False, fraction=rate, seed=seed)
+
+
 def inside(key: Column, lower: Column, upper: Column) -> Column:
     return (lower.isNull() | (key >= lower)) & (upper.isNull() | (key < upper))
 

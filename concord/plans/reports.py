@@ -83,6 +83,44 @@ def document_counts(src: dict[str, int], dst: dict[str, int]) -> str:
     return table(["Namespace", "Source", "Destination"], [(ns, src.get(ns), dst.get(ns)) for ns in sorted(src.keys() | dst.keys())])
 
 
+def reader_status(cluster: str, rates: dict, lag_seconds: int | None, last_rechecked: str | None) -> list[str]:
+    """How a change feed keeps up; more than two minutes behind or over 90 % busy is a warning."""
+    rate = rates.get("processed_rows_per_second")
+    out = [f"{cluster}: {formats.number(rate)} events/s" if rate is not None else f"{cluster}: no events yet"]
+    if lag_seconds is not None:
+        out.append(f"{'⚠ ' if lag_seconds > 120 else ''}{cluster}: {formats.duration(lag_seconds)} behind")
+    busy = rates.get("saturation")
+    if busy is not None:
+        out.append(f"{'⚠ ' if busy > 0.9 else ''}{cluster}: {formats.percent(int(10_000 * busy), 10_000)}% busy")
+    out.append(f"{cluster}: rechecked until {last_rechecked}" if last_rechecked else f"{cluster}: nothing rechecked yet")
+    return out
+
+
+def workers(spark) -> str:
+    """Jobs and stages that run now."""
+    tracker = spark.sparkContext.statusTracker()
+    rows = []
+    for job in tracker.getActiveJobsIds():
+        info = tracker.getJobInfo(job)
+        for stage in info.stageIds if info else ():
+            if at := tracker.getStageInfo(stage):
+                rows.append((job, stage, at.name, f"{at.numCompletedTasks} / {at.numTasks}", at.numActiveTasks))
+    return table(["Job", "Stage", "Work", "Tasks done", "Running"], rows) if rows else "Nothing runs."
+
+
+class SchemaWarning:
+    """Says that schema events were seen, once a minute at most."""
+
+    def __init__(self, seconds: float = 60):
+        self.seconds, self.at = seconds, None
+
+    def text(self, now: float, n: int) -> str | None:
+        if not n or (self.at is not None and now - self.at < self.seconds):
+            return None
+        self.at = now
+        return f"⚠ {formats.number(n)} schema events were seen; differences of metadata may come from them."
+
+
 def status(doc_mismatch: bool, longest_seconds: float, ns_mismatch: bool, incomplete: bool, events: bool, writes_off: bool) -> str:
     """The line at a generation's end."""
     if doc_mismatch and writes_off:
