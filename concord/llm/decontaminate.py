@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, text_or_empty, written
 
 WINDOW, SHARE = 13, 20
+CELLS = 1 << 20
 NO_ID = -(1 << 63)
 
 
@@ -104,7 +105,11 @@ def _run(flags: Column) -> Column:
 
 def hits(rows: DataFrame, found: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """id, key, item_id, first, last: document words (from 0) inside occurrences of an item's windows."""
-    texts = rows.select("id", F.xxhash64(F.lit(3), "text").alias("key"), "text").join(found.select("id", "key").distinct(), ["id", "key"], "left_semi").distinct()
+    keyed = rows.select("id", F.xxhash64(F.lit(3), "text").alias("key"), "text")
+    # Texts are only shuffled if their hash falls where an alignment's does: at most CELLS numbers are broadcast, whatever the corpus.
+    cell = F.pmod(F.xxhash64("key", "id"), F.lit(CELLS)).cast("int")
+    near = keyed.withColumn("cell", cell).join(F.broadcast(found.select(cell.alias("cell")).distinct()), "cell", "left_semi").drop("cell")
+    texts = near.join(found.select("id", "key").distinct(), ["id", "key"], "left_semi").distinct()
     read = texts.select("id", "key", words(F.col("text")).alias("own"))
     met = found.join(read, ["id", "key"]).join(bench, "item")
     reach = window - 1
