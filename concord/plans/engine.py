@@ -92,9 +92,13 @@ class Engine:
 
     def run_generation(self, now: datetime | None = None) -> dict:
         """Works one generation through; returns its counts of mismatch rows by class."""
-        moment = F.lit(now or datetime.now(timezone.utc))
-        g = self.generation()
         self.running = True
+        try:
+            return self._work(self.generation(), F.lit(now or datetime.now(timezone.utc)))
+        finally:
+            self.running = False
+
+    def _work(self, g: int, moment: Column) -> dict:
         reduced = recheck.reduced(self.queue(g)) if g else None
         found, status = self.compare_metadata()
         bad = {r["namespace"]: (r["status"], r["comparable"]) for r in status.collect()}  # a row a table
@@ -113,15 +117,15 @@ class Engine:
         mine = self.mismatches().where(F.col("generation") == g)
         again = recheck.from_mismatches(mine.where(F.col("task_type") == TaskType.DOCUMENTS.value), g)
         store.replace_generation(again, f"{self.folder}/rechecks", g + 1)
-        self._record_tasks(g, status, counted, mine, reduced)
-        self.running = False
+        self._record_tasks(g, {ns: s for ns, (s, _) in bad.items()}, counted, mine, reduced)
         return classify.counts(mine.where(F.col("task_type") == TaskType.DOCUMENTS.value)).first().asDict()
 
-    def _record_tasks(self, g: int, status: DataFrame, counted: DataFrame | None, mine: DataFrame, reduced: DataFrame | None) -> None:
+    def _record_tasks(self, g: int, status: dict[str, str], counted: DataFrame | None, mine: DataFrame, reduced: DataFrame | None) -> None:
         """Audit rows of the generation: one for each table's metadata and one for its documents."""
         null = lambda kind: F.lit(None).cast(kind)
         times = reduced.agg(F.max("src_ts").alias("src_ts"), F.max("dst_ts").alias("dst_ts")).first() if reduced is not None else None
-        kinds = status.select("namespace", F.lit(TaskType.COLLECTION.value).alias("type"), "status", F.col("namespace").alias("to_namespace"), null("long").alias("n"), null("long").alias("b"))
+        known = self.spark.createDataFrame(list(status.items()), "namespace string, status string").coalesce(1)
+        kinds = known.select("namespace", F.lit(TaskType.COLLECTION.value).alias("type"), "status", F.col("namespace").alias("to_namespace"), null("long").alias("n"), null("long").alias("b"))
         if counted is not None:
             wrong = mine.where(F.col("task_type") == TaskType.DOCUMENTS.value).select("namespace").distinct().withColumn("_bad", F.lit(True))
             docs = counted.join(wrong, "namespace", "left").select("namespace", F.lit(TaskType.DOCUMENTS.value).alias("type"), F.when(F.col("_bad"), Status.FAILED.value).otherwise(Status.COMPLETED.value).alias("status"), "to_namespace", "n", "b")
