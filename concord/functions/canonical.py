@@ -109,6 +109,17 @@ def fields_of(schema: T.StructType, missing_if_null: bool = False, source: str |
     return F.array_compact(F.array(*parts)) if parts else F.array().cast(FIELDS)
 
 
+def row_text(schema: T.StructType, by_name: bool, missing_if_null: bool = False) -> Column:
+    """What ordered_text or sorted_text say of a row as a document, by plain concatenation of its columns."""
+    parts = []
+    head = lambda f: f"{len(f.name)}:{f.name}="
+    for f in sorted(schema.fields, key=head) if by_name else schema.fields:
+        c = F.col(f"`{f.name}`")
+        entry = F.concat(F.lit(head(f)), _encode(c, f.dataType, by_name))
+        parts.append(F.when(c.isNotNull(), entry).otherwise("") if missing_if_null else entry)
+    return F.concat(*parts) if parts else F.lit("")
+
+
 def ordered_text(fields: Column) -> Column:
     return F.array_join(F.transform(fields, lambda f: F.concat(_text(f["name"]), F.lit("="), f["ordered"])), "")
 

@@ -1,7 +1,7 @@
 """Document differences: two sides meet on the document key, and what isn't equal is compared by type.
 
-Both sides are first made into documents: key (canonical text), fields (name, ordered and
-sorted canonical value, type) and size. Each side may be filtered before; a document that
+Both sides are first made into documents: key (canonical text), canonical text with fields as they stand and
+in order of their names, size, and the row itself or its fields (name, ordered and sorted canonical value, type). Each side may be filtered before; a document that
 only one side's filter lets through is missing on the other.
 
 Only key, two hashes and the size of each document are shuffled, once, for both sides together: an aggregation
@@ -22,16 +22,35 @@ from concord.model import DST, MISMATCH, MISSING, SRC, Method
 ORDER_ONLY = f"{MISMATCH} : only field order differs"
 
 
+#: Column that holds a table's row: with nulls as values, or as fields that aren't there.
+ROW, PRESENT = "row", "present"
+
+
 def documents(df: DataFrame, key: Sequence[str], *, missing_if_null: bool = False, filter: str | dict | Column | None = None) -> DataFrame:
-    """key, fields, size of a table's rows. Keys may repeat."""
+    """Documents of a table's rows. Keys may repeat."""
     if filter is not None:
         df = df.where(filters.condition(filter))
-    return sized(df.select(keys.key_text(df, key).alias("key"), canonical.fields_of(df.schema, missing_if_null).alias("fields")))
+    text = lambda by_name: canonical.row_text(df.schema, by_name, missing_if_null)
+    made = df.select(keys.key_text(df, key).alias("key"), text(False).alias("ordered"), text(True).alias("sorted"), F.struct("*").alias(PRESENT if missing_if_null else ROW))
+    return made.withColumn("size", F.octet_length("ordered"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """Adds size to key and fields."""
-    return docs.select("key", "fields", F.octet_length(canonical.ordered_text(F.col("fields"))).alias("size"))
+    """Documents of key and fields."""
+    made = docs.select("key", canonical.ordered_text(F.col("fields")).alias("ordered"), canonical.sorted_text(F.col("fields")).alias("sorted"), "fields")
+    return made.withColumn("size", F.octet_length("ordered"))
+
+
+def _fields(docs: DataFrame) -> Column:
+    for name in (ROW, PRESENT):
+        if name in docs.columns:
+            return canonical.fields_of(docs.schema[name].dataType, name == PRESENT, source=name)
+    return F.col("fields")
+
+
+def by_fields(docs: DataFrame) -> DataFrame:
+    """The same documents by their fields: a union of tables with different schemas keeps each one's order and types only so."""
+    return sized(docs.select("key", _fields(docs).alias("fields")))
 
 
 def restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -41,7 +60,7 @@ def restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _digest(method: Method) -> tuple[Column, Column]:
     """Two hashes of what the method holds equal."""
-    text = canonical.sorted_text(F.col("fields")) if method is Method.IGNORE_ORDER else canonical.ordered_text(F.col("fields"))
+    text = F.col("sorted" if method is Method.IGNORE_ORDER else "ordered")
     return F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b")
 
 
@@ -85,7 +104,7 @@ def _rows_of_pair(method: Method) -> Column:
 def compare(src: DataFrame, dst: DataFrame, method: str | Method = Method.IGNORE_ORDER, *, natural: bool = False, ids: DataFrame | None = None) -> DataFrame:
     """id, field, details, cluster, data_size: a row for each top-level field that differs, or for a document that one side lacks.
 
-    src, dst: key, fields, size. natural: documents only the destination has are not looked for. ids: only these keys.
+    src, dst: documents. natural: documents only the destination has are not looked for. ids: only these keys.
     """
     method = Method.of(method)
     if ids is not None:
@@ -109,7 +128,7 @@ def compare(src: DataFrame, dst: DataFrame, method: str | Method = Method.IGNORE
 
 def _with_fields(pair: DataFrame, docs: DataFrame, side: str, method: Method) -> DataFrame:
     """Adds the fields of the document that a digest is of, as s_fields or d_fields. Documents of one digest are alike."""
-    wanted = docs.join(pair.select("key").distinct(), "key", "left_semi").select("key", "fields", *_digest(method))
+    wanted = docs.join(pair.select("key").distinct(), "key", "left_semi").select("key", _fields(docs).alias("fields"), *_digest(method))
     once = wanted.groupBy("key", "a", "b").agg(F.first("fields").alias(f"{side}_fields")).withColumnsRenamed({"key": "_key", "a": "_a", "b": "_b"})
     return pair.join(once, (F.col("key") == F.col("_key")) & (F.col(f"{side}.a") == F.col("_a")) & (F.col(f"{side}.b") == F.col("_b"))).drop("_key", "_a", "_b")
 

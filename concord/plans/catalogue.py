@@ -116,7 +116,7 @@ def binary_compare(spark, sf_dir):
     same, other = customer.where(~third), customer.where(third)
     dst = same.select(*turned), other.withColumn("c_nationkey", F.col("c_nationkey").cast("long"))
     src = diff.documents(customer, ["c_custkey"])
-    found = diff.documents(dst[0], ["c_custkey"]).unionByName(diff.documents(dst[1], ["c_custkey"]))
+    found = diff.by_fields(diff.documents(dst[0], ["c_custkey"])).unionByName(diff.by_fields(diff.documents(dst[1], ["c_custkey"])))
     return diff.compare(src, found, "binary").drop("data_size")
 
 

@@ -130,3 +130,11 @@ def test_sort_key(spark):
     rows = [("null", None, None), ("long", 5.0, None), ("double", 4.5, None), ("symbol", None, "a"), ("string", None, "b"), ("bool", None, "true"), ("maxKey", None, None)]
     frame = spark.createDataFrame(rows, "t string, n double, s string").select("t", canonical.sort_key(F.col("t"), F.col("n"), F.col("s")).alias("k"))
     assert [r.t for r in frame.orderBy("k").collect()] == ["null", "double", "long", "symbol", "string", "bool", "maxKey"]
+
+
+def test_a_rows_text_is_that_of_its_fields(spark):
+    frame = spark.createDataFrame([(1, None, (2, "x"), [1.0], "é"), (2, "s", None, None, None)], "abc long, b string, longer_name struct<y:int,x:string>, d array<double>, e string")
+    for missing in (False, True):
+        fields = canonical.fields_of(frame.schema, missing)
+        for r in frame.select(canonical.row_text(frame.schema, False, missing), canonical.ordered_text(fields), canonical.row_text(frame.schema, True, missing), canonical.sorted_text(fields)).collect():
+            assert r[0] == r[1] and r[2] == r[3]
