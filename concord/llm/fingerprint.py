@@ -3,8 +3,8 @@
 A text's canonical form is its NFKC, case-folded, with runs of white space as one
 space and none at the ends. Two chained xxhash64 of it make 128 bits. Rows that fall
 into one bucket of these are compared by the canonical bytes: buckets of one row are
-left alone, the others are grouped by the bytes themselves, so that a bucket of
-different texts (a collision) is told apart by an ordinal behind the fingerprint.
+left alone, the others are grouped by the bytes themselves, copies combining before they are shuffled, so that a
+bucket of different texts (a collision) is told apart by an ordinal behind the fingerprint.
 
 The edited text needs the next document by descending doc_id. Ids alone are dealt to
 ranges for that, each range knows its own order, and the heads of the ranges, one row a partition,
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import partitions, text_or_empty, written
 
 NO_ID = -(1 << 63)
+CELLS = 1 << 20
 
 
 def canonical(text: Column) -> Column:
@@ -60,9 +61,13 @@ def collisions(members: DataFrame) -> DataFrame:
 
 
 def crowded(slim: DataFrame) -> DataFrame:
-    """The ids of rows in buckets of several rows."""
+    """cell: where the hashes of buckets with several rows fall; at most CELLS numbers, whatever the corpus."""
     buckets = slim.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    return slim.join(buckets, ["h1", "h2"], "left_semi").select("id").distinct()
+    return buckets.select(_cell().alias("cell")).distinct()
+
+
+def _cell() -> Column:
+    return F.pmod("h1", F.lit(CELLS)).cast("int")
 
 
 def following(ids: DataFrame) -> DataFrame:
@@ -85,10 +90,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = _rows(docs)
     slim = written(hashed(rows).select("id", "n", "h1", "h2"), "digest-hashes")
     order = written(following(slim), "digest-order")
+    members = hashed(rows).withColumn("cell", _cell()).join(F.broadcast(crowded(slim)), "cell", "left_semi").select("h1", "h2", "canon")
+    told_apart = written(collisions(members), "digest-collisions")  # next to none, so Spark will broadcast it
     need = slim.join(order, "id").groupBy("next_id").agg(F.max(F.floor(F.col("n") / 2)).cast("int").alias("need"))
-    many = crowded(slim).withColumn("crowded", F.lit(True))
-    about = written(order.join(need.withColumnRenamed("next_id", "id"), "id", "left").join(many, "id", "left").select("id", "next_id", F.coalesce("need", F.lit(0)).alias("need"), F.coalesce("crowded", F.lit(False)).alias("crowded")), "digest-about")
-    held = rows.repartition(partitions(docs.sparkSession), "id")  # one exchange for the three uses below
+    about = written(order.join(need.withColumnRenamed("next_id", "id"), "id", "left").select("id", "next_id", F.coalesce("need", F.lit(0)).alias("need")), "digest-about")
+    held = rows.repartition(partitions(docs.sparkSession), "id")  # one exchange for both uses below
     own = hashed(held.join(about.select("id", "next_id"), "id"), "next_id").select(
         "id", "next_id", "n", "h1", "h2", F.sha2("canon", 256).alias("canon_sha"), F.expr("left(text, cast(n - n div 2 as int))").alias("half")
     )
@@ -98,8 +104,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     met = met.withColumn("edited_canon", canonical(F.col("edited")))
     e1, e2 = wide(F.col("edited_canon"))
     done = met.select("id", "n", F.sha2("edited", 256).alias("edited_sha256"), "h1", "h2", "canon_sha", e1.alias("e1"), e2.alias("e2"), "next_h1", "next_h2")
-    members = hashed(held.join(about.where("crowded").select("id"), "id")).select("h1", "h2", "canon")
-    told = done.join(collisions(members), ["h1", "h2", "canon_sha"], "left")
+    told = done.join(told_apart, ["h1", "h2", "canon_sha"], "left")
     print_ = F.concat(_hex(F.col("h1"), F.col("h2")), F.when(F.col("ordinal").isNotNull(), F.concat(F.lit("-"), "ordinal")).otherwise(F.lit("")))
     like = lambda a, b: F.when((F.col("h1") == F.col(a)) & (F.col("h2") == F.col(b)), 1.0).otherwise(0.0)
     return told.select(
