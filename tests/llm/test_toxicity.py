@@ -62,3 +62,13 @@ def test_odd_rows_and_no_labels(make, spark):
     some = spark.createDataFrame([(10, 1), (11, 0), (12, None), (None, 1)], "doc_id long, toxic int")
     assert toxicity.score(make(rows), toxicity.train(make(rows), some)).count() == len(rows)
     assert toxicity.score(make([]), toxicity.train(make([]), some)).count() == 0
+
+
+def test_all_of_the_sample_and_the_stems_are_learnt_from(make, spark, monkeypatch):
+    learnt = []
+    monkeypatch.setattr(toxicity, "fit", learnt.extend)
+    ids = [i for i in range(13_000) if zlib.crc32(str(i).encode()) % 5]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    toxicity.train(make([(i, "viles") for i in ids]), labels)
+    assert 8_000 < len(ids) < 12_000 and len(learnt) == len(ids)
+    assert len(set(toxicity.hashed("vilesort")) & set(toxicity.hashed("vilesnap"))) == 2
