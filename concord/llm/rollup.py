@@ -95,7 +95,7 @@ def _counts(batches, byte_path, word_path):
     byte, word = bpe.encoder(byte_path), tokenfile.encoder(word_path)
     for batch in batches:
         texts = batch["text"].to_pylist()
-        n = [pa.array([len(x) // 4 for x in own.encode(texts)], pa.int64()) for own in (byte, word)]
+        n = [pa.array([len(x) // 4 for x in own(texts)], pa.int64()) for own in (byte.encode, word.ids)]
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names if c != "text"), *n], [*(c for c in batch.schema.names if c != "text"), "n_byte", "n_word"])
 
 

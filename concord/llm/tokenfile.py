@@ -116,14 +116,15 @@ def block(page: bytes, k: int) -> np.ndarray:
 class WordBPE:
     """Ids as the tokenizers library gives them: its normalisation by Python's Unicode tables, pieces by array scans, each new piece by the library's model.
 
-    A text with a code point that Python's tables don't know goes to the library whole.
+    A text with a code point that Python's tables don't know goes to the library whole. encode() takes markers
+    such as <|endoftext|> for ordinary text; ids() reads them as the library does by itself, as the tokens they name.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.markers = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         model = self.whole.model
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
@@ -138,6 +139,17 @@ class WordBPE:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # str.lower() looks at a sigma's place, the library doesn't
         return text.lower()
 
+    def _library(self, text: str, ordinary: bool) -> bytes:
+        self.whole.encode_special_tokens = ordinary
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def ids(self, texts: list[str]):
+        """As encode(), but texts that hold a marker go to the library whole and hold its token."""
+        marked = [any(m in t for m in self.markers) for t in texts]
+        rest = self.encode(["" if m else t for t, m in zip(texts, marked, strict=True)])
+        for text, m, own in zip(texts, marked, rest, strict=True):
+            yield self._library(text, False) if m else own
+
     def encode(self, texts: list[str]):
         """The ids of each text as little-endian unsigned 32-bit integers."""
         for run in scan.groups(texts):
@@ -151,7 +163,7 @@ class WordBPE:
             found = list(map(self.known.__getitem__, [joined[at[i] : stops[i]] for i in keep.tolist()]))
             a = 0
             for text, own, b in zip(run, normal, np.searchsorted(keep, ends).tolist(), strict=True):
-                yield np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if own is None else b"".join(found[a:b])
+                yield self._library(text, True) if own is None else b"".join(found[a:b])
                 a = b + 1
 
 
@@ -178,7 +190,7 @@ def _pages(batches, path, end_id, page):
         return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "page": pa.array([number], pa.int32()), "first": pa.array([first], pa.int64()), "ids": pa.array([size], pa.int64()), "data": pa.array([data], pa.binary())})
 
     for batch in batches:
-        for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.encode(batch["text"].to_pylist()), strict=True):
+        for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.ids(batch["text"].to_pylist()), strict=True):
             doc_ids.append(NO_ID if doc_id is None else doc_id)
             parts.append(ids + end)
             size += len(parts[-1]) // 4

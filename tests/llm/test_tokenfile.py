@@ -56,3 +56,16 @@ def test_files(make, page):
 
 def test_empty_table(make):
     assert tokenfile.read(tokenfile.write(make([]))).collect() == []
+
+
+def test_markers_are_the_tokens_they_name(make):
+    theirs = Tokenizer.from_file(vocabulary(tokenfile.VOCABULARY))
+    rng = random.Random(4)
+    texts = ["".join(rng.choices([*ALPHABET, "<|startoftext|>", "<|ENDOFTEXT|>", "<|"], k=rng.randint(0, 12))) for _ in range(2000)] + ["end <|endoftext|> next"]
+    for text, ids in zip(texts, tokenfile.encoder(vocabulary(tokenfile.VOCABULARY)).ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, text
+    rows = [(1, "end <|endoftext|> next"), (2, "word")]
+    got = [tuple(r) for r in tokenfile.read(tokenfile.write(make(rows))).orderBy("start").collect()]
+    ids = [np.array([*theirs.encode(t, add_special_tokens=False).ids, 1], "<u4") for _, t in rows]
+    assert 49407 in ids[0]
+    assert got == [(1, 0, len(ids[0]), zlib.crc32(ids[0].tobytes())), (2, len(ids[0]), len(ids[1]), zlib.crc32(ids[1].tobytes()))]
