@@ -60,10 +60,11 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names if c != "text"), pa.array(found)], [*(c for c in batch.schema.names if c != "text"), "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint's 64 bits as a long."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the long columns to keep, and fp, the fingerprint's 64 bits as a long."""
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text_or_empty().alias("text"))
+    return rows.mapInArrow(_fingerprints, ", ".join(["doc_id long", *(f"{c} long" for c in keep), "fp long"]))
 
 
 def _byte(c: Column, i: int) -> Column:
@@ -108,14 +109,19 @@ def links(distinct: DataFrame, most: int = LIST) -> DataFrame:
     return paired.unionByName(starred).distinct()
 
 
+def nodes(prints: DataFrame) -> DataFrame:
+    """fp, first (the least doc_id of its rows) and component (the least fingerprint that links lead to) of each fingerprint in prints (doc_id, fp)."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    label = components(links(distinct.select("fp")))
+    return written(distinct.join(label, distinct.fp == label.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "simhash-nodes")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the least doc_id that links lead to from the row's fingerprint."""
     prints = written(fingerprints(docs), "simhash-fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    label = components(links(distinct.select("fp")))
-    nodes = written(distinct.join(label, distinct.fp == label.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "simhash-nodes")
-    least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_print = nodes.join(least, "component").select("fp", "component_id")
+    found = nodes(prints)
+    least = found.groupBy("component").agg(F.min("first").alias("component_id"))
+    by_print = found.join(least, "component").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 

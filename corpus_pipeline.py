@@ -1,6 +1,6 @@
 """A training corpus from raw documents, in stages that are each written as Parquet and read again.
 
-Every stage but the last returns the columns of documents. Documents without doc_id count as documents of their own.
+Every stage but the last returns the columns of documents. Documents without doc_id count as documents of their own, and are dropped as such if they are copies.
 """
 
 from __future__ import annotations
@@ -24,11 +24,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (operator 7), the document with the least doc_id. Rows of one doc_id stay or go together if their texts are near."""
-    found = simhash.near_duplicates(docs)
-    gone = written(found.where("doc_id != component_id").select("doc_id", "fp").distinct(), "copies")
-    # Only ids are compared with ids; the texts follow in one join.
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    """Of each component of near duplicates (operator 7), one row: that with the least doc_id, null being the greatest; of several such, that with the least hash of its columns; of equal rows, one."""
+    marked = [x for c in DOCUMENT_COLUMNS for x in (F.col(c).isNull(), F.col(c))]  # a hash passes over nulls
+    rows = docs.select(*DOCUMENT_COLUMNS, F.xxhash64(*marked).alias("h1"), F.xxhash64(F.lit(1), *marked).alias("h2"))
+    prints = written(simhash.fingerprints(rows, keep=("h1", "h2")), "copies-fingerprints")
+    # One row for each fingerprint meets its component, so no group of copies meets in one task.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")).alias("least")
+    first = prints.groupBy("fp").agg(least)
+    chosen = first.join(simhash.nodes(prints).select("fp", "component"), "fp").groupBy("component").agg(F.min("least").alias("least"))
+    kept = written(chosen.select("least.h1", "least.h2"), "copies")
+    # Only hashes are compared with hashes; the texts follow in one join, and equal rows lie together after it.
+    return rows.join(kept, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select(*DOCUMENT_COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

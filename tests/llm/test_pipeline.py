@@ -63,3 +63,16 @@ def test_all_but_the_last_stage_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, d)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_one_row_of_each_component_stays(spark):
+    x, y, z = ("".join(random.Random(k).choices("abcdefgh ", k=400)) for k in range(3))
+    assert len(set(closed({print_of(t) for t in (x, y, z)}).values())) == 3
+    rows = [(1, x), (5, x), (5, y), (None, x), (1, x), (None, z), (None, z), (1, x + "\n"), (1, None), (1, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    left = [(r.doc_id, (r.text or "").strip()) for r in got.collect()]
+    assert sorted(left, key=str) == sorted([(1, x.strip()), (5, y.strip()), (None, z.strip()), (1, "")], key=str)
+    again = corpus_pipeline.drop_copies(spark, docs.repartition(3), "")
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
