@@ -6,8 +6,9 @@ name; its commit is Spark's _SUCCESS file, so a batch that was lost half-way has
 one that is committed is not applied again. Totals are the sum of the committed deltas; compact() folds
 deltas into a base that lists what it holds.
 
-changes: op (insert, delete, revise), doc_id, source, lang, version, n_tokens, and old_tokens for revise. Within a
-batch, equal rows count once (feeds deliver some twice). Null counts are 0; null sources, languages and versions are
+changes: op (insert, delete, revise), doc_id, source, lang, version, n_tokens, old_tokens for revise, and KEY where the
+feed has it: what tells changes of one doc_id, or of none, from each other. Within a batch, rows that are equal in all
+of these count once (feeds deliver some twice). Null counts are 0; null sources, languages and versions are
 groups of their own; other ops are an error. Totals of groups that became empty stay out. Further columns are ignored.
 """
 
@@ -24,6 +25,7 @@ from . import bpe, tokenfile
 from .common import bounded_batches, scratch_path, text_or_empty, written
 
 KEYS = ("source", "lang", "version")
+KEY = "change_key"
 TOTALS = "source string, lang string, version string, n_docs long, n_tokens long"
 
 
@@ -33,7 +35,7 @@ def signed(changes: DataFrame) -> DataFrame:
     op = F.col("op")
     docs = F.when(op == "insert", 1).when(op == "delete", -1).when(op == "revise", 0).otherwise(F.raise_error(F.concat(F.lit("unknown op: "), F.coalesce(op, F.lit("null")))))
     tokens = F.when(op == "insert", n).when(op == "delete", -n).otherwise(n - old)
-    once = changes.select("op", "doc_id", *KEYS, "n_tokens", "old_tokens").distinct()
+    once = changes.select("op", "doc_id", *KEYS, "n_tokens", "old_tokens", *(c for c in changes.columns if c == KEY)).distinct()
     each = once.select(*KEYS, docs.cast("long").alias("n_docs"), tokens.alias("n_tokens"))
     return each.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
@@ -109,10 +111,10 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def maintained(docs: DataFrame, folder: str) -> DataFrame:
-    """The totals after four batches: all documents under byte_bpe_50k; all under word_bpe_49k; the end id added to the latter's counts; copies (the same text under a greater doc_id) deleted from both. The first and last are sent twice."""
+    """The totals after four batches: all documents under byte_bpe_50k; all under word_bpe_49k; the end id added to the latter's counts; copies (the same text under a greater doc_id) deleted from both. The first and last are sent twice. Texts tell changes apart, so only rows of equal doc_id and text are one."""
     rows, store = counts(docs), Rollup(docs.sparkSession, folder)
     change = lambda frame, op, version, n, old=None: frame.select(
-        F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(version).alias("version"), n.alias("n_tokens"), (F.lit(None).cast("long") if old is None else old).alias("old_tokens")
+        F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(version).alias("version"), n.alias("n_tokens"), (F.lit(None).cast("long") if old is None else old).alias("old_tokens"), F.struct("h1", "h2").alias(KEY)
     )
     byte, word = F.col("n_byte"), F.col("n_word")
     first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -75,3 +75,14 @@ def test_maintained(make, spark):
 
 def test_empty_table(make, spark):
     assert rollup.maintained(make([]), scratch_path(spark, "test")).collect() == []
+
+
+def test_texts_of_no_or_one_id_are_changes_of_their_own(make, spark):
+    texts = ["one cat", "one dog", "two cat", "two dog"]
+    byte, word = bpe.encoder(bpe.vocabulary()), tokenfile.encoder(bpe.vocabulary(tokenfile.VOCABULARY))
+    n, m = ([len(x) // 4 for x in own.encode(texts)] for own in (byte, word))
+    assert len({*n}) == len({*m}) == 1
+    rows = [(None, t) for t in texts] + [(7, t) for t in texts[:3]] + [(7, texts[0])] + [(8, texts[3]), (9, texts[3])]
+    got = {r.version: (r.n_docs, r.n_tokens) for r in rollup.maintained(make(rows), scratch_path(spark, "test")).collect()}
+    # Of the ids, 7 holds three texts; 9 is the copy of 8.
+    assert got == {"byte_bpe_50k": (8, 8 * n[0]), "word_bpe_49k": (8, 8 * (m[0] + 1))}
