@@ -157,7 +157,7 @@ RESULT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, terms: int = 3, distance: int = 10) -> DataFrame:
-    """doc_id, item_id, first, last: where an item's rarest distinct terms (so many) all stand within so many words, in any order; first is the rarest of them on the left or right of the others."""
+    """doc_id, item_id, first, last: where an item's rarest distinct terms (so many) all stand within so many words, in any order: for each place of the rarest, the shortest such window around it, the first of several."""
     rows, bench = _documents(docs), items(benchmark)
     counts = written(frequencies(rows, bench.select(F.explode("terms").alias("term")).distinct()), "term-counts")
     own = bench.select("item", "item_id", F.explode(F.array_distinct("terms")).alias("term")).join(counts, "term")
@@ -171,8 +171,14 @@ def proximity(docs: DataFrame, benchmark: DataFrame, terms: int = 3, distance: i
     spread = rare.select("id", "key", "item", "at", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     others = index.join(asked, "term").select("id", "key", "item", "rank", "pos", F.floor(F.col("pos") / distance).alias("cell"))
     near = spread.join(others, ["id", "key", "item", "cell"]).where(F.abs(F.col("pos") - F.col("at")) <= distance)
-    best = near.groupBy("id", "key", "item", "at", "rank").agg(F.min_by("pos", F.struct(F.abs(F.col("pos") - F.col("at")), "pos")).alias("pos"))
-    spans = best.groupBy("id", "key", "item", "at").agg(F.count(F.lit(1)).alias("got"), F.min("pos").alias("first"), F.max("pos").alias("last")).join(need, "item").where((F.col("got") == F.col("need")) & (F.col("last") - F.col("first") <= distance))
+    # Terms recur, so each of them that stands at or before the rarest starts a window. A list holds at most 2 * distance + 1 positions.
+    met = near.groupBy("id", "key", "item", "at").agg(F.collect_set(F.struct("pos", "rank")).alias("met"))
+    starts = met.select("id", "key", "item", "at", "met", F.explode(F.filter(F.col("met.pos"), lambda x: x <= F.col("at"))).alias("first"))
+    held = starts.select("id", "key", "item", "at", "first", F.explode("met").alias("o")).where(F.col("o.pos").between(F.col("first"), F.col("first") + distance))
+    ends = held.groupBy("id", "key", "item", "at", "first", "o.rank").agg(F.min("o.pos").alias("pos"))
+    windows = ends.groupBy("id", "key", "item", "at", "first").agg(F.count(F.lit(1)).alias("got"), F.greatest(F.max("pos"), F.col("at")).alias("last"))
+    whole = windows.join(need, "item").where((F.col("got") == F.col("need")) & (F.col("last") - F.col("first") <= distance))
+    spans = whole.groupBy("id", "key", "item", "at").agg(F.min(F.struct((F.col("last") - F.col("first")).alias("span"), "first", "last")).alias("best")).select("id", "key", "item", "best.first", "best.last")
     return spans.join(bench.select("item", "item_id"), "item").select(F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"), "item_id", "first", "last").distinct()
 
 

@@ -74,3 +74,23 @@ def test_proximity(make, spark):
     rows = [(1, "gamma x x alpha x beta"), (2, "alpha " + "x " * 20 + "beta gamma"), (3, "alpha beta"), (4, "the the"), (5, None)]
     got = decontaminate.proximity(make(rows + [(6, "the the the the")]), bench(spark, items), terms=3, distance=6)
     assert {(r.doc_id, r.item_id, r.first, r.last) for r in got.collect()} == {(1, "1", 0, 5)}
+
+
+def test_proximity_of_recurring_terms(make, spark):
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma"]
+    texts = [["x"] * 30]
+    for place, word in ((4, "beta"), (10, "alpha"), (17, "gamma"), (18, "beta")):
+        texts[0][place] = word
+    texts += [rng.choices([*words, "x"], weights=[1, 3, 5, 30], k=rng.randint(5, 90)) for _ in range(80)]
+    counts = {w: sum(t.count(w) for t in texts) for w in words}
+    assert counts["alpha"] < counts["beta"] < counts["gamma"]
+    expected = set()
+    for i, t in enumerate(texts):
+        for at in (p for p, w in enumerate(t) if w == "alpha"):
+            spans = [(b - a, a, b) for a in range(max(0, at - 10), at + 1) for b in range(at, min(len(t), a + 11)) if set(words) <= set(t[a : b + 1])]
+            if spans:
+                expected.add((i, "1", *min(spans)[1:]))
+    assert (0, "1", 10, 18) in expected
+    got = decontaminate.proximity(make([(i, " ".join(t)) for i, t in enumerate(texts)]), bench(spark, [(1, "alpha beta gamma")]))
+    assert {(r.doc_id, r.item_id, r.first, r.last) for r in got.collect()} == expected
