@@ -39,7 +39,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-SECRET = re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,200}(?![A-Za-z0-9_/+=-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+(?![A-Za-z0-9_/+=-])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+] )(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 NAME = re.compile(r"\b(?:[Mm]y name is|[Ss]igned by|[Cc]ontact|Mr\.?|Mrs\.?|Ms\.?|Dr\.?) ([A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20}){0,2})")

@@ -79,3 +79,9 @@ def test_private(make):
 
 def test_empty_table(make):
     assert pii.private(make([])).collect() == []
+
+
+def test_long_secrets_are_candidates():
+    for n in (200, 201, 5000, 1_000_000):
+        own = ("aB3x" * n)[:n]
+        assert pii.candidates(f"token: {own} end", []) == [(4, 7, 7 + n)]
