@@ -15,7 +15,7 @@ windows are its WINDOW consecutive words, or all of its words if it has fewer.
 Nothing is quadratic: common passages make postings in proportion to their occurrences, and
 windows of one item that share an anchor share an alignment.
 
-proximity() answers from the same postings which items have several of their rarest terms near each other.
+The same postings tell which items have their rarest terms near each other in a document (near(), proximity()).
 
 Null and empty texts have no words and aren't contaminated. Rows of one doc_id are told apart by their
 texts; equal rows have equal results, and all stay. Items with equal ids are one item if their texts are equal and count
@@ -27,9 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_or_empty, written
+from .common import ascii_lower, text_or_empty, unused, written
 
 WINDOW, SHARE = 13, 20
+TERMS, DISTANCE = 3, 10
 CELLS = 1 << 20
 NO_ID = -(1 << 63)
 
@@ -125,60 +126,72 @@ def hits(rows: DataFrame, found: DataFrame, bench: DataFrame, window: int = WIND
     return held.select("id", "key", "item_id", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right")).alias("last"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """The rows of docs (with their other columns) and n_words, n_hit, n_items, items_sha256, contaminated: share * n_hit >= n_words > 0 hit."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, terms: int = TERMS, distance: int = DISTANCE) -> DataFrame:
+    """The rows of docs (with their other columns) and n_words, n_hit, n_items, items_sha256, contaminated: share * n_hit >= n_words > 0 hit; n_near: items with a proximity match."""
     rows, bench = _documents(docs), items(benchmark)
-    terms = bench.select(F.explode("terms").alias("term")).distinct()
-    counts = written(frequencies(rows, terms), "term-counts")
-    anchor = written(anchors(bench, counts, window), "anchors")
-    asked = anchor.select("term").union(anchor.select("partner").where("partner is not null")).distinct()
+    counts = written(frequencies(rows, bench.select(F.explode("terms").alias("term")).distinct()), "term-counts")
+    anchor, rare = written(anchors(bench, counts, window), "anchors"), written(rarest(bench, counts, terms), "proximity-terms")
+    asked = anchor.select("term").union(anchor.select("partner").where("partner is not null")).union(rare.select("term")).distinct()
     index = postings(rows, asked)
     found = written(alignments(index, anchor), "alignments")
     hit = written(hits(rows, found, bench, window), "hits")
     spans = hit.select("id", "key", F.explode(F.sequence("first", "last")).alias("pos")).distinct().groupBy("id", "key").agg(F.count(F.lit(1)).alias("n_hit"))
     which = hit.select("id", "key", "item_id").distinct().groupBy("id", "key").agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item_id")), ","), 256).alias("items_sha256"))
-    per = spans.join(which, ["id", "key"]).withColumnsRenamed({"id": "hit_id", "key": "hit_key"})
-    keyed = docs.select(*(c for c in docs.columns if c not in RESULT), text_or_empty().alias("_text")).withColumns(
-        {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_key": F.xxhash64(F.lit(3), "_text"), "n_words": F.size(words(F.col("_text"))).cast("long")}
-    ).drop("_text")
-    told = keyed.join(per, (F.col("_id") == F.col("hit_id")) & (F.col("_key") == F.col("hit_key")), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    close = near(index, rare, terms, distance).where("first is not null").select("id", "key", "item").distinct().groupBy("id", "key").agg(F.count(F.lit(1)).alias("n_near"))
+    kept = [c for c in docs.columns if c not in RESULT]
+    own, text, id_, key, hit_id, hit_key = unused(docs.columns, "n_words", "own_text", "own_id", "own_key", "hit_id", "hit_key")
+    per = spans.join(which, ["id", "key"]).join(close, ["id", "key"], "full").withColumnsRenamed({"id": hit_id, "key": hit_key})
+    keyed = docs.select(*(F.col(f"`{c}`") for c in kept), text_or_empty().alias(text)).withColumns(
+        {id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), key: F.xxhash64(F.lit(3), text), own: F.size(words(F.col(text))).cast("long")}
+    ).drop(text)
+    told = keyed.join(per, (F.col(id_) == F.col(hit_id)) & (F.col(key) == F.col(hit_key)), "left")
+    none = F.lit(0).cast("long")
+    n_hit = F.coalesce("n_hit", none)
     return told.select(
-        *(F.col(f"`{c}`") for c in docs.columns if c not in RESULT),
-        "n_words",
+        *(F.col(f"`{c}`") for c in kept),
+        F.col(own).alias("n_words"),
         n_hit.alias("n_hit"),
-        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("n_items", none).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        ((n_hit > 0) & (n_hit * share >= F.col(own))).alias("contaminated"),
+        F.coalesce("n_near", none).alias("n_near"),
     )
 
 
-RESULT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+RESULT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
+
+
+def rarest(bench: DataFrame, counts: DataFrame, terms: int = TERMS) -> DataFrame:
+    """item, term, rank (from 1), need: each item's rarest distinct terms, so many or all it has."""
+    own = bench.select("item", F.explode(F.array_distinct("terms")).alias("term")).join(counts, "term")
+    by_item = Window.partitionBy("item")
+    ranked = own.withColumn("rank", F.row_number().over(by_item.orderBy("n", "term"))).where(F.col("rank") <= terms)
+    return ranked.withColumn("need", F.count(F.lit(1)).over(by_item)).select("item", "term", "rank", "need")
+
+
+def near(index: DataFrame, asked: DataFrame, terms: int = TERMS, distance: int = DISTANCE) -> DataFrame:
+    """id, key, item, rank, pos, first, last: for each place of an asked term, the shortest stretch of at most distance words around
+    it that holds all asked terms of the item, the first of several; null where there is none.
+
+    An item's postings in one document are read in order, and each looks at no more than the distance before and after it.
+    """
+    met = index.join(asked, "term").select("id", "key", "item", "rank", "need", "pos")
+    order = Window.partitionBy("id", "key", "item").orderBy("pos")
+    ends = [F.min(F.when(F.col("rank") == r, F.col("pos"))).over(order.rangeBetween(0, distance)) for r in range(1, terms + 1)]
+    starts = met.withColumn("ends", F.array_compact(F.array(*ends)))
+    whole = F.when(F.size("ends") == F.col("need"), F.struct(F.col("pos").alias("first"), F.array_max("ends").alias("last")))
+    around = starts.withColumn("around", F.collect_list(whole).over(order.rangeBetween(-distance, 0)))
+    reached = F.transform("around", lambda w: F.struct((F.greatest(w["last"], F.col("pos")) - w["first"]).alias("span"), w["first"].alias("first"), F.greatest(w["last"], F.col("pos")).alias("last")))
+    best = F.array_min(F.filter(reached, lambda w: w["span"] <= distance))
+    return around.select("id", "key", "item", "rank", "pos", best.alias("best")).select("id", "key", "item", "rank", "pos", "best.first", "best.last")
 
 
-def proximity(docs: DataFrame, benchmark: DataFrame, terms: int = 3, distance: int = 10) -> DataFrame:
-    """doc_id, item_id, first, last: where an item's rarest distinct terms (so many) all stand within so many words, in any order: for each place of the rarest, the shortest such window around it, the first of several."""
+def proximity(docs: DataFrame, benchmark: DataFrame, terms: int = TERMS, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, item_id, first, last: where an item's rarest distinct terms (so many) all stand within so many words, in any order: for each place of the rarest, the shortest such stretch around it, the first of several."""
     rows, bench = _documents(docs), items(benchmark)
     counts = written(frequencies(rows, bench.select(F.explode("terms").alias("term")).distinct()), "term-counts")
-    own = bench.select("item", "item_id", F.explode(F.array_distinct("terms")).alias("term")).join(counts, "term")
-    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("n", "term"))).where(F.col("rank") <= terms)
-    asked = written(ranked.select("item", "item_id", "term", "rank"), "proximity-terms")
-    need = asked.groupBy("item").agg(F.count(F.lit(1)).alias("need"))
-    index = postings(rows, asked.select("term").distinct())
-    rare = index.join(asked.where("rank = 1"), "term").select("id", "key", "item", F.col("pos").alias("at"))
-    # Positions meet within a document by neighbouring stretches of the distance, so a frequent term isn't paired with all its occurrences.
-    cell = F.floor(F.col("at") / distance)
-    spread = rare.select("id", "key", "item", "at", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    others = index.join(asked, "term").select("id", "key", "item", "rank", "pos", F.floor(F.col("pos") / distance).alias("cell"))
-    near = spread.join(others, ["id", "key", "item", "cell"]).where(F.abs(F.col("pos") - F.col("at")) <= distance)
-    # Terms recur, so each of them that stands at or before the rarest starts a window. A list holds at most 2 * distance + 1 positions.
-    met = near.groupBy("id", "key", "item", "at").agg(F.collect_set(F.struct("pos", "rank")).alias("met"))
-    starts = met.select("id", "key", "item", "at", "met", F.explode(F.filter(F.col("met.pos"), lambda x: x <= F.col("at"))).alias("first"))
-    held = starts.select("id", "key", "item", "at", "first", F.explode("met").alias("o")).where(F.col("o.pos").between(F.col("first"), F.col("first") + distance))
-    ends = held.groupBy("id", "key", "item", "at", "first", "o.rank").agg(F.min("o.pos").alias("pos"))
-    windows = ends.groupBy("id", "key", "item", "at", "first").agg(F.count(F.lit(1)).alias("got"), F.greatest(F.max("pos"), F.col("at")).alias("last"))
-    whole = windows.join(need, "item").where((F.col("got") == F.col("need")) & (F.col("last") - F.col("first") <= distance))
-    spans = whole.groupBy("id", "key", "item", "at").agg(F.min(F.struct((F.col("last") - F.col("first")).alias("span"), "first", "last")).alias("best")).select("id", "key", "item", "best.first", "best.last")
+    asked = written(rarest(bench, counts, terms), "proximity-terms")
+    spans = near(postings(rows, asked.select("term").distinct()), asked, terms, distance).where("rank = 1 and first is not null")
     return spans.join(bench.select("item", "item_id"), "item").select(F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"), "item_id", "first", "last").distinct()
 
 
@@ -202,10 +215,23 @@ WITH d AS (
   SELECT DISTINCT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.gram = bw.gram AND dw.n = bw.n
 ), h AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM m, unnest(range(i, i + n)) AS u(p) GROUP BY doc_id
+), bt AS (
+  SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest(w) AS t FROM b)
+), f AS (
+  SELECT t, count(*) AS n FROM (SELECT unnest(w) AS t FROM d) GROUP BY t
+), rare AS (
+  SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0), t) AS k FROM bt LEFT JOIN f USING (t) QUALIFY k <= 3
+), o AS (
+  SELECT DISTINCT p.doc_id, rare.item_id, rare.k, p.i FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d) AS p JOIN rare ON p.t = rare.t
+), close AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (
+    SELECT a.doc_id, a.item_id FROM o AS a JOIN o AS z ON z.doc_id = a.doc_id AND z.item_id = a.item_id AND z.i BETWEEN a.i AND a.i + 10
+    GROUP BY a.doc_id, a.item_id, a.i HAVING count(DISTINCT z.k) = (SELECT count(*) FROM rare AS r WHERE r.item_id = a.item_id)
+  ) GROUP BY doc_id
 ), t AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS sha FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM m) GROUP BY doc_id
 )
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items,
-       coalesce(t.sha, sha256('')) AS items_sha256, (coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w)) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+       coalesce(t.sha, sha256('')) AS items_sha256, (coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w)) AS contaminated, coalesce(close.n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN close USING (doc_id)
 """

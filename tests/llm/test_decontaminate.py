@@ -38,7 +38,21 @@ def bench(spark, items):
     return spark.createDataFrame([(i, t, 1, "x") for i, t in items], "item_id long, text string, pos int, term string")
 
 
-COLUMNS = ["doc_id", *decontaminate.RESULT]
+COLUMNS = ["doc_id", *(c for c in decontaminate.RESULT if c != "n_near")]
+
+
+def near_items(rows, items, terms=3, distance=10):
+    """Per row, in how many items' rarest terms stand near each other."""
+    split_rows = [split(t) for _, t in rows]
+    counts = {}
+    for w in split_rows:
+        for x in w:
+            counts[x] = counts.get(x, 0) + 1
+    asked = []
+    for _, w in {(i, tuple(split(t))) for i, t in items}:
+        if w:
+            asked.append(set(sorted(set(w), key=lambda x: (counts.get(x, 0), x.encode()))[:terms]))
+    return [sum(any(need <= set(w[a : a + distance + 1]) for a in range(len(w))) for need in asked) for w in split_rows]
 
 
 @pytest.mark.parametrize("window, seed", [(13, 1), (4, 2), (1, 3), (2, 4)])
@@ -61,6 +75,15 @@ def test_contamination(make, spark, window, seed):
     got = decontaminate.contamination(make(rows), bench(spark, items), window)
     assert sorted(map(tuple, got.select(*COLUMNS).collect()), key=str) == plain(rows, items, window)
     assert {"lang", "fp", "n"} <= set(got.columns)
+    assert sorted(zip((r[0] for r in rows), (split(r[1]) for r in rows), near_items(rows, items), strict=True), key=str) == sorted(((r.doc_id, split(r.text), r.n_near) for r in got.select("doc_id", "text", "n_near").collect()), key=str)
+
+
+def test_columns_with_names_of_our_own(spark):
+    names = ["_id", "_key", "_text", "id", "key", "hit_id", "hit_key", "own_id", "own_key", "own_text", "n_hit", "item_id", "cell"]
+    docs = spark.createDataFrame([(1, "a b c", *range(len(names)))], f"doc_id long, text string, {', '.join(f'`{n}` long' for n in names)}")
+    (row,) = decontaminate.contamination(docs, bench(spark, [(5, "a b c")])).collect()
+    assert (row.n_hit, row.n_items, row.n_near, row.contaminated) == (3, 1, 1, True)
+    assert [row[n] for n in names if n != "n_hit"] == [i for i, n in enumerate(names) if n != "n_hit"]
 
 
 def test_empty_tables(make, spark):
