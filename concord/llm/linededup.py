@@ -3,12 +3,14 @@
 A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys
 of at least CODE_POINTS code points in at least DOCUMENTS rows lose all their lines
 except in the largest doc_id that holds them. Keys are known by 128 bits of hash;
-distinct hashes that reach DOCUMENTS are dealt to shards, and each shard becomes a
-minimal perfect hash with arrays of fingerprints, counts and last documents at its slots.
+distinct hashes that occur more than once are dealt to shards, and each shard becomes a
+minimal perfect hash with arrays of fingerprints, counts and last documents at its slots; a document's
+lines probe the arrays, and the count tells whether a key reaches DOCUMENTS.
 
 The arrays are broadcast only while they take at most BROADCAST bytes, measured
 before. Beyond it they stay a table: (hash, line) probes are dealt to the shards they
-belong to, several tasks sharing a hot shard, and come back as line numbers per document.
+belong to, and come back as line numbers per document. A shard whose keys occur often is shared by
+as many tasks as its counts ask for.
 
 Null and empty texts are one empty line, which stays. Each row counts as one document; rows of one
 doc_id that hold the last copy all keep it. With a null doc_id a row counts but never holds the last
@@ -24,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_or_empty, written
+from .common import bounded_batches, text_or_empty, unused, written
 from .mph import MinimalPerfectHash
 
 CODE_POINTS, DOCUMENTS = 20, 3
-SHARD, BROADCAST, SPREAD = 200_000, 64 << 20, 16
+SHARD, BROADCAST, PROBES = 200_000, 64 << 20, 1_000_000
 NO_ID = -(1 << 63)
 
 
@@ -65,12 +67,12 @@ def _held(batches):
         )
 
 
-def repeated(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
-    """h1, h2, n, last of the keys in at least so many rows."""
+def repeated(docs: DataFrame) -> DataFrame:
+    """h1, h2, n, last of the keys in more than one row."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     held = rows.mapInArrow(_held, "h1 long, h2 long, doc_id long, n long")
-    return held.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= documents)
+    return held.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("doc_id").alias("last")).where("n > 1")
 
 
 def _shard(batches, shards):
@@ -80,11 +82,11 @@ def _shard(batches, shards):
 
     def made():
         h1, h2, n, last = (np.concatenate(x) for x in zip(*parts, strict=True))
-        table = MinimalPerfectHash.build(h2)
-        slot = table.slots(h2)
+        table = MinimalPerfectHash.over(h1, h2)
+        slot = table.slots_of(h1, h2)
         prints, counts, lasts = np.empty_like(h1), np.empty(len(n), np.uint32), np.empty_like(last)
         prints[slot], counts[slot], lasts[slot] = h1, np.minimum(n, 0xFFFFFFFF), last
-        return pa.RecordBatch.from_pydict({"shard": pa.array([at], pa.int64()), "hash": [table.dump()], "prints": [prints.tobytes()], "counts": [counts.tobytes()], "lasts": [lasts.tobytes()]})
+        return pa.RecordBatch.from_pydict({"shard": pa.array([at], pa.int64()), "hash": [table.dump()], "prints": [prints.tobytes()], "counts": [counts.tobytes()], "lasts": [lasts.tobytes()], "held": pa.array([int(n.sum())], pa.int64())})
 
     for batch in batches:
         shard, h1, h2, n, last = (batch[c].to_numpy(zero_copy_only=False) for c in ("shard", "h1", "h2", "n", "last"))
@@ -101,15 +103,16 @@ def _shard(batches, shards):
         yield made()
 
 
-SHARD_TABLE = "shard long, hash binary, prints binary, counts binary, lasts binary"
+PARTS = ("hash", "prints", "counts", "lasts")
+SHARD_TABLE = "shard long, hash binary, prints binary, counts binary, lasts binary, held long"
 
 
 class Arrays:
-    """The shards' hashes and arrays, for probes."""
+    """The shards' hashes and arrays, for probes. documents: in how many rows a key must be."""
 
-    def __init__(self, shards: int, rows: dict[int, tuple]):
-        self.shards = shards
-        self.rows = {k: (MinimalPerfectHash.load(h), np.frombuffer(p, "<i8"), np.frombuffer(last, "<i8")) for k, (h, p, last) in rows.items()}
+    def __init__(self, shards: int, rows: dict[int, tuple], documents: int = DOCUMENTS):
+        self.shards, self.documents = shards, documents
+        self.rows = {k: (MinimalPerfectHash.load(h), np.frombuffer(p, "<i8"), np.frombuffer(n, "<u4"), np.frombuffer(last, "<i8")) for k, (h, p, n, last) in rows.items()}
 
     def drops(self, h: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
         """Which of the probes (hash, row's doc_id) are of lines to drop."""
@@ -117,20 +120,20 @@ class Arrays:
         shard = h[:, 0].view(np.uint64) % np.uint64(self.shards)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(self.shards + 1, dtype=np.uint64))
-        for k, (table, prints, lasts) in self.rows.items():
+        for k, (table, prints, counts, lasts) in self.rows.items():
             at = order[cuts[k] : cuts[k + 1]]
-            slot = table.slots(h[at, 1])
+            slot = table.slots_of(h[at, 0], h[at, 1])
             there = slot >= 0
             at, slot = at[there], slot[there]
-            same = prints[slot] == h[at, 0]
+            same = (prints[slot] == h[at, 0]) & (counts[slot] >= self.documents)
             at, slot = at[same], slot[same]
             out[at] = (lasts[slot] != doc_id[at]) & (lasts[slot] != NO_ID)
         return out
 
 
-def arrays(docs: DataFrame, documents: int = DOCUMENTS, shard: int = SHARD) -> tuple[DataFrame, int, int]:
+def arrays(docs: DataFrame, shard: int = SHARD) -> tuple[DataFrame, int, int]:
     """The table of shards, their number and the bytes of their arrays."""
-    found = written(repeated(docs, documents), "line-keys")
+    found = written(repeated(docs), "line-keys")
     n = found.count()
     shards = max(1, -(-n // shard))
     dealt = found.select(_modulo(shards), "h1", "h2", "n", F.coalesce("last", F.lit(NO_ID)).alias("last"))
@@ -188,7 +191,7 @@ def _probes(batches):
         yield pa.RecordBatch.from_pydict({"h1": pa.array(h[:, 0]), "h2": pa.array(h[:, 1]), "doc_id": pa.array([x[0] for x in out], pa.int64()), "row_key": pa.array([x[1] for x in out], pa.string()), "line": pa.array([x[2] for x in out], pa.int64())})
 
 
-def _answers(batches, shards):
+def _answers(batches, shards, documents):
     """Rows sorted by shard, a shard's arrays before its probes."""
     known, at = None, None
     for batch in batches:
@@ -199,7 +202,7 @@ def _answers(batches, shards):
             part = batch.slice(a, b - a)
             if arrays_here[a]:
                 at = int(shard[a])
-                known = Arrays(shards, {at: tuple(part[c][0].as_py() for c in ("hash", "prints", "lasts"))})
+                known = Arrays(shards, {at: tuple(part[c][0].as_py() for c in PARTS)}, documents)
             elif at == shard[a]:
                 h = np.column_stack([part["h1"].to_numpy(), part["h2"].to_numpy()])
                 doc_id = part["doc_id"].fill_null(NO_ID).to_numpy(zero_copy_only=False)
@@ -207,31 +210,33 @@ def _answers(batches, shards):
                 yield pa.RecordBatch.from_arrays([part[c].filter(gone) for c in ("doc_id", "row_key", "line")], ["doc_id", "row_key", "line"])
 
 
-def _cut(batches, names):
+def _cut(batches, names, gone):
     for batch in batches:
-        yield _joined(batch, batch["text"].to_pylist(), [x or [] for x in batch["gone"].to_pylist()], names)
+        yield _joined(batch, batch["text"].to_pylist(), [x or [] for x in batch[gone].to_pylist()], names)
 
 
-def dedup(docs: DataFrame, documents: int = DOCUMENTS, broadcast: int = BROADCAST, shard: int = SHARD) -> DataFrame:
-    """The rows of docs with their text's other lines joined by \\n, then n_lines (before) and n_dropped."""
+def dedup(docs: DataFrame, documents: int = DOCUMENTS, broadcast: int = BROADCAST, shard: int = SHARD, probes: int = PROBES) -> DataFrame:
+    """The rows of docs with their text's other lines joined by \\n, then n_lines (before) and n_dropped. documents: at least 2."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(*(F.col("doc_id").cast("long").alias("doc_id") if c == "doc_id" else c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")), text_or_empty().alias("text"))
+    docs = docs.select(*(F.col("doc_id").cast("long").alias("doc_id") if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped")), text_or_empty().alias("text"))
     names = [c for c in docs.columns if c != "text"]
     schema = ", ".join([*(f"`{c}` {kind}" for c, kind in docs.dtypes if c != "text"), "text string, n_lines long, n_dropped long"])
-    table, shards, size = arrays(docs, documents, shard)
+    table, shards, size = arrays(docs, shard)
     if size <= broadcast:
-        rows = {r["shard"]: (bytes(r["hash"]), bytes(r["prints"]), bytes(r["lasts"])) for r in table.collect()}  # at most so many bytes
-        return docs.mapInArrow(partial(_kept, known=spark.sparkContext.broadcast(Arrays(shards, rows)), names=names), schema)
-    docs = docs.withColumn("row_key", F.hex(F.xxhash64(F.lit(1), "text")))
-    probes = docs.select("doc_id", "row_key", "text").mapInArrow(_probes, "h1 long, h2 long, doc_id long, row_key string, line long")
-    probes = probes.withColumns({"shard": _modulo(shards), "part": F.pmod(F.xxhash64("doc_id", "line"), F.lit(SPREAD))})
-    spread = table.select("shard", "hash", "prints", "lasts", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("part"))
-    met = spread.unionByName(probes, allowMissingColumns=True).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("hash").isNull())
-    gone = met.mapInArrow(partial(_answers, shards=shards), "doc_id long, row_key string, line long")
-    gone = gone.groupBy("doc_id", "row_key").agg(F.collect_set("line").alias("gone"))
-    back = docs.join(gone.withColumnRenamed("doc_id", "gone_id").withColumnRenamed("row_key", "gone_key"), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("row_key") == F.col("gone_key")), "left")
-    return back.select(*names, "text", "gone").mapInArrow(partial(_cut, names=names), schema)
+        rows = {r["shard"]: tuple(bytes(r[c]) for c in PARTS) for r in table.collect()}  # at most so many bytes
+        return docs.mapInArrow(partial(_kept, known=spark.sparkContext.broadcast(Arrays(shards, rows, documents)), names=names), schema)
+    key, gone, gone_id, gone_key = unused(docs.columns, "row_key", "gone", "gone_id", "gone_key")
+    docs = docs.withColumn(key, F.hex(F.xxhash64(F.lit(1), "text")))
+    asked = docs.select("doc_id", F.col(key).alias("row_key"), "text").mapInArrow(_probes, "h1 long, h2 long, doc_id long, row_key string, line long").withColumn("shard", _modulo(shards))
+    spread = table.select("shard", F.ceil(F.col("held") / probes).alias("tasks"))  # a row a shard
+    asked = asked.join(F.broadcast(spread), "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "line"), F.col("tasks"))).drop("tasks")
+    spread = table.select("shard", *PARTS, F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("held") / probes) - 1)).alias("part"))
+    met = spread.unionByName(asked, allowMissingColumns=True).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("hash").isNull())
+    found = met.mapInArrow(partial(_answers, shards=shards, documents=documents), "doc_id long, row_key string, line long")
+    found = found.groupBy(F.col("doc_id").alias(gone_id), F.col("row_key").alias(gone_key)).agg(F.collect_set("line").alias(gone))
+    back = docs.join(found, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left")
+    return back.select(*(F.col(f"`{c}`") for c in names), "text", gone).mapInArrow(partial(_cut, names=names, gone=gone), schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """A minimal perfect hash over distinct 64-bit keys, built and probed by array operations.
 
 Level by level, keys are thrown into twice as many bits as there are keys left; those
-alone in their bit stay, the others go on. A key's slot is the rank of its bit.
+alone in their bit stay, the others go on. A key's slot is the rank of its bit. Empty arrays make an empty table.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import pickle
 
 import numpy as np
 
-LOAD, LEVELS = 2, 64
+LOAD, LEVELS, SALTS = 2, 64, 16
 
 
 def _mixed(keys: np.ndarray, level: int) -> np.ndarray:
@@ -20,9 +20,14 @@ def _mixed(keys: np.ndarray, level: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _folded(h1: np.ndarray, h2: np.ndarray, salt: int) -> np.ndarray:
+    """One key for a pair: its second half, or with a salt that half crossed with the mixed first."""
+    return h2 if not salt else (h2.view(np.uint64) ^ _mixed(h1, LEVELS + salt)).view(np.int64)
+
+
 class MinimalPerfectHash:
-    def __init__(self, levels: list[np.ndarray], sizes: list[int], rest: np.ndarray):
-        self.levels, self.sizes, self.rest = levels, sizes, rest
+    def __init__(self, levels: list[np.ndarray], sizes: list[int], rest: np.ndarray, salt: int = 0):
+        self.levels, self.sizes, self.rest, self.salt = levels, sizes, rest, salt
         self.before, n = [], 0  # ranks at the start of each byte of each level
         for bits in levels:
             counts = np.bitwise_count(bits)
@@ -31,6 +36,20 @@ class MinimalPerfectHash:
             n = int(ranks[-1])
         self.n = n
 
+    @classmethod
+    def over(cls, h1: np.ndarray, h2: np.ndarray) -> MinimalPerfectHash:
+        """Over distinct pairs. Pairs that share their second half are told apart by a salted mixture of both halves."""
+        for salt in range(SALTS):
+            keys = _folded(h1, h2, salt)
+            if len(np.unique(keys)) == len(keys):
+                table = cls.build(keys)
+                table.salt = salt
+                return table
+        raise ValueError("pairs repeat")
+
+    def slots_of(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        return self.slots(_folded(h1, h2, self.salt))
+
     @classmethod
     def build(cls, keys: np.ndarray) -> MinimalPerfectHash:
         left, levels, sizes = np.unique(keys), [], []
@@ -65,7 +84,7 @@ class MinimalPerfectHash:
         return out
 
     def dump(self) -> bytes:
-        return pickle.dumps((self.levels, self.sizes, self.rest), protocol=5)
+        return pickle.dumps((self.levels, self.sizes, self.rest, self.salt), protocol=5)
 
     @classmethod
     def load(cls, data: bytes) -> MinimalPerfectHash:

@@ -39,6 +39,36 @@ def test_empty_table(make, broadcast):
     assert linededup.dedup(make([]), broadcast=broadcast).collect() == []
 
 
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_columns_with_names_of_our_own(spark, broadcast):
+    names = ["row_key", "gone", "gone_id", "gone_key", "shard", "part", "line", "h1", "h2", "hash"]
+    docs = spark.createDataFrame([(i, "one line in all of them\nand another", *range(len(names))) for i in range(4)], f"doc_id long, text string, {', '.join(f'`{n}` long' for n in names)}")
+    got = linededup.dedup(docs, broadcast=broadcast).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_dropped) for r in got] == [(0, 1), (1, 1), (2, 1), (3, 0)]
+    assert all([r[n] for n in names] == list(range(len(names))) for r in got)
+
+
+def test_a_hot_shard_is_shared(make):
+    rows = odd_rows()
+    assert sorted(map(tuple, linededup.dedup(make(rows), broadcast=0, shard=3, probes=2).select("doc_id", "text", "n_lines", "n_dropped").collect()), key=str) == plain(rows)
+
+
+def test_counts_are_probed():
+    h = np.array([[1, 10], [2, 20]], np.int64)
+    table = MinimalPerfectHash.over(h[:, 0], h[:, 1])
+    slot = table.slots_of(h[:, 0], h[:, 1])
+    prints, counts, lasts = np.empty(2, "<i8"), np.empty(2, "<u4"), np.empty(2, "<i8")
+    prints[slot], counts[slot], lasts[slot] = h[:, 0], [2, 3], [7, 7]
+    known = linededup.Arrays(1, {0: (table.dump(), prints.tobytes(), counts.tobytes(), lasts.tobytes())})
+    assert known.drops(h, np.array([5, 5])).tolist() == [False, True] and known.drops(h, np.array([7, 7])).tolist() == [False, False]
+
+
+def test_halves_that_collide():
+    h1, h2 = np.array([1, 2, 3, 4], np.int64), np.array([9, 9, 9, -9], np.int64)
+    table = MinimalPerfectHash.load(MinimalPerfectHash.over(h1, h2).dump())
+    assert table.salt and sorted(table.slots_of(h1, h2).tolist()) == [0, 1, 2, 3]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
 def test_minimal_perfect_hash(n):
     keys = np.random.default_rng(n).integers(-(2**63), 2**63, n)
