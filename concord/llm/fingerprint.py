@@ -29,8 +29,8 @@ def canonical(text: Column) -> Column:
     """ASCII needs no normalisation; the rest goes through the ICU library that Spark itself uses for collation."""
     icu = lambda kind, method, c: F.reflect(F.lit(f"com.ibm.icu.{kind}"), F.lit(method), c, F.lit(True))
     folded = icu("text.Normalizer", "compose", icu("lang.UCharacter", "foldCase", icu("text.Normalizer", "compose", text)))
-    plain = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(folded)
-    return F.trim(F.regexp_replace(plain, r"(?U)[\s\x1C-\x1F]+", " "))
+    ascii_ = F.regexp_replace(F.lower(text), r"[\t-\r\x1C-\x20]+", " ")
+    return F.trim(F.when(F.octet_length(text) == F.char_length(text), ascii_).otherwise(F.regexp_replace(folded, r"(?U)[\s\x1C-\x1F]+", " ")))
 
 
 def wide(canon: Column) -> tuple[Column, Column]:
@@ -38,8 +38,10 @@ def wide(canon: Column) -> tuple[Column, Column]:
     return F.xxhash64(canon), F.xxhash64(F.lit("wide"), canon)
 
 
-def _hex(h1: Column, h2: Column) -> Column:
-    return F.lower(F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0")))
+def _print(h1: str, h2: str, ordinal: str) -> Column:
+    """A fingerprint: 128 bits, and behind them the ordinal of all but the first text of a bucket."""
+    bits = F.lower(F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0")))
+    return F.when(F.col(ordinal).isNotNull(), F.concat(bits, F.lit("-"), F.col(ordinal))).otherwise(bits)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -60,6 +62,13 @@ def collisions(members: DataFrame) -> DataFrame:
     return ranked.where("ordinal > 0").select("h1", "h2", F.sha2("canon", 256).alias("canon_sha"), "ordinal")
 
 
+def told_apart(df: DataFrame, buckets: DataFrame, canon: str, h1: str, h2: str, ordinal: str) -> DataFrame:
+    """Adds the ordinal of a text's bytes in its bucket (null: it is the first, or its bucket holds no other). buckets: h1, h2 and ordinals by digest; only texts that fall in one of them are digested."""
+    other = buckets.select(F.col("h1").alias("_b1"), F.col("h2").alias("_b2"), "ordinals")
+    met = df.join(other, (F.col(h1) == F.col("_b1")) & (F.col(h2) == F.col("_b2")), "left")
+    return met.withColumn(ordinal, F.when(F.col("ordinals").isNotNull(), F.try_element_at("ordinals", F.sha2(canon, 256)))).drop("_b1", "_b2", "ordinals")
+
+
 def crowded(slim: DataFrame) -> DataFrame:
     """cell: where the hashes of buckets with several rows fall; at most CELLS numbers, whatever the corpus."""
     buckets = slim.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
@@ -91,30 +100,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     slim = written(hashed(rows).select("id", "n", "h1", "h2"), "digest-hashes")
     order = written(following(slim), "digest-order")
     members = hashed(rows).withColumn("cell", _cell()).join(F.broadcast(crowded(slim)), "cell", "left_semi").select("h1", "h2", "canon")
-    told_apart = written(collisions(members), "digest-collisions")  # next to none, so Spark will broadcast it
+    found = collisions(members).groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct("canon_sha", "ordinal"))).alias("ordinals"))
+    buckets = written(found, "digest-collisions")  # next to none, so Spark will broadcast it
     need = slim.join(order, "id").groupBy("next_id").agg(F.max(F.floor(F.col("n") / 2)).cast("int").alias("need"))
     about = written(order.join(need.withColumnRenamed("next_id", "id"), "id", "left").select("id", "next_id", F.coalesce("need", F.lit(0)).alias("need")), "digest-about")
-    held = rows.repartition(partitions(docs.sparkSession), "id")  # one exchange for both uses below
-    own = hashed(held.join(about.select("id", "next_id"), "id"), "next_id").select(
-        "id", "next_id", "n", "h1", "h2", F.sha2("canon", 256).alias("canon_sha"), F.expr("left(text, cast(n - n div 2 as int))").alias("half")
-    )
-    later = hashed(held.join(about.select("id", "need"), "id"), "need").select(F.col("id").alias("next_id"), F.expr("left(text, need)").alias("lead"), F.col("h1").alias("next_h1"), F.col("h2").alias("next_h2"), "text")
-    later = later.groupBy("next_id").agg(F.min(F.struct("lead", "next_h1", "next_h2")).alias("later")).select("next_id", "later.*")
+    # Texts are hashed before the one exchange that both uses below share.
+    held = told_apart(hashed(rows), buckets, "canon", "h1", "h2", "ordinal").drop("canon").repartition(partitions(docs.sparkSession), "id")
+    own = held.join(about.select("id", "next_id"), "id").select("id", "next_id", "n", "h1", "h2", "ordinal", F.expr("left(text, cast(n - n div 2 as int))").alias("half"))
+    later = held.join(about.select("id", "need"), "id").select(F.col("id").alias("next_id"), F.expr("left(text, need)").alias("lead"), _print("h1", "h2", "ordinal").alias("next_print"))
+    later = later.groupBy("next_id").agg(F.min(F.struct("lead", "next_print")).alias("later")).select("next_id", "later.*")
     met = own.join(later, "next_id").withColumn("edited", F.concat("half", F.expr("left(lead, cast(n div 2 as int))")))
     met = met.withColumn("edited_canon", canonical(F.col("edited")))
     e1, e2 = wide(F.col("edited_canon"))
-    done = met.select("id", "n", F.sha2("edited", 256).alias("edited_sha256"), "h1", "h2", "canon_sha", e1.alias("e1"), e2.alias("e2"), "next_h1", "next_h2")
-    told = done.join(told_apart, ["h1", "h2", "canon_sha"], "left")
-    print_ = F.concat(_hex(F.col("h1"), F.col("h2")), F.when(F.col("ordinal").isNotNull(), F.concat(F.lit("-"), "ordinal")).otherwise(F.lit("")))
-    like = lambda a, b: F.when((F.col("h1") == F.col(a)) & (F.col("h2") == F.col(b)), 1.0).otherwise(0.0)
-    return told.select(
+    told = told_apart(met.withColumns({"e1": e1, "e2": e2}), buckets, "edited_canon", "e1", "e2", "edited_ordinal")
+    done = told.select("id", "n", F.sha2("edited", 256).alias("edited_sha256"), _print("h1", "h2", "ordinal").alias("fingerprint"), _print("e1", "e2", "edited_ordinal").alias("edited_fingerprint"), "next_print")
+    like = lambda other: F.when(F.col("fingerprint") == F.col(other), 1.0).otherwise(0.0)
+    return done.select(
         F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"),
         F.col("n").alias("n_chars"),
         "edited_sha256",
-        print_.alias("fingerprint"),
-        _hex(F.col("e1"), F.col("e2")).alias("edited_fingerprint"),
-        like("e1", "e2").alias("near_edited"),
-        like("next_h1", "next_h2").alias("near_next"),
+        "fingerprint",
+        "edited_fingerprint",
+        like("edited_fingerprint").alias("near_edited"),
+        like("next_print").alias("near_next"),
     )
 
 

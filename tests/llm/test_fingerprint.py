@@ -51,6 +51,24 @@ def test_colliding_bucket_is_told_apart_by_bytes(spark):
     assert [(r.h1, r.ordinal, r.canon_sha) for r in fingerprint.collisions(members).collect()] == [(1, 1, hashlib.sha256(b"b").hexdigest())]
 
 
+def test_collisions_reach_every_fingerprint(make, monkeypatch):
+    monkeypatch.setattr(fingerprint, "wide", lambda canon: (F.lit(7).cast("long"), F.lit(8).cast("long")))
+    rows = [(4, "aa"), (3, "bb"), (2, "aabb"), (1, "aa"), (0, "BB ")]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(make(rows)).collect()}
+    text = {i: canon(t) for i, t in rows}
+    for i in got:
+        for j in got:
+            assert (got[i].fingerprint == got[j].fingerprint) == (text[i] == text[j])
+    following = {4: 3, 3: 2, 2: 1, 1: 0, 0: 4}
+    raw = dict(rows)
+    for i, r in got.items():
+        n = len(raw[i])
+        edited = canon(raw[i][: n - n // 2] + raw[following[i]][: n // 2])
+        assert r.near_next == float(text[i] == text[following[i]]) and (edited not in text.values() or r.near_edited == float(text[i] == edited))
+        for j in got:
+            assert edited != text[j] or r.edited_fingerprint == got[j].fingerprint
+
+
 def test_empty_table_and_one_row(make):
     assert fingerprint.fingerprints(make([])).collect() == []
     (row,) = fingerprint.fingerprints(make([(3, "one row")])).collect()
