@@ -26,6 +26,7 @@ from .common import bounded_batches, scratch_path, text_or_empty, written
 
 KEYS = ("source", "lang", "version")
 KEY = "change_key"
+SALTS = 32
 TOTALS = "source string, lang string, version string, n_docs long, n_tokens long"
 
 
@@ -118,7 +119,9 @@ def maintained(docs: DataFrame, folder: str) -> DataFrame:
     )
     byte, word = F.col("n_byte"), F.col("n_word")
     first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = rows.join(first, ["h1", "h2"]).where("doc_id > first")
+    # A large group of copies meets its first document in as many parts as SALTS.
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"]).where("doc_id > first")
     batches = {
         "load": change(rows, "insert", "byte_bpe_50k", byte),
         "second-tokenizer": change(rows, "insert", "word_bpe_49k", word),
