@@ -8,7 +8,7 @@ the score's logit is penalised. What remains of toxic phrasing around a mention
 
 Only the text is an input of a score. Labels are learnt from at most SAMPLE labelled
 rows whose crc32 of doc_id modulo FOLDS isn't 0, those with the least hash of doc_id;
-the others are held out. Features seen in fewer than RARE of these rows are not learnt.
+the others are held out; of several texts of one doc_id the least is learnt. Features seen in fewer than RARE of these rows are not learnt.
 
 Null and empty texts score as the model's prior; a doc_id that is null is never held out nor learnt from; rows
 repeat as they came. With no labelled row, or one class only, the score is the share of label 1 (0.0 if there is none).
@@ -16,6 +16,7 @@ repeat as they came. With no labelled row, or one class only, the score is the s
 
 from __future__ import annotations
 
+import math
 import re
 from functools import partial
 
@@ -29,6 +30,7 @@ from .common import bounded_batches, text_or_empty
 SAMPLE, FOLDS, BUCKETS, RARE = 12_000, 5, 1 << 20, 3
 PREFIXES = (4, 5, 6)
 L1, SWAP, STEPS = 1e-3, 1.0, 150
+CACHED = 200_000
 
 #: Terms that name a group of people, by what they have in common; a term is swapped for the next of its row.
 IDENTITIES = (
@@ -69,27 +71,32 @@ def features(found: set[str]) -> list[int]:
     return sorted({f for w in found for f in hashed(w)})
 
 
+class _Weighted(dict):
+    """The features of a word that have a weight. It starts anew when full, so memory is bounded."""
+
+    def __init__(self, weights: dict[int, float]):
+        self.weights = weights
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        own = tuple(f for f in hashed(word) if f in self.weights)
+        if len(word) <= 40:
+            if len(self) >= CACHED:
+                self.clear()
+            self[word] = own
+        return own
+
+
 class Model:
     """Weights of the few features that have one."""
 
     def __init__(self, bias: float, weights: dict[int, float]):
         self.bias, self.weights = bias, weights
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache = _Weighted(weights)
 
     def score(self, text: str) -> float:
-        cache, found = self.cache, set()
-        for w in words(text):
-            own = cache.get(w)
-            if own is None:
-                own = tuple(f for f in hashed(w) if f in self.weights)
-                if len(cache) >= 200_000:
-                    cache.clear()
-                if len(w) <= 40:
-                    cache[w] = own
-            if own:
-                found.update(own)
-        z = self.bias + sum(self.weights[f] for f in found)
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        found = set().union(*map(self.cache.__getitem__, words(text)))
+        z = self.bias + math.fsum([self.weights[f] for f in found])
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
     def __getstate__(self):
         return self.bias, self.weights
@@ -189,9 +196,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id")) != 0)
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most so many ids
-    rows = rows.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(_learnt_from, "toxic int, own binary, other binary")
+    rows = rows.groupBy("doc_id", F.col("toxic").cast("int").alias("toxic")).agg(F.min("text").alias("text"))  # and so many rows
+    rows = rows.select("toxic", "text").mapInArrow(_learnt_from, "toxic int, own binary, other binary")
     number = lambda x: None if x is None else np.frombuffer(x, "<i4")
-    return fit([(1 if r.toxic else 0, number(r.own), number(r.other)) for r in rows.collect()])  # at most so many rows
+    return fit([(1 if r.toxic else 0, number(r.own), number(r.other)) for r in rows.collect()])
 
 
 def _scores(batches, model):
