@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
 Pieces come from array scans (scan.py), their ids from a bounded cache over pair
-merging, and every piece keeps its place, so decoding gives the text back.
+merging. Encoded rows keep where pieces end among their ids, and decoding goes by these
+offsets: a piece's ids are looked up as a whole, and any run of pieces is decoded by itself.
 
 Null texts are empty texts; empty texts have no ids; rows repeat as they came;
 columns besides doc_id and text are ignored. A text is taken whole: one longer
@@ -14,7 +15,8 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from struct import pack
+from itertools import pairwise
+from struct import pack, unpack
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +32,23 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 class MergeCache(dict):
-    """Piece to its ids as little-endian unsigned 32-bit integers. It starts anew when full, so memory is bounded."""
+    """What short keys are made into. It starts anew when full, so memory is bounded."""
 
-    def __init__(self, merge):
-        self.merge = merge
+    def __init__(self, make):
+        self.make = make
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.merge(piece)
-        ids = pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= CACHED_LENGTH:
+    def __missing__(self, key: str | bytes) -> bytes:
+        value = self.make(key)
+        if len(key) <= CACHED_LENGTH:
             if len(self) >= CACHED:
                 self.clear()
-            self[piece] = ids
-        return ids
+            self[key] = value
+        return value
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return pack(f"<{len(ids)}I", *ids)
 
 
 class ByteBPE:
@@ -53,10 +59,11 @@ class ByteBPE:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         core = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.known = MergeCache(lambda piece: core.encode_single_piece(piece.encode()))
+        self.known = MergeCache(lambda piece: as_bytes(core.encode_single_piece(piece.encode())))
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for piece, i in ranks.items():
             self.bytes_of[i] = piece
+        self.spelt = MergeCache(lambda ids: b"".join(map(self.bytes_of.__getitem__, unpack(f"<{len(ids) // 4}I", ids))))
 
     def pieces(self, texts: list[str]) -> list[list[bytes]]:
         """The ids of each piece of each text."""
@@ -69,7 +76,7 @@ class ByteBPE:
             a = b + 1
         return out
 
-    def _long(self, text: str) -> bytes:
+    def _long(self, text: str) -> list[bytes]:
         """A text in segments. Each ends before the last piece whose start no missing character can change; the next begins there."""
         out, at, size = [], 0, SEGMENT
         while at < len(text):
@@ -88,23 +95,34 @@ class ByteBPE:
             places = starts.tolist()
             out += map(self.known.__getitem__, [part[a:b] for a, b in zip(places, [*places[1:], cut], strict=True)])
             at, size = at + cut, SEGMENT
-        return b"".join(out)
+        return out
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def in_pieces(self, texts: list[str]) -> Iterator[list[bytes]]:
+        """The ids of each piece of each text, as little-endian unsigned 32-bit integers."""
         for run in scan.groups(texts, SEGMENT):
             if len(run) == 1 and len(run[0]) > SEGMENT:
                 yield self._long(run[0])
             else:
-                yield from map(b"".join, self.pieces(run))
+                yield from self.pieces(run)
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        return map(b"".join, self.in_pieces(texts))
 
     def offsets(self, text: str) -> list[tuple[int, int, int]]:
         """Per piece: where it starts and ends in the text (code points), and its number of ids."""
         _, starts, _ = scan.pieces(scan.byte_level(), [text])
         return [(a, b, len(ids) // 4) for a, b, ids in zip(starts[:-1].tolist(), starts[1:].tolist(), self.pieces([text])[0], strict=True)]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: bytes, ends: Iterable[int] | None = None) -> bytes:
+        """The bytes that ids stand for. ends: the number of ids up to the end of each piece; without them every id is looked up by itself."""
+        if ends is None:
+            return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.spell(ids[4 * a : 4 * b] for a, b in pairwise([0, *ends]))
+
+    def spell(self, pieces: Iterable[bytes]) -> bytes:
+        """The bytes of pieces that are given by their ids."""
+        return b"".join(map(self.spelt.__getitem__, pieces))
 
 
 @lru_cache(2)
@@ -122,32 +140,49 @@ def _digests(batches, path):
     bpe = encoder(path)
     for batch in batches:
         n, ids_sha, text_sha = [], [], []
-        for ids in bpe.encode(batch["text"].to_pylist()):
+        for pieces in bpe.in_pieces(batch["text"].to_pylist()):
+            ids = b"".join(pieces)
             n.append(len(ids) // 4)
             ids_sha.append(hashlib.sha256(ids).hexdigest())
-            text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+            text_sha.append(hashlib.sha256(bpe.spell(pieces)).hexdigest())
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]), pa.int32()))
+
+
 def _ids(batches, path, digests):
     bpe = encoder(path)
     for batch in batches:
-        found = list(bpe.encode(batch["text"].to_pylist()))
-        ids = [np.frombuffer(x, "<i4") for x in found]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int32)
-        columns = {c: batch[c] for c in batch.schema.names if c != "text"}
-        columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)))
-        if digests:
-            columns["n_tokens"] = pa.array([len(x) for x in ids], pa.int64())
-            columns["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string())
-            columns["decoded_sha256"] = pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in found], pa.string())
-        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        for first, run in _runs(batch["text"]):
+            ids, ends, ids_sha, text_sha = [], [], [], []
+            for pieces in bpe.in_pieces(run):
+                raw = b"".join(pieces)
+                ids.append(np.frombuffer(raw, "<i4"))
+                ends.append(np.cumsum(np.fromiter(map(len, pieces), np.int32, len(pieces)) // 4, dtype=np.int32))
+                if digests:
+                    ids_sha.append(hashlib.sha256(raw).hexdigest())
+                    text_sha.append(hashlib.sha256(bpe.spell(pieces)).hexdigest())
+            columns = {c: batch[c].slice(first, len(run)) for c in batch.schema.names if c != "text"} | {"ids": _lists(ids), "piece_ends": _lists(ends)}
+            if digests:
+                columns |= {"n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _runs(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Texts in runs of about a million code points, and the place of each run's first: what goes back to the JVM at once is bounded, too."""
+    at = 0
+    for run in scan.groups(texts.to_pylist(), SEGMENT):
+        yield at, run
+        at += len(run)
 
 
 def _texts(batches, path):
     bpe = encoder(path)
     for batch in batches:
-        texts = [bpe.decode(np.array(x or [], "<u4").tobytes()).decode("utf-8", "replace") for x in batch["ids"].to_pylist()]
+        texts = [bpe.decode(np.array(x or [], "<u4").tobytes(), e).decode("utf-8", "replace") for x, e in zip(batch["ids"].to_pylist(), batch["piece_ends"].to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
 
@@ -158,18 +193,19 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = (), digests: bool = False) -> DataFrame:
-    """doc_id, the columns in keep, and ids (array of int); with digests also n_tokens, ids_sha256 and decoded_sha256."""
+    """doc_id, the columns in keep, ids (array of int) and piece_ends (number of ids up to the end of each piece); with digests also n_tokens, ids_sha256 and decoded_sha256."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text_or_empty().alias("text"))
     kinds = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes if c != "text")
     more = ", n_tokens long, ids_sha256 string, decoded_sha256 string" * digests
-    return rows.mapInArrow(partial(_ids, path=path or vocabulary(), digests=digests), f"{kinds}, ids array<int>{more}")
+    return rows.mapInArrow(partial(_ids, path=path or vocabulary(), digests=digests), f"{kinds}, ids array<int>, piece_ends array<int>{more}")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and text from doc_id and ids."""
+    """doc_id and text from doc_id, ids and piece_ends; without the latter, or where it is null, id by id."""
     bounded_batches(encoded.sparkSession)
-    return encoded.select("doc_id", "ids").mapInArrow(partial(_texts, path=path or vocabulary()), "doc_id long, text string")
+    ends = F.col("piece_ends") if "piece_ends" in encoded.columns else F.lit(None).cast("array<int>").alias("piece_ends")
+    return encoded.select("doc_id", "ids", ends).mapInArrow(partial(_texts, path=path or vocabulary()), "doc_id long, text string")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

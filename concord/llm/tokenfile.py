@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scan
-from .bpe import MergeCache, vocabulary
+from .bpe import MergeCache, as_bytes, vocabulary
 from .common import bounded_batches, partitions, text_or_empty, written
 
 BLOCK, PAGE, COVER, END_ID = 128, 1 << 16, 0.9, 1
@@ -129,7 +129,7 @@ class WordBPE:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
         letters = [chr(b) if b in printable else chr(next(others)) for b in range(256)]
-        self.known = MergeCache(lambda piece: [t.id for t in model.tokenize("".join([letters[b] for b in piece.encode()]))])
+        self.known = MergeCache(lambda piece: as_bytes([t.id for t in model.tokenize("".join([letters[b] for b in piece.encode()]))]))
 
     @staticmethod
     def normal(text: str) -> str | None:

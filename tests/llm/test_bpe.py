@@ -70,5 +70,21 @@ def test_digests_and_round_trip(make):
     assert sorted(map(tuple, back.collect()), key=str) == sorted(((i, t or "") for i, t in rows), key=str)
 
 
+def test_rows_keep_their_offsets(make):
+    rows, ours = odd_rows(), bpe.encoder(bpe.vocabulary())
+    for r in bpe.encode(make(rows), digests=True).collect():
+        raw = np.array(r.ids, "<u4").tobytes()
+        assert (r.piece_ends[-1:] or [0]) == [len(r.ids)] == [r.n_tokens]
+        text = ours.decode(raw, r.piece_ends)
+        assert text == ours.decode(raw) and hashlib.sha256(text).hexdigest() == r.decoded_sha256
+        # Any run of pieces is decoded by itself.
+        cut = len(r.piece_ends) // 2
+        if cut:
+            first, last = r.piece_ends[cut - 1], r.piece_ends[-1]
+            assert ours.decode(raw[: 4 * first], r.piece_ends[:cut]) + ours.decode(raw[4 * first : 4 * last], [x - first for x in r.piece_ends[cut:]]) == text
+    without = bpe.encode(make(rows)).drop("piece_ends")
+    assert sorted(map(tuple, bpe.decode(without).collect()), key=str) == sorted(((i, t or "") for i, t in rows), key=str)
+
+
 def test_empty_table(make):
     assert bpe.digests(make([])).collect() == []
