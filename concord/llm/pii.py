@@ -1,12 +1,13 @@
 """Personal data by weak supervision.
 
-Four base kinds (email, ip, card, phone) are found by their fixed rules and always stay. Further
-candidates (secrets, social security numbers, names, local phone numbers, numbers shaped like cards) are put to labelers:
-a regular expression for the strict shape, a gazetteer, the context before the candidate, and a check of the characters.
-Each votes yes, no, or abstains. Expectation-maximisation over the counts of all vote patterns of the corpus (a table whose
-size the labelers bound, not the corpus) estimates each labeler's rates of yes and no and so a probability for each pattern;
-on these probabilities, weighted by the counts, a logistic span classifier is fitted over votes, kind, length and digits.
-A candidate that reaches THRESHOLD and overlaps no base span is added.
+Four base kinds (email, ip, card, phone) are found by their fixed rules and always stay. Further candidates (secrets, social security
+numbers, names, local phone numbers) are put to four labelers, each of which sees something the others don't: the
+layout of the candidate's own characters, a gazetteer (given names, names that secrets are assigned to and their issuers' prefixes, area codes and
+numbers that are never given out), the words before it without the name it is assigned to, and a check of the characters' distribution.
+Each votes yes, no, or abstains. Expectation-maximisation over the counts of all vote patterns of the corpus's candidates (a table whose size the
+labelers bound, not the corpus) estimates each labeler's rates of yes and no, each kind's share of true ones, and so a probability for each pattern;
+base spans are no evidence in it. On these probabilities, weighted by the counts, a logistic span classifier is fitted over votes, kind, length, digits,
+capitals, entropy and the characters around the span. A candidate that reaches THRESHOLD is added; none overlaps a base span.
 
 Two passes: the first writes a row for each document with its spans and candidates, the second reads only that.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, text_or_empty, written
 
 BASE = ("email", "ip", "card", "phone")
-MORE = ("secret", "ssn", "name", "local_phone", "number")
+MORE = ("secret", "ssn", "name", "local_phone")
 KINDS = BASE + MORE
 THRESHOLD, CONTEXT = 0.5, 40
 ROUNDS, STEPS = 100, 400
@@ -44,10 +45,19 @@ SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+] )(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 NAME = re.compile(r"\b(?:[Mm]y name is|[Ss]igned by|[Cc]ontact|Mr\.?|Mrs\.?|Ms\.?|Dr\.?) ([A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20}){0,2})")
 
-#: Given names, words that announce personal data, and words that speak against it.
-GIVEN = frozenset("james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah maria anna peter paul laura jean marie pierre hans klaus jose carmen juan ana luis".split())
-CUES = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_ -]?key|key|ssn|social security|tel|phone|call|fax|mobile|card|visa|name|mr|mrs|ms|dr|signed|contact)\b\W*$")
-AGAINST = re.compile(r"(?i)\b(?:isbn|order|invoice|version|commit|sha|md5|checksum|hash|figure|table|page|licen[cs]e)\b\W*$")
+#: Given names; names that secrets are assigned to, and that other long values are; issuers' prefixes; area codes that aren't given out; words that announce personal data, and that speak against it.
+GIVEN = frozenset(
+    "james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen christopher lisa daniel nancy matthew betty anthony sandra mark ashley donald emily steven kimberly paul andrew donna joshua michelle "
+    "kenneth carol kevin amanda brian melissa george deborah timothy stephanie ronald rebecca jason laura edward helen jeffrey sharon ryan cynthia jacob kathleen gary amy nicholas angela eric anna jonathan ruth peter maria jean marie pierre michel nathalie isabelle philippe sophie "
+    "hans klaus jürgen wolfgang ursula monika petra sabine jose josé carmen juan ana luis antonio manuel francisco dolores pilar josefa rosa".split()
+)
+SECRET_NAMES = frozenset("token secret password passwd pwd passphrase key apikey api_key api-key access_key secret_key private_key auth authorization bearer credential credentials clave contraseña passwort schlüssel motdepasse".split())
+OTHER_NAMES = frozenset("sha sha1 sha256 md5 hash checksum commit revision rev etag digest uuid guid id build version nonce integrity file path url".split())
+PREFIXES = ("ghp_", "gho_", "ghs_", "github_pat_", "sk-", "sk_live_", "pk_live_", "AKIA", "ASIA", "AIza", "xoxb-", "xoxp-", "glpat-", "eyJ")
+NO_AREA = frozenset("000 100 110 111 200 300 400 500 555 600 700 900 911 999".split())
+CUES = re.compile(r"(?i)\b(?:login|log in|secrets?|credentials?|account|ssn|social|security|tel|phone|call|dial|fax|mobile|reach|name is|signed|contact|regards|sincerely|from|to|dear|author|employee|patient|customer)\b[^\w]*(?:\w+\W+){0,2}$")
+AGAINST = re.compile(r"(?i)\b(?:isbn|order|invoice|version|commit|sha|md5|checksum|hash|figure|table|page|licen[cs]e|part|model|serial|item|street|saint|avenue|lake|mount)\b[^\w]*(?:\w+\W+){0,1}$")
+ASSIGNED = re.compile(r"([\w-]{1,30})[\"'`]?[ \t]*(?:=>|:=|[=:])[ \t]*[\"'`]?$|\b(bearer|token|key|password)[ \t]+[\"'`]?$", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -95,56 +105,91 @@ def _entropy(s: str) -> float:
 LABELERS = ("shape", "gazetteer", "context", "check")
 
 
+TURN = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+
+#: Prior counts of (no, yes, abstain) for false and true candidates: that labelers are better than chance, and a gazetteer's entry the best of them.
+PRIOR = np.array([[[3, 1, 2], [6, 0.5, 4], [3, 1, 4], [4, 2, 1]], [[1, 3, 2], [0.2, 6, 4], [1, 3, 4], [1, 5, 1]]])
+
+
+def _assigned(before: str) -> tuple[str, str]:
+    """The name that what follows is assigned to, lower-cased ("" if none), and what stands before it."""
+    m = ASSIGNED.search(before)
+    return ((m[1] or m[2]).lower().rsplit(".", 1)[-1], before[: m.start()]) if m else ("", before)
+
+
+def _context(before: str) -> int:
+    return 0 if AGAINST.search(before) else 1 if CUES.search(before) else 2
+
+
 def votes(kind: int, text: str, start: int, end: int) -> tuple[int, int, int, int]:
     name, own, before = KINDS[kind], text[start:end], text[max(0, start - CONTEXT) : start]
-    digits = _digits(own)
-    shape, gazetteer, check = 2, 2, 2
-    context = 1 if CUES.search(before) else 0 if AGAINST.search(before) else 2
+    shape = gazetteer = check = 2
     if name == "secret":
-        shape = 1 if re.fullmatch(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|(?:ghp_|sk-|AKIA)[A-Za-z0-9]{16,})", own) else 0
-        check = int(bool(digits) and len(digits) < len(own) and _entropy(own) >= 3)
-        gazetteer = 1 if re.search(r"(?i)(?:token|secret|key|password)", before) else 2
+        known, before = _assigned(before)
+        joined = [x for x in re.split(r"[-_/+.]", own.rstrip("=")) if x]
+        shape = 0 if len(joined) > 2 and all(x.isalpha() or x.isdigit() for x in joined) else 1 if len(joined) == 1 and (re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", own) or re.search("[a-z]", own) and re.search("[A-Z]", own)) else 2
+        gazetteer = 1 if own.startswith(PREFIXES) or known in SECRET_NAMES or known.rsplit("_", 1)[-1] in SECRET_NAMES else 2
+        check = int(_entropy(own) >= 2.8 and len(TURN.findall(own)) >= 3)  # random characters turn from letters to digits and back often
     elif name == "ssn":
-        shape = int(own[:3] not in ("000", "666") and own[0] != "9" and own[4:6] != "00" and own[7:] != "0000")
+        shape = 0 if len(set(_digits(own))) == 1 or _digits(own) in ("123456789", "987654321") else 2
+        gazetteer = int(own[:3] not in ("000", "666") and own[0] != "9" and own[4:6] != "00" and own[7:] != "0000")
+        check = 1 if start == 0 or not text[start - 1].isalpha() else 0
     elif name == "name":
         parts = own.lower().split()
         gazetteer = 1 if parts[0] in GIVEN else 2
-        shape = int(len(parts) >= 2)
-    elif name == "local_phone":
-        shape = int(own[0] == "(" or own.count("-") == 2)
-        check = int(digits[0] not in "01")
-    elif name == "number":
-        shape, check = 2, int(luhn(digits))
-        gazetteer = 1 if digits[0] in "3456" else 0
+        shape = 1 if len(parts) >= 2 else 2
+        check = int(all(re.search("[aeiouy]", p) and not re.search("[^aeiouy]{5}", p) for p in parts))
     else:
-        shape = 1
-        check = int(len(own) < 100)
-        gazetteer = 1 if name == "email" and own.rsplit(".", 1)[-1].lower() in ("com", "org", "net", "edu", "gov", "de", "fr", "es", "uk") else 2
-    return shape, gazetteer, context, check
+        digits = _digits(own)
+        shape = 1 if own[0] == "(" or len(set(re.findall(r"[ .-]", own))) == 1 else 0
+        gazetteer = 0 if digits[:3] in NO_AREA or digits[0] in "01" else 2
+        check = int(digits[3] not in "01" and len(set(digits)) > 2)
+    return shape, gazetteer, _context(before), check
+
+
+#: Sizes of what a pattern is made of, after the kind: votes, and bands of length, digits, capitals, entropy, and the characters before and after.
+BANDS = (3, 3, 3, 3, 5, 4, 3, 4, 4, 3)
 
 
 def pattern(kind: int, text: str, start: int, end: int) -> int:
-    """Kind, votes, length and share of digits as one number below 9 * 81 * 5 * 4."""
+    """Kind, votes and bands as one number below len(KINDS) times the product of BANDS."""
+    own, n = text[start:end], end - start
+    before, after = text[start - 1 : start], text[end : end + 1]
+    bands = (
+        *votes(kind, text, start, end),
+        min(4, max(0, n.bit_length() - 3)),
+        min(3, 4 * len(_digits(own)) // n),
+        min(2, 3 * sum(c.isupper() for c in own) // n),
+        min(3, max(0, int(_entropy(own)) - 1)),
+        0 if before in ("", " ", "\n", "\t") else 1 if before in "=:" else 2 if before in "\"'`(<" else 3,
+        0 if after in ("", " ", "\n", "\t") else 1 if after in "\"'`)>,.;" else 2,
+    )
     code = kind
-    for v in votes(kind, text, start, end):
-        code = code * 3 + v
-    n = end - start
-    share = len(_digits(text[start:end])) / n
-    return (code * 5 + min(4, n.bit_length() - 2 if n >= 4 else 0)) * 4 + min(3, int(share * 4))
+    for band, size in zip(bands, BANDS, strict=True):
+        code = code * size + band
+    return code
+
+
+def split(code: int) -> tuple[int, list[int]]:
+    """Kind and bands of a pattern; the first bands are the votes."""
+    out = []
+    for size in reversed(BANDS):
+        out.append(code % size)
+        code //= size
+    return code, out[::-1]
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(kind's place in KINDS, start, end) of what isn't base and overlaps no base span."""
+    """(kind's place in KINDS, start, end) of what isn't base and overlaps no base span. What is assigned to the name of a digest, a revision or an id is none."""
     found = []
     for m in SECRET.finditer(text):
         start = m.start() + m.group().rstrip("=").rfind("=") + 1  # without the name it is assigned to
         own = text[start : m.end()]
-        if len(own) >= 16 and any("0" <= c <= "9" for c in own) and not own.isdigit():
+        if _assigned(text[max(0, start - CONTEXT) : start])[0] not in OTHER_NAMES and len(own) >= 16 and (any("0" <= c <= "9" for c in own) or own.startswith(PREFIXES)) and not own.isdigit():
             found.append((4, start, m.end()))
     found += [(5, m.start(), m.end()) for m in SSN.finditer(text)]
     found += [(6, m.start(1), m.end(1)) for m in NAME.finditer(text)]
     found += [(7, m.start(), m.end()) for m in LOCAL_PHONE.finditer(text)]
-    found += [(8, m.start(), m.end()) for m in CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m.group())) <= 19 and not luhn(d)]
     taken = sorted([(a, b) for _, a, b in base])
     out = []
     starts = [a for a, _ in taken]
@@ -168,56 +213,45 @@ def _found(batches):
         base_rows, more_rows = [], []
         for text in batch["text"].to_pylist():
             base = base_spans(text)
-            span = lambda k, a, b, t=text: {"kind": k, "start": a, "end": b, "pattern": pattern(k, t, a, b)}
-            base_rows.append([span(*x) for x in sorted(base)])
-            more_rows.append([span(*x) for x in candidates(text, base)])
+            base_rows.append([{"kind": k, "start": a, "end": b} for k, a, b in sorted(base)])
+            more_rows.append([{"kind": k, "start": a, "end": b, "pattern": pattern(k, text, a, b)} for k, a, b in candidates(text, base)])
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(base_rows, _SPAN_TYPE), pa.array(more_rows, _SPAN_TYPE)], ["doc_id", "base", "more"])
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, base and more: spans with their vote patterns, as a table in the shared folder."""
+    """doc_id, base and more: spans, the latter with their patterns, as a table in the shared folder."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return written(rows.mapInArrow(_found, f"doc_id long, base {SPANS}, more {SPANS}"), "pii-spans")
 
 
-def _split(code: int) -> tuple[int, list[int], int, int]:
-    digits, code = code % 4, code // 4
-    length, code = code % 5, code // 5
-    v = []
-    for _ in LABELERS:
-        v.append(code % 3)
-        code //= 3
-    return code, v[::-1], length, digits
-
-
 def reliabilities(counts: dict[int, int], rounds: int = ROUNDS) -> tuple[dict[int, float], np.ndarray]:
-    """Probability of each pattern, and each labeler's rates of (no, yes, abstain) given false and true: classes x labelers x 3."""
+    """Probability of each pattern, and each labeler's rates of (no, yes, abstain): classes (false, true) x kinds x labelers x 3. A labeler is as good as it is with a kind, and each kind has its own share of true ones."""
     codes = sorted(counts)
     n = np.array([counts[c] for c in codes], float)
-    v = np.array([_split(c)[1] for c in codes], int).reshape(len(codes), len(LABELERS))
+    told = [split(c) for c in codes]
+    kind = np.array([k for k, _ in told], int)
+    v = np.array([x[: len(LABELERS)] for _, x in told], int).reshape(len(codes), len(LABELERS))
     one = np.eye(3)[v]  # patterns x labelers x 3
-    yes, no = (v == 1).sum(1), (v == 0).sum(1)
-    p = (yes + 0.5) / (yes + no + 1)
-    rates = np.zeros((2, len(LABELERS), 3))
+    rates = np.repeat((PRIOR / PRIOR.sum(axis=2, keepdims=True))[:, None], len(KINDS), axis=1)
+    prior, p = np.full(len(codes), 0.5), np.full(len(codes), -1.0)
     for _ in range(rounds):
-        prior = np.array([((1 - p) * n).sum() + 1, (p * n).sum() + 1])
-        prior /= prior.sum()
-        for k, weight in enumerate(((1 - p) * n, p * n)):
-            # The prior counts say that labelers are better than chance.
-            rates[k] = np.einsum("i,ijk->jk", weight, one) + (np.array([4.0, 1.0, 3.0]) if k == 0 else np.array([1.0, 4.0, 3.0]))
-            rates[k] /= rates[k].sum(axis=1, keepdims=True)
-        logs = np.log(prior)[:, None] + np.einsum("ijk,cjk->ci", one, np.log(rates))
+        logs = np.log([1 - prior, prior]) + np.einsum("ijk,cijk->ci", one, np.log(rates)[:, kind])
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
-        if len(p) and np.abs(new - p).max() < 1e-9:
+        if not len(p) or np.abs(new - p).max() < 1e-9:
             break
         p = new
-    return dict(zip(codes, p.tolist(), strict=True)), rates
+        prior = ((np.bincount(kind, p * n, len(KINDS)) + 1) / (np.bincount(kind, n, len(KINDS)) + 2))[kind]
+        for c, weight in enumerate(((1 - p) * n, p * n)):
+            for k in range(len(KINDS)):
+                rates[c, k] = np.einsum("i,ijk->jk", weight * (kind == k), one) + PRIOR[c]
+        rates /= rates.sum(axis=3, keepdims=True)
+    return dict(zip(codes, np.maximum(p, 0.0).tolist(), strict=True)), rates
 
 
 def _features(code: int) -> np.ndarray:
-    kind, v, length, digits = _split(code)
-    return np.concatenate([[1.0], np.eye(len(KINDS))[kind], np.eye(3)[v].ravel(), np.eye(5)[length], np.eye(4)[digits]])
+    kind, bands = split(code)
+    return np.concatenate([[1.0], np.eye(len(KINDS))[kind], *(np.eye(size)[band] for band, size in zip(bands, BANDS, strict=True))])
 
 
 def classifier(counts: dict[int, int], truth: dict[int, float], steps: int = STEPS) -> dict[int, float]:
@@ -231,8 +265,8 @@ def classifier(counts: dict[int, int], truth: dict[int, float], steps: int = STE
     y, w = np.array([truth[c] for c in codes]), np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-x @ w))
-        g = x.T @ (weight * (p - y)) + 1e-4 * w
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w))
+        g = x.T @ (weight * (p - y)) + 1e-3 * w
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -241,8 +275,8 @@ def classifier(counts: dict[int, int], truth: dict[int, float], steps: int = STE
 
 
 def fit(found: DataFrame) -> dict[int, float]:
-    """The score of each vote pattern of the corpus."""
-    every = found.select(F.explode(F.concat("base", "more")).alias("s")).groupBy("s.pattern").agg(F.count(F.lit(1)).alias("n"))
+    """The score of each pattern of the corpus's candidates."""
+    every = found.select(F.explode("more").alias("s")).groupBy("s.pattern").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["pattern"]: r["n"] for r in every.collect()}  # at most the number of patterns
     return classifier(counts, reliabilities(counts)[0])
 
@@ -250,7 +284,7 @@ def fit(found: DataFrame) -> dict[int, float]:
 def _told(batches, scores, threshold):
     for batch in batches:
         n: list[list[int]] = [[] for _ in BASE]
-        sha, every = [], []
+        sha, every, more_n = [], [], []
         for base, more in zip(batch["base"].to_pylist(), batch["more"].to_pylist(), strict=True):
             own = [(s["kind"], s["start"], s["end"]) for s in base]
             added = [(s["kind"], s["start"], s["end"]) for s in more if scores.get(s["pattern"], 0.0) >= threshold]
@@ -258,14 +292,16 @@ def _told(batches, scores, threshold):
                 column.append(sum(s[0] == k for s in own))
             sha.append(hashlib.sha256(_joined(own).encode()).hexdigest())
             every.append(_joined(own + added))
-        names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, pa.int64()) for c in n), pa.array(sha, pa.string()), pa.array(every, pa.string())], names)
+            more_n.append(len(added))
+        names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_added", "private"]
+        private = pa.array([bool(x) for x in every], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, pa.int64()) for c in n), pa.array(sha, pa.string()), pa.array(every, pa.string()), pa.array(more_n, pa.int64()), private], names)
 
 
 def private(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added (spans that the method adds), private (there is any span)."""
     found = spans(docs)
-    schema = f"doc_id long, {', '.join(f'n_{k} long' for k in BASE)}, base_sha256 string, spans string"
+    schema = f"doc_id long, {', '.join(f'n_{k} long' for k in BASE)}, base_sha256 string, spans string, n_added long, private boolean"
     return found.mapInArrow(partial(_told, scores=fit(found), threshold=threshold), schema)
 
 
