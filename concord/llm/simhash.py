@@ -2,9 +2,9 @@
 
 Fingerprints that differ in at most two bits differ in at most two of their eight
 bytes, so they share at least SHARED = 6 bytes at equal positions. With the eight
-positions paired into four blocks, at least two blocks are shared whole: postings
+positions paired into four blocks, fingerprints that share six share two blocks whole: postings
 are kept for each two blocks (four positional bytes), and whatever meets in such a
-posting list has its shared positional bytes tallied, must reach SHARED, and is then
+posting list has its shared positional bytes tallied, must reach SHARED (candidates()), and is then
 verified by the number of differing bits.
 
 Only distinct fingerprints are posted, so copies never meet in pairs. A posting list
@@ -88,20 +88,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, most: int = LIST) -> DataFrame:
-    """src > dst: links between fingerprints (column fp, distinct) that join exactly the fingerprints whose bits differ in at most BITS places."""
+def postings(distinct: DataFrame) -> DataFrame:
+    """list, value, size, fp: the lists of several fingerprints (column fp, distinct), as a table in the shared folder."""
     posting = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in MASKS))).alias("list", "value"))
     sizes = posting.groupBy("list", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    posting = written(posting.join(sizes, ["list", "value"]).select("list", "value", "size", "fp"), "simhash-postings")
+    return written(posting.join(sizes, ["list", "value"]).select("list", "value", "size", "fp"), "simhash-postings")
+
+
+def candidates(posting: DataFrame, most: int = LIST, shared: int = SHARED) -> DataFrame:
+    """src > dst: pairs that meet in a list of at most so many and share enough positional bytes; a pair that meets in several lists comes from each."""
     short = posting.where(F.col("size") <= most)
     a, b = short.select("list", "value", F.col("fp").alias("src")), short.select("list", "value", F.col("fp").alias("dst"))
-    paired = (
-        a.join(b, ["list", "value"])
-        .where(F.col("src") > F.col("dst"))
-        .where(shared_bytes(F.col("src"), F.col("dst")) >= SHARED)
-        .where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= BITS)
-        .select("src", "dst")
-    )
+    met = a.join(b, ["list", "value"]).where(F.col("src") > F.col("dst"))
+    return met.where(shared_bytes(F.col("src"), F.col("dst")) >= shared).select("src", "dst")
+
+
+def links(distinct: DataFrame, most: int = LIST) -> DataFrame:
+    """src > dst: links between fingerprints (column fp, distinct) that join exactly the fingerprints whose bits differ in at most BITS places."""
+    posting = postings(distinct)
+    paired = candidates(posting, most).where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= BITS)
     free = F.array(*(F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1)) for m in MASKS))
     near = posting.where(F.col("size") > most).select("list", "value", "fp", F.explode(F.get(free, F.col("list"))).alias("flip")).select("list", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near"))
     least = near.groupBy("list", "near").agg(F.min("fp").alias("dst"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")

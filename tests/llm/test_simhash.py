@@ -85,6 +85,24 @@ def test_long_lists_and_chains(spark, monkeypatch):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_candidates_are_the_pairs_that_share_six_bytes(spark):
+    rng = random.Random(8)
+    prints = {rng.getrandbits(64) for _ in range(150)}
+    for p in list(prints)[:60]:
+        for _ in range(3):
+            for i in rng.sample(range(8), rng.randint(1, 4)):
+                p ^= rng.randint(1, 255) << 8 * i
+            prints.add(p)
+    tally = lambda a, b: sum(a >> 8 * i & 255 == b >> 8 * i & 255 for i in range(8))
+    pairs = {frozenset((a, b)): tally(a, b) for a in prints for b in prints if a < b}
+    frame = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp long")
+    index = simhash.postings(frame)
+    found = lambda shared: {frozenset((r.src & (2**64 - 1), r.dst & (2**64 - 1))) for r in simhash.candidates(index, 1000, shared).collect()}
+    assert found(6) == {p for p, n in pairs.items() if n >= 6}
+    # Without the count filter more meets.
+    assert found(6) < found(0) and {pairs[p] for p in found(0) - found(6)} <= {4, 5}
+
+
 def test_shared_bytes(spark):
     frame = spark.createDataFrame([(0, 0), (0, 255), (1 << 40, 3 << 56), (-1, 0)], "a long, b long")
     assert [r[0] for r in frame.select(simhash.shared_bytes(frame.a, frame.b)).collect()] == [8, 7, 6, 0]
