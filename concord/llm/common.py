@@ -46,14 +46,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at the end of the block, the tables that were written to the shared folder within it.
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, at the end of the block, the tables that were written to the shared folder within it: those still in the list it gives.
 
     For callers that have written their result by then: a frame that is read later must not depend on them.
     """
     _OPEN.append([])
     try:
-        yield
+        yield _OPEN[-1]
     finally:
         for path in _OPEN.pop():
             where = spark._jvm.org.apache.hadoop.fs.Path(path)

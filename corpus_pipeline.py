@@ -1,6 +1,8 @@
 """A training corpus from raw documents, in stages that are each written as Parquet and read again.
 
 Every stage but the last returns the columns of documents. Documents without doc_id count as documents of their own, and are dropped as such if they are copies.
+Null texts are empty ones: they score as the classifier's prior, have one line, share fingerprint zero (so one row of them stays), and are never contaminated; after
+line dedup they are written as empty texts. Rows that are equal in all columns are copies. Empty tables stay empty in every stage. Of other columns only those of documents stay.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm import bpe, decontaminate, linededup, simhash, toxicity
-from concord.llm.common import DOCUMENT_COLUMNS, written
+from concord.llm.common import DOCUMENT_COLUMNS, scratch, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage wrote on its way is deleted once its result is written, and so is that once the next one's is."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as kept:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            before, path = path, kept.pop()
+            kept += [before] * (before is not None)
     return docs
