@@ -1,4 +1,8 @@
-"""Document filters: a SQL predicate, a Column, or a query document."""
+"""Document filters: a SQL predicate, a Column, or a query document.
+
+Query documents know $eq $ne $gt $gte $lt $lte $in $nin $exists $not $regex (of Java) $mod $size $all $elemMatch $type, $and $or $nor, and $expr.
+Columns are typed, so a field that is missing and one that is null are the same here.
+"""
 
 from __future__ import annotations
 
@@ -33,8 +37,47 @@ def _never_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+#: Type names of query documents, and the types of columns they are.
+TYPES = {
+    "double": ("double", "float"), "string": ("string",), "object": ("struct", "map"), "array": ("array",), "binData": ("binary",), "bool": ("boolean",), "date": ("timestamp", "timestamp_ntz", "date"),
+    "int": ("int", "smallint", "tinyint"), "long": ("bigint",), "decimal": ("decimal",), "number": ("double", "float", "int", "smallint", "tinyint", "bigint", "decimal"),
+}
+
+
+def _of_type(c: Column, names: str | list) -> Column:
+    """Whether a value has one of the types; null is of type null. A column has one type, so this is settled before rows are read."""
+    kind, out = F.regexp_extract(F.typeof(c), r"^[a-z_]+", 0), F.lit(False)
+    for name in [names] if isinstance(names, str) else names:
+        if name == "null":
+            out = out | c.isNull()
+        elif name in TYPES:
+            out = out | (c.isNotNull() & kind.isin(*TYPES[name]))
+        else:
+            raise ValueError(f"unknown type {name}")
+    return out
+
+
+def _element(value: dict, item: Column) -> Column:
+    """Whether an element of an array passes: by operators on itself, or by a query on its fields."""
+    if value and all(k.startswith("$") for k in value):
+        return _all([_one(item, o, v) for o, v in value.items()])
+    return _all([_all([_one(item.getField(k), o, x) for o, x in v.items()]) if isinstance(v, dict) else _one(item.getField(k), "$eq", v) for k, v in value.items()])
+
+
 def _one(c: Column, op: str, value) -> Column:
     """A comparison. A missing field is null here: it equals null, and differs from all else."""
+    if op == "$regex":
+        return _never_null(c.rlike(value))
+    if op == "$mod":
+        return _never_null(c % F.lit(value[0]) == F.lit(value[1]))
+    if op == "$size":
+        return _never_null(F.size(c) == F.lit(value))
+    if op == "$all":
+        return _all([_never_null(F.array_contains(c, F.lit(v))) for v in value])
+    if op == "$elemMatch":
+        return _never_null(F.exists(c, lambda item: _element(value, item)))
+    if op == "$type":
+        return _of_type(c, value)
     if op == "$eq":
         return c.eqNullSafe(F.lit(value))
     if op == "$ne":
@@ -52,6 +95,31 @@ def _one(c: Column, op: str, value) -> Column:
     return _never_null(ordered[op])
 
 
+def _value(x) -> Column:
+    """An operand of $expr: a field's path, an expression, or a value."""
+    if isinstance(x, str) and x.startswith("$"):
+        return _field(x[1:])
+    return _expression(x) if isinstance(x, dict) else F.lit(x)
+
+
+def _expression(value: dict) -> Column:
+    """A comparison of fields with each other, and their combinations. Null is less than all else and equals null."""
+    ((op, parts),) = value.items()
+    if op in ("$and", "$or", "$not"):
+        each = [_expression(p) for p in (parts if isinstance(parts, list) else [parts])]
+        return _all(each) if op == "$and" else _any(each) if op == "$or" else ~each[0]
+    if op in ("$add", "$subtract", "$multiply"):
+        first, *rest = map(_value, parts)
+        return reduce({"$add": lambda a, b: a + b, "$subtract": lambda a, b: a - b, "$multiply": lambda a, b: a * b}[op], rest, first)
+    a, b = map(_value, parts)
+    same = a.eqNullSafe(b)
+    less = F.coalesce(a < b, a.isNull() & b.isNotNull())
+    found = {"$eq": same, "$ne": ~same, "$lt": less, "$lte": less | same, "$gt": ~(less | same), "$gte": ~less}
+    if op not in found:
+        raise ValueError(f"unknown expression {op}")
+    return found[op]
+
+
 def compiled(query: dict) -> Column:
     """A query document as a condition that is never null."""
     parts = []
@@ -59,6 +127,8 @@ def compiled(query: dict) -> Column:
         if name in ("$and", "$or", "$nor"):
             each = [compiled(q) for q in value]
             parts.append(_all(each) if name == "$and" else _any(each) if name == "$or" else ~_any(each))
+        elif name == "$expr":
+            parts.append(_expression(value))
         elif name.startswith("$"):
             raise ValueError(f"unknown operator {name}")
         elif isinstance(value, dict) and value and all(k.startswith("$") for k in value):

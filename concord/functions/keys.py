@@ -41,6 +41,50 @@ def key_text(df: DataFrame, keys: Sequence[str]) -> Column:
     return F.concat(*(canonical.sorted_(*path(df.schema, k)) if not isinstance(path(df.schema, k)[1], T.NullType) else F.lit("z;") for k in keys))
 
 
+#: Tags of the types whose values can be read back from a canonical text, and how.
+_READ = {
+    "i": lambda x, kind: x.try_cast(kind), "l": lambda x, kind: x.try_cast(kind), "n": lambda x, kind: x.try_cast(kind), "b": lambda x, kind: x.try_cast(kind),
+    "t": lambda x, kind: F.timestamp_millis(x.try_cast("bigint")).cast(kind), "x": lambda x, kind: F.unhex(x),
+}
+
+
+def _tag(kind: T.DataType) -> str | None:
+    tag = "n" if isinstance(kind, T.DecimalType) else canonical.ATOMS.get(type(kind), ("",))[0]
+    return tag if tag in (*_READ, "s") else None
+
+
+def raw(text: Column, schema: T.StructType, keys: Sequence[str]) -> tuple[list[Column], Column] | None:
+    """The key fields' own values, from a key text, and whether the text is of their types; None if some field's type can't be read back.
+
+    So a recheck finds documents by plain columns, which file statistics know, before anything is encoded.
+    """
+    values, fits, rest = [], F.lit(True), text
+    for k in keys:
+        _, kind = path(schema, k)
+        tag = None if isinstance(kind, T.NullType) or "." in k else _tag(kind)
+        if tag is None:
+            return None
+        null = rest.startswith("z;")
+        fits = fits & (null | rest.startswith(tag))
+        if tag == "s":
+            n = F.substring_index(rest.substr(F.lit(2), F.length(rest)), ":", 1)
+            value, size = rest.substr(F.length(n) + 3, n.try_cast("int")), F.length(n) + n.try_cast("int") + 3
+        else:
+            own = F.substring_index(rest, ";", 1)
+            value, size = _READ[tag](own.substr(F.lit(2), F.length(own)), kind), F.length(own) + 1
+        values.append(F.when(~null, value.cast(kind)))
+        rest = rest.substr(F.when(null, F.lit(3)).otherwise(size + 1), F.length(rest))
+    return values, fits
+
+
+def text_of_plain(value: Column, schema: T.StructType, key: str) -> Column:
+    """The key text of an id that a change feed gives as plain text, by the type of the table's key."""
+    _, kind = path(schema, key)
+    if isinstance(kind, T.NullType):
+        return F.lit("z;")
+    return canonical.sorted_(value.try_cast(kind) if not isinstance(kind, T.StringType) else value, kind)
+
+
 def occurrence(key: str, order: Sequence[Column | str]) -> Column:
     """Place among documents of one key, from 1, in an order of the documents themselves: the same on both sides whatever order they arrive in."""
     return F.row_number().over(Window.partitionBy(key).orderBy(*order))

@@ -136,6 +136,10 @@ class Options:
     namespaces: dict[str, str] = field(default_factory=dict)
     strict_namespaces: bool = False
     partition_bytes: int = 400 << 20
+    ranges: int = 64  # of one table at most; each is a job of its own, and what a run that was cut off repeats
+    workers: int = 10
+    pause_seconds: float = 1.0
+    feed_files: int = 100  # of a change feed, that one batch takes in at most
     recheck_ids: int = 10_000
     recheck_id_bytes: int = 1 << 20
     src_ddl: DdlPolicy = DdlPolicy.FAIL

@@ -11,7 +11,7 @@ it leaves over differs; the documents themselves are fetched for these keys alon
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,6 +58,28 @@ def restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select("key").distinct(), "key", "left_semi")
 
 
+def restricted_rows(df: DataFrame, ids: DataFrame, key: Sequence[str]) -> DataFrame | None:
+    """The rows of a table whose key is in ids (column key: key texts), found by their plain key columns before anything is encoded.
+
+    The least and greatest values asked for reach the scan, so files without them aren't read. None if the key's types don't allow it.
+    """
+    read = keys.raw(F.col("key"), df.schema, key)
+    if read is None:
+        return None
+    values, fits = read
+    names = [f"_raw{i}" for i in range(len(key))]
+    wanted = ids.where(fits).select(*(v.alias(n) for v, n in zip(values, names, strict=True))).distinct()
+    ends = wanted.agg(*(f(n).alias(f"{w}{n}") for n in names for w, f in (("lo", F.min), ("hi", F.max))), *(F.count_if(F.col(n).isNull()).alias(f"z{n}") for n in names)).first()
+    for k, n in zip(key, names, strict=True):
+        c, lo, hi = F.col(f"`{k}`"), ends[f"lo{n}"], ends[f"hi{n}"]
+        inside = F.lit(False) if lo is None else c.between(F.lit(lo), F.lit(hi))
+        df = df.where(inside | c.isNull() if ends[f"z{n}"] else inside)
+    met = F.lit(True)
+    for k, n in zip(key, names, strict=True):
+        met = met & F.col(f"`{k}`").eqNullSafe(F.col(n))
+    return df.join(wanted, met, "left_semi")
+
+
 def _digest(method: Method) -> tuple[Column, Column]:
     """Two hashes of what the method holds equal."""
     text = F.col("sorted" if method is Method.IGNORE_ORDER else "ordered")
@@ -101,15 +123,20 @@ def _rows_of_pair(method: Method) -> Column:
     return F.concat(no_src, no_dst, differs)
 
 
-def compare(src: DataFrame, dst: DataFrame, method: str | Method = Method.IGNORE_ORDER, *, natural: bool = False, ids: DataFrame | None = None) -> DataFrame:
+def compare(
+    src: DataFrame, dst: DataFrame, method: str | Method = Method.IGNORE_ORDER, *, natural: bool = False, ids: DataFrame | None = None, settle: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """id, field, details, cluster, data_size: a row for each top-level field that differs, or for a document that one side lacks.
 
     src, dst: documents. natural: documents only the destination has are not looked for. ids: only these keys.
+    settle: writes what differs (key, two digests) and gives it back, so that it is found once only.
     """
     method = Method.of(method)
     if ids is not None:
         src, dst = restricted(src, ids), restricted(dst, ids)
     found = differing(src, dst, method, natural)
+    if settle is not None:
+        found = settle(found)
     size = F.greatest(F.coalesce("s.size", F.lit(0)), F.coalesce("d.size", F.lit(0))).alias("data_size")
     one = found.where("s is null or d is null").select(
         F.col("key").alias("id"), F.lit("").alias("field"), F.lit(MISSING).alias("details"), F.when(F.col("s").isNull(), SRC).otherwise(DST).alias("cluster"), size
@@ -133,16 +160,29 @@ def _with_fields(pair: DataFrame, docs: DataFrame, side: str, method: Method) ->
     return pair.join(once, (F.col("key") == F.col("_key")) & (F.col(f"{side}.a") == F.col("_a")) & (F.col(f"{side}.b") == F.col("_b"))).drop("_key", "_a", "_b")
 
 
-def compare_columns(src: DataFrame, dst: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, *, natural: bool = False, filter: str | dict | Column | None = None) -> DataFrame:
-    """The same rows for two tables of one schema with unique keys, without canonical texts: key columns, field, details, cluster.
+def compare_columns(src: DataFrame, dst: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, *, natural: bool = False, filter: str | dict | Column | None = None, unique: bool = False) -> DataFrame:
+    """The same rows for two tables of one schema, without canonical texts: key columns, field, details, cluster.
 
-    Only the compared columns are read. Equal rows leave the plan right after the join, before anything is exploded.
+    Only the compared columns are read. Equal rows leave the plan right after the join, before anything is exploded. Null keys meet each other.
+    A key that repeats on a side is an error (compare() pairs such documents); unique says that none does, which saves looking.
     """
     columns = [c for c in (columns or src.columns) if c not in key]
     if filter is not None:
         src, dst = src.where(filters.condition(filter)), dst.where(filters.condition(filter))
-    pack = lambda df, name: df.select(*key, F.struct(*columns).alias(name))
-    met = pack(src, "_s").join(pack(dst, "_d"), list(key), "left_outer" if natural else "full_outer")
+    # A key field is joined as its value, null made the type's zero, and whether it was null: the window that looks for repeats
+    # and the join then share one exchange and one sort.
+    zero = {k: F.lit("" if src.schema[k].dataType.typeName() == "string" else 0 if "timestamp" not in (t := src.schema[k].dataType.simpleString()) and t != "date" else "1970-01-01").cast(src.schema[k].dataType) for k in key}
+    names = [n for i in range(len(key)) for n in (f"_k{i}", f"_n{i}")]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        own = [c for i, k in enumerate(key) for c in (F.coalesce(F.col(k), zero[k]).alias(f"_k{i}"), F.col(k).isNull().alias(f"_n{i}"))]
+        made = df.select(*own, F.struct(*columns).alias(name))
+        if unique:
+            return made
+        n = F.count(F.lit(1)).over(Window.partitionBy(*names))
+        return made.withColumn(name, F.when(n == 1, F.col(name)).otherwise(F.raise_error(F.lit(f"a key ({', '.join(key)}) repeats")).cast(made.schema[name].dataType)))
+
+    met = side(src, "_s").join(side(dst, "_d"), names, "left_outer" if natural else "full_outer")
     differs = lambda c: ~F.col("_s").getField(c).eqNullSafe(F.col("_d").getField(c))
     some = F.col("_s").isNull() | F.col("_d").isNull()
     for c in columns:
@@ -150,7 +190,8 @@ def compare_columns(src: DataFrame, dst: DataFrame, key: Sequence[str], columns:
     row = lambda field, details, cluster: F.struct(F.lit(field).alias("field"), F.lit(details).alias("details"), F.lit(cluster).alias("cluster"))
     rows = F.when(F.col("_s").isNull(), F.array(row("", MISSING, SRC))).when(F.col("_d").isNull(), F.array(row("", MISSING, DST)))
     rows = rows.otherwise(F.array_compact(F.array(*(F.when(differs(c), row(c, MISMATCH, DST)) for c in columns))))
-    return met.where(some).select(*key, F.explode(rows).alias("_r")).select(*key, "_r.*")
+    back = [F.when(~F.col(f"_n{i}"), F.col(f"_k{i}")).alias(k) for i, k in enumerate(key)]
+    return met.where(some).select(*names, F.explode(rows).alias("_r")).select(*back, "_r.*")
 
 
 def aged(rows: DataFrame, now: Column, prior: DataFrame | None = None) -> DataFrame:

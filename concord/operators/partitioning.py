@@ -23,6 +23,11 @@ def sample_rate(size_bytes: int, documents: int, target_bytes: int) -> float | N
     return 1 / per_partition if 1 < per_partition else None
 
 
+def ideal_of(size_bytes: Column, target_bytes: int, ratio: Column, capped: Column) -> Column:
+    """ideal(), of each row of a table of statistics."""
+    return F.when(capped, F.lit(1).cast("long")).otherwise(F.floor(size_bytes * ratio / target_bytes) + 1)
+
+
 def stats(df: DataFrame, size: Column) -> DataFrame:
     """documents and bytes."""
     return df.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("bytes"))
@@ -88,11 +93,45 @@ def sampled_bounds(df: DataFrame, key: str, per_partition: int) -> DataFrame:
     return every.select((F.row_number().over(w) - 1).alias("part"), F.lag("upper").over(w).alias("lower"), "upper")
 
 
+#: What a sample for bounds takes at most, as a share of the documents and for each partition, and the fewest documents that are sampled.
+SAMPLE_SHARE, SAMPLE_EACH, SAMPLE_LEAST = 0.04, 3, 101
+
+
+def bucket_bounds(df: DataFrame, key: str, parts: int, documents: int | None = None) -> DataFrame:
+    """part, lower, upper: bounds from a sample of keys, at most so many for each partition, dealt into buckets of equal size.
+
+    One partition if fewer than two are asked for or there is too little to sample. Keys are sampled by their hash, so the same ones come each time;
+    the buckets' last keys are the bounds, and the last of all is dropped. Whatever the sample is, the ranges hold all keys, nulls in the first.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    whole = df.sparkSession.createDataFrame([(0, None, None)], f"part int, lower {kind}, upper {kind}")
+    n = df.count() if documents is None else documents
+    if parts < 2 or n < SAMPLE_LEAST:
+        return whole
+    every = max(1, int(n / min(n * SAMPLE_SHARE, SAMPLE_EACH * parts)))
+    chosen = df.select(key).where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(every)) == 0)).distinct()
+    dealt = chosen.select(key, F.ntile(parts).over(Window.orderBy(key)).alias("_tile"))  # about three keys a partition
+    ends = dealt.groupBy("_tile").agg(F.max(key).alias("upper")).withColumn("_last", F.max("_tile").over(Window.partitionBy()))
+    edges = ends.where("_tile < _last").select("upper")
+    every_edge = edges.unionByName(df.sparkSession.createDataFrame([(None,)], f"upper {kind}"))
+    last = Window.orderBy(F.asc_nulls_last("upper"))
+    return every_edge.select((F.row_number().over(last) - 1).cast("int").alias("part"), F.lag("upper").over(last).alias("lower"), "upper")
+
+
 def sampled(df: DataFrame, key: str, rate: float, seed: int = 0) -> DataFrame:
     """Each key with this probability: what bounds are made of where the table is too large to rank."""
     return df.select(key).sample(withReplacement=False, fraction=rate, seed=seed)
 
 
+def within(key: Column, lower, upper) -> Column:
+    """Rows of one range by its bounds' values, which reach the files' statistics. Null keys are in the first."""
+    if lower is None and upper is None:
+        return F.lit(True)
+    if lower is None:
+        return key.isNull() | (key < F.lit(upper))
+    return key >= F.lit(lower) if upper is None else (key >= F.lit(lower)) & (key < F.lit(upper))
+
+
 def inside(key: Column, lower: Column, upper: Column) -> Column:
     return (lower.isNull() | (key >= lower)) & (upper.isNull() | (key < upper))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,11 +29,17 @@ def reduced(queue: DataFrame) -> DataFrame:
     )
 
 
-def by_count(rows: DataFrame, by: str, order: str, most: int) -> DataFrame:
-    """Adds chunk: tasks of at most so many ids of one namespace, in their order. Exact."""
-    from pyspark.sql import Window
+def by_count(rows: DataFrame, by: str, order: str, most: int, ranges: int | None = None) -> DataFrame:
+    """Adds chunk: tasks of at most so many ids of one namespace, in their order. Exact.
 
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / most).cast("long"))
+    Rows are dealt to ranges and numbered within each; a row for each namespace of a range says what stands before it, so no task sees a whole namespace.
+    """
+    n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, by, order).sortWithinPartitions(by, order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    heads = dealt.groupBy("_part", by).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("_part", by, (F.col("_first") - F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_zero"))
+    return dealt.join(F.broadcast(heads), ["_part", by]).withColumn("chunk", F.floor((F.col("_at") - F.col("_zero")) / most).cast("long")).drop("_part", "_at", "_zero")
 
 
 def _greedy(frames, most_ids, most_id_bytes, most_bytes):

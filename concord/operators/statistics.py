@@ -74,12 +74,19 @@ def last_rechecked(tasks: DataFrame) -> DataFrame:
     return own.agg(F.max("src_ts").alias("src_ts"), F.max("dst_ts").alias("dst_ts"))
 
 
-def event_counts(events: DataFrame) -> DataFrame:
-    """cluster, namespace, and counts by kind of event, with subtotals of schema events and the total."""
+def event_counts(events: DataFrame, latest: bool = False) -> DataFrame:
+    """cluster, namespace, and counts by kind of event, with subtotals of schema events and the total. latest: the last event's time, too."""
     ns = F.concat_ws(".", "db", F.nullif("coll", F.lit("")))
     count = lambda ops: F.sum(F.when(F.col("op_type").isin(*ops), 1).otherwise(0)).cast("long")
     each = [count([op]).alias(op) for op in DOCUMENT_OPS]
-    return events.groupBy("cluster", ns.alias("namespace")).agg(*each, count(DDL_OPS).alias("ddl"), F.count(F.lit(1)).alias("total"))
+    last = [F.max("cluster_time").alias("last")] if latest else []
+    return events.groupBy("cluster", ns.alias("namespace")).agg(*each, count(DDL_OPS).alias("ddl"), F.count(F.lit(1)).alias("total"), *last)
+
+
+def feed_totals(counted: DataFrame) -> DataFrame:
+    """cluster, counts by kind of event, and the latest event's time, over all namespaces and batches."""
+    names = [*DOCUMENT_OPS, "ddl", "total"]
+    return counted.groupBy("cluster").agg(*(F.sum(n).alias(n) for n in names), F.max("last").alias("last"))
 
 
 def busiest(counted: DataFrame, n: int = 10) -> DataFrame:

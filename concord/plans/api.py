@@ -7,12 +7,17 @@ import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
+from concord.functions import filters
+
 from . import reports
 from .engine import Engine
 
 
+ROOT = "/api/v1/"
+
+
 class Server:
-    """POST /check and /writesOff; GET /progress, /summary, /docMismatches, /nsMismatches. Two POSTs at once are an error that stops the server."""
+    """POST check and writesOff; GET progress, summary, docMismatches, nsMismatches: all under /api/v1. Two POSTs at once are an error that stops the server."""
 
     def __init__(self, engine: Engine, port: int = 27020, host: str = "127.0.0.1"):
         self.engine, self.busy, self.failed, self.worker = engine, threading.Lock(), None, None
@@ -45,7 +50,7 @@ class Server:
         query = {k: v[-1] for k, v in parse_qs(parts.query).items()}
         body = request.rfile.read(int(request.headers.get("Content-Length") or 0))
         try:
-            route = getattr(self, f"_{verb.lower()}_{parts.path.strip('/')}", None)
+            route = getattr(self, f"_{verb.lower()}_{parts.path.removeprefix(ROOT)}", None) if parts.path.startswith(ROOT) else None
             if route is None:
                 return self._send(request, 404, {"error": "no such route"})
             out = route(json.loads(body) if body else {}, query)
@@ -82,7 +87,11 @@ class Server:
         def begin():
             if self.worker is not None and self.worker.is_alive():
                 raise RuntimeError("a check is running")
-            if "filter" in body:
+            if body.get("filter"):
+                # A SQL predicate could call anything; only query documents come this way.
+                if not isinstance(body["filter"], dict):
+                    raise ValueError("filter is a query document")
+                filters.compiled(body["filter"])
                 self.engine.options.filter = body["filter"]
             self.worker = threading.Thread(target=self._run, daemon=True)
             self.worker.start()

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import sys
+import time
 from pathlib import Path
 
 from concord.model import DdlPolicy, Method, Options
 from concord.session import session
 from concord.sources.catalog import parquet_side
 
-from . import reports
 from .api import Server
 from .engine import Engine
 
@@ -26,10 +27,19 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--folder", help="where mismatches, tasks and rechecks are kept")
     p.add_argument("--key", action="append", default=[], help="key fields besides the first; dotted paths descend")
     p.add_argument("--docCompareMethod", default="ignoreOrder", choices=[m.value for m in Method] + ["ignoreFieldOrder"])
-    p.add_argument("--partitionScheme", default="id", choices=["id", "natural"])
-    p.add_argument("--partitionSizeMB", type=int, default=400)
-    p.add_argument("--srcDDL", default="fail", choices=[d.value for d in DdlPolicy])
-    p.add_argument("--indexSpecTolerance", action="append", default=[])
+    p.add_argument("--partitioningScheme", default="id", choices=["id", "natural"])
+    p.add_argument("--partitionSizeMB", type=int, default=0, help="size of the key ranges that a large table is compared in; 0: 400")
+    p.add_argument("--numWorkers", type=int, default=10, help="tables or key ranges that are compared at a time")
+    p.add_argument("--generationPauseDelay", type=int, default=1000, help="milliseconds between generations while nothing is queued")
+    p.add_argument("--srcFeed", help="folder of the source's change events (JSON files)")
+    p.add_argument("--dstFeed", help="folder of the destination's change events (JSON files)")
+    p.add_argument("--srcChangeReader", default="feed", choices=["feed", "log"], help="format of the source's change events")
+    p.add_argument("--dstChangeReader", default="feed", choices=["feed", "log"], help="format of the destination's change events")
+    p.add_argument("--ddlHandling", default="fail", choices=[d.value for d in DdlPolicy], help="what schema events of the source do")
+    p.add_argument("--indexSpecIgnore", action="append", default=[], help="parts of index specifications that may differ")
+    p.add_argument("--verifyAll", action=argparse.BooleanOptionalAction, default=True, help="compare time series, too")
+    p.add_argument("--logPath", default="stdout")
+    p.add_argument("--logLevel", default="info", choices=["debug", "info", "warn", "error"])
     p.add_argument("--failureDisplaySize", type=int, default=20)
     p.add_argument("--filter", help="query document (JSON) or SQL predicate")
     p.add_argument("--strictNamespaces", action="store_true")
@@ -73,8 +83,9 @@ def options(args: argparse.Namespace) -> Options:
     query = json.loads(text) if isinstance(text, str) and text.lstrip().startswith("{") else text
     pairs = dict(zip(args.srcNamespace, args.dstNamespace or args.srcNamespace, strict=True))
     return Options(
-        method=args.docCompareMethod, natural=args.partitionScheme == "natural", keys=tuple(args.key) or ("_id",), filter=query, namespaces=pairs, strict_namespaces=args.strictNamespaces,
-        partition_bytes=args.partitionSizeMB << 20, src_ddl=args.srcDDL, index_tolerances=tuple(args.indexSpecTolerance), failure_display_size=args.failureDisplaySize,
+        method=args.docCompareMethod, natural=args.partitioningScheme == "natural", keys=tuple(args.key) or ("_id",), filter=query, namespaces=pairs, strict_namespaces=args.strictNamespaces,
+        partition_bytes=(args.partitionSizeMB or 400) << 20, src_ddl=args.ddlHandling, index_tolerances=tuple(x for v in args.indexSpecIgnore for x in v.split(",") if x), failure_display_size=args.failureDisplaySize,
+        workers=args.numWorkers, pause_seconds=args.generationPauseDelay / 1000, verify_all=args.verifyAll,
     )
 
 
@@ -84,17 +95,17 @@ def main(argv: list[str] | None = None) -> int:
         parser().error("--folder, --src and --dst are needed")
     spark = session()
     table = lambda pairs: dict(p.split("=", 1) for p in pairs)
-    engine = Engine(parquet_side(spark, table(args.src)), parquet_side(spark, table(args.dst)), args.folder, options(args))
+    logging.basicConfig(level={"warn": "WARNING"}.get(args.logLevel, args.logLevel.upper()), format="%(message)s", **({"stream": sys.stdout} if args.logPath == "stdout" else {"filename": args.logPath}))
+    side = lambda name: parquet_side(spark, table(getattr(args, name)), feed=getattr(args, f"{name}Feed"), feed_kind=getattr(args, f"{name}ChangeReader"))
+    engine = Engine(side("src"), side("dst"), args.folder, options(args))
     if args.clean:
         engine.clean()
     if args.checkOnly:
+        began = time.monotonic()
         engine.run_generation()
         engine.finish_generation()
-        rows = engine.reported()
-        docs = rows.where("task_type = 'verifyDocuments'")
-        print(reports.metadata_mismatches(rows.where("task_type = 'verifyCollection'"), engine.options.index_tolerances))
-        print(reports.document_mismatches(docs, 0, engine.options.failure_display_size))
-        return int(not rows.isEmpty())
+        print(engine.report(time.monotonic() - began))
+        return int(not engine.reported().isEmpty())
     server = Server(engine, args.serverPort)
     if args.start:
         server._post_check({}, {})

@@ -1,22 +1,40 @@
 """The run of a reconciliation: generation 0 compares everything, each further one what is in the recheck queue.
 
-State is a small file; mismatches, tasks and rechecks are tables by generation in a folder that all machines share. What a generation
-writes replaces what an attempt before it left, and the generation only moves on after that, so a run that was cut off repeats its generation.
+The queue is fed by what a generation finds, and by the change feeds of both sides, which are followed as streams while generations run.
+
+State is a small file; mismatches, tasks and rechecks are tables by generation in a folder that all machines share. A generation's work is cut into
+units: metadata, and tables or key ranges of large ones. The units are noted before work begins, several are worked on at a time, and each replaces what an attempt before it left and
+is noted when it is whole, so a run that was cut off repeats open units only. The generation moves on after all of them.
 """
 
 from __future__ import annotations
 
+import json
+import logging
 import threading
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from concord.functions import namespaces
-from concord.model import MISMATCHES, RECHECKS, TASKS, Options, Phase, Status, TaskType
-from concord.operators import classify, diff, metadata, recheck, statistics
+from concord.functions import keys, namespaces
+from concord.functions.history import Last
+from concord.model import DST, MISMATCHES, RECHECKS, SRC, TASKS, Options, Phase, Status, TaskType
+from concord.operators import classify, diff, metadata, partitioning, recheck, statistics
 from concord.sources import store
 from concord.sources.catalog import Side
+from concord.sources.retry import Retry
+from concord.streaming import changes
+
+from . import reports
+
+log = logging.getLogger("concord")
+
+#: What unit the tables' metadata are.
+META = "meta"
 
 
 class Engine:
@@ -25,7 +43,10 @@ class Engine:
         self.folder = folder.rstrip("/")
         self.state = store.State(self.spark, self.folder)
         self.running = False
-        self._lock = threading.Lock()
+        self.streams: dict[str, StreamingQuery] = {}
+        self.rates = {SRC: Last(), DST: Last()}
+        self._lock, self._queue_lock, self._still = threading.Lock(), threading.RLock(), threading.Event()
+        self._warning = reports.SchemaWarning()
 
     # Tables.
 
@@ -36,21 +57,74 @@ class Engine:
         return store.table(self.spark, f"{self.folder}/tasks", TASKS)
 
     def queue(self, generation: int) -> DataFrame:
-        """Rechecks of a generation, from mismatches and from events."""
-        every = self.spark.createDataFrame([], RECHECKS)
+        """Rechecks of a generation. plain: doc_id is the id as a change feed gives it, else the key's canonical text, as mismatches have it."""
+        every = self.spark.createDataFrame([], RECHECKS).withColumn("plain", F.lit(False))
         for kind in ("rechecks", "changes"):
             path = f"{self.folder}/{kind}/generation={generation}"
             if store.exists(self.spark, path):
                 found = self.spark.read.option("recursiveFileLookup", "true").schema(RECHECKS).parquet(path)
-                every = every.unionByName(found)
+                every = every.unionByName(found.withColumn("plain", F.lit(kind == "changes")))
         return every.withColumn("generation", F.lit(generation))
 
+    def event_counts(self) -> DataFrame:
+        """Change events by batch, cluster, namespace and kind."""
+        path = f"{self.folder}/changes-counts"
+        if not store.exists(self.spark, path):
+            return statistics.event_counts(changes.empty(self.spark), latest=True)
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(path)
+
     def generation(self) -> int:
         return self.state.read()["generation"]
 
     def phase(self) -> Phase:
         return Phase(statistics.phase(self.running, self.generation()))
 
+    # Change feeds.
+
+    def _feeds(self) -> list[tuple[str, Side]]:
+        return [(cluster, side) for cluster, side in ((SRC, self.src), (DST, self.dst)) if side.feed]
+
+    def _stream(self, cluster: str, side: Side, until_now: bool) -> StreamingQuery:
+        mapped = self.options.namespaces
+        only = None if not mapped else list(mapped if cluster == SRC else mapped.values())
+        parse = {"feed": changes.from_feed, "log": changes.from_log}[side.feed_kind]
+        events = parse(changes.read(self.spark, side.feed, side.feed_kind, max_files=self.options.feed_files), cluster, only)
+        writer = changes.RecheckWriter(f"{self.folder}/changes", self.generation, cluster, self.options.src_ddl, mapped or None, lock=self._queue_lock)
+        return changes.start(events, writer, f"{self.folder}/checkpoints/{cluster}", until_now=until_now)
+
+    def follow(self) -> None:
+        """Begins to follow the sides' change feeds, from where an earlier run ended."""
+        for cluster, side in self._feeds():
+            if cluster not in self.streams or not self.streams[cluster].isActive:
+                self.streams[cluster] = self._stream(cluster, side, until_now=False)
+
+    def unfollow(self) -> None:
+        """Stops following. A batch that is cut off is handled anew by whoever follows next."""
+        for query in self.streams.values():
+            query.stop()
+        self.streams.clear()
+
+    def drain(self) -> None:
+        """Handles all events that the feeds hold now, as after the last write."""
+        self.unfollow()
+        try:
+            for query in [self._stream(cluster, side, until_now=True) for cluster, side in self._feeds()]:
+                query.awaitTermination()
+        except StreamingQueryException as e:
+            raise self._failure(e) from e
+
+    @staticmethod
+    def _failure(e: Exception) -> Exception:
+        text = str(e)
+        return changes.SchemaChange(text) if changes.SchemaChange.__name__ in text else e
+
+    def _look_at_feeds(self) -> None:
+        """A feed that failed ends the run; what the others say is kept for reports."""
+        for cluster, query in self.streams.items():
+            if (e := query.exception()) is not None:
+                raise self._failure(e) from e
+            self.rates[cluster].add(changes.rates(query))
+
     # Work.
 
     def clean(self) -> None:
@@ -73,80 +147,142 @@ class Engine:
         found = metadata.rows(specs).select("namespace", "id", "field", "details", "cluster").unionByName(indexes).unionByName(shards)
         return found, metadata.outcomes(specs, [indexes, shards]).join(specs.select("namespace", "comparable"), "namespace")
 
-    def _documents(self, side: Side, namespace: str, key: tuple[str, ...]) -> DataFrame:
-        return diff.documents(side.read(namespace), key, filter=self.options.filter)
+    def _ranges(self, ns: str, generation: int) -> list[tuple]:
+        """Bounds of the ranges that a table is compared in: as many as its size asks for, within options.ranges; one for rechecks, capped tables and keys of several fields."""
+        key, df = self.src.key_of(ns, self.options.keys), self.src.read(ns)
+        size = store.bytes_of(df)
+        if generation or len(key) > 1 or key[0] not in df.columns or not size or self.src.capped(ns):
+            return [(None, None)]
+        parts = min(self.options.ranges, partitioning.ideal(size, self.options.partition_bytes))
+        if parts < 2:
+            return [(None, None)]
+        return [(r["lower"], r["upper"]) for r in partitioning.bucket_bounds(df, key[0], parts).orderBy("part").collect()]  # options.ranges at most
+
+    def _plan(self, g: int) -> dict:
+        """The generation's units, noted before the first begins, and the metadata's outcome. An attempt that was cut off left them."""
+        path = f"{self.folder}/plans/{g}.json"
+        if noted := store.text(self.spark, path):
+            return json.loads(noted)
+        for kind in ("mismatches", "tasks", "done"):
+            store.delete(self.spark, f"{self.folder}/{kind}/generation={g}")
+        found, status = self.compare_metadata()
+        bad = {r["namespace"]: (r["status"], r["comparable"]) for r in status.collect()}  # a row a table
+        units = []
+        for ns, to in self._pairs():
+            if ns in self.src.tables and to in self.dst.tables and bad.get(ns, ("", True))[1]:
+                units += [{"unit": str(len(units) + i), "namespace": ns, "to": to, "lower": lower, "upper": upper} for i, (lower, upper) in enumerate(self._ranges(ns, g))]
+        plan = {"units": units, "status": {ns: s for ns, (s, _) in bad.items()}}
+        store.touch(self.spark, path, json.dumps(plan, default=str))
+        return json.loads(json.dumps(plan, default=str))
 
-    def _compare(self, pair: tuple[str, str], generation: int, now: Column, reduced: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        ns, to = pair
+    def _rechecks(self, ns: str, g: int, schema, key: tuple[str, ...]) -> DataFrame:
+        """What the queue says of one table's documents, by key text."""
+        own = self.queue(g).where((F.col("db") == namespaces.database(F.lit(ns))) & (F.col("coll") == namespaces.collection(F.lit(ns))))
+        if len(key) > 1 and self._feeds():
+            raise ValueError(f"{ns}: change feeds name documents by one key field")
+        plain = keys.text_of_plain(F.col("doc_id"), schema, key[0])
+        return recheck.reduced(own.withColumn("doc_id", F.when(F.col("plain"), plain).otherwise(F.col("doc_id"))))
+
+    def _shaped(self, rows: DataFrame, g: int, src_ts: Column | None = None, dst_ts: Column | None = None) -> DataFrame:
+        none = F.lit(None).cast("struct<t:bigint,i:int>")
+        every = rows.withColumns({"generation": F.lit(g), "src_ts": none if src_ts is None else src_ts, "dst_ts": none if dst_ts is None else dst_ts})
+        return every.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in MISMATCHES.fields))
+
+    def _work_unit(self, g: int, unit: dict, moment: Column) -> None:
+        """Compares one range of one table, writes its mismatches and its audit row, and notes that it is whole."""
+        done = f"{self.folder}/done/generation={g}/{unit['unit']}"
+        if store.exists(self.spark, done):
+            return
+        ns, to = unit["namespace"], unit["to"]
         key = self.src.key_of(ns, self.options.keys)
-        src, dst = self._documents(self.src, ns, key), self._documents(self.dst, to, key)
-        ids = prior = None
-        if reduced is not None:
-            own = reduced.where((F.col("db") == namespaces.database(F.lit(ns))) & (F.col("coll") == namespaces.collection(F.lit(ns)))).select(F.col("doc_id").alias("key"), "first_mismatch_time")
-            ids, prior = own, own.where("first_mismatch_time is not null").select(F.col("key").alias("id"), "first_mismatch_time")
-            src = diff.restricted(src, ids)
-        rows = diff.aged(diff.compare(src, dst, self.options.method, natural=self.options.natural, ids=ids), now, prior)
-        made = rows.select(F.lit(TaskType.DOCUMENTS.value).alias("task_type"), F.lit(f"{generation}-{ns}").alias("task_id"), *rows.columns, F.lit(ns).alias("namespace"))
-        counted = src.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("b")).select(F.lit(ns).alias("namespace"), F.lit(to).alias("to_namespace"), "n", "b")
-        return made, counted
+        src, dst = self.src.read(ns), self.dst.read(to)
+        prior = ids = None
+        scratch = f"{self.folder}/scratch/{g}-{unit['unit']}"
+        written = lambda df, name: (df.write.mode("overwrite").parquet(f"{scratch}/{name}"), self.spark.read.schema(df.schema).parquet(f"{scratch}/{name}"))[1]
+        times = {"src_ts": None, "dst_ts": None}
+        if g:
+            known = written(self._rechecks(ns, g, src.schema, key), "ids")
+            times = known.agg(F.max("src_ts").alias("src_ts"), F.max("dst_ts").alias("dst_ts")).first().asDict(recursive=True)
+            ids = known.select(F.col("doc_id").alias("key"))
+            prior = known.where("first_mismatch_time is not null").select(F.col("doc_id").alias("id"), "first_mismatch_time")
+            few = [diff.restricted_rows(x, ids, key) for x in (src, dst)]
+            if None not in few:
+                (src, dst), ids = few, None
+        else:
+            inside = lambda df: df.where(partitioning.within(F.col(f"`{key[0]}`"), *(None if unit[b] is None else F.lit(unit[b]).cast(df.schema[key[0]].dataType) for b in ("lower", "upper"))))
+            if unit["lower"] is not None or unit["upper"] is not None:
+                src, dst = inside(src), inside(dst)
+        made = [diff.documents(x, key, filter=self.options.filter) for x in (src, dst)]
+        rows = diff.compare(*made, self.options.method, natural=self.options.natural, ids=ids, settle=lambda df: written(df, "differing"))
+        aged = diff.aged(rows, moment, prior)
+        own = aged.select(F.lit(TaskType.DOCUMENTS.value).alias("task_type"), F.lit(f"{g}-{unit['unit']}-{ns}").alias("task_id"), *aged.columns, F.lit(ns).alias("namespace"))
+        store.replace_part(self._shaped(own, g), f"{self.folder}/mismatches", g, unit["unit"])
+        differs = not self.spark.read.parquet(f"{self.folder}/mismatches/generation={g}/unit={unit['unit']}").isEmpty()
+        seen = partitioning.stats(made[0], F.col("size")).first()
+        self._task(g, unit["unit"], TaskType.DOCUMENTS, Status.FAILED if differs else Status.COMPLETED, ns, to, unit["lower"], unit["upper"], seen["documents"], seen["bytes"], times["src_ts"], times["dst_ts"])
+        store.delete(self.spark, scratch)
+        store.touch(self.spark, done)
+
+    def _task(self, g: int, unit: str, kind: TaskType, status: Status | str, ns: str, to: str, lower, upper, n: int, size: int, src_ts, dst_ts) -> None:
+        text = lambda x: None if x is None else str(x)
+        status = status.value if isinstance(status, Status) else status
+        row = (f"{g}-{kind.value}-{ns}-{unit}", kind.value, status, g, ns, to, text(lower), text(upper), None, n, n, size, src_ts, dst_ts)
+        store.replace_part(self.spark.createDataFrame([row], TASKS).coalesce(1), f"{self.folder}/tasks", g, f"{unit}-{kind.value}")
 
     def run_generation(self, now: datetime | None = None) -> dict:
         """Works one generation through; returns its counts of mismatch rows by class."""
         self.running = True
         try:
-            return self._work(self.generation(), F.lit(now or datetime.now(timezone.utc)))
+            return self._work(self.generation(), now or datetime.now(timezone.utc))
         finally:
             self.running = False
 
-    def _work(self, g: int, moment: Column) -> dict:
-        reduced = recheck.reduced(self.queue(g)) if g else None
-        found, status = self.compare_metadata()
-        bad = {r["namespace"]: (r["status"], r["comparable"]) for r in status.collect()}  # a row a table
-        times = {"first_ts": moment, "duration_ms": F.lit(0).cast("long"), "data_size": F.lit(0)}
-        every = found.select(F.lit(TaskType.COLLECTION.value).alias("task_type"), F.concat(F.lit(f"{g}-meta-"), "namespace").alias("task_id"), "id", "field", "details", "cluster", "namespace").withColumns(times)
-        counted = None
-        for pair in self._pairs():
-            if pair[0] not in self.src.tables or pair[1] not in self.dst.tables or not bad.get(pair[0], ("", True))[1]:
-                continue
-            rows, count = self._compare(pair, g, moment, reduced)
-            every = every.unionByName(rows)
-            counted = count if counted is None else counted.unionByName(count)
-        none = F.lit(None).cast("struct<t:bigint,i:int>")
-        shaped = every.withColumns({"generation": F.lit(g), "src_ts": none, "dst_ts": none}).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in MISMATCHES.fields))
-        store.replace_generation(shaped, f"{self.folder}/mismatches", g)
-        mine = self.mismatches().where(F.col("generation") == g)
-        again = recheck.from_mismatches(mine.where(F.col("task_type") == TaskType.DOCUMENTS.value), g)
-        store.replace_generation(again, f"{self.folder}/rechecks", g + 1)
-        self._record_tasks(g, {ns: s for ns, (s, _) in bad.items()}, counted, mine, reduced)
-        return classify.counts(mine.where(F.col("task_type") == TaskType.DOCUMENTS.value)).first().asDict()
-
-    def _record_tasks(self, g: int, status: dict[str, str], counted: DataFrame | None, mine: DataFrame, reduced: DataFrame | None) -> None:
-        """Audit rows of the generation: one for each table's metadata and one for its documents."""
+    def _work(self, g: int, now: datetime) -> dict:
+        moment, retry = F.lit(now), lambda work: Retry().run(work)
+        plan = retry(lambda: self._plan(g))
+        done = f"{self.folder}/done/generation={g}/{META}"
+        if not store.exists(self.spark, done):
+            times = {"first_ts": moment, "duration_ms": F.lit(0).cast("long"), "data_size": F.lit(0)}
+            found = self.compare_metadata()[0].select(F.lit(TaskType.COLLECTION.value).alias("task_type"), F.concat(F.lit(f"{g}-meta-"), "namespace").alias("task_id"), "id", "field", "details", "cluster", "namespace").withColumns(times)
+            store.replace_part(self._shaped(found, g), f"{self.folder}/mismatches", g, META)
+            store.touch(self.spark, done)
+        with ThreadPoolExecutor(max(1, self.options.workers)) as pool:
+            for work in [pool.submit(retry, lambda u=u: self._work_unit(g, u, moment)) for u in plan["units"]]:
+                work.result()
+        mine = self.mismatches().where((F.col("generation") == g) & (F.col("task_type") == TaskType.DOCUMENTS.value))
+        store.replace_generation(recheck.from_mismatches(mine, g), f"{self.folder}/rechecks", g + 1)
+        self._record_metadata(g, plan)
+        return classify.counts(mine).first().asDict()
+
+    def _record_metadata(self, g: int, plan: dict) -> None:
+        """Audit rows of the tables' metadata, with the totals of their documents."""
+        docs = self.tasks().where((F.col("generation") == g) & (F.col("type") == TaskType.DOCUMENTS.value))
+        totals = docs.groupBy("namespace").agg(F.sum("documents_count").alias("n"), F.sum("source_bytes_count").alias("b"))
+        known = self.spark.createDataFrame(list(plan["status"].items()), "namespace string, status string").coalesce(1)
         null = lambda kind: F.lit(None).cast(kind)
-        times = reduced.agg(F.max("src_ts").alias("src_ts"), F.max("dst_ts").alias("dst_ts")).first() if reduced is not None else None
-        known = self.spark.createDataFrame(list(status.items()), "namespace string, status string").coalesce(1)
-        kinds = known.select("namespace", F.lit(TaskType.COLLECTION.value).alias("type"), "status", F.col("namespace").alias("to_namespace"), null("long").alias("n"), null("long").alias("b"))
-        if counted is not None:
-            wrong = mine.where(F.col("task_type") == TaskType.DOCUMENTS.value).select("namespace").distinct().withColumn("_bad", F.lit(True))
-            docs = counted.join(wrong, "namespace", "left").select("namespace", F.lit(TaskType.DOCUMENTS.value).alias("type"), F.when(F.col("_bad"), Status.FAILED.value).otherwise(Status.COMPLETED.value).alias("status"), "to_namespace", "n", "b")
-            totals = counted.select("namespace", "n", "b").withColumnsRenamed({"n": "_n", "b": "_b"})
-            kinds = kinds.join(totals, "namespace", "left").select("namespace", "type", "status", "to_namespace", F.col("_n").alias("n"), F.col("_b").alias("b")).unionByName(docs)
-        time = lambda x: null("struct<t:bigint,i:int>") if x is None else F.struct(F.lit(x["t"]).cast("long").alias("t"), F.lit(x["i"]).cast("int").alias("i"))
-        kinds = kinds.withColumns({c: time(times and times[c]) for c in ("src_ts", "dst_ts")})
-        shaped = kinds.select(
-            F.concat_ws("-", F.lit(g), "type", "namespace").alias("task_id"), "type", "status", F.lit(g).alias("generation"), "namespace", "to_namespace", null("string").alias("lower"), null("string").alias("upper"), null("array<string>").alias("ids"),
-            F.col("n").alias("documents_count"), F.col("n").alias("found_source_documents_count"), F.col("b").alias("source_bytes_count"), "src_ts", "dst_ts",
+        shaped = known.join(totals, "namespace", "left").select(
+            F.concat_ws("-", F.lit(g), F.lit(TaskType.COLLECTION.value), "namespace").alias("task_id"), F.lit(TaskType.COLLECTION.value).alias("type"), "status", F.lit(g).alias("generation"), "namespace", F.col("namespace").alias("to_namespace"),
+            null("string").alias("lower"), null("string").alias("upper"), null("array<string>").alias("ids"), F.col("n").alias("documents_count"), F.col("n").alias("found_source_documents_count"), F.col("b").alias("source_bytes_count"),
+            null("struct<t:bigint,i:int>").alias("src_ts"), null("struct<t:bigint,i:int>").alias("dst_ts"),
         )
-        store.replace_generation(shaped, f"{self.folder}/tasks", g)
+        store.replace_part(shaped, f"{self.folder}/tasks", g, META)
+
+    def recheck_tasks(self, generation: int) -> DataFrame:
+        """namespace, task, ids, bytes, lower, upper: how the queue of a generation falls into tasks limited by ids, bytes of ids, and bytes of documents."""
+        rows = recheck.reduced(self.queue(generation)).select(F.concat_ws(".", "db", "coll").alias("namespace"), "doc_id", "data_size")
+        o = self.options
+        return recheck.tasks(recheck.greedy(rows, o.recheck_ids, o.recheck_id_bytes, o.partition_bytes))
 
-    def finish_generation(self) -> int:
-        """Drops the generation's consumed queue, after all it led to is written, and moves on."""
-        state = self.state.read()
-        g = state["generation"]
+    def finish_generation(self, last: bool | None = None) -> int:
+        """Drops the generation's consumed queue, after all it led to is written, and moves on. Change batches wait meanwhile. last: whether the next one is the last; without it, if writes are off."""
+        with self._queue_lock:
+            state = self.state.read()
+            g = state["generation"]
+            moved = self.state.write(generation=g + 1, last=state["writes_off"] if last is None else last, started=True)["generation"]
         if g:
             for kind in ("rechecks", "changes"):
                 store.delete(self.spark, f"{self.folder}/{kind}/generation={g}")
-        return self.state.write(generation=g + 1, last=state["writes_off"], started=True)["generation"]
+        return moved
 
     def writes_off(self) -> None:
         """Says that both sides are still. Once only."""
@@ -154,16 +290,29 @@ class Engine:
             if self.state.read()["writes_off"]:
                 raise RuntimeError("writes are off already")
             self.state.write(writes_off=True)
+        self._still.set()
 
-    def run(self, most: int = 100) -> dict:
-        """Generations until the last one, which is the one after writes went off, or until nothing is left to recheck."""
+    def run(self, most: int | None = None) -> dict:
+        """Generations until the last one, which is the one after writes went off and the feeds were drained. Without feeds a run also ends when nothing is left to recheck."""
         counts: dict = {}
-        for _ in range(most):
-            counts = self.run_generation()
-            last = self.state.read()["last"]
-            g = self.finish_generation()
-            if last or (self.queue(g).isEmpty() and not self.state.read()["writes_off"]):
-                break
+        self.follow()
+        try:
+            while most is None or most > 0:
+                began = datetime.now(timezone.utc)
+                counts = self.run_generation()
+                self._look_at_feeds()
+                state = self.state.read()
+                if state["writes_off"] and not state["last"]:
+                    self.drain()
+                g = self.finish_generation(state["writes_off"])
+                log.info(self.report((datetime.now(timezone.utc) - began).total_seconds()))
+                if state["last"] or (not self._feeds() and self.queue(g).isEmpty() and not self.state.read()["writes_off"]):
+                    break
+                most = None if most is None else most - 1
+                if self.queue(g).isEmpty():
+                    self._still.wait(self.options.pause_seconds)
+        finally:
+            self.unfollow()
         return counts
 
     # Reports.
@@ -189,11 +338,51 @@ class Engine:
         totals = statistics.total_progress(statistics.namespace_progress(tasks, shown), ended=not self.running).first().asDict()
         longest = classify.longest(self.mismatches().where(F.col("task_type") == TaskType.DOCUMENTS.value), g).first()
         last = statistics.last_rechecked(self.tasks()).first().asDict(recursive=True)
+        feeds = {r["cluster"]: r.asDict(recursive=True) for r in statistics.feed_totals(self.event_counts()).collect()}  # two rows at most
         return {
             "phase": self.phase().value, "generation": g, "generationStats": totals, "verificationStatus": statistics.status_counts(tasks, shown).first().asDict(), "totalRechecks": statistics.rechecks_done(self.tasks()).first()[0],
             "longestDocMismatch": longest and {"namespace": longest["namespace"], "id": longest["id"], "durationSecs": longest["duration_ms"] / 1000}, "srcLastRecheckedTS": last["src_ts"], "dstLastRecheckedTS": last["dst_ts"],
+            "srcChangeStats": self._feed_stats(SRC, feeds), "dstChangeStats": self._feed_stats(DST, feeds),
         }
 
+    def _feed_stats(self, cluster: str, totals: dict) -> dict:
+        """Counts of a feed's events, how fast they are handled, and how far behind now that is."""
+        own, recent = totals.get(cluster), self.rates[cluster].items
+        rates = recent[-1] if recent else {}
+        last = own and own["last"]
+        return {
+            "totalEvents": {k: v for k, v in (own or {}).items() if k not in ("cluster", "last")}, "eventsPerSecond": rates.get("processed_rows_per_second"), "bufferSaturation": rates.get("saturation"), "lastHandledTS": last,
+            "lagSecs": changes.lag_seconds(int(datetime.now(timezone.utc).timestamp()), last["t"]) if last else None,
+        }
+
+    def report(self, seconds: float) -> str:
+        """What a generation's end says: mismatches, progress by namespace, change events, and how the feeds keep up."""
+        g = max(0, self.generation() - 1)
+        rows, tasks = self.reported(), self.tasks()
+        docs = rows.where(F.col("task_type") == TaskType.DOCUMENTS.value)
+        by_namespace = statistics.namespace_progress(tasks, g)
+        totals = statistics.total_progress(by_namespace, ended=True).first().asDict()
+        found = classify.counts(docs).first()
+        counted = self.event_counts()
+        events = {r["cluster"]: r.asDict(recursive=True) for r in statistics.feed_totals(counted).collect()}  # two rows at most
+        last = statistics.last_rechecked(tasks).first().asDict(recursive=True)
+        lines = [
+            reports.metadata_mismatches(rows.where(F.col("task_type") == TaskType.COLLECTION.value), self.options.index_tolerances),
+            reports.document_mismatches(docs, g, self.options.failure_display_size),
+            reports.progress(by_namespace),
+            reports.generation_end(totals, g, seconds),
+        ]
+        if self._feeds():
+            lines.append(reports.change_events(counted))
+            for cluster, time in ((SRC, last["src_ts"]), (DST, last["dst_ts"])):
+                stats = self._feed_stats(cluster, events)
+                lines += reports.reader_status(cluster, {"processed_rows_per_second": stats["eventsPerSecond"], "saturation": stats["bufferSaturation"]}, stats["lagSecs"], time and str(time["t"]))
+            warning = self._warning.text(datetime.now(timezone.utc).timestamp(), sum(e["ddl"] for e in events.values()))
+            lines += [warning] if warning else []
+        oldest = docs.agg(F.max("duration_ms")).first()[0] or 0
+        lines.append(reports.status(found["documents"] > 0, oldest / 1000, rows.count() > docs.count(), False, bool(events), self.state.read()["writes_off"]))
+        return "\n".join(lines)
+
     def summary(self, min_seconds: float = 0) -> dict:
         """Progress with counts of mismatches by class and namespace; the age filter is for documents only."""
         docs = classify.summary(self.reported(min_seconds).where(F.col("task_type") == TaskType.DOCUMENTS.value)).collect()  # a row a namespace

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -30,6 +31,9 @@ class Side:
     shard_keys: DataFrame | None = None
     sharded: bool = False
     keys: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+    #: JSON files of change events, and their format: feed or log.
+    feed: str | None = None
+    feed_kind: str = "feed"
 
     def read(self, namespace: str) -> DataFrame:
         found = self.tables[namespace]
@@ -47,8 +51,17 @@ class Side:
             every = self.specs
         return every if namespace is None else every.where(F.col("namespace") == namespace)
 
+    def capped(self, namespace: str) -> bool:
+        """Whether a table is kept in the order of its rows; it is read whole, as one partition."""
+        found = self.spec(namespace).select(F.get_json_object("options", "$.capped")).first()
+        return found is not None and found[0] == "true"
+
     def index_list(self) -> DataFrame:
-        return self.indexes if self.indexes is not None else self.spark.createDataFrame([], INDEXES)
+        """namespace, name, spec. Without a table of indexes, each table has the one on its key, under the key's name."""
+        if self.indexes is not None:
+            return self.indexes
+        own = [(ns, "_id_", json.dumps({"key": {k: 1 for k in self.keys[ns]}})) for ns in self.tables if ns in self.keys]
+        return self.spark.createDataFrame(own, INDEXES)
 
     def shard_key_list(self) -> DataFrame:
         return self.shard_keys if self.shard_keys is not None else self.spark.createDataFrame([], SHARD_KEYS)
@@ -88,6 +101,23 @@ def natural_scan(df: DataFrame, file: str, lower: int | None = None, upper: int
     return found if upper is None else found.where(place < upper)
 
 
+def indexes_of(specs: DataFrame) -> DataFrame:
+    """namespace, name, spec of the indexes that tables' specifications list (column indexes: JSON), with the one on the key as _id. An index without a name is an error."""
+    each = F.explode(F.from_json("indexes", "array<string>")).alias("spec")
+    name = F.coalesce(F.get_json_object("spec", "$.name"), F.raise_error(F.lit("an index has no name")).cast("string"))
+    listed = specs.select("namespace", each).select("namespace", name.alias("name"), "spec")
+    own = specs.where(F.col("id_index").isNotNull()).select("namespace", F.lit("_id").alias("name"), F.col("id_index").alias("spec"))
+    return listed.unionByName(own)
+
+
+def one_spec(specs: DataFrame, namespace: str) -> dict | None:
+    """The specification of a namespace: none if it isn't there, an error if it is there twice."""
+    found = specs.where(F.col("namespace") == namespace).limit(2).collect()
+    if len(found) > 1:
+        raise ValueError(f"{namespace} is there more than once")
+    return found[0].asDict() if found else None
+
+
 def parquet_side(spark: SparkSession, paths: Mapping[str, str], **more) -> Side:
     """A side of Parquet tables by namespace."""
     return Side(spark, {ns: (lambda p=p: spark.read.parquet(p)) for ns, p in paths.items()}, **more)

@@ -77,7 +77,19 @@ def table(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """All rows of a table kept by generation; empty if there is none yet."""
     if not exists(spark, folder):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(folder)
+    return spark.read.schema(schema).parquet(folder).select(*schema.fieldNames())
+
+
+def bytes_of(df: DataFrame) -> int | None:
+    """Bytes that a frame's tables take, as the optimizer knows them from the listing of their files; None if it doesn't."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
+
+
+def replace_part(df: DataFrame, folder: str, generation: int, unit: str) -> None:
+    """Writes the rows of one unit of a generation's work in place of those that an attempt before left."""
+    columns = [c for c in df.columns if c != "generation"]
+    df.select(*columns).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/generation={generation}/unit={unit}")
 
 
 def replace_generation(df: DataFrame, folder: str, generation: int) -> None:

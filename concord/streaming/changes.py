@@ -6,6 +6,7 @@ Everything works on streaming and on batch frames alike.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextlib import AbstractContextManager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,41 +119,45 @@ def rechecks(events: DataFrame, generation: int | Column, mapping: Mapping[str,
 
 
 class RecheckWriter:
-    """foreachBatch: each batch's rechecks go to the generation that holds when it begins, under a folder of the batch's own.
+    """foreachBatch: each batch's rechecks go to the generation after the one that holds when it begins, under a folder of the batch's own.
 
-    A batch that is replayed overwrites what it wrote, in the generation it first had. Offsets are committed after that, so no event is lost.
+    Where a batch goes is noted before it is written, and that it is written after that. A whole batch that is replayed overwrites what it wrote,
+    in the generation it first had; one that was cut off goes to a generation that isn't read yet. Offsets are committed after that, so no event is lost.
+    lock: held meanwhile, so that the generation doesn't move on in the middle of a batch.
     """
 
-    def __init__(self, folder: str, generation, feed: str, policy: DdlPolicy = DdlPolicy.FAIL, mapping: Mapping[str, str] | None = None, allowed_until: tuple[int, int] | None = None):
+    def __init__(
+        self, folder: str, generation, feed: str, policy: DdlPolicy = DdlPolicy.FAIL, mapping: Mapping[str, str] | None = None, allowed_until: tuple[int, int] | None = None, lock: AbstractContextManager | None = None
+    ):
         self.folder, self.generation, self.feed, self.policy, self.mapping, self.allowed_until = folder.rstrip("/"), generation, feed, policy, mapping, allowed_until
+        self.lock = lock or nullcontext()
 
     def __call__(self, events: DataFrame, batch_id: int) -> None:
+        from concord.operators.statistics import event_counts
         from concord.sources import store
 
         spark = events.sparkSession
         if bad := fatal(events, self.policy, self.allowed_until).first():
             raise SchemaChange(f"{bad['op_type']} on {bad['db']}.{bad['coll']}")
         name = f"{self.feed}-{batch_id}"
-        generation = self._first_generation(spark, name) or self.generation() + 1
-        path = f"{self.folder}/generation={generation}/batch={name}"
-        rechecks(events, generation, self.mapping).drop("generation").write.mode("overwrite").parquet(path)
-        counts = f"{self.folder}-counts/batch={name}"
-        from concord.operators.statistics import event_counts
-
-        event_counts(events).write.mode("overwrite").parquet(counts)
-        store.touch(spark, f"{self.folder}-done/{name}", str(generation))
-
-    def _first_generation(self, spark: SparkSession, name: str) -> int | None:
-        from concord.sources import store
-
-        text = store.text(spark, f"{self.folder}-done/{name}")
-        return int(text) if text else None
-
-
-def start(events: DataFrame, writer: RecheckWriter, checkpoint: str, *, until_now: bool = True) -> StreamingQuery:
+        place = lambda g: f"{self.folder}/generation={g}/batch={name}"
+        noted, done = f"{self.folder}-noted/{name}", f"{self.folder}-done/{name}"
+        with self.lock:
+            first = store.text(spark, noted)
+            generation = self.generation() + 1 if first is None else int(first)
+            if first is not None and not store.exists(spark, done) and generation <= self.generation():
+                store.delete(spark, place(generation))
+                generation = self.generation() + 1
+            store.touch(spark, noted, str(generation))
+            rechecks(events, generation, self.mapping).drop("generation").write.mode("overwrite").parquet(place(generation))
+            event_counts(events, latest=True).write.mode("overwrite").parquet(f"{self.folder}-counts/batch={name}")
+            store.touch(spark, done)
+
+
+def start(events: DataFrame, writer: RecheckWriter, checkpoint: str, *, until_now: bool = True, every: str = "1 second") -> StreamingQuery:
     """Follows a stream of events. until_now: ends when all that is there now is handled, as after the last write; the checkpoint resumes it."""
     stream = events.writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint)
-    return (stream.trigger(availableNow=True) if until_now else stream).start()
+    return (stream.trigger(availableNow=True) if until_now else stream.trigger(processingTime=every)).start()
 
 
 def lag_seconds(last_operation: int, last_handled: int) -> int:
