@@ -180,3 +180,40 @@ def sort_key(type_: Column, number: Column, text: Column) -> Column:
     ranks = F.create_map(*(F.lit(x) for item in RANKS.items() for x in item))
     rank = F.coalesce(F.get(F.map_values(F.map_filter(ranks, lambda k, _: k == type_)), F.lit(0)), F.raise_error(F.concat(F.lit("not a key's type: "), type_)).cast("int"))
     return F.struct(rank.alias("rank"), number.cast("double").alias("number"), text.alias("text"))
+
+
+def _bound(bound: tuple) -> Column:
+    """(type, number, text) as a key in the order across types."""
+    kind, number, text = bound
+    return F.struct(F.lit(RANKS[kind]).alias("rank"), F.lit(number).cast("double").alias("number"), F.lit(text).cast("string").alias("text"))
+
+
+def _checked(lower: tuple, upper: tuple) -> None:
+    """Bounds that stand the wrong way round, or whose type can't be a key, are an error."""
+    for kind, _, _ in (lower, upper):
+        if kind not in RANKS:
+            raise ValueError(f"not a key's type: {kind}")
+    a, b = ((RANKS[k], n if n is not None else float("-inf"), t or "") for k, n, t in (lower, upper))
+    if a > b:
+        raise ValueError(f"bounds are inverted: {lower} > {upper}")
+
+
+def between(type_: Column, number: Column, text: Column, lower: tuple, upper: tuple) -> Column:
+    """lower <= key < upper in the order across types; bounds are (type, number, text)."""
+    _checked(lower, upper)
+    key = sort_key(type_, number, text)
+    return (key >= _bound(lower)) & (key < _bound(upper))
+
+
+def between_by_types(type_: Column, number: Column, text: Column, lower: tuple, upper: tuple) -> Column:
+    """The same range by lists of types: those wholly inside, and of the bounds' own types what is on the right side of the bound."""
+    _checked(lower, upper)
+    lo, hi = RANKS[lower[0]], RANKS[upper[0]]
+    of = lambda rank: type_.isin(*(k for k, r in RANKS.items() if r == rank))
+    value = F.struct(number.cast("double").alias("number"), text.alias("text"))
+    end = lambda b: F.struct(F.lit(b[1]).cast("double").alias("number"), F.lit(b[2]).cast("string").alias("text"))
+    if lo == hi:
+        return of(lo) & (value >= end(lower)) & (value < end(upper))
+    inside = [k for k, r in RANKS.items() if lo < r < hi]
+    out = (of(lo) & (value >= end(lower))) | (of(hi) & (value < end(upper)))
+    return out | type_.isin(*inside) if inside else out
