@@ -15,6 +15,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concord.functions import canonical, filters, keys
 from concord.model import DST, MISMATCH, MISSING, SRC, Method
@@ -145,17 +146,53 @@ def compare(
     if method is Method.HASH:
         told = pair.select("key", "data_size", _row(F.lit(""), F.lit(MISMATCH), DST).alias("r"))
     else:
-        both = _with_fields(_with_fields(pair, src, "s", method), dst, "d", method)
-        named = both.select("key", "data_size", _by_name(F.col("s_fields")).alias("sv"), _by_name(F.col("d_fields")).alias("dv")).select("key", "data_size", _rows_of_pair(method).alias("rows"))
+        tables = _table_of(src), _table_of(dst)
+        whole = [F.col(PRESENT if t[1] else ROW) if None not in tables else _fields(x) for x, t in zip((src, dst), tables, strict=True)]
+        both = _with_fields(_with_fields(pair, src, "s", method, whole[0]), dst, "d", method, whole[1])
+        if None in tables:
+            named = both.select("key", "data_size", _by_name(F.col("s_fields")).alias("sv"), _by_name(F.col("d_fields")).alias("dv")).select("key", "data_size", _rows_of_pair(method).alias("rows"))
+        else:
+            named = both.select("key", "data_size", _rows_of_tables(*tables).alias("rows"))
         order = F.array(_row(F.lit(""), F.lit(ORDER_ONLY), DST))
         rows = F.when(F.size("rows") == 0, order).otherwise(F.col("rows")) if method is Method.BINARY else F.col("rows")
         told = named.select("key", "data_size", F.explode(rows).alias("r"))
     return one.unionByName(told.select(F.col("key").alias("id"), "r.field", "r.details", "r.cluster", "data_size"))
 
 
-def _with_fields(pair: DataFrame, docs: DataFrame, side: str, method: Method) -> DataFrame:
-    """Adds the fields of the document that a digest is of, as s_fields or d_fields. Documents of one digest are alike."""
-    wanted = docs.join(pair.select("key").distinct(), "key", "left_semi").select("key", _fields(docs).alias("fields"), *_digest(method))
+def _table_of(docs: DataFrame) -> tuple[T.StructType, bool] | None:
+    """The schema of a table's documents and whether nulls are fields that aren't there; None for documents that are known by fields only."""
+    found = [(docs.schema[name].dataType, name == PRESENT) for name in (ROW, PRESENT) if name in docs.columns]
+    return found[0] if found else None
+
+
+def _rows_of_tables(s_kind: tuple[T.StructType, bool], d_kind: tuple[T.StructType, bool]) -> Column:
+    """_rows_of_pair() for documents of two tables (columns s_fields, d_fields: their rows): columns are compared in generated code."""
+    s, d = F.col("s_fields"), F.col("d_fields")
+    rows = []
+    for name in dict.fromkeys([*s_kind[0].fieldNames(), *d_kind[0].fieldNames()]):
+        sides = []
+        for column, (kind, absent) in ((s, s_kind), (d, d_kind)):
+            if name in kind.fieldNames():
+                value, type_ = column.getField(name), kind[name].dataType
+                sides.append((value, type_, value.isNotNull() if absent else F.lit(True)))
+            else:
+                sides.append((None, None, F.lit(False)))
+        (sv, st, sp), (dv, dt, dp) = sides
+        if sv is None or dv is None:
+            rows.append(F.when(sp, _row(F.lit(name), F.lit(MISSING), DST)) if dv is None else F.when(dp, _row(F.lit(name), F.lit(MISSING), SRC)))
+            continue
+        plain = st == dt and isinstance(st, T.IntegralType | T.StringType | T.BooleanType | T.DecimalType | T.BinaryType)
+        differs = ~sv.eqNullSafe(dv) if plain else canonical.sorted_(sv, st) != canonical.sorted_(dv, dt)
+        kind_of = lambda v, t: F.when(v.isNull(), "null").otherwise(canonical.type_name(t))
+        types = kind_of(sv, st), kind_of(dv, dt)
+        told = F.when(types[0] != types[1], F.concat(F.lit(f"{MISMATCH} : type mismatch: src="), types[0], F.lit(", dst="), types[1])).otherwise(F.lit(MISMATCH))
+        rows.append(F.when(~sp & dp, _row(F.lit(name), F.lit(MISSING), SRC)).when(sp & ~dp, _row(F.lit(name), F.lit(MISSING), DST)).when(sp & dp & differs, _row(F.lit(name), told, DST)))
+    return F.array_compact(F.array(*rows))
+
+
+def _with_fields(pair: DataFrame, docs: DataFrame, side: str, method: Method, whole: Column) -> DataFrame:
+    """Adds the fields of the document that a digest is of (whole), as s_fields or d_fields. Documents of one digest are alike."""
+    wanted = docs.join(pair.select("key").distinct(), "key", "left_semi").select("key", whole.alias("fields"), *_digest(method))
     once = wanted.groupBy("key", "a", "b").agg(F.first("fields").alias(f"{side}_fields")).withColumnsRenamed({"key": "_key", "a": "_a", "b": "_b"})
     return pair.join(once, (F.col("key") == F.col("_key")) & (F.col(f"{side}.a") == F.col("_a")) & (F.col(f"{side}.b") == F.col("_b"))).drop("_key", "_a", "_b")
 

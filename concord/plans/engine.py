@@ -158,14 +158,17 @@ class Engine:
             return [(None, None)]
         return [(r["lower"], r["upper"]) for r in partitioning.bucket_bounds(df, key[0], parts).orderBy("part").collect()]  # options.ranges at most
 
-    def _plan(self, g: int) -> dict:
-        """The generation's units, noted before the first begins, and the metadata's outcome. An attempt that was cut off left them."""
+    def _plan(self, g: int, moment: Column) -> dict:
+        """The generation's units, noted before the first begins, and the metadata's outcome, whose rows are written. An attempt that was cut off left them."""
         path = f"{self.folder}/plans/{g}.json"
         if noted := store.text(self.spark, path):
             return json.loads(noted)
         for kind in ("mismatches", "tasks", "done"):
             store.delete(self.spark, f"{self.folder}/{kind}/generation={g}")
         found, status = self.compare_metadata()
+        times = {"first_ts": moment, "duration_ms": F.lit(0).cast("long"), "data_size": F.lit(0)}
+        rows = found.select(F.lit(TaskType.COLLECTION.value).alias("task_type"), F.concat(F.lit(f"{g}-meta-"), "namespace").alias("task_id"), "id", "field", "details", "cluster", "namespace").withColumns(times)
+        store.replace_part(self._shaped(rows, g), f"{self.folder}/mismatches", g, META)
         bad = {r["namespace"]: (r["status"], r["comparable"]) for r in status.collect()}  # a row a table
         units = []
         for ns, to in self._pairs():
@@ -239,13 +242,7 @@ class Engine:
 
     def _work(self, g: int, now: datetime) -> dict:
         moment, retry = F.lit(now), lambda work: Retry().run(work)
-        plan = retry(lambda: self._plan(g))
-        done = f"{self.folder}/done/generation={g}/{META}"
-        if not store.exists(self.spark, done):
-            times = {"first_ts": moment, "duration_ms": F.lit(0).cast("long"), "data_size": F.lit(0)}
-            found = self.compare_metadata()[0].select(F.lit(TaskType.COLLECTION.value).alias("task_type"), F.concat(F.lit(f"{g}-meta-"), "namespace").alias("task_id"), "id", "field", "details", "cluster", "namespace").withColumns(times)
-            store.replace_part(self._shaped(found, g), f"{self.folder}/mismatches", g, META)
-            store.touch(self.spark, done)
+        plan = retry(lambda: self._plan(g, moment))
         with ThreadPoolExecutor(max(1, self.options.workers)) as pool:
             for work in [pool.submit(retry, lambda u=u: self._work_unit(g, u, moment)) for u in plan["units"]]:
                 work.result()
