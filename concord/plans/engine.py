@@ -138,12 +138,13 @@ class Engine:
         namespaces.one_sided(src, dst, self.options.strict_namespaces)
         return [(r["namespace"], r["namespace"]) for r in namespaces.union(src, dst).orderBy("namespace").collect()]  # names of tables
 
-    def compare_metadata(self) -> tuple[DataFrame, DataFrame]:
-        """Rows of all differences of metadata, and each namespace's (status, comparable)."""
+    def compare_metadata(self, scratch: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Rows of all differences of metadata, and each namespace's (status, comparable). scratch: a folder for the tables (rows by namespace) that both are read from."""
+        kept = lambda df, name: df if scratch is None else store.kept(df, f"{scratch}/{name}")
         named = lambda df: namespaces.remap(df, self.options.namespaces) if self.options.namespaces else df
-        specs = metadata.compare_specs(self.src.spec(), named(self.dst.spec()), self.options.verify_all)
-        indexes = metadata.compare_indexes(self.src.index_list(), named(self.dst.index_list()))
-        shards = metadata.compare_shard_keys(self.src.shard_key_list(), named(self.dst.shard_key_list()), self.src.sharded and self.dst.sharded)
+        specs = kept(metadata.compare_specs(self.src.spec(), named(self.dst.spec()), self.options.verify_all), "specs")
+        indexes = kept(metadata.compare_indexes(self.src.index_list(), named(self.dst.index_list())), "indexes")
+        shards = kept(metadata.compare_shard_keys(self.src.shard_key_list(), named(self.dst.shard_key_list()), self.src.sharded and self.dst.sharded), "shard-keys")
         found = metadata.rows(specs).select("namespace", "id", "field", "details", "cluster").unionByName(indexes).unionByName(shards)
         return found, metadata.outcomes(specs, [indexes, shards]).join(specs.select("namespace", "comparable"), "namespace")
 
@@ -165,7 +166,7 @@ class Engine:
             return json.loads(noted)
         for kind in ("mismatches", "tasks", "done"):
             store.delete(self.spark, f"{self.folder}/{kind}/generation={g}")
-        found, status = self.compare_metadata()
+        found, status = self.compare_metadata(scratch := f"{self.folder}/scratch/{g}-{META}")
         times = {"first_ts": moment, "duration_ms": F.lit(0).cast("long"), "data_size": F.lit(0)}
         rows = found.select(F.lit(TaskType.COLLECTION.value).alias("task_type"), F.concat(F.lit(f"{g}-meta-"), "namespace").alias("task_id"), "id", "field", "details", "cluster", "namespace").withColumns(times)
         store.replace_part(self._shaped(rows, g), f"{self.folder}/mismatches", g, META)
@@ -176,6 +177,7 @@ class Engine:
                 units += [{"unit": str(len(units) + i), "namespace": ns, "to": to, "lower": lower, "upper": upper} for i, (lower, upper) in enumerate(self._ranges(ns, g))]
         plan = {"units": units, "status": {ns: s for ns, (s, _) in bad.items()}}
         store.touch(self.spark, path, json.dumps(plan, default=str))
+        store.delete(self.spark, scratch)
         return json.loads(json.dumps(plan, default=str))
 
     def _rechecks(self, ns: str, g: int, schema, key: tuple[str, ...]) -> DataFrame:
@@ -201,7 +203,7 @@ class Engine:
         src, dst = self.src.read(ns), self.dst.read(to)
         prior = ids = None
         scratch = f"{self.folder}/scratch/{g}-{unit['unit']}"
-        written = lambda df, name: (df.write.mode("overwrite").parquet(f"{scratch}/{name}"), self.spark.read.schema(df.schema).parquet(f"{scratch}/{name}"))[1]
+        written = lambda df, name: store.kept(df, f"{scratch}/{name}")
         times = {"src_ts": None, "dst_ts": None}
         if g:
             known = written(self._rechecks(ns, g, src.schema, key), "ids")

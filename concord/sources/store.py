@@ -80,6 +80,12 @@ def table(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(folder).select(*schema.fieldNames())
 
 
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """df as a table of its own, in place of what an attempt before left there."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bytes_of(df: DataFrame) -> int | None:
     """Bytes that a frame's tables take, as the optimizer knows them from the listing of their files; None if it doesn't."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

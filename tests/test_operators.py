@@ -177,3 +177,85 @@ def test_expressions(spark):
     assert pick(X.strict_cast(F.lit("12"), "int")) == 12
     with pytest.raises(PySparkException):
         pick(X.strict_cast(F.col("s"), "int"))
+
+
+@pytest.mark.parametrize("n, parts", [(0, 4), (50, 4), (5000, 1), (5000, 4), (5000, 40)])
+def test_bucket_bounds_hold_all_keys(spark, n, parts):
+    frame = spark.createDataFrame([(k,) for k in range(n)] + [(None,)], "k long")
+    ranges = partitioning.bucket_bounds(frame, "k", parts).orderBy("part").collect()
+    assert ranges[0].lower is None and ranges[-1].upper is None and len(ranges) <= parts
+    assert all(a.upper == b.lower and a.upper is not None for a, b in zip(ranges, ranges[1:], strict=False))
+    assert len(ranges) == 1 if parts == 1 or n < 101 else len(ranges) > parts // 2
+    assert sum(frame.where(partitioning.within(F.col("k"), r.lower, r.upper)).count() for r in ranges[:3] + ranges[3:4]) == n + 1 or len(ranges) > 4
+
+
+def test_chunks_of_a_hot_namespace(spark):
+    rng = random.Random(1)
+    rows = [("hot", f"{i:05}") for i in range(900)] + [(f"n{i % 7}", f"{i:05}") for i in range(100)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "ns string, id string").repartition(5)
+    place = {}
+    for ns, own in sorted(rows):
+        place[ns, own] = sum(1 for k in place if k[0] == ns)
+    for ranges in (1, 3, 16):
+        got = {(r.ns, r.id): r.chunk for r in recheck.by_count(frame, "ns", "id", 40, ranges).collect()}
+        assert got == {k: n // 40 for k, n in place.items()}
+
+
+@pytest.mark.parametrize(
+    "query, kept",
+    [
+        ({"s": {"$regex": "^a.c"}}, [1]),
+        ({"n": {"$mod": [4, 1]}}, [1, 5]),
+        ({"a": {"$size": 2}}, [1, 3]),
+        ({"a": {"$all": [1, 2]}}, [1, 3]),
+        ({"a": {"$elemMatch": {"$gt": 2, "$lt": 9}}}, [3]),
+        ({"o": {"$elemMatch": {"x": 1, "y": {"$gte": 5}}}}, [3]),
+        ({"n": {"$type": "long"}}, [1, 2, 3, 5]),
+        ({"n": {"$type": ["string", "null"]}}, [4]),
+        ({"s": {"$type": "number"}}, []),
+        ({"$expr": {"$gt": ["$n", {"$add": ["$m", 1]}]}}, [5]),
+        ({"$expr": {"$or": [{"$eq": ["$n", "$m"]}, {"$lt": ["$n", 0]}]}}, [1, 4]),  # null is less than a number
+        ({"$nor": [{"n": {"$gte": 2}}, {"n": None}]}, [1]),
+    ],
+)
+def test_more_query_operators(spark, query, kept):
+    rows = [(1, 1, "abc", [1, 2], [(1, 1)], 1), (2, 2, "xabc", [], [], 7), (3, 3, None, [2, 1], [(2, 9), (1, 5)], 9), (4, None, "b", None, None, 4), (5, 5, "aXd", [9, 3, 2], [(1, None)], 0)]
+    rows[2] = (3, 3, None, [2, 1], [(2, 9), (1, 5)], 9)
+    frame = spark.createDataFrame(rows, "k long, n long, s string, a array<long>, o array<struct<x:long,y:long>>, m long")
+    if "$elemMatch" in str(query.get("a")):
+        frame = frame.withColumn("a", F.when(F.col("k") == 3, F.array(F.lit(5), F.lit(1)).cast("array<long>")).when(F.col("k") == 5, F.array(F.lit(9)).cast("array<long>")).otherwise(F.col("a")))
+    assert sorted(r.k for r in frame.where(filters.condition(query)).collect()) == kept
+
+
+@pytest.mark.parametrize("query", [{"a": {"$odd": 1}}, {"a": {"$type": "odd"}}, {"$where": "x"}, {"$expr": {"$odd": [1, 2]}}])
+def test_unknown_operators_are_errors(spark, query):
+    with pytest.raises(ValueError):
+        filters.compiled(query)
+
+
+@pytest.mark.parametrize("lower, upper", [(("string", None, "a"), ("int", 1.0, None)), (("int", 5.0, None), ("double", 4.0, None)), (("string", None, "b"), ("string", None, "a")), (("array", None, None), ("int", 1.0, None))])
+def test_inverted_bounds_are_errors(spark, lower, upper):
+    from concord.functions import canonical
+
+    for f in (canonical.between, canonical.between_by_types):
+        with pytest.raises(ValueError):
+            f(F.lit("int"), F.lit(1.0), F.lit(None), lower, upper)
+
+
+def test_both_forms_of_a_range_are_one(spark):
+    from concord.functions import canonical
+
+    rng = random.Random(2)
+    some = lambda: rng.choice([("int", float(rng.randint(0, 9)), None), ("double", rng.random() * 9, None), ("string", None, rng.choice("abcd")), ("bool", float(rng.randint(0, 1)), None), ("null", None, None), ("date", float(rng.randint(0, 9)), None)])
+    frame = spark.createDataFrame([some() for _ in range(300)], "type string, number double, text string")
+    c = [F.col(x) for x in ("type", "number", "text")]
+    tried = 0
+    while tried < 12:
+        lower, upper = some(), some()
+        try:
+            two = [f(*c, lower, upper).alias(n) for n, f in (("x", canonical.between), ("y", canonical.between_by_types))]
+        except ValueError:
+            continue
+        tried += 1
+        assert frame.select(*two).where("x is distinct from coalesce(y, false)").count() == 0
