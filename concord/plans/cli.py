@@ -101,6 +101,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.clean:
         engine.clean()
     if args.checkOnly:
+        print(engine.document_counts())
         began = time.monotonic()
         engine.run_generation()
         engine.finish_generation()

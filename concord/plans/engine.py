@@ -20,11 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from concord.functions import keys, namespaces
+from concord.functions import filters, keys, namespaces
 from concord.functions.history import Last
 from concord.model import DST, MISMATCHES, RECHECKS, SRC, TASKS, Options, Phase, Status, TaskType
 from concord.operators import classify, diff, metadata, partitioning, recheck, statistics
-from concord.sources import store
+from concord.sources import catalog, store
 from concord.sources.catalog import Side
 from concord.sources.retry import Retry
 from concord.streaming import changes
@@ -354,6 +354,14 @@ class Engine:
             "lagSecs": changes.lag_seconds(int(datetime.now(timezone.utc).timestamp()), last["t"]) if last else None,
         }
 
+    def document_counts(self) -> str:
+        """How many documents pass the filter on each side, by namespace of the source: a count of each table."""
+        passed = None if self.options.filter is None else filters.condition(self.options.filter)
+        pairs = self._pairs()
+        src = {ns: catalog.count(self.src.read(ns), passed) for ns, _ in pairs if ns in self.src.tables}
+        dst = {ns: catalog.count(self.dst.read(to), passed) for ns, to in pairs if to in self.dst.tables}
+        return reports.document_counts(src, dst)
+
     def report(self, seconds: float) -> str:
         """What a generation's end says: mismatches, progress by namespace, change events, and how the feeds keep up."""
         g = max(0, self.generation() - 1)
@@ -378,6 +386,8 @@ class Engine:
                 lines += reports.reader_status(cluster, {"processed_rows_per_second": stats["eventsPerSecond"], "saturation": stats["bufferSaturation"]}, stats["lagSecs"], time and str(time["t"]))
             warning = self._warning.text(datetime.now(timezone.utc).timestamp(), sum(e["ddl"] for e in events.values()))
             lines += [warning] if warning else []
+        if log.isEnabledFor(logging.DEBUG):
+            lines.append(reports.workers(self.spark))
         oldest = docs.agg(F.max("duration_ms")).first()[0] or 0
         lines.append(reports.status(found["documents"] > 0, oldest / 1000, rows.count() > docs.count(), False, bool(events), self.state.read()["writes_off"]))
         return "\n".join(lines)

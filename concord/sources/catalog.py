@@ -19,9 +19,9 @@ SHARD_KEYS = "namespace string, key string"
 
 @dataclass
 class Side:
-    """tables: namespace to a frame, or to a function that reads it; the frame is read anew for each generation.
+    """tables: namespace to a frame, or to a function that reads it; it is called anew for each unit of a generation's work.
 
-    A generation reads the files its frames had when they were made, so what is written meanwhile waits for the next.
+    A unit reads the files its frames had when they were made, however often it reads them; what is written meanwhile waits for the next generation, which events bring it to.
     """
 
     spark: SparkSession

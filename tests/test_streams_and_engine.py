@@ -109,6 +109,7 @@ def test_filter_holds_on_each_side(spark, tmp_path):
     src, dst = [(1, "in"), (2, "out"), (3, "in")], [(1, "in"), (2, "in"), (3, "out")]
     engine = Engine(side(spark, src), side(spark, dst), str(tmp_path / "state"), Options(filter={"v": {"$ne": "out"}}))
     assert engine.run_generation() == {"contentDiffers": 0, "missingOnDst": 1, "extraOnDst": 1, "documents": 2}
+    assert engine.document_counts().split("\n")[3].split() == ["|", "db.c", "|", "2", "|", "2", "|"]
 
 
 def test_http(spark, tmp_path):
@@ -255,6 +256,14 @@ def test_command_line(tmp_path):
         Options(namespaces={"a": "x", "b": "x"})
 
 
+def test_check_only(spark, tmp_path, capsys):
+    paths = [tables(spark, tmp_path / n, rows) for n, rows in (("s", [(1, "a"), (2, "b")]), ("d", [(1, "a"), (2, "c")]))]
+    argv = ["--src", f"db.c={paths[0]}", "--dst", f"db.c={paths[1]}", "--folder", str(tmp_path / "f"), "--checkOnly"]
+    assert cli.main(argv) == 1
+    said = capsys.readouterr().out
+    assert "Documents with differing content" in said and "Generation 0 ended" in said and "| db.c      | 2      | 2           |" in said
+
+
 def test_status_lines():
     assert reports.status(True, 0, False, False, False, True).startswith("❗")
     assert reports.status(False, 0, False, False, False, True).startswith("✅")
