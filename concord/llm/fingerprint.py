@@ -104,10 +104,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     buckets = written(found, "digest-collisions")  # next to none, so Spark will broadcast it
     need = slim.join(order, "id").groupBy("next_id").agg(F.max(F.floor(F.col("n") / 2)).cast("int").alias("need"))
     about = written(order.join(need.withColumnRenamed("next_id", "id"), "id", "left").select("id", "next_id", F.coalesce("need", F.lit(0)).alias("need")), "digest-about")
-    # Texts are hashed before the one exchange that both uses below share.
+    # Texts are hashed before the one exchange that both uses below share; it is one only while both read the same columns of it.
     held = told_apart(hashed(rows), buckets, "canon", "h1", "h2", "ordinal").drop("canon").repartition(partitions(docs.sparkSession), "id")
     own = held.join(about.select("id", "next_id"), "id").select("id", "next_id", "n", "h1", "h2", "ordinal", F.expr("left(text, cast(n - n div 2 as int))").alias("half"))
-    later = held.join(about.select("id", "need"), "id").select(F.col("id").alias("next_id"), F.expr("left(text, need)").alias("lead"), _print("h1", "h2", "ordinal").alias("next_print"))
+    later = held.join(about.select("id", "need"), "id").select(F.col("id").alias("next_id"), F.expr("left(text, least(need, cast(n as int)))").alias("lead"), _print("h1", "h2", "ordinal").alias("next_print"))
     later = later.groupBy("next_id").agg(F.min(F.struct("lead", "next_print")).alias("later")).select("next_id", "later.*")
     met = own.join(later, "next_id").withColumn("edited", F.concat("half", F.expr("left(lead, cast(n div 2 as int))")))
     met = met.withColumn("edited_canon", canonical(F.col("edited")))
