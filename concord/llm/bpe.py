@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
 Pieces come from array scans (scan.py), their ids from a bounded cache over pair
-merging. Encoded rows keep where pieces end among their ids, and decoding goes by these
-offsets: a piece's ids are looked up as a whole, and any run of pieces is decoded by itself.
+merging. Encoded rows keep where pieces end among their ids; by these offsets any run of
+pieces is decoded by itself, and all of them give the text back.
 
 Null texts are empty texts; empty texts have no ids; rows repeat as they came;
 columns besides doc_id and text are ignored. A text is taken whole: one longer
@@ -13,10 +13,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache, partial
-from itertools import pairwise
-from struct import pack, unpack
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -63,13 +62,11 @@ class ByteBPE:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for piece, i in ranks.items():
             self.bytes_of[i] = piece
-        self.spelt = MergeCache(lambda ids: b"".join(map(self.bytes_of.__getitem__, unpack(f"<{len(ids) // 4}I", ids))))
 
     def pieces(self, texts: list[str]) -> list[list[bytes]]:
         """The ids of each piece of each text."""
-        joined, starts, ends = scan.pieces(scan.byte_level(), texts)
-        at = starts.tolist()
-        found = list(map(self.known.__getitem__, [joined[a:b] for a, b in zip(at, [*at[1:], len(joined)], strict=True)]))
+        points, starts, ends = scan.located(scan.byte_level(), texts)
+        found = list(map(self.known.__getitem__, scan.cut(points, starts)))
         out, a = [], 0
         for b in ends.tolist():
             out.append(found[a:b])
@@ -81,7 +78,7 @@ class ByteBPE:
         out, at, size = [], 0, SEGMENT
         while at < len(text):
             part = text[at : at + size]
-            _, starts, _ = scan.pieces(scan.byte_level(), [part])
+            _, starts, _ = scan.located(scan.byte_level(), [part])
             starts = starts[:-1]
             if at + size >= len(text):
                 cut = len(part)
@@ -111,18 +108,16 @@ class ByteBPE:
 
     def offsets(self, text: str) -> list[tuple[int, int, int]]:
         """Per piece: where it starts and ends in the text (code points), and its number of ids."""
-        _, starts, _ = scan.pieces(scan.byte_level(), [text])
+        _, starts, _ = scan.located(scan.byte_level(), [text])
         return [(a, b, len(ids) // 4) for a, b, ids in zip(starts[:-1].tolist(), starts[1:].tolist(), self.pieces([text])[0], strict=True)]
 
-    def decode(self, ids: bytes, ends: Iterable[int] | None = None) -> bytes:
-        """The bytes that ids stand for. ends: the number of ids up to the end of each piece; without them every id is looked up by itself."""
-        if ends is None:
-            return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return self.spell(ids[4 * a : 4 * b] for a, b in pairwise([0, *ends]))
-
-    def spell(self, pieces: Iterable[bytes]) -> bytes:
-        """The bytes of pieces that are given by their ids."""
-        return b"".join(map(self.spelt.__getitem__, pieces))
+    def decode(self, ids: bytes, ends: Sequence[int] | None = None, first: int = 0, last: int | None = None) -> bytes:
+        """The bytes that ids stand for. With the number of ids up to the end of each piece, those of pieces first to last (from 0, last not included) only."""
+        if ends is not None:
+            stops = [0, *ends]
+            last = len(ends) if last is None else min(last, len(ends))
+            ids = ids[4 * stops[min(first, last)] : 4 * stops[last]]
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @lru_cache(2)
@@ -144,7 +139,7 @@ def _digests(batches, path):
             ids = b"".join(pieces)
             n.append(len(ids) // 4)
             ids_sha.append(hashlib.sha256(ids).hexdigest())
-            text_sha.append(hashlib.sha256(bpe.spell(pieces)).hexdigest())
+            text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
@@ -164,7 +159,7 @@ def _ids(batches, path, digests):
                 ends.append(np.cumsum(np.fromiter(map(len, pieces), np.int32, len(pieces)) // 4, dtype=np.int32))
                 if digests:
                     ids_sha.append(hashlib.sha256(raw).hexdigest())
-                    text_sha.append(hashlib.sha256(bpe.spell(pieces)).hexdigest())
+                    text_sha.append(hashlib.sha256(bpe.decode(raw)).hexdigest())
             columns = {c: batch[c].slice(first, len(run)) for c in batch.schema.names if c != "text"} | {"ids": _lists(ids), "piece_ends": _lists(ends)}
             if digests:
                 columns |= {"n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
@@ -179,10 +174,11 @@ def _runs(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         at += len(run)
 
 
-def _texts(batches, path):
+def _texts(batches, path, first, last):
     bpe = encoder(path)
     for batch in batches:
-        texts = [bpe.decode(np.array(x or [], "<u4").tobytes(), e).decode("utf-8", "replace") for x, e in zip(batch["ids"].to_pylist(), batch["piece_ends"].to_pylist(), strict=True)]
+        rows = zip(batch["ids"].to_pylist(), batch["piece_ends"].to_pylist(), strict=True)
+        texts = [bpe.decode(np.array(x or [], "<u4").tobytes(), ends, first, last).decode("utf-8", "replace") for x, ends in rows]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
 
@@ -201,11 +197,12 @@ def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = (),
     return rows.mapInArrow(partial(_ids, path=path or vocabulary(), digests=digests), f"{kinds}, ids array<int>, piece_ends array<int>{more}")
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and text from doc_id, ids and piece_ends; without the latter, or where it is null, id by id."""
+def decode(encoded: DataFrame, path: str | None = None, first: int = 0, last: int | None = None) -> DataFrame:
+    """doc_id and text from doc_id, ids and piece_ends. first, last: of the pieces (from 0, last not included), of which a text may have fewer; whole texts need no piece_ends."""
     bounded_batches(encoded.sparkSession)
-    ends = F.col("piece_ends") if "piece_ends" in encoded.columns else F.lit(None).cast("array<int>").alias("piece_ends")
-    return encoded.select("doc_id", "ids", ends).mapInArrow(partial(_texts, path=path or vocabulary()), "doc_id long, text string")
+    ends = F.lit(None).cast("array<int>") if (first, last) == (0, None) else F.col("piece_ends")
+    rows = encoded.select("doc_id", "ids", ends.alias("piece_ends"))
+    return rows.mapInArrow(partial(_texts, path=path or vocabulary(), first=first, last=last), "doc_id long, text string")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

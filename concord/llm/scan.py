@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 
@@ -154,17 +155,33 @@ def word_level() -> Machine:
     return Machine(step, starts)
 
 
-def pieces(machine: Machine, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
-    """The texts joined with a separator after each, where pieces start in that, and which of these are separators.
+def located(machine: Machine, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the texts, joined with a separator after each, where pieces start in that, and which of these are separators.
 
     Work and memory are in proportion to the texts' length; callers bound it.
     """
-    joined = "\0".join(texts) + "\0"
-    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    points = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le"), np.uint32)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
     padded = np.concatenate([points, np.zeros(2, np.uint32)])
     starts = machine.boundaries(symbols(padded, np.concatenate([ends, [len(points), len(points) + 1]]))[: len(points)])
-    return joined, starts, np.searchsorted(starts, ends)
+    return points, starts, np.searchsorted(starts, ends)
+
+
+#: Code points that are no characters, one of which texts may be cut at.
+NONCHARACTERS = (*range(0xFDD0, 0xFDF0), 0xFFFE, 0xFFFF, *(plane << 16 | last for plane in range(1, 17) for last in (0xFFFE, 0xFFFF)))
+
+
+def cut(points: np.ndarray, starts: np.ndarray) -> list[str]:
+    """The pieces as texts. starts: ascending, from 0."""
+    mark = next((c for c in NONCHARACTERS if not (points == c).any()), None)
+    if mark is None:
+        text = points.tobytes().decode("utf-32-le")
+        return [text[a:b] for a, b in pairwise([*starts.tolist(), len(text)])]
+    marked = np.full(len(points) + len(starts) - 1, mark, np.uint32)
+    own = np.ones(len(marked), bool)
+    own[starts[1:] + np.arange(len(starts) - 1)] = False
+    marked[own] = points
+    return marked.tobytes().decode("utf-32-le").split(chr(mark))
 
 
 def groups(texts: list[str], most: int = 1 << 20):

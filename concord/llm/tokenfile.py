@@ -22,6 +22,7 @@ import struct
 import unicodedata
 import zlib
 from functools import lru_cache, partial
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -154,15 +155,13 @@ class WordBPE:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         for run in scan.groups(texts):
             normal = [self.normal(t) for t in run]
-            joined, starts, ends = scan.pieces(scan.word_level(), [t or "" for t in normal])
-            kinds = scan.classes()[np.frombuffer(joined.encode("utf-32-le"), np.uint32)[starts]]
-            white = (kinds == scan.SPACE) | (kinds == scan.BLANK)
-            white[ends] = False
-            at, stops = starts.tolist(), [*starts[1:].tolist(), len(joined)]
-            keep = np.flatnonzero(~white)
-            found = list(map(self.known.__getitem__, [joined[at[i] : stops[i]] for i in keep.tolist()]))
+            points, starts, ends = scan.located(scan.word_level(), [t or "" for t in normal])
+            kinds = scan.classes()[points[starts]]
+            kept = (kinds != scan.SPACE) & (kinds != scan.BLANK)
+            kept[ends] = True
+            found = list(map(self.known.__getitem__, compress(scan.cut(points, starts), kept.tolist())))
             a = 0
-            for text, own, b in zip(run, normal, np.searchsorted(keep, ends).tolist(), strict=True):
+            for text, own, b in zip(run, normal, (np.cumsum(kept)[ends] - 1).tolist(), strict=True):
                 yield self._library(text, True) if own is None else b"".join(found[a:b])
                 a = b + 1
 

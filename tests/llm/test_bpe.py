@@ -50,6 +50,16 @@ def test_scan_equals_stepping():
             assert machine.boundaries(symbols).tolist() == expected
 
 
+def test_cutting_with_and_without_a_free_mark(monkeypatch):
+    text = "ab" + "".join(map(chr, scan.NONCHARACTERS)) + "é中"
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    starts = np.array([0, 1, 5, len(text) - 1])
+    expected = [text[:1], text[1:5], text[5:-1], text[-1:]]
+    assert scan.cut(points, starts) == expected
+    assert scan.cut(points[:40], np.array([0, 3])) == [text[:3], text[3:40]]
+    assert "".join(scan.cut(points[:1], np.array([0]))) == "a"
+
+
 def test_offsets():
     text = "It's  two\nlines 中文 12"
     found = bpe.encoder(bpe.vocabulary()).offsets(text)
@@ -79,12 +89,16 @@ def test_rows_keep_their_offsets(make):
         assert text == ours.decode(raw) and hashlib.sha256(text).hexdigest() == r.decoded_sha256
         # Any run of pieces is decoded by itself.
         cut = len(r.piece_ends) // 2
-        if cut:
-            first, last = r.piece_ends[cut - 1], r.piece_ends[-1]
-            assert ours.decode(raw[: 4 * first], r.piece_ends[:cut]) + ours.decode(raw[4 * first : 4 * last], [x - first for x in r.piece_ends[cut:]]) == text
+        assert ours.decode(raw, r.piece_ends, 0, cut) + ours.decode(raw, r.piece_ends, cut) == text
     without = bpe.encode(make(rows)).drop("piece_ends")
     assert sorted(map(tuple, bpe.decode(without).collect()), key=str) == sorted(((i, t or "") for i, t in rows), key=str)
 
 
+def test_a_run_of_pieces(make):
+    rows = [(1, "It's two words"), (2, "one"), (3, None)]
+    encoded = bpe.encode(make(rows))
+    assert sorted(map(tuple, bpe.decode(encoded, first=1, last=3).collect())) == [(1, "'s two"), (2, ""), (3, "")]
+
+
 def test_empty_table(make):
     assert bpe.digests(make([])).collect() == []
