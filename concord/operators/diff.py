@@ -90,14 +90,24 @@ def _digest(method: Method) -> tuple[Column, Column]:
 def differing(src: DataFrame, dst: DataFrame, method: Method, natural: bool) -> DataFrame:
     """key, s, d: digests (a, b, size) of documents that have no equal on the other side; one of the two may be null.
 
-    Several of one key on either side meet in the order of their digests, whatever order they came in.
+    Several of one key stand in line on either side, in the order of their digests whatever order they came in, and those at one place meet. Equal copies are one
+    stretch of the line, whatever their number: rows of a key are as many as its different documents, until the last step tells copies out.
     """
     slim = lambda df, n: df.select("key", *_digest(method), "size", F.lit(n).cast("long").alias("n"))
     left = slim(src, 1).unionByName(slim(dst, -1)).groupBy("key", "a", "b", "size").agg(F.sum("n").alias("n")).where("n != 0")
-    each = left.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("n")))).select("key", F.struct("a", "b", "size").alias("x"), (F.col("n") > 0).alias("from_src"))
-    placed = each.withColumn("occ", F.row_number().over(Window.partitionBy("key", "from_src").orderBy("x")))
-    met = placed.groupBy("key", "occ").agg(F.max(F.when(F.col("from_src"), F.col("x"))).alias("s"), F.max(F.when(~F.col("from_src"), F.col("x"))).alias("d"))
-    return met.where("s is not null") if natural else met
+    # All that follows is by key, and needs no other exchange.
+    runs = left.repartition("key").select("key", (F.col("n") > 0).alias("from_src"), F.struct("a", "b", "size").alias("x"), F.abs("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("key", "from_src").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = runs.withColumn("upto", upto)
+    nothing = F.lit(None).cast(placed.schema["x"].dataType)
+    marks = placed.select("key", "from_src", F.explode(F.array(F.struct((F.col("upto") - F.col("n")).alias("at"), "x"), F.struct(F.col("upto").alias("at"), nothing.alias("x")))).alias("m")).select("key", "from_src", "m.at", "m.x")
+    own = lambda side, value: F.max(F.when(F.col("from_src") == side, value))
+    met = marks.groupBy("key", "at").agg(own(True, F.col("x")).alias("sx"), own(True, F.lit(True)).alias("sm"), own(False, F.col("x")).alias("dx"), own(False, F.lit(True)).alias("dm"))
+    line = Window.partitionBy("key").orderBy("at")
+    held = lambda mark, value: F.last(F.when(F.col(mark), F.struct(F.col(value).alias("v"))), ignorenulls=True).over(line)["v"]
+    stretches = met.select("key", held("sm", "sx").alias("s"), held("dm", "dx").alias("d"), (F.lead("at").over(line) - F.col("at")).alias("n"))
+    found = stretches.where(F.col("n") > 0).where("s is not null" if natural else "s is not null or d is not null")
+    return found.select("key", "s", "d", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("_copy")).drop("_copy")
 
 
 def _by_name(fields: Column) -> Column:
