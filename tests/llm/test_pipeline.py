@@ -76,3 +76,38 @@ def test_one_row_of_each_component_stays(spark):
     assert sorted(left, key=str) == sorted([(1, x.strip()), (5, y.strip()), (None, z.strip()), (1, "")], key=str)
     again = corpus_pipeline.drop_copies(spark, docs.repartition(3), "")
     assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
+
+
+def test_odd_rows_and_empty_tables_in_every_stage(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "a phrase of some words which stands in a benchmark item"), (None, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, None, None), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "one text", "en", "s", 8), (1, "one text", "en", "s", 8), (2, None, None, None, None), (None, "", "en", None, 0), (None, None, "en", "s", None), (3, "x" * 300_000, "en", "s", 300_000), (4, "\n\n \n", None, "s", 4)]
+    more = ", fp long, h1 string, component_id long, `_id` long, row_key long, gone long, score double, ids string"
+    docs = spark.createDataFrame([(*r, 1, "x", 2, 3, 4, 5, 0.5, "y") for r in rows], columns + more)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        kept = [tuple(r) for r in out.select("doc_id", "lang", "source").collect()]
+        assert set(kept) <= {(r[0], *r[2:4]) for r in rows}
+        assert stage(spark, docs.limit(0), d).collect() == []
+    assert corpus_pipeline.drop_toxic(spark, docs, d).count() == corpus_pipeline.drop_lines(spark, docs, d).count() == corpus_pipeline.drop_contaminated(spark, docs, d).count() == len(rows)
+    once = corpus_pipeline.drop_copies(spark, docs, d).collect()
+    assert len(once) == 3  # the empty ones are one group, the equal rows another
+    last = corpus_pipeline.encode(spark, docs, d)
+    assert last.count() == len(rows) and sum(r.n_tokens == 0 for r in last.collect()) == 3
+    assert corpus_pipeline.encode(spark, docs.limit(0), d).collect() == []
+
+
+def test_what_stages_wrote_on_the_way_is_deleted(spark):
+    from pathlib import Path
+
+    from concord.llm.common import scratch_root
+
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    before = {p.name for p in root.iterdir()}
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    new = [p.name for p in root.iterdir() if p.name not in before and not p.name.startswith((".", "rdd-")) and "-" in p.name and any(p.iterdir())]
+    assert [n for n in new if n.startswith("encoding-")] and not [n for n in new if n.startswith(("copies", "postings", "hits", "line-", "toxicity-", "near-dedup-", "simhash-"))]
+    assert out.count() > 0
