@@ -15,8 +15,10 @@ from concord.llm.common import DOCUMENT_COLUMNS, scratch, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier (operator 4, fitted on the labelled ones among docs) scores under 0.5."""
+    """Documents that the classifier (operator 4, fitted on the labelled ones among docs) scores under 0.5. All of them if labels of one class only, or none, taught it nothing."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model.weights:
+        return docs.select(*DOCUMENT_COLUMNS)
     return toxicity.score(docs.select(*DOCUMENT_COLUMNS), model).where("score < 0.5").select(*DOCUMENT_COLUMNS)
 
 
