@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--partitioningScheme", default="id", choices=["id", "natural"])
     p.add_argument("--partitionSizeMB", type=int, default=0, help="size of the key ranges that a large table is compared in; 0: 400")
     p.add_argument("--numWorkers", type=int, default=10, help="tables or key ranges that are compared at a time")
-    p.add_argument("--generationPauseDelay", type=int, default=1000, help="milliseconds between generations while nothing is queued")
+    p.add_argument("--generationPauseDelay", type=int, default=1000, help="milliseconds between generations while writes go on")
     p.add_argument("--srcFeed", help="folder of the source's change events (JSON files)")
     p.add_argument("--dstFeed", help="folder of the destination's change events (JSON files)")
     p.add_argument("--srcChangeReader", default="feed", choices=["feed", "log"], help="format of the source's change events")

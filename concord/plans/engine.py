@@ -45,7 +45,7 @@ class Engine:
         self.running = False
         self.streams: dict[str, StreamingQuery] = {}
         self.rates = {SRC: Last(), DST: Last()}
-        self._lock, self._queue_lock, self._still = threading.Lock(), threading.RLock(), threading.Event()
+        self._queue_lock, self._still = threading.RLock(), threading.Event()
         self._warning = reports.SchemaWarning()
 
     # Tables.
@@ -285,7 +285,7 @@ class Engine:
 
     def writes_off(self) -> None:
         """Says that both sides are still. Once only."""
-        with self._lock:
+        with self._queue_lock:  # the state is read and written at once
             if self.state.read()["writes_off"]:
                 raise RuntimeError("writes are off already")
             self.state.write(writes_off=True)
@@ -308,8 +308,7 @@ class Engine:
                 if state["last"] or (not self._feeds() and self.queue(g).isEmpty() and not self.state.read()["writes_off"]):
                     break
                 most = None if most is None else most - 1
-                if self.queue(g).isEmpty():
-                    self._still.wait(self.options.pause_seconds)
+                self._still.wait(self.options.pause_seconds)  # documents in flight have time to arrive, unless writes are off
         finally:
             self.unfollow()
         return counts
