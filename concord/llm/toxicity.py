@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from .common import bounded_batches, text_or_empty
 SAMPLE, FOLDS, BUCKETS, RARE = 12_000, 5, 1 << 20, 3
 PREFIXES = (4, 5, 6)
 L1, SWAP, STEPS = 1e-3, 1.0, 150
-CACHED = 200_000
+CACHED, BLOCK = 200_000, 1 << 19
 
 #: Terms that name a group of people, by what they have in common; a term is swapped for the next of its row.
 IDENTITIES = (
@@ -105,62 +107,90 @@ class Model:
         self.__init__(*state)
 
 
-def fit(rows: list[tuple[int, list[int], list[int] | None]], l1: float = L1, swap: float = SWAP, steps: int = STEPS) -> Model:
-    """rows: label, features, and the features after the swap where there is one. Accelerated proximal gradient steps."""
-    y = np.array([r[0] for r in rows], float)
+class _Matrix:
+    """Rows of features, each 0 or 1, worked on in blocks so that no step needs more than BLOCK numbers at once."""
+
+    def __init__(self, lists: list[np.ndarray], column: np.ndarray, columns: int):
+        """column: of each feature, its place from 1, or 0 if it isn't learnt."""
+        kept = []
+        for x in lists:
+            place = column[x]
+            kept.append(place[place > 0] - 1)
+        self.n, self.columns = len(lists), columns
+        self.sizes = np.array([len(x) for x in kept], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.col = np.concatenate([np.zeros(0, np.int32), *kept])
+        self.blocks = np.unique(np.searchsorted(self.at, [*range(0, int(self.at[-1]), BLOCK), int(self.at[-1])], side="right") - 1).tolist()
+
+    def _parts(self):
+        for a, b in pairwise(sorted({0, *self.blocks, self.n})):
+            yield a, b, self.col[self.at[a] : self.at[b]]
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        """The matrix by a vector."""
+        out = np.zeros(self.n)
+        for a, b, col in self._parts():
+            some = np.flatnonzero(self.sizes[a:b])
+            if len(some):
+                out[a + some] = np.add.reduceat(v[col], self.at[a + some] - self.at[a])
+        return out
+
+    def back(self, e: np.ndarray) -> np.ndarray:
+        """A vector by the matrix."""
+        out = np.zeros(self.columns)
+        for a, b, col in self._parts():
+            out += np.bincount(col, np.repeat(e[a:b], self.sizes[a:b]), minlength=self.columns)
+        return out
+
+
+def fit(rows: Iterable[tuple[int, np.ndarray, np.ndarray | None]], l1: float = L1, swap: float = SWAP, steps: int = STEPS) -> Model:
+    """rows: label, features, and the features after the swap where there is one; read once. Accelerated proximal gradient steps."""
+    labels, own, other, swapped_at = [], [], [], []
+    for label, features_, changed in rows:
+        if changed is not None:
+            swapped_at.append(len(own))
+            other.append(np.asarray(changed, np.int32))
+        labels.append(label)
+        own.append(np.asarray(features_, np.int32))
+    y, at = np.array(labels, float), np.array(swapped_at, np.int64)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(-30.0 if share == 0 else 30.0, {})
-    pairs = [(i, r[2]) for i, r in enumerate(rows) if r[2] is not None]
-    counts = np.bincount(np.concatenate([np.asarray(r[1], np.int32) for r in rows]), minlength=BUCKETS)
-    column = (np.cumsum(counts >= RARE) * (counts >= RARE)).astype(np.int32)  # 0: not learnt; else its place
+    counts = np.zeros(BUCKETS, np.int64)
+    for x in own:
+        counts[x] += 1  # features of a row are distinct
+    column = (np.cumsum(counts >= RARE) * (counts >= RARE)).astype(np.int32)
     names = np.flatnonzero(counts >= RARE)
-
-    def sparse(lists):
-        lengths = [len(x) for x in lists]
-        col = column[np.concatenate([np.asarray(x, np.int32) for x in lists] + [np.zeros(0, np.int32)])]
-        row = np.repeat(np.arange(len(lists), dtype=np.int32), lengths)
-        return row[col > 0], col[col > 0] - 1
-
-    d, n = len(names), len(rows)
-    r, c = sparse([x[1] for x in rows])
-    r2, c2 = sparse([x for _, x in pairs])
-    at = np.array([i for i, _ in pairs], np.int64)
+    d, n = len(names), len(own)
+    texts, swaps = _Matrix(own, column, d), _Matrix(other, column, d)
+    del own, other, counts, column
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
 
-    def times(rr, cc, m, v):
-        return np.bincount(rr, v[cc], minlength=m)
-
-    def gradient(w, b):
-        z = times(r, c, n, w)
-        p = 1 / (1 + np.exp(-np.clip(z + b, -30, 30)))
-        e = weight * (p - y)
-        g = np.zeros(n)
-        if len(at):
-            gap = (z[at] - times(r2, c2, len(at), w)) * (2 * swap / len(at))
-            np.add.at(g, at, gap)
-            return np.bincount(c, (e + g)[r], minlength=d) - np.bincount(c2, gap[r2], minlength=d), e.sum()
-        return np.bincount(c, e[r], minlength=d), e.sum()
+    def slope(z, v, e):
+        """Of the log-loss (e: its slope by each text's logit) and of the squared changes under swaps; z: the texts' logits at v, without bias."""
+        if not len(at):
+            return texts.back(e)
+        gap = (z[at] - swaps.times(v)) * (2 * swap / len(at))
+        g = e.copy()
+        np.add.at(g, at, gap)
+        return texts.back(g) - swaps.back(gap)
 
     # The curvature's bound by power iteration.
     v, b = np.ones(d) / max(1.0, np.sqrt(d)), 1.0
     top = 1.0
     for _ in range(12):
-        s = 0.25 * weight * (times(r, c, n, v) + b)
-        u, ub = np.bincount(c, s[r], minlength=d), s.sum()
-        if len(at):
-            gap = (times(r, c, n, v)[at] - times(r2, c2, len(at), v)) * (2 * swap / len(at))
-            g = np.zeros(n)
-            np.add.at(g, at, gap)
-            u = u + np.bincount(c, g[r], minlength=d) - np.bincount(c2, gap[r2], minlength=d)
+        z = texts.times(v)
+        s = 0.25 * weight * (z + b)
+        u, ub = slope(z, v, s), s.sum()
         top = float(np.sqrt(u @ u + ub * ub)) or 1.0
         v, b = u / top, ub / top
     rate = 1 / (1.1 * top)
     w, bias = np.zeros(d), 0.0
     ahead, bias_ahead, t = w, bias, 1.0
     for _ in range(steps):
-        gw, gb = gradient(ahead, bias_ahead)
-        new, new_bias = ahead - rate * gw, bias_ahead - rate * gb
+        z = texts.times(ahead)
+        e = weight * (1 / (1 + np.exp(-np.clip(z + bias_ahead, -30, 30))) - y)
+        new, new_bias = ahead - rate * slope(z, ahead, e), bias_ahead - rate * e.sum()
         new = np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, bias_ahead = new + (t - 1) / t2 * (new - w), new_bias + (t - 1) / t2 * (new_bias - bias)
@@ -199,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = rows.groupBy("doc_id", F.col("toxic").cast("int").alias("toxic")).agg(F.min("text").alias("text"))  # and so many rows
     rows = rows.select("toxic", "text").mapInArrow(_learnt_from, "toxic int, own binary, other binary")
     number = lambda x: None if x is None else np.frombuffer(x, "<i4")
-    return fit([(1 if r.toxic else 0, number(r.own), number(r.other)) for r in rows.collect()])
+    return fit((1 if r.toxic else 0, number(r.own), number(r.other)) for r in rows.collect())
 
 
 def _scores(batches, model):
