@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, linededup, pii, quality, rollup, simhash, tokenfile, toxicity
+from . import bpe, decontaminate, fingerprint, linededup, periodic, pii, quality, rollup, simhash, tokenfile, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_file": tokenfile.op8_token_file,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_token_counts": rollup.op10_token_counts,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 #: The others need tokenisers, fitted models or hashes that SQL doesn't have; tests hold them against brute force.
