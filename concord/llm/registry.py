@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, lexical, linededup, periodic, pii, quality, rollup, simhash, tokenfile, toxicity
+from . import bpe, decontaminate, fingerprint, lexical, linededup, minhash, periodic, pii, quality, rollup, simhash, tokenfile, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_token_counts": rollup.op10_token_counts,
     "op11_lexical_search": lexical.op11_lexical_search,
+    "op12_minhash": minhash.op12_minhash,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op2_decontamination": decontaminate.ORACLE_SQL,
     "op9_line_dedup": linededup.ORACLE_SQL,
     "op11_lexical_search": lexical.ORACLE_SQL,
+    "op12_minhash": minhash.ORACLE_SQL,
 }
