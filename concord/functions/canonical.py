@@ -4,7 +4,9 @@ Every value gets a type tag; strings carry their length, so nothing can be
 mistaken for structure. ordered() keeps the fields of objects as they stand,
 sorted_() puts them in the order of their names at every level; arrays always
 keep their order. int, long, double and decimal never equal each other; 0.0 and -0.0 differ;
-null is a value and differs from a field that isn't there.
+null is a value and differs from a field that isn't there. A day, a timestamp and a timestamp without zone never equal each other; timestamps count by microseconds.
+Objects whose names are strings are the same as structs and as maps; maps with other keys tell the keys' type.
+A VARIANT value has its own type in each row. VARIANT objects keep no order of fields.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ ATOMS: dict[type, tuple[str, str]] = {
     T.StringType: ("s", "string"),
     T.BooleanType: ("b", "bool"),
     T.BinaryType: ("x", "binData"),
-    T.DateType: ("t", "date"),
+    T.DateType: ("D", "day"),
     T.TimestampType: ("t", "date"),
-    T.TimestampNTZType: ("t", "date"),
+    T.TimestampNTZType: ("u", "localDate"),
+    T.DayTimeIntervalType: ("w", "interval"),
+    T.YearMonthIntervalType: ("m", "interval"),
 }
 
 
@@ -55,8 +59,10 @@ def _atom(c: Column, kind: T.DataType) -> Column:
             value = F.hex(c)
         elif isinstance(kind, T.StringType):
             value = _text(c)
-        elif isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType):
-            value = F.unix_millis(c.cast("timestamp")).cast("string")
+        elif isinstance(kind, T.DateType):
+            value = F.unix_date(c).cast("string")
+        elif isinstance(kind, T.TimestampType):
+            value = F.unix_micros(c).cast("string")
         elif isinstance(kind, T.FloatType):
             value = c.cast("double").cast("string")
         else:
@@ -73,7 +79,8 @@ def _encode(c: Column, kind: T.DataType, by_name: bool) -> Column:
         body = F.concat(F.lit("{"), *parts, F.lit("}"))
     elif isinstance(kind, T.MapType):
         entries = F.map_entries(c)
-        texts = F.transform(entries, lambda e: F.concat(_text(e["key"].cast("string")), F.lit("="), _encode(e["value"], kind.valueType, by_name)))
+        name = lambda k: _text(k) if isinstance(kind.keyType, T.StringType) else _encode(k, kind.keyType, by_name)
+        texts = F.transform(entries, lambda e: F.concat(name(e["key"]), F.lit("="), _encode(e["value"], kind.valueType, by_name)))
         body = F.concat(F.lit("{"), F.array_join(F.array_sort(texts) if by_name else texts, ""), F.lit("}"))
     elif isinstance(kind, T.ArrayType):
         body = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: _encode(x, kind.elementType, by_name)), ""), F.lit("]"))
@@ -166,54 +173,3 @@ def python_text(v, by_name: bool) -> str:
     if kind == "string":
         return f"s{len(v)}:{v};"
     return {"bool": lambda: f"b{str(v).lower()};", "long": lambda: f"l{v};", "double": lambda: f"d{v!r};", "binData": lambda: f"x{v.hex().upper()};", "null": lambda: "z;"}[kind]()
-
-
-#: Rank of types among each other where keys of several types are ordered. Numbers share a rank, and so do strings and symbols.
-RANKS = {
-    "minKey": 0, "null": 1, "int": 2, "long": 2, "double": 2, "decimal": 2, "string": 3, "symbol": 3, "object": 4, "binData": 5, "objectId": 6,
-    "bool": 7, "date": 8, "timestamp": 9, "dbPointer": 10, "code": 11, "codeWithScope": 12, "maxKey": 13,
-}
-
-
-def sort_key(type_: Column, number: Column, text: Column) -> Column:
-    """An order across types: struct of rank, number and text, null where the type has none of it. Types that can't be keys are an error."""
-    ranks = F.create_map(*(F.lit(x) for item in RANKS.items() for x in item))
-    rank = F.coalesce(F.get(F.map_values(F.map_filter(ranks, lambda k, _: k == type_)), F.lit(0)), F.raise_error(F.concat(F.lit("not a key's type: "), type_)).cast("int"))
-    return F.struct(rank.alias("rank"), number.cast("double").alias("number"), text.alias("text"))
-
-
-def _bound(bound: tuple) -> Column:
-    """(type, number, text) as a key in the order across types."""
-    kind, number, text = bound
-    return F.struct(F.lit(RANKS[kind]).alias("rank"), F.lit(number).cast("double").alias("number"), F.lit(text).cast("string").alias("text"))
-
-
-def _checked(lower: tuple, upper: tuple) -> None:
-    """Bounds that stand the wrong way round, or whose type can't be a key, are an error."""
-    for kind, _, _ in (lower, upper):
-        if kind not in RANKS:
-            raise ValueError(f"not a key's type: {kind}")
-    a, b = ((RANKS[k], n if n is not None else float("-inf"), t or "") for k, n, t in (lower, upper))
-    if a > b:
-        raise ValueError(f"bounds are inverted: {lower} > {upper}")
-
-
-def between(type_: Column, number: Column, text: Column, lower: tuple, upper: tuple) -> Column:
-    """lower <= key < upper in the order across types; bounds are (type, number, text)."""
-    _checked(lower, upper)
-    key = sort_key(type_, number, text)
-    return (key >= _bound(lower)) & (key < _bound(upper))
-
-
-def between_by_types(type_: Column, number: Column, text: Column, lower: tuple, upper: tuple) -> Column:
-    """The same range by lists of types: those wholly inside, and of the bounds' own types what is on the right side of the bound."""
-    _checked(lower, upper)
-    lo, hi = RANKS[lower[0]], RANKS[upper[0]]
-    of = lambda rank: type_.isin(*(k for k, r in RANKS.items() if r == rank))
-    value = F.struct(number.cast("double").alias("number"), text.alias("text"))
-    end = lambda b: F.struct(F.lit(b[1]).cast("double").alias("number"), F.lit(b[2]).cast("string").alias("text"))
-    if lo == hi:
-        return of(lo) & (value >= end(lower)) & (value < end(upper))
-    inside = [k for k, r in RANKS.items() if lo < r < hi]
-    out = (of(lo) & (value >= end(lower))) | (of(hi) & (value < end(upper)))
-    return out | type_.isin(*inside) if inside else out

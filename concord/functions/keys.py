@@ -44,7 +44,7 @@ def key_text(df: DataFrame, keys: Sequence[str]) -> Column:
 #: Tags of the types whose values can be read back from a canonical text, and how.
 _READ = {
     "i": lambda x, kind: x.try_cast(kind), "l": lambda x, kind: x.try_cast(kind), "n": lambda x, kind: x.try_cast(kind), "b": lambda x, kind: x.try_cast(kind),
-    "t": lambda x, kind: F.timestamp_millis(x.try_cast("bigint")).cast(kind), "x": lambda x, kind: F.unhex(x),
+    "t": lambda x, kind: F.timestamp_micros(x.try_cast("bigint")), "D": lambda x, kind: F.date_from_unix_date(x.try_cast("int")), "u": lambda x, kind: x.try_cast(kind), "x": lambda x, kind: F.unhex(x),
 }
 
 

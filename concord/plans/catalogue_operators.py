@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.functions import canonical, formats, history, keys
+from concord.functions import canonical, formats, history, keys, ordering
 from concord.functions import expressions as X
 from concord.model import DdlPolicy, Options
 from concord.operators import classify, diff, metadata, partitioning, recheck, statistics
@@ -191,7 +191,7 @@ def cross_type_range(spark, sf_dir):
     """Keys from the number 100 to the text purchase, in the order across types; the same range by lists of types holds the same."""
     m, lower, upper = _mixed(spark, sf_dir), ("int", 100.0, None), ("string", None, "purchase")
     c = [F.col(x) for x in ("type", "number", "text")]
-    return m.select("event_id", canonical.between(*c, lower, upper).alias("inside"), canonical.between_by_types(*c, lower, upper).alias("by_types")).where("inside or by_types").select("event_id", (F.col("inside") & F.col("by_types")).alias("by_types"))
+    return m.select("event_id", ordering.between(*c, lower, upper).alias("inside"), ordering.between_by_types(*c, lower, upper).alias("by_types")).where("inside or by_types").select("event_id", (F.col("inside") & F.col("by_types")).alias("by_types"))
 
 
 # Change events.

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from concord.functions import canonical, keys
+from concord.functions import canonical, keys, ordering
 from concord.functions.canonical import Typed
 from concord.model import DST, SRC
 from concord.operators import diff
@@ -128,7 +128,7 @@ def test_canonical_of_types(spark, kind):
 
 def test_sort_key(spark):
     rows = [("null", None, None), ("long", 5.0, None), ("double", 4.5, None), ("symbol", None, "a"), ("string", None, "b"), ("bool", None, "true"), ("maxKey", None, None)]
-    frame = spark.createDataFrame(rows, "t string, n double, s string").select("t", canonical.sort_key(F.col("t"), F.col("n"), F.col("s")).alias("k"))
+    frame = spark.createDataFrame(rows, "t string, n double, s string").select("t", ordering.of_parts(F.col("t"), F.col("n"), F.col("s")).alias("k"))
     assert [r.t for r in frame.orderBy("k").collect()] == ["null", "double", "long", "symbol", "string", "bool", "maxKey"]
 
 

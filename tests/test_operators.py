@@ -236,15 +236,15 @@ def test_unknown_operators_are_errors(spark, query):
 
 @pytest.mark.parametrize("lower, upper", [(("string", None, "a"), ("int", 1.0, None)), (("int", 5.0, None), ("double", 4.0, None)), (("string", None, "b"), ("string", None, "a")), (("array", None, None), ("int", 1.0, None))])
 def test_inverted_bounds_are_errors(spark, lower, upper):
-    from concord.functions import canonical
+    from concord.functions import ordering
 
-    for f in (canonical.between, canonical.between_by_types):
+    for f in (ordering.between, ordering.between_by_types):
         with pytest.raises(ValueError):
             f(F.lit("int"), F.lit(1.0), F.lit(None), lower, upper)
 
 
 def test_both_forms_of_a_range_are_one(spark):
-    from concord.functions import canonical
+    from concord.functions import ordering
 
     rng = random.Random(2)
     some = lambda: rng.choice([("int", float(rng.randint(0, 9)), None), ("double", rng.random() * 9, None), ("string", None, rng.choice("abcd")), ("bool", float(rng.randint(0, 1)), None), ("null", None, None), ("date", float(rng.randint(0, 9)), None)])
@@ -254,7 +254,7 @@ def test_both_forms_of_a_range_are_one(spark):
     while tried < 12:
         lower, upper = some(), some()
         try:
-            two = [f(*c, lower, upper).alias(n) for n, f in (("x", canonical.between), ("y", canonical.between_by_types))]
+            two = [f(*c, lower, upper).alias(n) for n, f in (("x", ordering.between), ("y", ordering.between_by_types))]
         except ValueError:
             continue
         tried += 1
