@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordering import let
+
 #: Type tag and name of the atomic types.
 ATOMS: dict[type, tuple[str, str]] = {
     T.ByteType: ("i", "int"),
@@ -85,13 +87,45 @@ def _encode(c: Column, kind: T.DataType, by_name: bool) -> Column:
     elif isinstance(kind, T.ArrayType):
         body = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: _encode(x, kind.elementType, by_name)), ""), F.lit("]"))
     elif isinstance(kind, T.VariantType):
-        # Object keys of a variant are sorted in its JSON form; the schema tells 1 from 1.0.
-        body = F.concat(F.lit("v"), _text(F.to_json(c)), _text(F.schema_of_variant(c)), F.lit(";"))
+        body = _of_variant(c)
     else:
         body = _atom(c, kind)
     return F.when(c.isNull(), F.lit("z;")).otherwise(body)
 
 
+#: How a variant's schema names its atomic types, what type of a column each is read as, and the type's name.
+VARIANTS = {
+    "BIGINT": (T.LongType(), "long"), "STRING": (T.StringType(), "string"), "BOOLEAN": (T.BooleanType(), "bool"), "DOUBLE": (T.DoubleType(), "double"), "FLOAT": (T.DoubleType(), "double"), "BINARY": (T.BinaryType(), "binData"),
+    "DATE": (T.DateType(), "day"), "TIMESTAMP": (T.TimestampType(), "date"), "TIMESTAMP_NTZ": (T.TimestampNTZType(), "localDate"),
+}
+
+
+def _of_variant(c: Column) -> Column:
+    """An atomic value has the text that a column of its type would give. An object or array has its JSON text, whose names are sorted, and its schema, which tells 1 from 1.0."""
+
+    def by(schema: Column) -> Column:
+        out = F.when(schema == "VOID", "z;").when(schema.startswith("DECIMAL"), F.concat(F.lit("n"), F.try_variant_get(c, "$", "string"), F.lit(";")))
+        for name, (kind, _) in VARIANTS.items():
+            out = out.when(schema == name, _atom(F.try_variant_get(c, "$", kind.simpleString()), kind))
+        return out.otherwise(F.concat(F.lit("v"), _text(F.to_json(c)), _text(schema), F.lit(";")))
+
+    return let(F.schema_of_variant(c), by)
+
+
+def type_of(c: Column, kind: T.DataType) -> Column:
+    """The name of a value's type: null has its own, and a variant that of the value it holds."""
+    if not isinstance(kind, T.VariantType):
+        return F.when(c.isNull(), F.lit("null")).otherwise(F.lit(type_name(kind)))
+
+    def by(schema: Column) -> Column:
+        out = F.when(schema.isNull() | (schema == "VOID"), "null").when(schema.startswith("DECIMAL"), "decimal").when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array")
+        for name, (_, told) in VARIANTS.items():
+            out = out.when(schema == name, told)
+        return out.otherwise(F.lower(schema))
+
+    return let(F.schema_of_variant(c), by)
+
+
 def ordered(c: Column, kind: T.DataType) -> Column:
     return _encode(c, kind, False)
 
@@ -110,12 +144,21 @@ def fields_of(schema: T.StructType, missing_if_null: bool = False, source: str |
     for f in schema.fields:
         c = F.col(f"`{f.name}`") if source is None else F.col(source).getField(f.name)
         entry = F.struct(
-            F.lit(f.name).alias("name"), ordered(c, f.dataType).alias("ordered"), sorted_(c, f.dataType).alias("sorted"), F.when(c.isNull(), F.lit("null")).otherwise(F.lit(type_name(f.dataType))).alias("type")
+            F.lit(f.name).alias("name"), ordered(c, f.dataType).alias("ordered"), sorted_(c, f.dataType).alias("sorted"), type_of(c, f.dataType).alias("type")
         )
         parts.append(F.when(c.isNotNull(), entry) if missing_if_null else entry)
     return F.array_compact(F.array(*parts)) if parts else F.array().cast(FIELDS)
 
 
+def fields_of_variant(c: Column) -> Column:
+    """A variant that holds an object as a document: the fields that this very row has. Null is a document without fields; what holds anything else is an error."""
+    whole = F.when(F.schema_of_variant(c).startswith("OBJECT"), c).otherwise(F.raise_error(F.concat(F.lit("not a document: "), F.schema_of_variant(c))).cast("variant"))
+    each = F.map_entries(whole.cast("map<string,variant>"))
+    kind = T.VariantType()
+    made = F.transform(each, lambda e: F.struct(e["key"].alias("name"), _encode(e["value"], kind, False).alias("ordered"), _encode(e["value"], kind, True).alias("sorted"), type_of(e["value"], kind).alias("type")))
+    return F.when(c.isNull(), F.array().cast(FIELDS)).otherwise(made)
+
+
 def row_text(schema: T.StructType, by_name: bool, missing_if_null: bool = False) -> Column:
     """What ordered_text or sorted_text say of a row as a document, by plain concatenation of its columns."""
     parts = []

@@ -12,6 +12,7 @@ value() reads those of atomic types back. Spark and DuckDB compare strings by by
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime, timedelta, timezone
 from decimal import Decimal
 
@@ -37,31 +38,42 @@ def _escaped(text: Column) -> Column:
     return F.concat(F.replace(text, F.lit("\x00"), F.lit("\x00\x01")), F.lit(END))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def of_number_text(text: Column) -> Column:
     """The order of a number that is written plainly or with an exponent (E)."""
-    negative = text.startswith("-")
-    body = F.when(negative, F.substr(text, F.lit(2))).otherwise(text)
-    mantissa = F.substring_index(body, "E", 1)
-    exponent = F.when(body.contains("E"), F.substring_index(body, "E", -1).try_cast("int")).otherwise(0)
-    whole = F.substring_index(mantissa, ".", 1)
-    every = F.concat(whole, F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise(""))
-    trimmed = F.ltrim(every, F.lit("0"))
-    point = F.length(whole) - (F.length(every) - F.length(trimmed)) + exponent
-    digits = F.concat(F.lpad((point + _EXPONENT).cast("string"), 4, "0"), F.rtrim(trimmed, F.lit("0")))
-    number = F.when(trimmed == "", "d").when(negative, F.concat(F.lit("c"), F.translate(digits, *_NINES), F.lit("~"))).otherwise(F.concat(F.lit("e"), digits, F.lit("!")))
-    return F.when(text == "NaN", "a").when(text == "-Infinity", "b").when(text == "Infinity", "f").otherwise(number)
+
+    def placed(t: Column, m: Column) -> Column:
+        every = F.replace(m["mantissa"], F.lit("."))
+        trimmed = F.ltrim(every, F.lit("0"))
+        point = F.length(F.substring_index(m["mantissa"], ".", 1)) - F.length(every) + F.length(trimmed) + m["exponent"]
+        return F.when(trimmed != "", F.concat(F.lpad((point + _EXPONENT).cast("string"), 4, "0"), F.rtrim(trimmed, F.lit("0"))))
+
+    def number(t: Column) -> Column:
+        body = F.ltrim(t, F.lit("-"))
+        parts = F.struct(F.substring_index(body, "E", 1).alias("mantissa"), F.when(t.contains("E"), F.substring_index(body, "E", -1).try_cast("int")).otherwise(0).alias("exponent"))
+        signed = lambda d: F.when(d.isNull(), "d").when(t.startswith("-"), F.concat(F.lit("c"), F.translate(d, *_NINES), F.lit("~"))).otherwise(F.concat(F.lit("e"), d, F.lit("!")))
+        return F.when(t == "NaN", "a").when(t == "-Infinity", "b").when(t == "Infinity", "f").otherwise(let(let(parts, lambda m: placed(t, m)), signed))
+
+    return let(text, number)
 
 
 def number_text(c: Column, kind: T.DataType) -> Column:
     """A number's exact digits."""
     if not isinstance(kind, T.FractionalType) or isinstance(kind, T.DecimalType):
         return c.cast("string")
-    d = c.cast("double")
-    high = F.floor(d / 2.0**64)
-    low = ((d - high.cast("double") * 2.0**64) / 2048).cast("long")
-    large = (high.cast("decimal(19,0)") * F.lit(Decimal(1 << 64)).cast("decimal(20,0)") + low.cast("decimal(19,0)") * 2048).cast("string")
-    size = F.abs(d)
-    return F.when((size >= 2.0**53) & (size < 2.0**63), F.when(size < 2.0**63, d).cast("long").cast("string")).when((size >= 2.0**63) & (size < 1e37), large).otherwise(d.cast("string"))
+
+    def exact(d: Column) -> Column:
+        high = F.floor(d / 2.0**64)
+        low = ((d - high.cast("double") * 2.0**64) / 2048).cast("long")
+        large = (high.cast("decimal(19,0)") * F.lit(Decimal(1 << 64)).cast("decimal(20,0)") + low.cast("decimal(19,0)") * 2048).cast("string")
+        size = F.abs(d)
+        return F.when(size < 2.0**53, d.cast("string")).when(size < 2.0**63, d.cast("long").cast("string")).when(size < 1e37, large).otherwise(d.cast("string"))
+
+    return let(c.cast("double"), exact)
 
 
 def _micros(c: Column, kind: T.DataType) -> Column:
@@ -107,20 +119,20 @@ def rank(kind: T.DataType) -> str:
 
 def _of_variant(c: Column) -> Column:
     """A value whose type its row tells. Objects and arrays are in the order of their JSON text."""
-    kind, text = F.schema_of_variant(c), F.try_variant_get(c, "$", "string")
-    double = F.try_variant_get(c, "$", "double")
-    time = F.try_variant_get(c, "$", "timestamp")
-    own = [
-        (kind == "VOID", F.lit(RANKS["null"])), (kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | kind.startswith("DECIMAL"), F.concat(F.lit(RANKS["int"]), of_number_text(text))),
-        (kind.isin("DOUBLE", "FLOAT"), F.concat(F.lit(RANKS["int"]), of_number_text(number_text(double, T.DoubleType())))), (kind == "STRING", F.concat(F.lit(RANKS["string"]), _escaped(text))),
-        (kind == "BOOLEAN", F.concat(F.lit(RANKS["bool"]), F.when(text == "true", "1").otherwise("0"))), (kind == "BINARY", F.concat(F.lit(RANKS["binData"]), F.hex(F.try_variant_get(c, "$", "binary")), F.lit(END))),
-        (kind.isin("DATE", "TIMESTAMP", "TIMESTAMP_NTZ"), F.concat(F.lit(RANKS["date"]), _micros(time, T.TimestampType()))),
-        (kind.startswith("OBJECT"), F.concat(F.lit(RANKS["object"]), _escaped(F.to_json(c)))), (kind.startswith("ARRAY"), F.concat(F.lit(RANKS["array"]), _escaped(F.to_json(c)))),
-    ]
-    out = F.when(*own[0])
-    for when, what in own[1:]:
-        out = out.when(when, what)
-    return out.otherwise(F.raise_error(F.concat(F.lit("not a key's type: "), kind)).cast("string"))
+    got = lambda kind: F.try_variant_get(c, "$", kind)
+    told = lambda name, what: F.concat(F.lit(RANKS[name]), what)
+
+    def by(kind: Column) -> Column:
+        number = F.when(kind.isin("DOUBLE", "FLOAT"), number_text(got("double"), T.DoubleType())).otherwise(got("string"))
+        return (
+            F.when(kind == "VOID", RANKS["null"]).when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), told("int", of_number_text(number)))
+            .when(kind == "STRING", told("string", _escaped(got("string")))).when(kind == "BOOLEAN", told("bool", F.when(got("boolean"), "1").otherwise("0"))).when(kind == "BINARY", told("binData", F.concat(F.hex(got("binary")), F.lit(END))))
+            .when(kind.isin("DATE", "TIMESTAMP", "TIMESTAMP_NTZ"), told("date", _micros(got("timestamp"), T.TimestampType())))
+            .when(kind.startswith("OBJECT"), told("object", _escaped(F.to_json(c)))).when(kind.startswith("ARRAY"), told("array", _escaped(F.to_json(c))))
+            .otherwise(F.raise_error(F.concat(F.lit("not a key's type: "), kind)).cast("string"))
+        )
+
+    return let(F.schema_of_variant(c), by)
 
 
 def encoded(c: Column, kind: T.DataType) -> Column:

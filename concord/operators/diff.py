@@ -42,6 +42,24 @@ def sized(docs: DataFrame) -> DataFrame:
     return made.withColumn("size", F.octet_length("ordered"))
 
 
+def variant_documents(df: DataFrame, key: Sequence[str], document: str, *, filter: str | dict | Column | None = None) -> DataFrame:
+    """Documents without a schema: a VARIANT column holds each whole, with the fields and types it happens to have. key: paths within the document.
+
+    A field that is null is there; one that is missing isn't. A VARIANT keeps no order of fields, so two that differ in it only are equal by every method.
+    """
+    if filter is not None:
+        df = df.where(filters.condition(filter))
+    doc = F.col(f"`{document}`")
+    text = F.concat(*(canonical.sorted_(F.try_variant_get(doc, f"$.{k}", "variant"), T.VariantType()) for k in key))
+    return sized(df.select(text.alias("key"), canonical.fields_of_variant(doc).alias("fields")))
+
+
+def occurring(df: DataFrame, document: str) -> DataFrame:
+    """field, type, documents: which fields the documents of a VARIANT column have, by type."""
+    each = df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(document).outer()))
+    return each.groupBy(F.col("key").alias("field"), canonical.type_of(F.col("value"), T.VariantType()).alias("type")).agg(F.count(F.lit(1)).alias("documents"))
+
+
 def _fields(docs: DataFrame) -> Column:
     for name in (ROW, PRESENT):
         if name in docs.columns:
@@ -81,10 +99,14 @@ def restricted_rows(df: DataFrame, ids: DataFrame, key: Sequence[str]) -> DataFr
     return df.join(wanted, met, "left_semi")
 
 
+def _text_of(method: Method) -> Column:
+    """What the method holds equal. Either text of a document has the same length."""
+    return F.col("sorted" if method is Method.IGNORE_ORDER else "ordered")
+
+
 def _digest(method: Method) -> tuple[Column, Column]:
     """Two hashes of what the method holds equal."""
-    text = F.col("sorted" if method is Method.IGNORE_ORDER else "ordered")
-    return F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b")
+    return F.xxhash64(_text_of(method)).alias("a"), F.xxhash64(F.lit("second"), _text_of(method)).alias("b")
 
 
 def differing(src: DataFrame, dst: DataFrame, method: Method, natural: bool) -> DataFrame:
@@ -93,7 +115,7 @@ def differing(src: DataFrame, dst: DataFrame, method: Method, natural: bool) ->
     Several of one key stand in line on either side, in the order of their digests whatever order they came in, and those at one place meet. Equal copies are one
     stretch of the line, whatever their number: rows of a key are as many as its different documents, until the last step tells copies out.
     """
-    slim = lambda df, n: df.select("key", *_digest(method), "size", F.lit(n).cast("long").alias("n"))
+    slim = lambda df, n: df.select("key", *_digest(method), F.octet_length(_text_of(method)).alias("size"), F.lit(n).cast("long").alias("n"))
     left = slim(src, 1).unionByName(slim(dst, -1)).groupBy("key", "a", "b", "size").agg(F.sum("n").alias("n")).where("n != 0")
     # All that follows is by key, and needs no other exchange.
     runs = left.repartition("key").select("key", (F.col("n") > 0).alias("from_src"), F.struct("a", "b", "size").alias("x"), F.abs("n").alias("n"))
@@ -111,8 +133,9 @@ def differing(src: DataFrame, dst: DataFrame, method: Method, natural: bool) ->
 
 
 def _by_name(fields: Column) -> Column:
-    """Name to sorted value and type; of fields that share a name the last counts."""
-    last = F.filter(fields, lambda f, i: ~F.exists(F.slice(fields, i + 2, F.greatest(F.size(fields) - i - 1, F.lit(0))), lambda g: g["name"] == f["name"]))
+    """Name to sorted value and type; of fields that share a name the last counts. Fields are put in the order of name and place, so that each looks at its neighbour only."""
+    placed = F.array_sort(F.transform(fields, lambda f, i: F.struct(f["name"].alias("name"), i.alias("i"), f["sorted"].alias("sorted"), f["type"].alias("type"))))
+    last = F.filter(placed, lambda f, i: ~F.coalesce(F.get(placed, i + 1)["name"] == f["name"], F.lit(False)))
     return F.map_from_entries(F.transform(last, lambda f: F.struct(f["name"], F.struct(f["sorted"], f["type"]))))
 
 
@@ -193,8 +216,7 @@ def _rows_of_tables(s_kind: tuple[T.StructType, bool], d_kind: tuple[T.StructTyp
             continue
         plain = st == dt and isinstance(st, T.IntegralType | T.StringType | T.BooleanType | T.DecimalType | T.BinaryType)
         differs = ~sv.eqNullSafe(dv) if plain else canonical.sorted_(sv, st) != canonical.sorted_(dv, dt)
-        kind_of = lambda v, t: F.when(v.isNull(), "null").otherwise(canonical.type_name(t))
-        types = kind_of(sv, st), kind_of(dv, dt)
+        types = canonical.type_of(sv, st), canonical.type_of(dv, dt)
         told = F.when(types[0] != types[1], F.concat(F.lit(f"{MISMATCH} : type mismatch: src="), types[0], F.lit(", dst="), types[1])).otherwise(F.lit(MISMATCH))
         rows.append(F.when(~sp & dp, _row(F.lit(name), F.lit(MISSING), SRC)).when(sp & ~dp, _row(F.lit(name), F.lit(MISSING), DST)).when(sp & dp & differs, _row(F.lit(name), told, DST)))
     return F.array_compact(F.array(*rows))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ideal(size_bytes: int, target_bytes: int, ratio: float = 1.0, capped: bool = False) -> int:
@@ -54,14 +55,26 @@ def _place(key: str) -> Column:
     return F.when(heads == 0, 0).otherwise((heads - 1) * F.col("_g") + inside)
 
 
+#: Distinct keys that are sampled for each range, where a sample stands for quantiles.
+EDGE_SAMPLE = 100
+
+
 def ranked(df: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
     """key and rank (from 0) of all rows in the order of key, without a task that sees them all.
 
     Rows are dealt to ranges between approximate quantiles; each range ranks its own after the rows of the ranges before it, whose counts are one row a range.
     """
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    quantiles = F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000)
-    edges = df.agg(F.array_sort(F.array_distinct(F.coalesce(quantiles, F.array().cast(f"array<{df.schema[key].dataType.simpleString()}>")))).alias("e"))
+    none = F.array().cast(f"array<{df.schema[key].dataType.simpleString()}>")
+    if isinstance(df.schema[key].dataType, T.StringType | T.BinaryType | T.BooleanType):
+        # There are no approximate quantiles of these; a bounded sample of keys gives them.
+        every = max(1, df.count() // (EDGE_SAMPLE * n))
+        chosen = df.select(key).where(F.pmod(F.xxhash64(key), F.lit(every)) == 0).distinct()
+        tiles = chosen.select(key, F.ntile(n).over(Window.orderBy(key)).alias("_tile")).groupBy("_tile").agg(F.max(key).alias("_end"))
+        edges = tiles.agg(F.coalesce(F.array_sort(F.collect_list("_end")), none).alias("e"))
+    else:
+        quantiles = F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000)
+        edges = df.agg(F.array_sort(F.array_distinct(F.coalesce(quantiles, none))).alias("e"))
     dealt = df.select(key).join(F.broadcast(_search(edges))).select(key, _place(key).alias("_range"))  # n - 1 edges
     before = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = before.select("_range", (F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -511,3 +513,88 @@ def engine_state(spark, sf_dir):
     state.write(generation=3)
     ok = state.read()["generation"] == 3 and state.write(writes_off=True)["writes_off"] and json.loads(json.dumps(state.read()))["generation"] == 3
     return _literal(spark, [(1, "ok" if ok else "bad")], "unit int, state string")
+
+
+# Keys of any type, documents without a schema.
+
+
+@query(
+    "WITH k AS (SELECT event_id, event_id % 6 AS c, CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END * (9007199254740990 + event_id % 7) AS n, event_type AS s FROM events),"
+    " o AS (SELECT event_id, row_number() OVER (ORDER BY CASE c WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 4 END,"
+    " CASE WHEN c = 1 THEN n::DECIMAL(38, 1) WHEN c = 2 THEN n::DECIMAL(38, 1) + 0.5 END, CASE WHEN c = 3 THEN s WHEN c = 4 THEN '[' || (event_id % 3) || ']' END, CASE WHEN c = 5 THEN event_id % 4 = 1 END, event_id) AS place FROM k)"
+    " SELECT event_id, place::BIGINT AS place FROM o"
+)
+def mixed_key_order(spark, sf_dir):
+    """Keys that are null, numbers beyond what doubles tell apart, decimals, texts, arrays and truth values, in the order across types: by ranges of their order-preserving texts, no task sees them all."""
+    i, c = F.col("event_id"), F.col("event_id") % 6
+    n = F.when(i % 2 == 0, -1).otherwise(1) * (F.lit(9007199254740990) + i % 7)
+    json = F.when(c == 1, n.cast("string")).when(c == 2, (n + F.lit(Decimal("0.5"))).cast("decimal(20,1)").cast("string")).when(c == 3, F.concat(F.lit('"'), "event_type", F.lit('"')))
+    json = json.when(c == 4, F.concat(F.lit("["), (i % 3).cast("string"), F.lit("]"))).when(c == 5, (i % 4 == 1).cast("string"))
+    keyed = table(spark, sf_dir, "events").select("event_id", F.parse_json(json).alias("v"))
+    text = F.concat(ordering.encoded(F.col("v"), T.VariantType()), F.lit(" "), F.lpad(F.col("event_id").cast("string"), 12, "0"))
+    ranked = partitioning.ranked(keyed.select(text.alias("k")), "k")
+    return ranked.select(F.substring_index("k", " ", -1).cast("long").alias("event_id"), (F.col("rank") + 1).cast("long").alias("place"))
+
+
+@query("SELECT doc_id, ('0x' || md5(doc_id::VARCHAR)[1:2])::INT // 64 AS part FROM documents")
+def binary_key_ranges(spark, sf_dir):
+    """Ranges over binary keys: bounds as order-preserving texts are read back as what a filter on the column takes, and every row is in the one range of its key."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.unhex(F.md5(F.col("doc_id").cast("string").cast("binary"))).alias("k"))
+    edges = [None, *(ordering.of_value(bytes([b])) for b in (64, 128, 192)), None]
+    kind = docs.schema["k"].dataType
+    read = lambda b: None if b is None else ordering.literal(b, kind)
+    parts = [docs.where(partitioning.within(F.col("k"), read(a), read(b))).select("doc_id", F.lit(n).alias("part")) for n, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_VARIANT = (
+    "WITH e AS (SELECT event_id AS i, (props->>'$.k')::BIGINT AS k, event_type AS t FROM events), s AS (SELECT i, k, t, i % 5 <> 0 AS has_t FROM e),"
+    " f AS (SELECT i, 'k' AS field, CASE WHEN i % 7 = 0 THEN 'type mismatch: src=long, dst=string' WHEN i % 11 = 0 THEN '' END AS what, 'dstClient' AS cluster FROM s WHERE k IS NOT NULL AND (i % 7 = 0 OR i % 11 = 0)"
+    " UNION ALL SELECT i, 't', 'gone', CASE WHEN has_t THEN 'dstClient' ELSE 'srcClient' END FROM s WHERE has_t <> (i % 3 <> 0) UNION ALL SELECT i, 'more', '', 'dstClient' FROM s WHERE i % 4 = 0 AND i % 13 = 0"
+    " UNION ALL SELECT i, 'n', 'type mismatch: src=long, dst=decimal', 'dstClient' FROM s WHERE i % 17 = 0)"
+)
+
+
+def _variants(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Events as documents without a schema; on the destination fields come, go, change and change their type."""
+    i = F.col("event_id")
+    k, t = F.get_json_object("props", "$.k"), F.concat(F.lit('"'), "event_type", F.lit('"'))
+    pair = lambda name, when, text: F.when(when, F.concat(F.lit(f'"{name}":'), text))
+    made = lambda *parts: F.parse_json(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))).alias("doc")
+    e = table(spark, sf_dir, "events")
+    ident, more = pair("_id", F.lit(True), i.cast("string")), lambda x: pair("more", i % 4 == 0, F.concat(F.lit('{"b":[1,{"c":'), x, F.lit('}],"a":null}')))
+    src = e.select(made(ident, pair("k", k.isNotNull(), k), pair("t", i % 5 != 0, t), more(F.lit("2")), pair("n", F.lit(True), F.lit("1"))))
+    other = F.when(i % 7 == 0, F.concat(F.lit('"'), k, F.lit('"'))).when(i % 11 == 0, (k.cast("long") + 1).cast("string")).otherwise(k)
+    dst = e.select(made(pair("n", F.lit(True), F.when(i % 17 == 0, "1.5").otherwise("1")), more(F.when(i % 13 == 0, "3").otherwise("2")), pair("k", k.isNotNull(), other), pair("t", i % 3 != 0, t), ident))
+    return src, dst
+
+
+@query(f"{_VARIANT} SELECT 'l' || i || ';' AS id, field, CASE what WHEN 'gone' THEN 'Missing' WHEN '' THEN 'Mismatch' ELSE 'Mismatch : ' || what END AS details, cluster FROM f")
+def variant_doc_diff(spark, sf_dir):
+    """Documents without a schema, whatever fields each has: a row for each field that differs, is missing, or has another type."""
+    return diff.compare(*(diff.variant_documents(x, ["_id"], "doc") for x in _variants(spark, sf_dir))).drop("data_size")
+
+
+@query(f"{_VARIANT} SELECT 'l' || i || ';' AS id, count(*)::BIGINT AS n FROM f GROUP BY i")
+def variant_column_diff(spark, sf_dir):
+    """The same documents as a VARIANT column of a table: one row each, by the type and value of the whole."""
+    src, dst = (diff.documents(x.select(F.variant_get("doc", "$._id", "long").alias("id"), "doc"), ["id"]) for x in _variants(spark, sf_dir))
+    rows = diff.compare(src, dst, "binary")
+    fields = diff.compare(*(diff.variant_documents(x, ["_id"], "doc") for x in _variants(spark, sf_dir)))
+    return rows.join(fields.groupBy("id").agg(_n().alias("n")), "id", "full").where("field = 'doc'").select("id", "n")
+
+
+@query("WITH e AS (SELECT event_id AS i, (props->>'$.k')::BIGINT AS k FROM events), f AS (SELECT '_id' AS field, 'long' AS type FROM e UNION ALL SELECT 'k', CASE WHEN i % 7 = 0 THEN 'string' ELSE 'long' END FROM e WHERE k IS NOT NULL UNION ALL SELECT 't', 'string' FROM e WHERE i % 3 <> 0 UNION ALL SELECT 'more', 'object' FROM e WHERE i % 4 = 0 UNION ALL SELECT 'n', CASE WHEN i % 17 = 0 THEN 'decimal' ELSE 'long' END FROM e) SELECT field, type, count(*)::BIGINT AS documents FROM f GROUP BY ALL")
+def variant_fields(spark, sf_dir):
+    """Which fields documents without a schema have, by type."""
+    return diff.occurring(_variants(spark, sf_dir)[1], "doc")
+
+
+@query("SELECT event_id, 'ts' AS field, 'Mismatch' AS details FROM events WHERE event_id % 9 = 0 OR event_id % 10 = 0 UNION ALL SELECT event_id, 'day', 'Mismatch : type mismatch: src=day, dst=date' FROM events WHERE event_id % 10 <> 0 UNION ALL SELECT event_id, 'day', 'Mismatch : type mismatch: src=day, dst=date' FROM events WHERE event_id % 10 = 0")
+def time_type_diff(spark, sf_dir):
+    """Times that differ by less than a millisecond, and days against the midnights they begin with."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.to_date("ts").alias("day"))
+    i = F.col("event_id")
+    moved = F.timestamp_micros(F.unix_micros("ts") + F.when(i % 10 == 0, 1).when(i % 9 == 0, -1).otherwise(0))
+    dst = e.select("event_id", moved.alias("ts"), F.col("day").cast("timestamp").alias("day"))
+    return diff.compare(diff.documents(e, ["event_id"]), diff.documents(dst, ["event_id"])).select(F.regexp_extract("id", "[0-9]+", 0).cast("long").alias("event_id"), "field", "details")
