@@ -5,15 +5,15 @@ A document's set is its distinct shingles of SHINGLE words (A-Z lower-cased, spl
 
 1. Documents of equal sets are one class; all else is about classes, known by their least doc_id.
 2. A class has a signature of BANDS * ROWS minima. Classes that agree on a whole band meet in a bucket; at the threshold a pair misses every band with probability (1 - 0.85 ** ROWS) ** BANDS, under one in a million.
-3. Every bucket's members are tested against its least class, which is linear in the bucket. Large groups of near copies become one component that way.
-4. Buckets that hold several components by then have their other pairs tested, but only pairs of different components. Members of buckets over LIST meet only if they share a second band as well,
-   so that a passage that many documents have doesn't pair all of them. (A pair at the threshold shares 12 bands on average; that it shares just one is as rare as one in seventy thousand.) No bucket is cut off.
+3. Classes with more than the rest of the threshold in shingles that no other class in a bucket has can have no link, and leave. So documents that have a passage in common, but much of their own, don't meet in pairs.
+   In each bucket the other members are tested against the most central one, which is linear. Large groups of near copies become one component that way.
+4. Buckets that hold several components by then have their other pairs tested, but only pairs of different components that could be linked by their sizes and by what each shares with any class. No bucket is cut off.
 5. A test compares signatures BATCH minima at a time. After each batch the posterior probability that the similarity reaches the threshold (uniform prior, one byte a minimum, so chance matches are accounted for)
    decides: pairs under MISS are dropped. What survives all batches is settled on the full sets of both texts.
 6. Components of the links come from large-star and small-star rounds.
 
-What is linear: signatures, postings, star tests. Step 4 is the exact way for what stars leave open; it has one pair for each two classes of different components that share two bands (one in small buckets), so documents in great
-number that are nearly, but not quite, alike cost their pairs there.
+What is linear: signatures, postings, shingle counts, star tests. Step 4 has a pair for each two classes of different components that may be linked, so documents in great number that are nearly, but not quite, alike
+cost their pairs there.
 
 Null, empty and blank texts have empty sets, are linked with nothing and are their own component. Rows of one doc_id count as one document with several texts. Rows without doc_id are known by their text, are linked like others, and are never the
 least of a component unless all are null; its component_id is null then and all stay. Equal rows all stay in the result. An empty table gives an empty result. Other columns are ignored.
@@ -33,7 +33,7 @@ from .components import components
 
 SHINGLE, PERCENT = 5, 85
 ROWS, BANDS, BATCH = 8, 44, 32
-MISS, LIST = 1e-6, 64
+MISS = 1e-6
 CHUNK = 1 << 15
 
 _RNG = np.random.Generator(np.random.PCG64(12))
@@ -166,9 +166,9 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """rep, first (least doc_id), k1, k2, signature, bands of each set that isn't empty, as a table in the shared folder."""
+    """rep, first (least doc_id), n, k1, k2, signature, bands of each set that isn't empty, as a table in the shared folder."""
     one = F.min_by(F.struct("signature", "bands"), "node").alias("s")
-    return written(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("node").alias("rep"), F.min("doc_id").alias("first"), one).select("rep", "first", "k1", "k2", "s.signature", "s.bands"), "minhash-classes")
+    return written(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("node").alias("rep"), F.min("doc_id").alias("first"), F.min("n").alias("n"), one).select("rep", "first", "n", "k1", "k2", "s.signature", "s.bands"), "minhash-classes")
 
 
 def tested(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -182,40 +182,70 @@ def tested(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return written(likely.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a long, b long").distinct(), "minhash-links")
 
 
-def members(sets: DataFrame) -> DataFrame:
-    """band, value, rep, pivot (the least of the bucket), size: classes in buckets of several, as a table in the shared folder."""
+def _posted(sets: DataFrame) -> DataFrame:
+    """band, value, rep of classes in buckets of several."""
     posted = sets.select("rep", F.posexplode("bands").alias("band", "value"))
-    buckets = posted.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-    return written(posted.join(buckets, ["band", "value"]).select("band", "value", "rep", "pivot", "size"), "minhash-members")
+    several = posted.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    return posted.join(several, ["band", "value"])
 
 
-def _across(met: DataFrame, by: list[str]) -> DataFrame:
-    """a < b: members of one group (by) and of different components; groups of one component are left out first."""
-    several = met.groupBy(*by).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(*by)
-    left = met.join(several, by)
-    a, b = (left.select(*by, F.col("rep").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    return a.join(b, by).where("a < b and ca <> cb").select("a", "b")
+def _each_shingle(batches):
+    import xxhash
+
+    for batch in batches:
+        known: dict[bytes, int] = {}
+        sets = [shingles(t, known) for t in batch["text"].to_pylist()]
+        first = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")[0] for s in sets]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.repeat(np.array(first, np.int64), [len(s) for s in sets]))], ["shingle", "k1"])
+
+
+def members(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """band, value, rep, n, shared (shingles that another class that met one in a bucket has, too): classes in buckets of several that can be linked, as a table in the shared folder.
+
+    What a class shares with another is at most what it shares with any. If that isn't the threshold's part of its own set, it has no link.
+    """
+    met = written(_posted(sets), "minhash-met")
+    texts = _documents(docs).join(met.select(F.col("rep").alias("node")).distinct(), "node", "left_semi").select("text")
+    every = texts.mapInArrow(_each_shingle, "shingle long, k1 long").groupBy("shingle").agg(F.min("k1").alias("k1"), F.max("k1").alias("last"))
+    alone = every.where("k1 = last").groupBy("k1").agg(F.count(F.lit(1)).alias("alone"))
+    shared = F.col("n") - F.coalesce("alone", F.lit(0))
+    able = sets.join(alone, "k1", "left").select("rep", "n", shared.alias("shared")).where(100 * F.col("shared") >= PERCENT * F.col("n"))
+    return written(met.join(able, "rep").select("band", "value", "rep", "n", "shared"), "minhash-members")
+
+
+def _possible(a: str, b: str) -> Column:
+    """Whether two classes can be linked, by their sizes and what they share with any: the intersection is at most the lesser of the two."""
+    return (100 + PERCENT) * F.least(F.col(f"{a}.shared"), F.col(f"{b}.shared")) >= PERCENT * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def stars(held: DataFrame) -> DataFrame:
+    """a, b: the most central class of each bucket, that with the greatest part of its set shared, and each other member."""
+    own = F.struct("rep", "n", "shared")
+    most = held.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size"), F.max_by(own, F.struct(F.col("shared") / F.col("n"), -F.col("rep"))).alias("a")).where("size > 1").select("band", "value", "a")
+    met = held.select("band", "value", own.alias("b")).join(most, ["band", "value"]).where("a.rep <> b.rep").where(_possible("a", "b"))
+    return met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
 
-def open_pairs(held: DataFrame, links: DataFrame, sets: DataFrame, most: int = LIST) -> DataFrame:
-    """a, b: what the pairs tested so far leave open, with the components they give."""
+def open_pairs(held: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """a < b: members of one bucket that are of different components by the links so far. A pair comes from the first band it shares, and so once."""
     label = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    rest = held.where("rep <> pivot and size > 2").join(label, held.rep == label.node, "left").select("band", "value", "rep", "size", F.coalesce("component", "rep").alias("component"))
-    rest = written(rest, "minhash-open")
-    few = _across(rest.where(F.col("size") <= most), ["band", "value"])
-    by = ["band", "value"]
-    several = rest.where(F.col("size") > most).groupBy(*by).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(*by)
-    many = rest.where(F.col("size") > most).join(several, by).join(sets.select("rep", F.posexplode("bands").alias("band2", "value2")), "rep").where("band <> band2")
-    return few.unionByName(_across(many, [*by, "band2", "value2"])).distinct()
+    met = held.join(label, held.rep == label.node, "left").select("band", "value", F.struct("rep", "n", "shared", F.coalesce("component", "rep").alias("component")).alias("x"))
+    several = met.groupBy("band", "value").agg(F.min("x.component").alias("lo"), F.max("x.component").alias("hi")).where("lo < hi").select("band", "value")
+    bands = sets.select("rep", "bands")
+    left = written(met.join(several, ["band", "value"]).join(bands, F.col("x.rep") == bands.rep).select("band", "value", "x", "bands"), "minhash-open")
+    a, b = (left.select("band", "value", F.col("x").alias(x), F.col("bands").alias(f"{x}_bands")) for x in "ab")
+    first = F.array_position(F.zip_with("a_bands", "b_bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
+    found = a.join(b, ["band", "value"]).where("a.rep < b.rep and a.component <> b.component").where(_possible("a", "b")).where(first)
+    return found.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, most: int = LIST) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     rows = signed(docs)
     sets = classes(rows)
-    held = members(sets)
-    links = tested(held.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), sets, docs)
-    more = tested(open_pairs(held, links, sets, most), sets, docs)
+    held = members(sets, docs)
+    links = tested(stars(held), sets, docs)
+    more = tested(open_pairs(held, links, sets), sets, docs)
     label = components(links.unionByName(more).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     told = written(sets.join(label, sets.rep == label.node, "left").select("k1", "k2", "first", F.coalesce("component", "rep").alias("component")), "minhash-components")
     least = told.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -71,11 +71,11 @@ def mixed_rows(seed, n=40):
     return rows
 
 
-@pytest.mark.parametrize("most", [minhash.LIST, 3])
-def test_against_all_pairs(make, most):
-    rows = odd_rows() + mixed_rows(4) + [(None, None), (None, "word"), (None, " ".join(map(str, range(50))))]
+@pytest.mark.parametrize("seed", [4, 5])
+def test_against_all_pairs(make, seed):
+    rows = odd_rows() + mixed_rows(seed) + [(None, None), (None, "word"), (None, " ".join(map(str, range(50))))]
     rows = [(i, t if len(t or "") < 10**5 else t[: 10**5]) for i, t in rows]
-    got = sorted((tuple(r) for r in minhash.near_duplicates(make(rows), most).collect()), key=str)
+    got = sorted((tuple(r) for r in minhash.near_duplicates(make(rows)).collect()), key=str)
     assert got == plain_components(rows)
 
 
@@ -103,14 +103,16 @@ def test_minima_estimate_similarity():
 def test_a_large_group_of_near_copies_makes_few_pairs(make):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(400)]
-    docs = make([(i, edits(base, rng, 3)) for i in range(300)])
+    docs = make([(i, edits(base, rng, 3 if i % 2 else 14)) for i in range(300)])
     sets = minhash.classes(minhash.signed(docs))
-    held = minhash.members(sets)
-    star = written(held.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "test-star")
+    held = minhash.members(sets, docs)
+    # Documents with many words of their own have no link, and no pairs.
+    assert held.where("rep % 2 = 0").count() < 300
+    star = written(minhash.stars(held), "test-star")
     links = minhash.tested(star, sets, docs)
-    assert star.count() < 300 * minhash.BANDS / 4
+    assert star.count() < 150 * minhash.BANDS / 2
     assert minhash.open_pairs(held, links, sets).count() < 300
-    assert {r.component_id for r in minhash.near_duplicates(docs).collect()} == {0}
+    assert {r.component_id for r in minhash.near_duplicates(docs).collect() if r.doc_id % 2} == {1}
 
 
 def test_empty_tables_and_clashing_columns(make):
