@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import canonical
+from . import canonical, ordering
 
 
 def with_id(keys: Sequence[str]) -> list[str]:
@@ -41,6 +41,11 @@ def key_text(df: DataFrame, keys: Sequence[str]) -> Column:
     return F.concat(*(canonical.sorted_(*path(df.schema, k)) if not isinstance(path(df.schema, k)[1], T.NullType) else F.lit("z;") for k in keys))
 
 
+def order_text(df: DataFrame, keys: Sequence[str]) -> Column:
+    """All keys as one text in the order of their values, field by field."""
+    return F.concat(*(ordering.encoded(*path(df.schema, k)) for k in keys))
+
+
 #: Tags of the types whose values can be read back from a canonical text, and how.
 _READ = {
     "i": lambda x, kind: x.try_cast(kind), "l": lambda x, kind: x.try_cast(kind), "n": lambda x, kind: x.try_cast(kind), "b": lambda x, kind: x.try_cast(kind),
@@ -78,11 +83,22 @@ def raw(text: Column, schema: T.StructType, keys: Sequence[str]) -> tuple[list[C
 
 
 def text_of_plain(value: Column, schema: T.StructType, key: str) -> Column:
-    """The key text of an id that a change feed gives as plain text, by the type of the table's key."""
+    """The key text of an id that a change feed gives as plain text, by the type of the table's key. An id that isn't of that type is an error."""
     _, kind = path(schema, key)
     if isinstance(kind, T.NullType):
         return F.lit("z;")
-    return canonical.sorted_(value.try_cast(kind) if not isinstance(kind, T.StringType) else value, kind)
+    if isinstance(kind, T.StringType):
+        return canonical.sorted_(value, kind)
+    read = F.unhex(value) if isinstance(kind, T.BinaryType) else F.try_parse_json(value) if isinstance(kind, T.VariantType) else F.from_json(value, kind) if isinstance(kind, T.StructType | T.MapType | T.ArrayType) else value.try_cast(kind)
+    odd = F.raise_error(F.concat(F.lit(f"a change event's {key} isn't {kind.simpleString()}: "), value)).cast(kind)
+    return canonical.sorted_(F.when(value.isNotNull() & read.isNull(), odd).otherwise(read), kind)
+
+
+def text_of_plain_keys(value: Column, schema: T.StructType, keys: Sequence[str]) -> Column:
+    """The same for keys of several fields, which a change feed gives as a JSON object of plain texts, and for one, which it may give either way."""
+    if len(keys) == 1:
+        return text_of_plain(F.when(value.startswith("{"), F.coalesce(F.get_json_object(value, f"$['{keys[0]}']"), value)).otherwise(value), schema, keys[0])
+    return F.concat(*(text_of_plain(F.get_json_object(value, f"$['{k}']"), schema, k) for k in keys))
 
 
 def occurrence(key: str, order: Sequence[Column | str]) -> Column:

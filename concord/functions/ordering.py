@@ -197,6 +197,11 @@ def of_value(x) -> str:
     raise ValueError(f"not a key's type: {type(x).__name__}")
 
 
+def reads_back(kind: T.DataType) -> bool:
+    """Whether literal() knows the type."""
+    return isinstance(kind, T.NumericType | T.StringType | T.BinaryType | T.BooleanType | T.DateType | T.TimestampType | T.TimestampNTZType)
+
+
 def literal(text: str, kind: T.DataType) -> Column:
     """The value of such a text as a literal of an atomic type, so that a filter on the column itself reaches file statistics."""
     if text[:1] == RANKS["null"]:

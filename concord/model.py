@@ -142,6 +142,10 @@ class Options:
     feed_files: int = 100  # of a change feed, that one batch takes in at most
     recheck_ids: int = 10_000
     recheck_id_bytes: int = 1 << 20
+    recheck_unit_ids: int = 1_000_000  # of one table that one unit of a generation rechecks at most; partition_bytes bounds it, too
+    indexed_files: int = 16  # tables of so many files or more get an index of which file holds which keys
+    ddl_until: tuple[int, int] | None = None  # schema events of the source up to this logical time are old news
+    drain_seconds: float = 600.0  # that feeds are waited for, if writes went off at a logical time they haven't reached
     src_ddl: DdlPolicy = DdlPolicy.FAIL
     verify_all: bool = True
     index_tolerances: tuple[str, ...] = ()

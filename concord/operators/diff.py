@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,7 @@ ROW, PRESENT = "row", "present"
 def documents(df: DataFrame, key: Sequence[str], *, missing_if_null: bool = False, filter: str | dict | Column | None = None) -> DataFrame:
     """Documents of a table's rows. Keys may repeat."""
     if filter is not None:
-        df = df.where(filters.condition(filter))
+        df = df.where(filters.condition(filter, df.schema))
     text = lambda by_name: canonical.row_text(df.schema, by_name, missing_if_null)
     made = df.select(keys.key_text(df, key).alias("key"), text(False).alias("ordered"), text(True).alias("sorted"), F.struct("*").alias(PRESENT if missing_if_null else ROW))
     return made.withColumn("size", F.octet_length("ordered"))
@@ -48,7 +48,7 @@ def variant_documents(df: DataFrame, key: Sequence[str], document: str, *, filte
     A field that is null is there; one that is missing isn't. A VARIANT keeps no order of fields, so two that differ in it only are equal by every method.
     """
     if filter is not None:
-        df = df.where(filters.condition(filter))
+        df = df.where(filters.condition(filter, df.schema))
     doc = F.col(f"`{document}`")
     text = F.concat(*(canonical.sorted_(F.try_variant_get(doc, f"$.{k}", "variant"), T.VariantType()) for k in key))
     return sized(df.select(text.alias("key"), canonical.fields_of_variant(doc).alias("fields")))
@@ -88,6 +88,11 @@ def restricted_rows(df: DataFrame, ids: DataFrame, key: Sequence[str]) -> DataFr
     values, fits = read
     names = [f"_raw{i}" for i in range(len(key))]
     wanted = ids.where(fits).select(*(v.alias(n) for v, n in zip(values, names, strict=True))).distinct()
+    # A text that its value doesn't give again can't be looked for by the value.
+    again = F.concat(*(canonical.sorted_(v, path_kind) for v, path_kind in zip(values, (keys.path(df.schema, k)[1] for k in key), strict=True)))
+    exact = ids.where(fits).agg(F.count_if(~again.eqNullSafe(F.col("key"))).alias("n")).first()["n"] == 0
+    if not exact:
+        return None
     ends = wanted.agg(*(f(n).alias(f"{w}{n}") for n in names for w, f in (("lo", F.min), ("hi", F.max))), *(F.count_if(F.col(n).isNull()).alias(f"z{n}") for n in names)).first()
     for k, n in zip(key, names, strict=True):
         c, lo, hi = F.col(f"`{k}`"), ends[f"lo{n}"], ends[f"hi{n}"]
@@ -109,14 +114,17 @@ def _digest(method: Method) -> tuple[Column, Column]:
     return F.xxhash64(_text_of(method)).alias("a"), F.xxhash64(F.lit("second"), _text_of(method)).alias("b")
 
 
-def differing(src: DataFrame, dst: DataFrame, method: Method, natural: bool) -> DataFrame:
+def differing(src: DataFrame, dst: DataFrame, method: Method, natural: bool, seen: Observation | None = None) -> DataFrame:
     """key, s, d: digests (a, b, size) of documents that have no equal on the other side; one of the two may be null.
 
     Several of one key stand in line on either side, in the order of their digests whatever order they came in, and those at one place meet. Equal copies are one
     stretch of the line, whatever their number: rows of a key are as many as its different documents, until the last step tells copies out.
     """
     slim = lambda df, n: df.select("key", *_digest(method), F.octet_length(_text_of(method)).alias("size"), F.lit(n).cast("long").alias("n"))
-    left = slim(src, 1).unionByName(slim(dst, -1)).groupBy("key", "a", "b", "size").agg(F.sum("n").alias("n")).where("n != 0")
+    own = slim(src, 1)
+    if seen is not None:
+        own = own.observe(seen, F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    left = own.unionByName(slim(dst, -1)).groupBy("key", "a", "b", "size").agg(F.sum("n").alias("n")).where("n != 0")
     # All that follows is by key, and needs no other exchange.
     runs = left.repartition("key").select("key", (F.col("n") > 0).alias("from_src"), F.struct("a", "b", "size").alias("x"), F.abs("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("key", "from_src").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -158,17 +166,18 @@ def _rows_of_pair(method: Method) -> Column:
 
 
 def compare(
-    src: DataFrame, dst: DataFrame, method: str | Method = Method.IGNORE_ORDER, *, natural: bool = False, ids: DataFrame | None = None, settle: Callable[[DataFrame], DataFrame] | None = None
+    src: DataFrame, dst: DataFrame, method: str | Method = Method.IGNORE_ORDER, *, natural: bool = False, ids: DataFrame | None = None, settle: Callable[[DataFrame], DataFrame] | None = None,
+    seen: Observation | None = None,
 ) -> DataFrame:
     """id, field, details, cluster, data_size: a row for each top-level field that differs, or for a document that one side lacks.
 
     src, dst: documents. natural: documents only the destination has are not looked for. ids: only these keys.
-    settle: writes what differs (key, two digests) and gives it back, so that it is found once only.
+    settle: writes what differs (key, two digests) and gives it back, so that it is found once only. seen: gets documents and bytes of the source on the way.
     """
     method = Method.of(method)
     if ids is not None:
         src, dst = restricted(src, ids), restricted(dst, ids)
-    found = differing(src, dst, method, natural)
+    found = differing(src, dst, method, natural, seen)
     if settle is not None:
         found = settle(found)
     size = F.greatest(F.coalesce("s.size", F.lit(0)), F.coalesce("d.size", F.lit(0))).alias("data_size")
@@ -237,7 +246,7 @@ def compare_columns(src: DataFrame, dst: DataFrame, key: Sequence[str], columns:
     """
     columns = [c for c in (columns or src.columns) if c not in key]
     if filter is not None:
-        src, dst = src.where(filters.condition(filter)), dst.where(filters.condition(filter))
+        src, dst = src.where(filters.condition(filter, src.schema)), dst.where(filters.condition(filter, dst.schema))
     # A key field is joined as its value, null made the type's zero, and whether it was null: the window that looks for repeats
     # and the join then share one exchange and one sort.
     zero = {k: F.lit("" if src.schema[k].dataType.typeName() == "string" else 0 if "timestamp" not in (t := src.schema[k].dataType.simpleString()) and t != "date" else "1970-01-01").cast(src.schema[k].dataType) for k in key}

@@ -80,7 +80,14 @@ def event_counts(events: DataFrame, latest: bool = False) -> DataFrame:
     count = lambda ops: F.sum(F.when(F.col("op_type").isin(*ops), 1).otherwise(0)).cast("long")
     each = [count([op]).alias(op) for op in DOCUMENT_OPS]
     last = [F.max("cluster_time").alias("last")] if latest else []
-    return events.groupBy("cluster", ns.alias("namespace")).agg(*each, count(DDL_OPS).alias("ddl"), F.count(F.lit(1)).alias("total"), *last)
+    real = F.coalesce(F.col("op_type") != "noop", F.lit(True))
+    return events.groupBy("cluster", ns.alias("namespace")).agg(*each, count(DDL_OPS).alias("ddl"), F.count_if(real).alias("total"), *last)
+
+
+def folded_counts(counted: DataFrame) -> DataFrame:
+    """Counts of events by cluster and namespace, of several of event_counts(latest=True)."""
+    names = [*DOCUMENT_OPS, "ddl", "total"]
+    return counted.groupBy("cluster", "namespace").agg(*(F.sum(n).cast("long").alias(n) for n in names), F.max("last").alias("last"))
 
 
 def feed_totals(counted: DataFrame) -> DataFrame:
@@ -113,13 +120,13 @@ def event_rate(samples: DataFrame) -> DataFrame:
     return met.agg(F.when(passed > 0, F.sum(F.when(F.col("time") > F.col("lo"), F.col("n")).otherwise(0)) / passed).alias("per_second"))
 
 
-def eta_seconds(phase: str, pending_bytes: int, bytes_per_second: float) -> float | None:
-    """Seconds until the first check is done; None where that can't be told."""
+def eta_seconds(phase: str, pending: float, per_second: float) -> float | None:
+    """Seconds until the first check is done, at so much work a second; None where that can't be told."""
     if phase != "check":
         return None
-    if pending_bytes <= 0:
+    if pending <= 0:
         return 0.0
-    return pending_bytes / bytes_per_second if bytes_per_second > 0 else None
+    return pending / per_second if per_second > 0 else None
 
 
 def phase(running: bool, generation: int) -> str:

@@ -8,6 +8,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
 from concord.functions import filters
+from concord.model import DST, SRC
 
 from . import reports
 from .engine import Engine
@@ -105,7 +106,8 @@ class Server:
             self.failed = e
 
     def _post_writesOff(self, body: dict, _) -> dict:  # noqa: N802
-        return self._alone(self.engine.writes_off)
+        final = {c: (int(t["t"]), int(t.get("i", 0))) for c, t in ((SRC, body.get("srcTimestamp")), (DST, body.get("dstTimestamp"))) if t}
+        return self._alone(lambda: self.engine.writes_off(final))
 
     def _get_progress(self, _, query: dict) -> dict:
         return {"progress": self.engine.progress() | ({"error": str(self.failed)} if self.failed else {})}

@@ -532,7 +532,7 @@ def streaming_rechecks(spark, sf_dir):
     feed = changes.from_feed(_feed(spark, sf_dir), "srcClient").where(F.col("op_type").isin("insert", "update", "replace", "delete"))
     feed.write.mode("overwrite").parquet(f"{folder}/feed")
     stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/feed")
-    writer = changes.RecheckWriter(f"{folder}/changes", lambda: 0, "src")
+    writer = changes.RecheckWriter(f"{folder}/changes", lambda: 0, "src", once=False)
     changes.start(stream, writer, f"{folder}/checkpoint").awaitTermination()
     if not store.exists(spark, f"{folder}/changes/generation=1"):
         return spark.createDataFrame([], "db string, coll string, doc_id string, n long")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.functions import canonical, formats, history, keys, ordering
+from concord.functions import canonical, filters, formats, history, keys, ordering
 from concord.functions import expressions as X
 from concord.model import DdlPolicy, Options
 from concord.operators import classify, diff, metadata, partitioning, recheck, statistics
@@ -67,8 +67,6 @@ def natural_scan(spark, sf_dir):
 @query("SELECT count(*) FILTER (o_orderstatus = 'F' AND o_totalprice > 1000)::BIGINT AS documents, max(o_orderkey) AS top FROM orders")
 def filtered_count(spark, sf_dir):
     """Documents that pass a filter, and the greatest row id of all."""
-    from concord.functions import filters
-
     orders = table(spark, sf_dir, "orders")
     n = catalog.count(orders, filters.condition({"o_orderstatus": "F", "o_totalprice": {"$gt": 1000}}))
     return catalog.top_row(orders, "o_orderkey").select(F.lit(n).cast("long").alias("documents"), F.col("o_orderkey").alias("top"))
@@ -250,14 +248,14 @@ def stream_resumed(spark, sf_dir):
     feed.where(~late).write.parquet(f"{folder}/feed/1")
     stream = lambda: spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 5).option("recursiveFileLookup", "true").parquet(f"{folder}/feed")
     generation = [0]
-    writer = changes.RecheckWriter(f"{folder}/changes", lambda: generation[0], "src", DdlPolicy.WARN_MOST)
+    writer = changes.RecheckWriter(f"{folder}/changes", lambda: generation[0], "src", DdlPolicy.WARN_MOST, once=False)
     changes.start(stream(), writer, f"{folder}/checkpoint").awaitTermination()
     feed.where(late).write.parquet(f"{folder}/feed/2")
     generation[0] = 1
     changes.start(stream(), writer, f"{folder}/checkpoint").awaitTermination()
     read = lambda what: spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/{what}")
     found = read("changes").groupBy(F.concat_ws(".", "db", "coll").alias("namespace")).agg(_n().alias("rechecks"))
-    counted = read("changes-counts").groupBy("namespace").agg(F.sum("ddl").alias("ddl"), F.sum("total").alias("total"), F.max("last.t").alias("last"))
+    counted = changes.counts(spark, f"{folder}/changes").select("namespace", "ddl", "total", F.col("last.t").alias("last"))
     return counted.join(found, "namespace", "left").select("namespace", F.coalesce("rechecks", F.lit(0)).alias("rechecks"), "ddl", "total", "last")
 
 
@@ -598,3 +596,23 @@ def time_type_diff(spark, sf_dir):
     moved = F.timestamp_micros(F.unix_micros("ts") + F.when(i % 10 == 0, 1).when(i % 9 == 0, -1).otherwise(0))
     dst = e.select("event_id", moved.alias("ts"), F.col("day").cast("timestamp").alias("day"))
     return diff.compare(diff.documents(e, ["event_id"]), diff.documents(dst, ["event_id"])).select(F.regexp_extract("id", "[0-9]+", 0).cast("long").alias("event_id"), "field", "details")
+
+
+@query(
+    "WITH e AS (SELECT event_id AS i, event_type AS t, user_id AS u, value AS x, (props->>'$.k')::BIGINT AS k FROM events)"
+    " SELECT 'number' AS rule, i FROM e WHERE i = 7 UNION ALL SELECT 'element', i FROM e WHERE t = 'view' OR i % 3 = 0 UNION ALL SELECT 'no element', i FROM e WHERE NOT (t = 'view' OR i % 3 = 0) UNION ALL SELECT 'object', i FROM e WHERE u = 5 AND t = 'click'"
+    " UNION ALL SELECT 'missing', i FROM e WHERE i % 5 = 0 UNION ALL SELECT 'variant', i FROM e WHERE k >= 50 AND i % 2 = 0 UNION ALL SELECT 'variant text', i FROM e WHERE k IS NOT NULL AND i % 2 = 1 UNION ALL SELECT 'whole array', i FROM e WHERE t = 'view' AND i % 3 = 0"
+    " UNION ALL SELECT 'not text', i FROM e WHERE x > 10"
+)
+def typed_filters(spark, sf_dir):
+    """Filters that compare within types: texts and numbers never meet, arrays match by element, objects as wholes, and what isn't there is missing."""
+    i = F.col("event_id")
+    k = F.get_json_object("props", "$.k")
+    json = F.when(k.isNull(), "{}").otherwise(F.concat(F.lit('{"k":'), F.when(i % 2 == 0, k).otherwise(F.concat(F.lit('"'), k, F.lit('"'))), F.lit("}")))
+    e = table(spark, sf_dir, "events").select(i.alias("i"), i.alias("five"), "event_type", "value", F.array("event_type", F.when(i % 3 == 0, "view").otherwise("other")).alias("tags"), F.struct(F.col("user_id").alias("u"), F.col("event_type").alias("t")).alias("o"), F.parse_json(json).alias("v"))
+    rules = {
+        "number": {"i": {"$in": ["5", 7.0, None]}}, "text as number": {"i": "5"}, "number as text": {"event_type": {"$gt": 3}}, "element": {"tags": "view"}, "no element": {"tags": {"$ne": "view"}},
+        "object": {"o": {"u": 5, "t": "click"}}, "object turned": {"o": {"t": "click", "u": 5}}, "missing": {"none": None, "five": {"$mod": [5, 0]}}, "nothing there": {"none": {"$gte": 5}},
+        "variant": {"v.k": {"$gte": 50}}, "variant text": {"v.k": {"$type": "string"}}, "whole array": {"tags": ["view", "view"]}, "not text": {"value": {"$gt": 10}, "event_type": {"$not": {"$lt": 5}}},
+    }
+    return reduce(DataFrame.unionByName, (e.where(filters.condition(q, e.schema)).select(F.lit(rule).alias("rule"), "i") for rule, q in rules.items()))

@@ -12,21 +12,23 @@ from __future__ import annotations
 import json
 import logging
 import threading
-from concurrent.futures import ThreadPoolExecutor
+import time
+from concurrent.futures import ThreadPoolExecutor, wait
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JError
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from concord.functions import filters, keys, namespaces
+from concord.functions import filters, keys, namespaces, ordering
 from concord.functions.history import Last
 from concord.model import DST, MISMATCHES, RECHECKS, SRC, TASKS, Options, Phase, Status, TaskType
 from concord.operators import classify, diff, metadata, partitioning, recheck, statistics
-from concord.sources import catalog, store
+from concord.sources import catalog, keyindex, store
 from concord.sources.catalog import Side
-from concord.sources.retry import Retry
+from concord.sources.retry import Retry, TransientError
 from concord.streaming import changes
 
 from . import reports
@@ -41,8 +43,9 @@ class Engine:
     def __init__(self, src: Side, dst: Side, folder: str, options: Options | None = None):
         self.spark, self.src, self.dst, self.options = src.spark, src, dst, options or Options()
         self.folder = folder.rstrip("/")
-        self.state = store.State(self.spark, self.folder)
-        self.running = False
+        self.fence = store.Fence(self.spark, self.folder)
+        self.state = store.State(self.spark, self.folder, self.fence)
+        self.running, self.began = False, None
         self.streams: dict[str, StreamingQuery] = {}
         self.rates = {SRC: Last(), DST: Last()}
         self._queue_lock, self._still = threading.RLock(), threading.Event()
@@ -67,11 +70,8 @@ class Engine:
         return every.withColumn("generation", F.lit(generation))
 
     def event_counts(self) -> DataFrame:
-        """Change events by batch, cluster, namespace and kind."""
-        path = f"{self.folder}/changes-counts"
-        if not store.exists(self.spark, path):
-            return statistics.event_counts(changes.empty(self.spark), latest=True)
-        return self.spark.read.option("recursiveFileLookup", "true").parquet(path)
+        """Change events by cluster, namespace and kind."""
+        return changes.counts(self.spark, f"{self.folder}/changes")
 
     def generation(self) -> int:
         return self.state.read()["generation"]
@@ -88,8 +88,8 @@ class Engine:
         mapped = self.options.namespaces
         only = None if not mapped else list(mapped if cluster == SRC else mapped.values())
         parse = {"feed": changes.from_feed, "log": changes.from_log}[side.feed_kind]
-        events = parse(changes.read(self.spark, side.feed, side.feed_kind, max_files=self.options.feed_files), cluster, only)
-        writer = changes.RecheckWriter(f"{self.folder}/changes", self.generation, cluster, self.options.src_ddl, mapped or None, lock=self._queue_lock)
+        events = parse(changes.read(self.spark, side.feed, side.feed_kind, max_files=self.options.feed_files), cluster, only, marks=True)
+        writer = changes.RecheckWriter(f"{self.folder}/changes", self.generation, cluster, self.options.src_ddl, mapped or None, self.options.ddl_until, self._queue_lock)
         return changes.start(events, writer, f"{self.folder}/checkpoints/{cluster}", until_now=until_now)
 
     def follow(self) -> None:
@@ -105,13 +105,25 @@ class Engine:
         self.streams.clear()
 
     def drain(self) -> None:
-        """Handles all events that the feeds hold now, as after the last write."""
+        """Handles all events that the feeds hold now, as after the last write. If writes went off at a logical time, until each feed has come so far, however late its files are."""
         self.unfollow()
-        try:
-            for query in [self._stream(cluster, side, until_now=True) for cluster, side in self._feeds()]:
-                query.awaitTermination()
-        except StreamingQueryException as e:
-            raise self._failure(e) from e
+        until, began = self.state.read().get("final") or {}, time.monotonic()
+        left = dict(self._feeds())
+        while left:
+            queries = [self._stream(cluster, side, until_now=True) for cluster, side in left.items()]
+            try:
+                for query in queries:
+                    query.awaitTermination()
+            except StreamingQueryException as e:
+                raise self._failure(e) from e
+            finally:
+                for query in queries:
+                    query.stop()
+            left = {c: side for c, side in left.items() if until.get(c) and (changes.mark(self.spark, f"{self.folder}/changes", c) or (-1, 0)) < tuple(until[c])}
+            if left and time.monotonic() - began > self.options.drain_seconds:
+                raise TimeoutError(f"after {self.options.drain_seconds} seconds these feeds haven't come to where writes went off: {', '.join(left)}")
+            if left:
+                time.sleep(min(1.0, self.options.pause_seconds))
 
     @staticmethod
     def _failure(e: Exception) -> Exception:
@@ -148,16 +160,63 @@ class Engine:
         found = metadata.rows(specs).select("namespace", "id", "field", "details", "cluster").unionByName(indexes).unionByName(shards)
         return found, metadata.outcomes(specs, [indexes, shards]).join(specs.select("namespace", "comparable"), "namespace")
 
-    def _ranges(self, ns: str, generation: int) -> list[tuple]:
-        """Bounds of the ranges that a table is compared in: as many as its size asks for, within options.ranges; one for rechecks, capped tables and keys of several fields."""
+    def _ranges(self, ns: str, capped: set[str]) -> list[dict]:
+        """Bounds (order-preserving texts) of the ranges that a table is compared in: as many as its size asks for, within options.ranges; one for capped tables. Keys of several fields are ranged by their texts."""
         key, df = self.src.key_of(ns, self.options.keys), self.src.read(ns)
         size = store.bytes_of(df)
-        if generation or len(key) > 1 or key[0] not in df.columns or not size or self.src.capped(ns):
-            return [(None, None)]
-        parts = min(self.options.ranges, partitioning.ideal(size, self.options.partition_bytes))
-        if parts < 2:
-            return [(None, None)]
-        return [(r["lower"], r["upper"]) for r in partitioning.bucket_bounds(df, key[0], parts).orderBy("part").collect()]  # options.ranges at most
+        parts = min(self.options.ranges, partitioning.ideal(size, self.options.partition_bytes)) if size else 1
+        if parts < 2 or ns in capped:
+            return [{"lower": None, "upper": None}]
+        if len(key) == 1 and key[0] in df.columns and ordering.reads_back(df.schema[key[0]].dataType):
+            found = partitioning.bucket_bounds(df, key[0], parts).select("part", *(F.when(F.col(b).isNotNull(), ordering.encoded(F.col(b), df.schema[key[0]].dataType)).alias(b) for b in ("lower", "upper")))
+        else:
+            found = partitioning.bucket_bounds(df.select(keys.order_text(df, key).alias("k")), "k", parts)
+        return [{"lower": r["lower"], "upper": r["upper"]} for r in found.orderBy("part").collect()]  # options.ranges at most
+
+    def _inside(self, df: DataFrame, key: tuple[str, ...], unit: dict) -> DataFrame:
+        """The rows of a unit's range. Bounds of one plain field become values of its type, so that they reach the files' statistics."""
+        if unit["lower"] is None and unit["upper"] is None:
+            return df
+        kind = df.schema[key[0]].dataType if len(key) == 1 and key[0] in df.columns else None
+        if kind is not None and ordering.reads_back(kind):
+            own, read = F.col(f"`{key[0]}`"), lambda b: ordering.literal(b, kind)
+        else:
+            own, read = keys.order_text(df, key), F.lit
+        return df.where(partitioning.within(own, *(None if unit[b] is None else read(unit[b]) for b in ("lower", "upper"))))
+
+    def _due(self, g: int, pairs: list[tuple[str, str]]) -> list[dict]:
+        """Units of a generation of rechecks: of each table that the queue names, as many as its ids and bytes ask for. The queue is read once and written by table, in the order of its keys."""
+        queue = self.queue(g).withColumn("namespace", F.concat_ws(".", "db", "coll"))
+        named = {r["namespace"] for r in queue.select("namespace").distinct().collect()}  # a row a table
+        to = {ns: other for ns, other in pairs if ns in named}
+        shapes: dict[tuple, list[str]] = {}
+        for ns in to:
+            key, schema = self.src.key_of(ns, self.options.keys), self.src.read(ns).schema
+            shapes.setdefault((key, tuple(keys.path(schema, k)[1].json() for k in key)), []).append(ns)
+        if not shapes:
+            return []
+        which = self.spark.createDataFrame([(ns, i) for i, own in enumerate(shapes.values()) for ns in own], "namespace string, shape int")
+        text = F.lit(None).cast("string")
+        for i, ((key, _), own) in enumerate(shapes.items()):
+            text = F.when(F.col("shape") == i, keys.text_of_plain_keys(F.col("doc_id"), self.src.read(own[0]).schema, key)).otherwise(text)
+        keyed = queue.join(F.broadcast(which), "namespace").withColumn("doc_id", F.when(F.col("plain"), text).otherwise(F.col("doc_id")))
+        known = recheck.reduced(keyed).withColumn("namespace", F.concat_ws(".", "db", "coll")).drop("db", "coll")
+        path = f"{self.folder}/due/generation={g}"
+        known.repartitionByRange("namespace", "doc_id").sortWithinPartitions("namespace", "doc_id").write.mode("overwrite").partitionBy("namespace").parquet(path)
+        kept = self.spark.read.schema(known.schema).parquet(path)
+        sizes = kept.groupBy("namespace").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("data_size").cast("long")).alias("bytes")).collect()  # a row a table
+        o, units = self.options, []
+        parts = {r["namespace"]: max(-(-r["n"] // o.recheck_unit_ids), -(-(r["bytes"] or 0) // o.partition_bytes)) for r in sizes}
+        many = [ns for ns, n in parts.items() if n > 1]
+        cut: dict[str, list] = {}
+        if many:
+            rows = kept.where(F.col("namespace").isin(many)).select("namespace", "doc_id", "data_size")
+            greedy = recheck.greedy(rows, o.recheck_unit_ids, 1 << 62, o.partition_bytes, ranges=sum(parts[ns] for ns in many))
+            for r in recheck.tasks(greedy).orderBy("namespace", "lower").collect():  # a row a unit
+                cut.setdefault(r["namespace"], []).append({"first": r["lower"], "last": r["upper"]})
+        for ns in sorted(parts):
+            units += [{"namespace": ns, "to": to[ns], "lower": None, "upper": None} | ids for ids in cut.get(ns, [{"first": None, "last": None}])]
+        return units
 
     def _plan(self, g: int, moment: Column) -> dict:
         """The generation's units, noted before the first begins, and the metadata's outcome, whose rows are written. An attempt that was cut off left them."""
@@ -171,22 +230,29 @@ class Engine:
         rows = found.select(F.lit(TaskType.COLLECTION.value).alias("task_type"), F.concat(F.lit(f"{g}-meta-"), "namespace").alias("task_id"), "id", "field", "details", "cluster", "namespace").withColumns(times)
         store.replace_part(self._shaped(rows, g), f"{self.folder}/mismatches", g, META)
         bad = {r["namespace"]: (r["status"], r["comparable"]) for r in status.collect()}  # a row a table
-        units = []
-        for ns, to in self._pairs():
-            if ns in self.src.tables and to in self.dst.tables and bad.get(ns, ("", True))[1]:
-                units += [{"unit": str(len(units) + i), "namespace": ns, "to": to, "lower": lower, "upper": upper} for i, (lower, upper) in enumerate(self._ranges(ns, g))]
-        plan = {"units": units, "status": {ns: s for ns, (s, _) in bad.items()}}
-        store.touch(self.spark, path, json.dumps(plan, default=str))
+        pairs = [(ns, to) for ns, to in self._pairs() if ns in self.src.tables and to in self.dst.tables and bad.get(ns, ("", True))[1]]
+        if g:
+            units = self._due(g, pairs)
+        else:
+            capped = self.src.all_capped()
+            units = [{"namespace": ns, "to": to} | r for ns, to in pairs for r in self._ranges(ns, capped)]
+        plan = {"units": [{"unit": str(i)} | u for i, u in enumerate(units)], "status": {ns: s for ns, (s, _) in bad.items()}}
+        store.touch(self.spark, path, json.dumps(plan))
         store.delete(self.spark, scratch)
-        return json.loads(json.dumps(plan, default=str))
+        return json.loads(json.dumps(plan))
+
+    def _known(self, g: int, unit: dict) -> DataFrame:
+        """What the queue says of a unit's documents, by key text."""
+        kind = "doc_id string, data_size int, src_ts struct<t:bigint,i:int>, dst_ts struct<t:bigint,i:int>, first_mismatch_time timestamp, namespace string"
+        own = self.spark.read.schema(kind).parquet(f"{self.folder}/due/generation={g}").where(F.col("namespace") == unit["namespace"])
+        return own if unit["first"] is None else own.where(F.col("doc_id").between(unit["first"], unit["last"]))
 
-    def _rechecks(self, ns: str, g: int, schema, key: tuple[str, ...]) -> DataFrame:
-        """What the queue says of one table's documents, by key text."""
-        own = self.queue(g).where((F.col("db") == namespaces.database(F.lit(ns))) & (F.col("coll") == namespaces.collection(F.lit(ns))))
-        if len(key) > 1 and self._feeds():
-            raise ValueError(f"{ns}: change feeds name documents by one key field")
-        plain = keys.text_of_plain(F.col("doc_id"), schema, key[0])
-        return recheck.reduced(own.withColumn("doc_id", F.when(F.col("plain"), plain).otherwise(F.col("doc_id"))))
+    def _rows_of(self, cluster: str, ns: str, df: DataFrame, ids: DataFrame, key: tuple[str, ...]) -> DataFrame:
+        """A table's rows with these keys (column key: texts): of the files that hold any, by plain key columns where the keys' types can be read back, else by their texts."""
+        index = keyindex.KeyIndex(self.spark, f"{self.folder}/index/{cluster}/{ns}")
+        df = keyindex.narrowed(df, index, ids, key, self.options.indexed_files)
+        few = diff.restricted_rows(df, ids, key)
+        return few if few is not None else df.join(ids.select("key").distinct(), keys.key_text(df, key) == F.col("key"), "left_semi")
 
     def _shaped(self, rows: DataFrame, g: int, src_ts: Column | None = None, dst_ts: Column | None = None) -> DataFrame:
         none = F.lit(None).cast("struct<t:bigint,i:int>")
@@ -194,39 +260,69 @@ class Engine:
         return every.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in MISMATCHES.fields))
 
     def _work_unit(self, g: int, unit: dict, moment: Column) -> None:
-        """Compares one range of one table, writes its mismatches and its audit row, and notes that it is whole."""
+        """Compares one range of one table, or rechecks some of its documents, writes its mismatches and its audit row, and notes that it is whole. Work whose files changed meanwhile is done anew."""
         done = f"{self.folder}/done/generation={g}/{unit['unit']}"
         if store.exists(self.spark, done):
             return
+        src, dst = self.src.read(unit["namespace"]), self.dst.read(unit["to"])
+        pinned = store.Pinned(self.spark, src, dst)
+        try:
+            self._compare_unit(g, unit, moment, src, dst)
+        except Exception as e:
+            if changed := pinned.changed():
+                raise TransientError(f"files changed while they were read: {changed[0]}") from e
+            raise
+        if changed := pinned.changed():
+            raise TransientError(f"files changed while they were read: {changed[0]}")
+        self.fence.own()
+        store.touch(self.spark, done)
+
+    def _compare_unit(self, g: int, unit: dict, moment: Column, src: DataFrame, dst: DataFrame) -> None:
         ns, to = unit["namespace"], unit["to"]
         key = self.src.key_of(ns, self.options.keys)
-        src, dst = self.src.read(ns), self.dst.read(to)
-        prior = ids = None
         scratch = f"{self.folder}/scratch/{g}-{unit['unit']}"
         written = lambda df, name: store.kept(df, f"{scratch}/{name}")
-        times = {"src_ts": None, "dst_ts": None}
+        times, prior = {"src_ts": None, "dst_ts": None}, None
         if g:
-            known = written(self._rechecks(ns, g, src.schema, key), "ids")
+            known = self._known(g, unit)
             times = known.agg(F.max("src_ts").alias("src_ts"), F.max("dst_ts").alias("dst_ts")).first().asDict(recursive=True)
-            ids = known.select(F.col("doc_id").alias("key"))
             prior = known.where("first_mismatch_time is not null").select(F.col("doc_id").alias("id"), "first_mismatch_time")
-            few = [diff.restricted_rows(x, ids, key) for x in (src, dst)]
-            if None not in few:
-                (src, dst), ids = few, None
+            ids, whole = known.select(F.col("doc_id").alias("key")), (src, dst)
+            # The rows are few by the units' bounds. They are read once, and what follows reads them from here.
+            src, dst = (written(self._rows_of(c, n, df, ids, key), c) for c, n, df in ((SRC, ns, src), (DST, to, dst)))
+            self._check_lost(prior, (src, dst), whole, key)
         else:
-            inside = lambda df: df.where(partitioning.within(F.col(f"`{key[0]}`"), *(None if unit[b] is None else F.lit(unit[b]).cast(df.schema[key[0]].dataType) for b in ("lower", "upper"))))
-            if unit["lower"] is not None or unit["upper"] is not None:
-                src, dst = inside(src), inside(dst)
-        made = [diff.documents(x, key, filter=self.options.filter) for x in (src, dst)]
-        rows = diff.compare(*made, self.options.method, natural=self.options.natural, ids=ids, settle=lambda df: written(df, "differing"))
+            src, dst = self._inside(src, key, unit), self._inside(dst, key, unit)
+        made, seen = [diff.documents(x, key, filter=self.options.filter) for x in (src, dst)], Observation()
+        rows = diff.compare(*made, self.options.method, natural=self.options.natural, settle=lambda df: written(df, "differing"), seen=seen)
         aged = diff.aged(rows, moment, prior)
         own = aged.select(F.lit(TaskType.DOCUMENTS.value).alias("task_type"), F.lit(f"{g}-{unit['unit']}-{ns}").alias("task_id"), *aged.columns, F.lit(ns).alias("namespace"))
         store.replace_part(self._shaped(own, g), f"{self.folder}/mismatches", g, unit["unit"])
         differs = not self.spark.read.parquet(f"{self.folder}/mismatches/generation={g}/unit={unit['unit']}").isEmpty()
-        seen = partitioning.stats(made[0], F.col("size")).first()
-        self._task(g, unit["unit"], TaskType.DOCUMENTS, Status.FAILED if differs else Status.COMPLETED, ns, to, unit["lower"], unit["upper"], seen["documents"], seen["bytes"], times["src_ts"], times["dst_ts"])
+        self._task(g, unit["unit"], TaskType.DOCUMENTS, Status.FAILED if differs else Status.COMPLETED, ns, to, unit["lower"], unit["upper"], *self._counted(seen, made[0]), times["src_ts"], times["dst_ts"])
         store.delete(self.spark, scratch)
-        store.touch(self.spark, done)
+
+    @staticmethod
+    def _counted(seen: Observation, docs: DataFrame) -> tuple[int, int]:
+        """Documents and bytes that were seen on the way. An execution that found no rows at all may leave no observation behind; then they are counted."""
+        try:
+            found = seen.get
+        except Py4JError:
+            found = {}
+        if "documents" not in found:
+            found = partitioning.stats(docs, F.col("size")).first()
+        return found["documents"], found["bytes"]
+
+    def _check_lost(self, prior: DataFrame, few: tuple[DataFrame, DataFrame], whole: tuple[DataFrame, DataFrame], key: tuple[str, ...]) -> None:
+        """Documents that were found to differ and that neither side has now were deleted on both. If either side still has one by its key's text, they were looked for in the wrong way, and that is an error."""
+        found = few[0].select(keys.key_text(few[0], key).alias("id")).union(few[1].select(keys.key_text(few[1], key).alias("id")))
+        lost = prior.select("id").join(found, "id", "left_anti")
+        if lost.isEmpty():
+            return
+        for df in whole:
+            still = df.select(keys.key_text(df, key).alias("id")).join(lost, "id", "left_semi").first()
+            if still is not None:
+                raise RuntimeError(f"a recheck didn't find the document {still['id']}, which is there")
 
     def _task(self, g: int, unit: str, kind: TaskType, status: Status | str, ns: str, to: str, lower, upper, n: int, size: int, src_ts, dst_ts) -> None:
         text = lambda x: None if x is None else str(x)
@@ -236,7 +332,8 @@ class Engine:
 
     def run_generation(self, now: datetime | None = None) -> dict:
         """Works one generation through; returns its counts of mismatch rows by class."""
-        self.running = True
+        self.fence.own()
+        self.running, self.began = True, time.monotonic()
         try:
             return self._work(self.generation(), now or datetime.now(timezone.utc))
         finally:
@@ -246,8 +343,17 @@ class Engine:
         moment, retry = F.lit(now), lambda work: Retry().run(work)
         plan = retry(lambda: self._plan(g, moment))
         with ThreadPoolExecutor(max(1, self.options.workers)) as pool:
-            for work in [pool.submit(retry, lambda u=u: self._work_unit(g, u, moment)) for u in plan["units"]]:
-                work.result()
+            left = {pool.submit(retry, lambda u=u: self._work_unit(g, u, moment)) for u in plan["units"]}
+            try:
+                while left:
+                    ended, left = wait(left, timeout=1.0, return_when="FIRST_EXCEPTION")
+                    for work in ended:
+                        work.result()
+                    self._look_at_feeds()  # a feed that fails ends the work at once
+            except BaseException:
+                for work in left:
+                    work.cancel()
+                raise
         mine = self.mismatches().where((F.col("generation") == g) & (F.col("task_type") == TaskType.DOCUMENTS.value))
         store.replace_generation(recheck.from_mismatches(mine, g), f"{self.folder}/rechecks", g + 1)
         self._record_metadata(g, plan)
@@ -279,16 +385,16 @@ class Engine:
             g = state["generation"]
             moved = self.state.write(generation=g + 1, last=state["writes_off"] if last is None else last, started=True)["generation"]
         if g:
-            for kind in ("rechecks", "changes"):
+            for kind in ("rechecks", "changes", "due"):
                 store.delete(self.spark, f"{self.folder}/{kind}/generation={g}")
         return moved
 
-    def writes_off(self) -> None:
-        """Says that both sides are still. Once only."""
+    def writes_off(self, final: dict[str, tuple[int, int]] | None = None) -> None:
+        """Says that both sides are still. Once only. final: the logical time of each cluster's last write, to which its feed must come."""
         with self._queue_lock:  # the state is read and written at once
             if self.state.read()["writes_off"]:
                 raise RuntimeError("writes are off already")
-            self.state.write(writes_off=True)
+            self.state.write(writes_off=True, final={c: list(t) for c, t in (final or {}).items()})
         self._still.set()
 
     def run(self, most: int | None = None) -> dict:
@@ -355,10 +461,11 @@ class Engine:
 
     def document_counts(self) -> str:
         """How many documents pass the filter on each side, by namespace of the source: a count of each table."""
-        passed = None if self.options.filter is None else filters.condition(self.options.filter)
+        passed = lambda df: None if self.options.filter is None else filters.condition(self.options.filter, df.schema)
         pairs = self._pairs()
-        src = {ns: catalog.count(self.src.read(ns), passed) for ns, _ in pairs if ns in self.src.tables}
-        dst = {ns: catalog.count(self.dst.read(to), passed) for ns, to in pairs if to in self.dst.tables}
+        counted = lambda df: catalog.count(df, passed(df))
+        src = {ns: counted(self.src.read(ns)) for ns, _ in pairs if ns in self.src.tables}
+        dst = {ns: counted(self.dst.read(to)) for ns, to in pairs if to in self.dst.tables}
         return reports.document_counts(src, dst)
 
     def report(self, seconds: float) -> str:
@@ -395,8 +502,20 @@ class Engine:
         """Progress with counts of mismatches by class and namespace; the age filter is for documents only."""
         docs = classify.summary(self.reported(min_seconds).where(F.col("task_type") == TaskType.DOCUMENTS.value)).collect()  # a row a namespace
         progress = self.progress()
-        stats = progress["generationStats"]
         return progress | {
             "docMismatches": {"total": next((r["n"] for r in docs if r["namespace"] is None and r["class"] is None), 0), "byType": {r["class"]: r["n"] for r in docs if r["class"]}, "byNamespace": {r["namespace"]: r["n"] for r in docs if r["namespace"]}},
-            "nsMismatches": self.ns_mismatches().count(), "etaSecs": statistics.eta_seconds(progress["phase"], stats["totalBytes"] - stats["bytesCompared"], 0.0),
+            "nsMismatches": self.ns_mismatches().count(), "etaSecs": self._eta(progress["phase"]),
         }
+
+    def _units(self) -> tuple[int, int]:
+        """Units of this generation that are left and that are whole."""
+        g = self.generation()
+        noted = store.text(self.spark, f"{self.folder}/plans/{g}.json")
+        done = len(store.names(self.spark, f"{self.folder}/done/generation={g}"))
+        return (len(json.loads(noted)["units"]) - done if noted else 0), done
+
+    def _eta(self, phase: str) -> float | None:
+        """Seconds until the first check is done, by how long its whole units took."""
+        left, done = self._units()
+        passed = time.monotonic() - self.began if self.began is not None else 0.0
+        return statistics.eta_seconds(phase, left, done / passed if passed > 0 else 0.0)

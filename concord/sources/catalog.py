@@ -56,6 +56,12 @@ class Side:
         found = self.spec(namespace).select(F.get_json_object("options", "$.capped")).first()
         return found is not None and found[0] == "true"
 
+    def all_capped(self) -> set[str]:
+        """The tables that are kept in the order of their rows."""
+        if self.specs is None:
+            return set()
+        return {r[0] for r in self.specs.where(F.get_json_object("options", "$.capped") == "true").select("namespace").collect()}  # names of tables
+
     def index_list(self) -> DataFrame:
         """namespace, name, spec. Without a table of indexes, each table has the one on its key, under the key's name."""
         if self.indexes is not None:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -40,15 +42,74 @@ def text(spark: SparkSession, path: str) -> str | None:
 
 
 def touch(spark: SparkSession, path: str, content: str = "") -> None:
-    """Writes a small file: beside its place first, then by rename."""
+    """Writes a small file: beside its place first, then by a rename that replaces what is there. Readers see the old content or the new."""
     p, fs = _fs(spark, path)
-    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
     out = fs.create(beside, True)
     out.write(bytearray(content.encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(beside, p)
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(p), over)
+
+
+def create(spark: SparkSession, path: str) -> bool:
+    """Makes an empty file if there is none; of several that try at once, one does."""
+    p, fs = _fs(spark, path)
+    try:
+        fs.create(p, False).close()
+    except Py4JJavaError as e:
+        if fs.exists(p):
+            return False
+        raise e
+    return True
+
+
+def manifest(spark: SparkSession, df: DataFrame) -> dict[str, list[int]]:
+    """Length and time of change of each file that a frame reads, from the listings of their folders; files that are gone have neither."""
+    files = df.inputFiles()
+    listed = {}
+    for parent in {f.rsplit("/", 1)[0] for f in files}:
+        p, fs = _fs(spark, spark._jvm.java.net.URI(parent).getPath() if parent.startswith("file:") else parent)
+        for s in fs.listStatus(p) if fs.exists(p) else []:
+            listed[f"{parent}/{s.getPath().toUri().getRawPath().rsplit('/', 1)[1]}"] = [s.getLen(), s.getModificationTime()]
+    return {f: listed.get(f, []) for f in files}
+
+
+class Pinned:
+    """The files of some frames as they were: what one piece of work reads, however often, is one snapshot, or the work isn't whole."""
+
+    def __init__(self, spark: SparkSession, *frames: DataFrame):
+        self.spark, self.frames = spark, frames
+        self.before = [manifest(spark, df) for df in frames]
+
+    def changed(self) -> list[str]:
+        return sorted(f for df, was in zip(self.frames, self.before, strict=True) for f, state in manifest(self.spark, df).items() if was[f] != state)
+
+
+class FencedError(RuntimeError):
+    """Another driver has taken this folder over."""
+
+
+class Fence:
+    """Numbers the drivers that have worked in a folder. The last one owns it; the others can't write its state any more."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.mine = spark, f"{folder.rstrip('/')}/epochs", None
+
+    def _all(self) -> list[int]:
+        return [int(n) for n in names(self.spark, self.folder) if n.isdigit()]
+
+    def own(self) -> None:
+        """Takes the folder over the first time; after that, an error if another driver has."""
+        if self.mine is None:
+            n = max(self._all(), default=0) + 1
+            while not create(self.spark, f"{self.folder}/{n:08d}"):
+                n += 1
+            self.mine = n
+        elif (last := max(self._all(), default=0)) > self.mine:
+            raise FencedError(f"driver {last} works in {self.folder}; this one is {self.mine}")
 
 
 VERSION = 1
@@ -57,17 +118,19 @@ VERSION = 1
 class State:
     """Generation, whether it is the last, and whether writes are off."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.path = spark, f"{folder.rstrip('/')}/state.json"
+    def __init__(self, spark: SparkSession, folder: str, fence: Fence | None = None):
+        self.spark, self.path, self.fence = spark, f"{folder.rstrip('/')}/state.json", fence
 
     def read(self) -> dict:
-        found = text(self.spark, self.path) or text(self.spark, f"{self.path}.new")
+        found = text(self.spark, self.path)
         state = json.loads(found) if found else {"version": VERSION, "generation": 0, "last": False, "writes_off": False, "started": False}
         if state["version"] != VERSION:
             raise ValueError(f"state of version {state['version']}; start clean")
         return state
 
     def write(self, **changes) -> dict:
+        if self.fence is not None:
+            self.fence.own()
         state = self.read() | changes
         touch(self.spark, self.path, json.dumps(state))
         return state
