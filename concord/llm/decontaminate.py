@@ -12,8 +12,8 @@ windows are its WINDOW consecutive words, or all of its words if it has fewer.
 5. An exact check of alignments against the document's words gives the matched run around the anchor.
    Runs that hold a whole window are its occurrences; every window is found by its own anchor.
 
-Nothing is quadratic: common passages make postings in proportion to their occurrences, and
-windows of one item that share an anchor share an alignment.
+Common passages make postings in proportion to their occurrences, and windows of one item that share an anchor share an alignment. Windows
+that are equal have one anchor together, so an item that repeats p words over and over has p anchors at most, and a document has p alignments at most for each of its words.
 
 The same postings tell which items have their rarest terms near each other in a document (near(), proximity()).
 
@@ -64,12 +64,14 @@ def frequencies(rows: DataFrame, terms: DataFrame) -> DataFrame:
 
 def anchors(bench: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
     """item, place, term and its partners: side, partner, shift (the partner's place less the anchor's); a null partner asks for nothing."""
-    place = bench.select("item", "size", F.posexplode("terms").alias("place", "term")).join(counts, "term")
+    place = bench.select("item", "size", "terms", F.posexplode("terms").alias("place", "term")).join(counts, "term")
     rank = F.struct(F.col("n"), F.col("place"))
     ahead = Window.partitionBy("item").orderBy("place")
     # The rarest place of the window that starts here.
     rarest = place.withColumn("least", F.min(rank).over(ahead.rowsBetween(0, window - 1))).where((F.col("place") + window <= F.col("size")) | ((F.col("place") == 0) & (F.col("size") < window)))
-    chosen = rarest.select("item", F.col("least.place").alias("place")).distinct()
+    # Windows of an item that are equal occur at the same places of a document: one of them says it for all, so repeated words have few anchors.
+    once = rarest.groupBy("item", F.slice("terms", F.col("place") + 1, window).alias("words")).agg(F.min_by("least", "place").alias("least"))
+    chosen = once.select("item", F.col("least.place").alias("place")).distinct()
     reach = window // 2
     other = F.struct(F.col("n"), F.col("place"), F.col("term"))
     sides = place.select(

@@ -5,6 +5,8 @@ import re
 import pytest
 from conftest import odd_rows
 
+from pyspark.sql import functions as F
+
 from concord.llm import decontaminate
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -117,3 +119,17 @@ def test_proximity_of_recurring_terms(make, spark):
     assert (0, "1", 10, 18) in expected
     got = decontaminate.proximity(make([(i, " ".join(t)) for i, t in enumerate(texts)]), bench(spark, [(1, "alpha beta gamma")]))
     assert {(r.doc_id, r.item_id, r.first, r.last) for r in got.collect()} == expected
+
+
+def test_repeated_words_make_few_alignments(make, spark):
+    """One anchor for equal windows: alignments are as many as the document's words, not as its words times the item's."""
+    docs = make([(1, "echo " * 2000), (2, "a b c " * 300), (3, "echo " * 12)])
+    items = spark.createDataFrame([(1, "echo " * 200), (2, "a b c " * 40)], "item_id long, text string")
+    rows, bench = decontaminate._documents(docs), decontaminate.items(items)
+    counts = decontaminate.frequencies(rows, bench.select(F.explode("terms").alias("term")).distinct())
+    anchor = decontaminate.anchors(bench, counts)
+    assert anchor.select("item", "place").distinct().count() <= 4
+    index = decontaminate.postings(rows, anchor.select("term").union(anchor.select("partner")).distinct())
+    assert decontaminate.alignments(index, anchor).count() < 2 * (2000 + 900)
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: (2000, 1, True), 2: (900, 1, True), 3: (0, 0, False)}
