@@ -10,7 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from concord.functions import ordering
 from concord.model import DST, MISMATCH, MISSING, SRC
 
 ROW = "array<struct<id:string,field:string,details:string,cluster:string>>"
@@ -106,15 +108,20 @@ def compare_indexes(src: DataFrame, dst: DataFrame) -> DataFrame:
     return met.select("namespace", F.col("name").alias("id"), F.lit("index").alias("field"), details.alias("details"), F.when(s.isNull(), SRC).otherwise(DST).alias("cluster")).where("details is not null")
 
 
+def _key_values(key: Column) -> Column:
+    """The fields of a key in their order, each with its value in the order across types: numbers by value, and never equal to a text."""
+    values = F.parse_json(key).cast("map<string,variant>")
+    return F.transform(F.json_object_keys(key), lambda k: F.struct(k.alias("name"), ordering.encoded(F.try_element_at(values, k), T.VariantType()).alias("value")))
+
+
 def compare_shard_keys(src: DataFrame, dst: DataFrame, both_sharded: bool = True) -> DataFrame:
     """Shard-key rows, if both sides are sharded. Numbers are equal by value, whatever their type; the order of fields counts."""
     if not both_sharded:
         return src.sparkSession.createDataFrame([], "namespace string, id string, field string, details string, cluster string")
-    same_value = lambda j: F.regexp_replace(F.regexp_replace(j, r"\s+", ""), r"([0-9])\.0+([,}])", "$1$2")
     side = lambda df, p: df.select("namespace", F.col("key").alias(p))
     met = side(src, "s").join(side(dst, "d"), "namespace", "full_outer")
     s, d = F.col("s"), F.col("d")
-    details = F.when(s.isNull() | d.isNull(), F.lit(MISSING)).when(same_value(s) != same_value(d), F.concat(F.lit(f"{MISMATCH}: src="), s, F.lit("; dst="), d))
+    details = F.when(s.isNull() | d.isNull(), F.lit(MISSING)).when(_key_values(s) != _key_values(d), F.concat(F.lit(f"{MISMATCH}: src="), s, F.lit("; dst="), d))
     return met.select("namespace", F.lit("").alias("id"), F.lit("shard key").alias("field"), details.alias("details"), F.when(s.isNull(), SRC).otherwise(DST).alias("cluster")).where("details is not null")
 
 

@@ -6,7 +6,7 @@ mismatches and change events are read out of the events table by rules that both
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.functions import expressions as X
@@ -558,15 +558,19 @@ ORACLE_SQL["engine_generations"] = f"WITH {_ORDERS}, m AS ({_rows_sql()}), c AS
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder where all machines of the cluster see it."""
+    """A new folder where all machines of the cluster see it. Only on a single machine a temporary folder takes the place of spark.checkpoint.dir."""
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/concord"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = f"file://{tempfile.gettempdir()}/concord"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 @query("SELECT user_id, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1)::BIGINT AS place, event_type FROM events")
 def occurrence_index(spark, sf_dir):
     """Place of each row among those of its key."""
-    return table(spark, sf_dir, "events").select("user_id", (F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).cast("long").alias("place"), "event_type")
+    return table(spark, sf_dir, "events").select("user_id", (keys.occurrence("event_type", ["event_id"]) - 1).cast("long").alias("place"), "event_type")

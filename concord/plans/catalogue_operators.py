@@ -106,13 +106,15 @@ def shard_keys(spark, sf_dir):
     return _nations(spark, sf_dir).shard_key_list()
 
 
-@query("SELECT * FROM (VALUES ('numbers by value', true), ('order of fields', false), ('text and number', false)) AS t(what, equal)")
+@query("SELECT s_suppkey, s_suppkey % 3 = 0 AS equal FROM supplier")
 def literal_equality(spark, sf_dir):
-    """What is equal as a shard key, asked of literal rows."""
-    cases = [("numbers by value", '{"a": 1, "b": 1}', '{"a":1.0,"b":1}'), ("order of fields", '{"a":1,"b":1}', '{"b":1,"a":1}'), ("text and number", '{"a":1}', '{"a":"1"}')]
-    side = lambda i: _literal(spark, [(c[0], c[i]) for c in cases], "namespace string, key string")
-    found = metadata.compare_shard_keys(side(1), side(2)).select(F.col("namespace").alias("what"), F.lit(True).alias("bad"))
-    return side(1).select(F.col("namespace").alias("what")).join(found, "what", "left").select("what", F.col("bad").isNull().alias("equal"))
+    """What is equal as a shard key: a third have numbers of other types, a third fields in another order, a third a text for a number."""
+    s, k = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("namespace")), F.col("namespace")
+    key = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("key")
+    src, third = s.select("namespace", key('{"a": ', k, ', "b": 1}')), k.cast("long") % 3
+    dst = s.select("namespace", F.when(third == 0, key('{"a":', k, '.0,"b":1.00}')).when(third == 1, key('{"b":1,"a":', k, "}")).otherwise(key('{"a":"', k, '","b":1}')).alias("key"))
+    found = metadata.compare_shard_keys(src, dst).select("namespace", F.lit(True).alias("bad"))
+    return src.join(found, "namespace", "left").select(k.cast("long").alias("s_suppkey"), F.col("bad").isNull().alias("equal"))
 
 
 @query("SELECT event_id, event_id AS key0, (props->>'$.k')::BIGINT AS key1, NULL::VARCHAR AS key2 FROM events")
@@ -404,15 +406,18 @@ def array_sizes(spark, sf_dir):
 
 
 @query(
-    "SELECT * FROM (VALUES ('duration', '1h 2m 3.45s'), ('bytes', '1.50 KiB'), ('percent', '99.99'), ('number', '1,234,567'), ('fraction', '1,234.50'), ('version', 'true'), ('phase', 'recheck'), ('eta', '10.0'), ('unit', 'MiB')) AS t(what, said)"
+    "WITH c AS (SELECT o_orderpriority AS p, count(*) AS n, max(o_orderkey) % 3600 AS s FROM orders GROUP BY 1), t AS (SELECT *, sum(n) OVER () AS total FROM c), h AS (SELECT *, 100.0::DOUBLE * n / total AS share FROM t)"
+    " SELECT p AS priority, format('{:,}', n) AS number, CASE WHEN share = floor(share) THEN format('{}', share::BIGINT) ELSE format('{:.2f}', share) END AS percent,"
+    " CASE WHEN s >= 60 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE s || 's' END AS duration, format('{:,}', n) || ' MiB' AS size FROM h WHERE n < 1024 UNION ALL"
+    " SELECT p, format('{:,}', n), CASE WHEN share = floor(share) THEN format('{}', share::BIGINT) ELSE format('{:.2f}', share) END, CASE WHEN s >= 60 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE s || 's' END,"
+    " CASE WHEN n % 1024 = 0 THEN format('{:,}', n // 1024) ELSE format('{:,.2f}', n / 1024.0::DOUBLE) END || ' GiB' FROM h WHERE n >= 1024"
 )
 def formatted(spark, sf_dir):
-    """What reports make of numbers."""
-    rows = [
-        ("duration", formats.duration(3723.45)), ("bytes", formats.bytes_(1536)), ("percent", formats.percent(999_999, 1_000_000)), ("number", formats.number(1_234_567)), ("fraction", formats.number(1234.5)),
-        ("version", str(formats.version("10.0.1-rc1") > formats.version("9.12")).lower()), ("phase", statistics.phase(True, 2)), ("eta", str(statistics.eta_seconds("check", 100, 10.0))), ("unit", formats.unit(5 << 20)),
-    ]
-    return _literal(spark, rows, "what string, said string")
+    """What reports make of the numbers of the orders of each priority."""
+    per = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(_n().alias("n"), (F.max("o_orderkey") % 3600).alias("s")).collect()  # a row a priority
+    total = sum(r["n"] for r in per)
+    rows = [(r["o_orderpriority"], formats.number(r["n"]), formats.percent(r["n"], total), formats.duration(r["s"]), formats.bytes_(r["n"] << 20)) for r in per]
+    return _literal(spark, rows, "priority string, number string, percent string, duration string, size string")
 
 
 # Reports.
@@ -504,13 +509,15 @@ def engine_tasks(spark, sf_dir):
     return tasks.groupBy("generation", "type").agg(F.sum("documents_count").alias("documents"), F.max("dst_ts.t").alias("dst_t"))
 
 
-@query("SELECT 1 AS unit, 'ok' AS state")
+@query("SELECT count(*)::BIGINT AS generation, true AS writes_off, true AS kept FROM orders")
 def engine_state(spark, sf_dir):
-    """A state file that is written, read back and replaced, as generations move on."""
-    state = store.State(spark, _shared(spark))
-    state.write(generation=3)
-    ok = state.read()["generation"] == 3 and state.write(writes_off=True)["writes_off"] and json.loads(json.dumps(state.read()))["generation"] == 3
-    return _literal(spark, [(1, "ok" if ok else "bad")], "unit int, state string")
+    """A state file that is written, read back and replaced: as many generations as there are orders."""
+    folder = _shared(spark)
+    state = store.State(spark, folder, store.Fence(spark, folder))
+    state.write(generation=table(spark, sf_dir, "orders").count())
+    state.write(writes_off=True)
+    found = store.State(spark, folder).read()
+    return _literal(spark, [(found["generation"], found["writes_off"], found == json.loads(json.dumps(state.read())))], "generation long, writes_off boolean, kept boolean")
 
 
 # Keys of any type, documents without a schema.

@@ -36,6 +36,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--srcChangeReader", default="feed", choices=["feed", "log"], help="format of the source's change events")
     p.add_argument("--dstChangeReader", default="feed", choices=["feed", "log"], help="format of the destination's change events")
     p.add_argument("--ddlHandling", default="fail", choices=[d.value for d in DdlPolicy], help="what schema events of the source do")
+    p.add_argument("--ddlUntil", metavar="SECONDS[,ORDINAL]", help="logical time up to which schema events of the source are old news, as after a restart")
+    p.add_argument("--drainSeconds", type=float, default=600.0, help="how long feeds are waited for that haven't come to where writes went off")
     p.add_argument("--indexSpecIgnore", action="append", default=[], help="parts of index specifications that may differ")
     p.add_argument("--verifyAll", action=argparse.BooleanOptionalAction, default=True, help="compare time series, too")
     p.add_argument("--logPath", default="stdout")
@@ -81,11 +83,12 @@ def parse(argv: list[str]) -> argparse.Namespace:
 def options(args: argparse.Namespace) -> Options:
     text = args.filter
     query = json.loads(text) if isinstance(text, str) and text.lstrip().startswith("{") else text
+    until = tuple(int(x) for x in f"{args.ddlUntil},0".split(",")[:2]) if args.ddlUntil else None
     pairs = dict(zip(args.srcNamespace, args.dstNamespace or args.srcNamespace, strict=True))
     return Options(
         method=args.docCompareMethod, natural=args.partitioningScheme == "natural", keys=tuple(args.key) or ("_id",), filter=query, namespaces=pairs, strict_namespaces=args.strictNamespaces,
         partition_bytes=(args.partitionSizeMB or 400) << 20, src_ddl=args.ddlHandling, index_tolerances=tuple(x for v in args.indexSpecIgnore for x in v.split(",") if x), failure_display_size=args.failureDisplaySize,
-        workers=args.numWorkers, pause_seconds=args.generationPauseDelay / 1000, verify_all=args.verifyAll,
+        workers=args.numWorkers, pause_seconds=args.generationPauseDelay / 1000, verify_all=args.verifyAll, ddl_until=until, drain_seconds=args.drainSeconds,
     )
 
 

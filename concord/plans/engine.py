@@ -225,21 +225,35 @@ class Engine:
             return json.loads(noted)
         for kind in ("mismatches", "tasks", "done"):
             store.delete(self.spark, f"{self.folder}/{kind}/generation={g}")
+        if self._nothing_to_say():
+            bad = {ns: ("completed", True) for ns, _ in self._pairs()}
+            store.touch(self.spark, path, json.dumps(plan := self._units_of(g, bad)))
+            return json.loads(json.dumps(plan))
         found, status = self.compare_metadata(scratch := f"{self.folder}/scratch/{g}-{META}")
         times = {"first_ts": moment, "duration_ms": F.lit(0).cast("long"), "data_size": F.lit(0)}
         rows = found.select(F.lit(TaskType.COLLECTION.value).alias("task_type"), F.concat(F.lit(f"{g}-meta-"), "namespace").alias("task_id"), "id", "field", "details", "cluster", "namespace").withColumns(times)
         store.replace_part(self._shaped(rows, g), f"{self.folder}/mismatches", g, META)
         bad = {r["namespace"]: (r["status"], r["comparable"]) for r in status.collect()}  # a row a table
+        plan = self._units_of(g, bad)
+        store.touch(self.spark, path, json.dumps(plan))
+        store.delete(self.spark, scratch)
+        return json.loads(json.dumps(plan))
+
+    def _nothing_to_say(self) -> bool:
+        """Whether both sides have the same tables and keys, and no other metadata, so that there is nothing to compare."""
+        mapped = self.options.namespaces
+        same = mapped.keys() <= self.src.tables.keys() and set(mapped.values()) <= self.dst.tables.keys() if mapped else self.src.tables.keys() == self.dst.tables.keys()
+        return same and self.src.plain() and self.dst.plain() and (dict(self.src.keys) == dict(self.dst.keys) if not mapped else not self.src.keys and not self.dst.keys)
+
+    def _units_of(self, g: int, bad: dict[str, tuple[str, bool]]) -> dict:
+        """A generation's plan, by the metadata's outcome (status, comparable) of each table."""
         pairs = [(ns, to) for ns, to in self._pairs() if ns in self.src.tables and to in self.dst.tables and bad.get(ns, ("", True))[1]]
         if g:
             units = self._due(g, pairs)
         else:
             capped = self.src.all_capped()
             units = [{"namespace": ns, "to": to} | r for ns, to in pairs for r in self._ranges(ns, capped)]
-        plan = {"units": [{"unit": str(i)} | u for i, u in enumerate(units)], "status": {ns: s for ns, (s, _) in bad.items()}}
-        store.touch(self.spark, path, json.dumps(plan))
-        store.delete(self.spark, scratch)
-        return json.loads(json.dumps(plan))
+        return {"units": [{"unit": str(i)} | u for i, u in enumerate(units)], "status": {ns: s for ns, (s, _) in bad.items()}}
 
     def _known(self, g: int, unit: dict) -> DataFrame:
         """What the queue says of a unit's documents, by key text."""

@@ -35,6 +35,10 @@ class Side:
     feed: str | None = None
     feed_kind: str = "feed"
 
+    def plain(self) -> bool:
+        """Whether nothing is known of the tables' metadata but which there are."""
+        return self.specs is None and self.indexes is None and self.shard_keys is None
+
     def read(self, namespace: str) -> DataFrame:
         found = self.tables[namespace]
         return found() if callable(found) else found
@@ -70,7 +74,11 @@ class Side:
         return self.spark.createDataFrame(own, INDEXES)
 
     def shard_key_list(self) -> DataFrame:
-        return self.shard_keys if self.shard_keys is not None else self.spark.createDataFrame([], SHARD_KEYS)
+        """namespace, key of the users' sharded tables. A key that isn't a JSON object is an error."""
+        if self.shard_keys is None:
+            return self.spark.createDataFrame([], SHARD_KEYS)
+        told = F.when(F.json_object_keys("key").isNotNull(), F.col("key")).otherwise(F.raise_error(F.concat(F.lit("not a shard key: "), F.coalesce("key", F.lit("null")))).cast("string"))
+        return self.shard_keys.where(namespaces.is_user(F.col("namespace"))).select("namespace", told.alias("key"))
 
     def key_of(self, namespace: str, default: tuple[str, ...]) -> tuple[str, ...]:
         return tuple(self.keys.get(namespace, default))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -66,15 +68,19 @@ def create(spark: SparkSession, path: str) -> bool:
     return True
 
 
+#: What a Hadoop file status says of a file: its path, length and time of change.
+_STATUS = re.compile(r"path=([^;]*); isDirectory=false; length=(\d+);[^{}]*?modification_time=(\d+)")
+
+
 def manifest(spark: SparkSession, df: DataFrame) -> dict[str, list[int]]:
-    """Length and time of change of each file that a frame reads, from the listings of their folders; files that are gone have neither."""
-    files = df.inputFiles()
+    """Length and time of change of each file that a frame reads, from one listing of each of their folders; files that are gone have neither."""
+    files = [f.rsplit("/", 1) for f in df.inputFiles()]
     listed = {}
-    for parent in {f.rsplit("/", 1)[0] for f in files}:
-        p, fs = _fs(spark, spark._jvm.java.net.URI(parent).getPath() if parent.startswith("file:") else parent)
-        for s in fs.listStatus(p) if fs.exists(p) else []:
-            listed[f"{parent}/{s.getPath().toUri().getRawPath().rsplit('/', 1)[1]}"] = [s.getLen(), s.getModificationTime()]
-    return {f: listed.get(f, []) for f in files}
+    for parent in {p for p, _ in files}:
+        p, fs = _fs(spark, unquote(re.sub(r"^file:/+", "file:/", parent)))
+        said = spark._jvm.org.apache.commons.lang3.ArrayUtils.toString(fs.listStatus(p)) if fs.exists(p) else ""  # one call a folder, however many files
+        listed[parent] = {path.rsplit("/", 1)[-1]: [int(size), int(time)] for path, size, time in _STATUS.findall(said)}
+    return {f"{parent}/{name}": listed[parent].get(unquote(name), []) for parent, name in files}
 
 
 class Pinned:

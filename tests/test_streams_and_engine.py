@@ -250,6 +250,7 @@ def test_command_line(tmp_path):
     args = cli.parse(["--configFile", str(tmp_path / "c.json"), "--docCompareMethod", "ignoreFieldOrder"])
     options = cli.options(args)
     assert options.failure_display_size == 7 and options.namespaces == {"a.b": "a.b", "c.d": "c.d"} and options.method.value == "ignoreOrder"
+    assert options.ddl_until is None and cli.options(cli.parse(["--ddlUntil", "5,2"])).ddl_until == (5, 2) and cli.options(cli.parse(["--ddlUntil", "5"])).ddl_until == (5, 0)
     with pytest.raises(SystemExit):
         cli.parse(["--srcNamespace", "a.b,c.d", "--dstNamespace", "x.y"])
     with pytest.raises(ValueError):
