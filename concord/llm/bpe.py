@@ -5,7 +5,7 @@ merging. Encoded rows keep where pieces end among their ids; by these offsets an
 pieces is decoded by itself, and all of them give the text back.
 
 Null texts are empty texts; empty texts have no ids; rows repeat as they came;
-columns besides doc_id and text are ignored. A text is taken whole: one longer
+columns besides doc_id and text are ignored. An empty table gives an empty result. A text is taken whole: one longer
 than SEGMENT code points is cut where a piece starts, which changes no piece.
 """
 

@@ -1,4 +1,7 @@
-"""Connected components of a distributed set of links."""
+"""Connected components of a distributed set of links.
+
+Links with a null end, and of a node with itself, say nothing and are passed over; links that repeat count once. No links give no nodes. Columns besides src and dst are ignored.
+"""
 
 from __future__ import annotations
 

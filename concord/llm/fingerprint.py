@@ -12,6 +12,7 @@ link one range to the next; no task sees all ids.
 
 Null texts are empty ones. Rows of one doc_id share the next lower doc_id; where several rows have
 that, the least of their texts counts. A null doc_id comes after all others. One row alone follows itself.
+An empty table gives an empty result. Only doc_id and text are read, so other columns clash with nothing.
 """
 
 from __future__ import annotations

@@ -15,6 +15,7 @@ as many tasks as its counts ask for.
 Null and empty texts are one empty line, which stays. Each row counts as one document; rows of one
 doc_id that hold the last copy all keep it. With a null doc_id a row counts but never holds the last
 copy unless all rows of the key lack an id; then all keep it. Columns besides doc_id and text ride along.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ capitals, entropy and the characters around the span. A candidate that reaches T
 Two passes: the first writes a row for each document with its spans and candidates, the second reads only that.
 
 Null and empty texts have no spans. Places are in code points. Rows repeat as they came; columns besides doc_id and text are ignored.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

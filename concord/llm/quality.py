@@ -9,7 +9,7 @@ counts enter as logarithms, scaled to length one. Only the text is an input. The
 
 Fitted on at most SAMPLE rated rows, those with the least hash of doc_id whose crc32 modulo FOLDS isn't 0, of several texts of one doc_id the least; scored over all rows. Null and
 empty texts have the band features only. With one grade or none among the ratings, that grade (0 if none) is expected of all.
-Rows repeat as they came.
+Rows repeat as they came. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ changes: op (insert, delete, revise), doc_id, source, lang, version, n_tokens, o
 feed has it: what tells changes of one doc_id, or of none, from each other. Within a batch, rows that are equal in all
 of these count once (feeds deliver some twice). Null counts are 0; null sources, languages and versions are
 groups of their own; other ops are an error. Totals of groups that became empty stay out. Further columns are ignored.
+An empty table gives no totals.
 """
 
 from __future__ import annotations

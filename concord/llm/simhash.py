@@ -16,7 +16,8 @@ linked to the least of its list. That is linear in the list and loses no compone
 Components come from the links by rounds of large-star and small-star steps.
 
 Null and empty texts have fingerprint zero and are linked like any other; equal rows
-all stay; a null doc_id is never the least of its component unless all are null.
+all stay; a null doc_id is never the least of its component unless all are null. An empty table gives an empty result.
+Only doc_id and text are read, and the columns a caller asks to keep, so other columns clash with nothing.
 """
 
 from __future__ import annotations

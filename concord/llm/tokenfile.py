@@ -14,6 +14,7 @@ A file is a Parquet table whose rows are pages: shard, page, first (ids of the s
 Shards are ranges of doc_id in ascending order, each written by one task in sorted order.
 
 Null texts are empty ones and hold the end id alone. Rows of one doc_id stand together, by text; null ids stand first, marked NO_ID.
+An empty table gives a file without pages. Only doc_id and text are read, so other columns clash with nothing.
 """
 
 from __future__ import annotations

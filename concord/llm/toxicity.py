@@ -12,6 +12,7 @@ the others are held out; of several texts of one doc_id the least is learnt. Fea
 
 Null and empty texts score as the model's prior; a doc_id that is null is never held out nor learnt from; rows
 repeat as they came. With no labelled row, or one class only, the score is the share of label 1 (0.0 if there is none).
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
