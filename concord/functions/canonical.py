@@ -100,30 +100,30 @@ VARIANTS = {
 }
 
 
-def _of_variant(c: Column) -> Column:
-    """An atomic value has the text that a column of its type would give. An object or array has its JSON text, whose names are sorted, and its schema, which tells 1 from 1.0."""
+def _variant_text(c: Column, schema: Column) -> Column:
+    out = F.when(schema == "VOID", "z;").when(schema.startswith("DECIMAL"), F.concat(F.lit("n"), F.try_variant_get(c, "$", "string"), F.lit(";")))
+    for name, (kind, _) in VARIANTS.items():
+        out = out.when(schema == name, _atom(F.try_variant_get(c, "$", kind.simpleString()), kind))
+    return out.otherwise(F.concat(F.lit("v"), _text(F.to_json(c)), _text(schema), F.lit(";")))
+
 
-    def by(schema: Column) -> Column:
-        out = F.when(schema == "VOID", "z;").when(schema.startswith("DECIMAL"), F.concat(F.lit("n"), F.try_variant_get(c, "$", "string"), F.lit(";")))
-        for name, (kind, _) in VARIANTS.items():
-            out = out.when(schema == name, _atom(F.try_variant_get(c, "$", kind.simpleString()), kind))
-        return out.otherwise(F.concat(F.lit("v"), _text(F.to_json(c)), _text(schema), F.lit(";")))
+def _variant_type(schema: Column) -> Column:
+    out = F.when(schema.isNull() | (schema == "VOID"), "null").when(schema.startswith("DECIMAL"), "decimal").when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array")
+    for name, (_, told) in VARIANTS.items():
+        out = out.when(schema == name, told)
+    return out.otherwise(F.lower(schema))
 
-    return let(F.schema_of_variant(c), by)
+
+def _of_variant(c: Column) -> Column:
+    """An atomic value has the text that a column of its type would give. An object or array has its JSON text, whose names are sorted, and its schema, which tells 1 from 1.0."""
+    return let(F.schema_of_variant(c), lambda schema: _variant_text(c, schema))
 
 
 def type_of(c: Column, kind: T.DataType) -> Column:
     """The name of a value's type: null has its own, and a variant that of the value it holds."""
     if not isinstance(kind, T.VariantType):
         return F.when(c.isNull(), F.lit("null")).otherwise(F.lit(type_name(kind)))
-
-    def by(schema: Column) -> Column:
-        out = F.when(schema.isNull() | (schema == "VOID"), "null").when(schema.startswith("DECIMAL"), "decimal").when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array")
-        for name, (_, told) in VARIANTS.items():
-            out = out.when(schema == name, told)
-        return out.otherwise(F.lower(schema))
-
-    return let(F.schema_of_variant(c), by)
+    return let(F.schema_of_variant(c), _variant_type)
 
 
 def ordered(c: Column, kind: T.DataType) -> Column:
@@ -154,9 +154,13 @@ def fields_of_variant(c: Column) -> Column:
     """A variant that holds an object as a document: the fields that this very row has. Null is a document without fields; what holds anything else is an error."""
     whole = F.when(F.schema_of_variant(c).startswith("OBJECT"), c).otherwise(F.raise_error(F.concat(F.lit("not a document: "), F.schema_of_variant(c))).cast("variant"))
     each = F.map_entries(whole.cast("map<string,variant>"))
-    kind = T.VariantType()
-    made = F.transform(each, lambda e: F.struct(e["key"].alias("name"), _encode(e["value"], kind, False).alias("ordered"), _encode(e["value"], kind, True).alias("sorted"), type_of(e["value"], kind).alias("type")))
-    return F.when(c.isNull(), F.array().cast(FIELDS)).otherwise(made)
+
+    def entry(e: Column) -> Column:
+        v = e["value"]
+        told = lambda schema: let(F.when(v.isNull(), "z;").otherwise(_variant_text(v, schema)), lambda t: F.struct(e["key"].alias("name"), t.alias("ordered"), t.alias("sorted"), _variant_type(schema).alias("type")))
+        return let(F.schema_of_variant(v), told)
+
+    return F.when(c.isNull(), F.array().cast(FIELDS)).otherwise(F.transform(each, entry))
 
 
 def row_text(schema: T.StructType, by_name: bool, missing_if_null: bool = False) -> Column:
