@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,29 +115,80 @@ def _digest(method: Method) -> tuple[Column, Column]:
     return F.xxhash64(_text_of(method)).alias("a"), F.xxhash64(F.lit("second"), _text_of(method)).alias("b")
 
 
-def differing(src: DataFrame, dst: DataFrame, method: Method, natural: bool, seen: Observation | None = None) -> DataFrame:
-    """key, s, d: digests (a, b, size) of documents that have no equal on the other side; one of the two may be null.
+#: A key with more copies left over than this, on both sides together, is dealt to tasks by parts of its digests and blocks of its line; both ways give the same rows.
+DEALT = 1 << 16
+#: Leading bits of a digest that a part shares, and of a place in line that are its block.
+PART_BITS, BLOCK_BITS = 12, 16
 
-    Several of one key stand in line on either side, in the order of their digests whatever order they came in, and those at one place meet. Equal copies are one
-    stretch of the line, whatever their number: rows of a key are as many as its different documents, until the last step tells copies out.
-    """
+
+def left_over(src: DataFrame, dst: DataFrame, method: Method, seen: Observation | None = None) -> DataFrame:
+    """key, a, b, size, n: documents of a key that one side has n times more often than the other (less than 0: the destination)."""
     slim = lambda df, n: df.select("key", *_digest(method), F.octet_length(_text_of(method)).alias("size"), F.lit(n).cast("long").alias("n"))
     own = slim(src, 1)
     if seen is not None:
         own = own.observe(seen, F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
-    left = own.unionByName(slim(dst, -1)).groupBy("key", "a", "b", "size").agg(F.sum("n").alias("n")).where("n != 0")
-    # All that follows is by key, and needs no other exchange.
-    runs = left.repartition("key").select("key", (F.col("n") > 0).alias("from_src"), F.struct("a", "b", "size").alias("x"), F.abs("n").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("key", "from_src").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = runs.withColumn("upto", upto)
+    return own.unionByName(slim(dst, -1)).groupBy("key", "a", "b", "size").agg(F.sum("n").alias("n")).where("n != 0")
+
+
+def _stretches(placed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """key, s, d, n: n places in line at which the same two documents meet. placed: documents (x) of a side that stand at the places from at up to upto."""
     nothing = F.lit(None).cast(placed.schema["x"].dataType)
-    marks = placed.select("key", "from_src", F.explode(F.array(F.struct((F.col("upto") - F.col("n")).alias("at"), "x"), F.struct(F.col("upto").alias("at"), nothing.alias("x")))).alias("m")).select("key", "from_src", "m.at", "m.x")
+    marks = placed.select(*by, "from_src", F.explode(F.array(F.struct("at", "x"), F.struct(F.col("upto").alias("at"), nothing.alias("x")))).alias("m")).select(*by, "from_src", "m.at", "m.x")
     own = lambda side, value: F.max(F.when(F.col("from_src") == side, value))
-    met = marks.groupBy("key", "at").agg(own(True, F.col("x")).alias("sx"), own(True, F.lit(True)).alias("sm"), own(False, F.col("x")).alias("dx"), own(False, F.lit(True)).alias("dm"))
-    line = Window.partitionBy("key").orderBy("at")
+    met = marks.groupBy(*by, "at").agg(own(True, F.col("x")).alias("sx"), own(True, F.lit(True)).alias("sm"), own(False, F.col("x")).alias("dx"), own(False, F.lit(True)).alias("dm"))
+    line = Window.partitionBy(*by).orderBy("at")
     held = lambda mark, value: F.last(F.when(F.col(mark), F.struct(F.col(value).alias("v"))), ignorenulls=True).over(line)["v"]
-    stretches = met.select("key", held("sm", "sx").alias("s"), held("dm", "dx").alias("d"), (F.lead("at").over(line) - F.col("at")).alias("n"))
-    found = stretches.where(F.col("n") > 0).where("s is not null" if natural else "s is not null or d is not null")
+    return met.select("key", held("sm", "sx").alias("s"), held("dm", "dx").alias("d"), (F.lead("at").over(line) - F.col("at")).alias("n")).where("n > 0")
+
+
+def _dealt(runs: DataFrame) -> DataFrame:
+    """The stretches of keys with any number of copies: no task has a whole line.
+
+    Digests are hashes, so their leading bits cut a line into parts of like size. What stands before a part is summed over one row a part;
+    then the line is cut at fixed places, and each block's documents meet by themselves.
+    """
+    part = ["key", "from_src", "part"]
+    cut = runs.withColumn("part", F.shiftright("x.a", 64 - PART_BITS))
+    ends = cut.groupBy(*part).agg(F.sum("n").alias("m"))
+    ends = ends.select(*part, (F.sum("m").over(Window.partitionBy("key", "from_src").orderBy("part")) - F.col("m")).alias("zero"))
+    upto = F.sum("n").over(Window.partitionBy(*part).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = cut.withColumn("upto", upto).join(ends, part).withColumn("upto", F.col("upto") + F.col("zero")).withColumn("at", F.col("upto") - F.col("n"))
+    block = F.explode(F.sequence(F.shiftright("at", BLOCK_BITS), F.shiftright(F.col("upto") - 1, BLOCK_BITS)))
+    pieces = placed.select("key", "from_src", "x", "at", "upto", block.alias("block"))
+    first = F.shiftleft("block", BLOCK_BITS)
+    return _stretches(pieces.withColumns({"at": F.greatest("at", first), "upto": F.least("upto", first + (1 << BLOCK_BITS))}), ["key", "block"])
+
+
+def _hot(left: DataFrame, dealt: int) -> DataFrame:
+    """The keys with more copies left over than that."""
+    return left.groupBy("key").agg(F.sum(F.abs("n")).alias("m")).where(F.col("m") > dealt).select("key")
+
+
+def _looked_at(left: DataFrame, settle: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, int | None]:
+    """What is left over, written, and DEALT if any key has more copies than that. Their number in all is counted as they are written; only if it is greater are keys looked at."""
+    total = Observation()
+    kept = settle(left.observe(total, F.coalesce(F.sum(F.abs("n")), F.lit(0)).alias("n")), "left-over")
+    try:
+        few = total.get.get("n", DEALT + 1) <= DEALT
+    except Py4JError:  # an execution that found no rows at all may leave none behind
+        few = False
+    return kept, None if few or _hot(kept, DEALT).isEmpty() else DEALT
+
+
+def paired(left: DataFrame, natural: bool, dealt: int | None = DEALT) -> DataFrame:
+    """key, s, d: digests (a, b, size) of documents that have no equal on the other side; one of the two may be null. left: what left_over() gives. dealt: None says that no key has many copies.
+
+    Several of one key stand in line on either side, in the order of their digests whatever order they came in, and those at one place meet. Equal copies are one
+    stretch of the line, whatever their number: rows of a key are as many as its different documents, until the last step tells copies out, a block of them at most.
+    """
+    runs = left.select("key", (F.col("n") > 0).alias("from_src"), F.struct("a", "b", "size").alias("x"), F.abs("n").alias("n"))
+    hot = None if dealt is None else _hot(left, dealt)
+    few = (runs if hot is None else runs.join(hot, "key", "left_anti")).repartition("key")  # all that follows is by key, and needs no other exchange
+    upto = F.sum("n").over(Window.partitionBy("key", "from_src").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    stretches = _stretches(few.withColumn("upto", upto).withColumn("at", F.col("upto") - F.col("n")), ["key"])
+    if hot is not None:
+        stretches = stretches.unionByName(_dealt(runs.join(hot, "key", "left_semi")))
+    found = stretches.where("s is not null" if natural else "s is not null or d is not null")
     return found.select("key", "s", "d", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("_copy")).drop("_copy")
 
 
@@ -166,20 +218,23 @@ def _rows_of_pair(method: Method) -> Column:
 
 
 def compare(
-    src: DataFrame, dst: DataFrame, method: str | Method = Method.IGNORE_ORDER, *, natural: bool = False, ids: DataFrame | None = None, settle: Callable[[DataFrame], DataFrame] | None = None,
-    seen: Observation | None = None,
+    src: DataFrame, dst: DataFrame, method: str | Method = Method.IGNORE_ORDER, *, natural: bool = False, ids: DataFrame | None = None, settle: Callable[[DataFrame, str], DataFrame] | None = None,
+    seen: Observation | None = None, hot: bool = False,
 ) -> DataFrame:
     """id, field, details, cluster, data_size: a row for each top-level field that differs, or for a document that one side lacks.
 
     src, dst: documents. natural: documents only the destination has are not looked for. ids: only these keys.
-    settle: writes what differs (key, two digests) and gives it back, so that it is found once only. seen: gets documents and bytes of the source on the way.
+    settle: writes a small table of what differs under a name and gives it back, so that it is found once only; keys with very many copies are then looked for, and dealt to tasks (hot does so without settle). seen: gets documents and bytes of the source on the way.
     """
     method = Method.of(method)
     if ids is not None:
         src, dst = restricted(src, ids), restricted(dst, ids)
-    found = differing(src, dst, method, natural, seen)
+    left, dealt = left_over(src, dst, method, seen), DEALT if hot else None
+    if settle is not None:
+        left, dealt = _looked_at(left, settle)
+    found = paired(left, natural, dealt)
     if settle is not None:
-        found = settle(found)
+        found = settle(found, "differing")
     size = F.greatest(F.coalesce("s.size", F.lit(0)), F.coalesce("d.size", F.lit(0))).alias("data_size")
     one = found.where("s is null or d is null").select(
         F.col("key").alias("id"), F.lit("").alias("field"), F.lit(MISSING).alias("details"), F.when(F.col("s").isNull(), SRC).otherwise(DST).alias("cluster"), size

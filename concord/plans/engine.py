@@ -308,7 +308,7 @@ class Engine:
         else:
             src, dst = self._inside(src, key, unit), self._inside(dst, key, unit)
         made, seen = [diff.documents(x, key, filter=self.options.filter) for x in (src, dst)], Observation()
-        rows = diff.compare(*made, self.options.method, natural=self.options.natural, settle=lambda df: written(df, "differing"), seen=seen)
+        rows = diff.compare(*made, self.options.method, natural=self.options.natural, settle=written, seen=seen)
         aged = diff.aged(rows, moment, prior)
         own = aged.select(F.lit(TaskType.DOCUMENTS.value).alias("task_type"), F.lit(f"{g}-{unit['unit']}-{ns}").alias("task_id"), *aged.columns, F.lit(ns).alias("namespace"))
         store.replace_part(self._shaped(own, g), f"{self.folder}/mismatches", g, unit["unit"])

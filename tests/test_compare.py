@@ -177,3 +177,59 @@ def test_tables_and_fields_give_the_same_rows(spark):
             rows = [sorted(map(tuple, diff.compare(*(f(x) for x in tables), method).collect())) for f in (lambda x: x, diff.by_fields)]
             strip = lambda found: [r[:4] for r in found]
             assert strip(rows[0]) == strip(rows[1]) and len(rows[0]) > 5
+
+
+LEFT = "key string, a long, b long, size int, n long"
+
+
+def test_keys_that_are_dealt_to_blocks_meet_the_same_way(spark, monkeypatch):
+    monkeypatch.setattr(diff, "BLOCK_BITS", 2)  # many blocks, and stretches that reach over several
+    rng = random.Random(5)
+    rows = []
+    for k in range(12):
+        for a in {rng.randrange(-(1 << 63), 1 << 63) for _ in range(rng.randrange(1, 9))}:
+            for b in range(rng.randrange(1, 3)):
+                rows.append((f"k{k}", a, b, rng.randrange(9), rng.choice([-1, 1]) * rng.choice([1, 2, 3, 17])))
+    left = spark.createDataFrame(rows, LEFT)
+    for natural in (False, True):
+        told = [sorted(map(repr, diff.paired(left, natural, dealt).collect())) for dealt in (None, 20, 0)]
+        assert told[0] == told[1] == told[2] and told[0]
+    # Against lines that are walked in Python.
+    expected = []
+    for k in {r[0] for r in rows}:
+        lines = [[r[1:4] for r in sorted(rows) if r[0] == k and (r[4] > 0) == side for _ in range(abs(r[4]))] for side in (True, False)]
+        expected += [(k, *met) for met in itertools.zip_longest(*lines)]
+    got = [(r.key, r.s and tuple(r.s), r.d and tuple(r.d)) for r in diff.paired(left, False, 0).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, expected))
+
+
+def test_hot_keys_are_looked_for_where_left_over_documents_are_written(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(diff, "DEALT", 8)
+    written = []
+
+    def settle(df, name):
+        written.append(name)
+        df.write.parquet(str(tmp_path / str(len(written))))
+        return spark.read.parquet(str(tmp_path / str(len(written))))
+
+    rows = lambda n, side: spark.range(n).select(F.lit("k").alias("key"), F.concat(F.lit(side), F.col("id").cast("string")).alias("ordered")).withColumn("sorted", F.col("ordered"))
+    for n, expected in ((0, None), (3, None), (30, 8)):
+        left = diff.left_over(rows(n, "s"), rows(n // 2, "d"), diff.Method.HASH)
+        assert diff._looked_at(left, settle)[1] == expected
+    told = [sorted(map(tuple, diff.compare(rows(30, "s"), rows(11, "d"), "toHashedIndexKey", **more).collect())) for more in ({}, {"settle": settle}, {"hot": True})]
+    assert told[0] == told[1] == told[2] and len(told[0]) == 30
+
+
+def test_a_key_with_very_many_differing_copies_is_many_tasks(spark):
+    n = 300_000
+    own = lambda side: spark.range(n).select(F.lit("k").alias("key"), F.concat(F.lit(side), F.col("id").cast("string")).alias("ordered")).withColumn("sorted", F.col("ordered"))
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        left = diff.left_over(own("s"), own("d").where("ordered < 'd5'"), diff.Method.HASH)
+        tasks = diff.paired(left, False).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count("d").alias("d"))
+        by_task = tasks.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    assert sum(r.n for r in by_task) == n and sum(r.d for r in by_task) == own("d").where("ordered < 'd5'").count()
+    assert len(by_task) == 4 and max(r.n for r in by_task) < n * 0.75  # five blocks of 65,536 places over four tasks
