@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -50,10 +50,14 @@ def bson_size(c: Column, kind: T.DataType) -> Column:
 
 
 def type_of(c: Column, kind: T.DataType) -> Column:
+    """Name of a value's type; of a VARIANT, that of the value it happens to hold."""
+    if isinstance(kind, T.VariantType):
+        return F.when(c.isNull(), F.lit("missing")).otherwise(canonical.type_of(c, kind))
     return F.when(c.isNull(), F.lit("missing")).otherwise(F.lit(canonical.type_name(kind)))
 
 
 def exists(c: Column) -> Column:
+    """Whether a field is there. One that get_path() gives is, if it is null; a typed column can't tell null from missing."""
     return c.isNotNull()
 
 
@@ -74,6 +78,25 @@ def get_field(c: Column, name: str) -> Column:
     return c.getField(name)
 
 
+def get_path(document: Column, path: str) -> Column:
+    """A field of a VARIANT document, as VARIANT: null if it is missing, a VARIANT null if it is null."""
+    return F.try_variant_get(document, f"$.{path}", "variant")
+
+
+def object_(fields: Mapping[str, Column | tuple[Column, Column]]) -> Column:
+    """A map of fields whose values share a type. A pair (condition, value) is a field that is there only where the condition holds: with a null value it stays."""
+    some = []
+    for name, value in fields.items():
+        there, own = value if isinstance(value, tuple) else (F.lit(True), value)
+        some.append(F.when(there, F.struct(F.lit(name).alias("k"), own.alias("v"))))
+    return F.map_from_entries(F.array_compact(F.array(*some)))
+
+
+def without(object: Column, *names: str) -> Column:
+    """A map without some fields."""
+    return F.map_filter(object, lambda k, v: ~k.isin(*names))
+
+
 def cond(if_, then, otherwise) -> Column:
     return F.when(_c(if_), _c(then)).otherwise(_c(otherwise))
 
@@ -156,7 +179,7 @@ def first(c: Column, order: Column) -> Column:
 
 
 def first_n(c: Column, order: Column, n: int) -> Column:
-    """Values of the first n rows; for groups that fit a task. diff.first_of_each() does it for any."""
+    """Values of the first n rows; for groups that fit a task. diff.ends_of_each() does it for any."""
     return F.transform(F.slice(F.array_sort(F.collect_list(F.struct(order.alias("o"), c.alias("c")))), 1, n), lambda x: x["c"])
 
 

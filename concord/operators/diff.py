@@ -219,17 +219,17 @@ def _rows_of_pair(method: Method) -> Column:
 
 def compare(
     src: DataFrame, dst: DataFrame, method: str | Method = Method.IGNORE_ORDER, *, natural: bool = False, ids: DataFrame | None = None, settle: Callable[[DataFrame, str], DataFrame] | None = None,
-    seen: Observation | None = None, hot: bool = False,
+    seen: Observation | None = None, hot: int | None = None,
 ) -> DataFrame:
     """id, field, details, cluster, data_size: a row for each top-level field that differs, or for a document that one side lacks.
 
     src, dst: documents. natural: documents only the destination has are not looked for. ids: only these keys.
-    settle: writes a small table of what differs under a name and gives it back, so that it is found once only; keys with very many copies are then looked for, and dealt to tasks (hot does so without settle). seen: gets documents and bytes of the source on the way.
+    settle: writes a small table of what differs under a name and gives it back, so that it is found once only; keys with very many copies are then looked for, and dealt to tasks. hot: deals keys with more copies than that without looking first. seen: gets documents and bytes of the source on the way.
     """
     method = Method.of(method)
     if ids is not None:
         src, dst = restricted(src, ids), restricted(dst, ids)
-    left, dealt = left_over(src, dst, method, seen), DEALT if hot else None
+    left, dealt = left_over(src, dst, method, seen), hot
     if settle is not None:
         left, dealt = _looked_at(left, settle)
     found = paired(left, natural, dealt)
@@ -344,3 +344,9 @@ def latest(time: Column) -> Column:
 def first_of_each(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of each group, in an order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def ends_of_each(df: DataFrame, by: Sequence[str], value: Column, order: Sequence[Column], n: int, name: str) -> DataFrame:
+    """by, name: an array of the values of each group's first n rows, in an order that leaves no ties. However large a group is, a task hands on n of its rows."""
+    rows = df.select(*by, value.alias(name), F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("_n")).where(F.col("_n") <= n)
+    return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", name))), lambda x: x[name]).alias(name))

@@ -21,7 +21,8 @@ from concord.streaming import changes
 
 from . import reports
 from .catalogue import _CLASS, _INDEX_SQL, _OP, _ORDERS, _QUEUE, _REDUCED, _TASKS, _feed, _progress_sql, _queue, _shared, _tasks, both_orders, index_style_map_diff, query, table
-from .drift import drifted_sql
+from .drift import drifted, drifted_sql
+
 
 def _n():
     return F.count(F.lit(1))
@@ -51,17 +52,22 @@ def id_scan(spark, sf_dir):
 
 @query("SELECT (rn // 10000)::BIGINT AS chunk, count(*)::BIGINT AS documents, sum(l_orderkey)::BIGINT AS total FROM (SELECT l_orderkey, row_number() OVER () - 1 AS rn FROM lineitem) GROUP BY 1")
 def natural_scan(spark, sf_dir):
-    """Rows by their place in their file: each file's first half, and the rest."""
-    lines = table(spark, sf_dir, "lineitem")
-    place = F.col("_metadata.row_index")
-    found = []
-    for r in partitioning.physical(lines).orderBy("file").collect():  # a row a file
-        for lower, upper in ((None, r["rows"] // 2), (r["rows"] // 2, None)):
-            found.append(catalog.natural_scan(lines, r["file"], lower, upper).select("l_orderkey", place.alias("place")))
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
-    return every.groupBy(F.floor(F.col("place") / 10_000).alias("chunk")).agg(_n().alias("documents"), F.sum("l_orderkey").alias("total"))
+    """Rows by their place in their file, in parts of 10,000 rows."""
+    parts = catalog.natural_parts(table(spark, sf_dir, "lineitem"), 10_000)
+    return parts.groupBy(F.col("_at.part").alias("chunk")).agg(_n().alias("documents"), F.sum("l_orderkey").alias("total"))
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey, ((row_number() OVER () - 1) // 1000)::BIGINT AS part FROM orders)"
+    " SELECT part, CASE WHEN o_orderkey % 97 = 0 THEN 'Missing' ELSE 'Mismatch' END AS details, count(*)::BIGINT AS n, min(o_orderkey) AS first FROM o WHERE o_orderkey % 97 = 0 OR o_orderkey % 101 = 0 GROUP BY 1, 2"
+)
+def natural_part_diff(spark, sf_dir):
+    """What differs by parts of the source's natural order: a part is a stretch of 1,000 rows of a file, looked up by key on the other side."""
+    orders = table(spark, sf_dir, "orders")
+    src = catalog.natural_parts(orders, 1000).select("o_orderkey", "o_totalprice", "_at.part")
+    dst = drifted(orders.select("o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice")
+    rows = diff.compare_columns(src, dst, ["o_orderkey"], ["o_totalprice"], natural=True, unique=True)
+    return rows.join(src.select("o_orderkey", "part"), "o_orderkey").groupBy("part", "details").agg(_n().alias("n"), F.min("o_orderkey").alias("first"))
 
 
 @query("SELECT count(*) FILTER (o_orderstatus = 'F' AND o_totalprice > 1000)::BIGINT AS documents, max(o_orderkey) AS top FROM orders")
@@ -318,6 +324,50 @@ def repeated_keys(spark, sf_dir):
     return diff.compare(side(e), side(e.where("user_id % 5 <> 0"))).where(classify.missing_on_dst()).groupBy("id").agg(_n().alias("missing"))
 
 
+@query(
+    "WITH s AS (SELECT l_returnflag AS k, l_orderkey AS o, l_linenumber AS l, l_quantity AS q FROM lineitem), d AS (SELECT k, o, l, CASE WHEN o % 5 = 0 THEN q + 1 ELSE q END AS q FROM s WHERE o % 7 <> 0),"
+    " a AS (SELECT k, count(*) AS n FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM d) GROUP BY 1), b AS (SELECT k, count(*) AS n FROM (SELECT * FROM d EXCEPT ALL SELECT * FROM s) GROUP BY 1),"
+    " m AS (SELECT k, coalesce(a.n, 0) AS an, coalesce(b.n, 0) AS bn FROM a FULL JOIN b USING (k))"
+    " SELECT 's1:' || k || ';' AS id, 'Mismatch' AS details, 'dstClient' AS cluster, least(an, bn)::BIGINT AS n FROM m WHERE least(an, bn) > 0"
+    " UNION ALL SELECT 's1:' || k || ';', 'Missing', CASE WHEN an > bn THEN 'dstClient' ELSE 'srcClient' END, abs(an - bn)::BIGINT FROM m WHERE an <> bn"
+)
+def hot_key_diff(spark, sf_dir):
+    """Three keys for all lines, a third of which differ: a key's copies meet in blocks, in many tasks."""
+    own = ("l_returnflag", "l_orderkey", "l_linenumber", "l_quantity")
+    lines = table(spark, sf_dir, "lineitem").select(*own)
+    dst = lines.where("l_orderkey % 7 <> 0").withColumn("l_quantity", F.when(F.col("l_orderkey") % 5 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    side = lambda df: diff.documents(df, ["l_returnflag"])
+    return diff.compare(side(lines), side(dst), "toHashedIndexKey", hot=1000).groupBy("id", "details", "cluster").agg(_n().alias("n"))
+
+
+@query(
+    "SELECT l_returnflag AS flag, l_linestatus AS status, array_to_string(list_slice(list(l_orderkey ORDER BY l_orderkey, l_linenumber), 1, 3), ',') AS first3,"
+    " array_to_string(list_slice(list(l_orderkey ORDER BY l_orderkey DESC, l_linenumber DESC), 1, 2), ',') AS top2 FROM lineitem GROUP BY 1, 2"
+)
+def ends_of_groups(spark, sf_dir):
+    """First and last values of four large groups, of which no task collects more than it hands on."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), "l_orderkey", "l_linenumber")
+    by, key = ["flag", "status"], F.col("l_orderkey").cast("string")
+    first = diff.ends_of_each(lines, by, key, [F.asc("l_orderkey"), F.asc("l_linenumber")], 3, "first3")
+    top = diff.ends_of_each(lines, by, key, [F.desc("l_orderkey"), F.desc("l_linenumber")], 2, "top2")
+    return first.join(top, by).select(*by, F.array_join("first3", ",").alias("first3"), F.array_join("top2", ",").alias("top2"))
+
+
+@query(
+    "SELECT o_orderstatus AS status, CASE WHEN o_totalprice > 100000 THEN 'priority,status' ELSE 'status' END AS fields, CASE WHEN o_orderkey % 3 = 0 THEN 'null' WHEN o_orderkey % 3 = 1 THEN 'string' ELSE 'missing' END AS type,"
+    " o_orderkey % 3 <> 2 AS there, count(*)::BIGINT AS n FROM orders GROUP BY ALL"
+)
+def fields_that_may_be_missing(spark, sf_dir):
+    """A field that is null is there, one that is missing isn't; fields that are there on a condition, and fields that are removed."""
+    o = table(spark, sf_dir, "orders")
+    made = X.object_({"status": F.col("o_orderstatus"), "priority": (F.col("o_totalprice") > 100000, F.col("o_orderpriority")), "note": F.lit("x")})
+    k = F.col("o_orderkey") % 3
+    doc = F.parse_json(F.when(k == 0, '{"a":null}').when(k == 1, '{"a":"x"}').otherwise("{}"))
+    a = X.get_path(doc, "a")
+    told = o.select(F.col("o_orderstatus").alias("status"), F.array_join(F.array_sort(F.map_keys(X.without(made, "note"))), ",").alias("fields"), X.type_of(a, T.VariantType()).alias("type"), X.exists(a).alias("there"))
+    return told.groupBy("status", "fields", "type", "there").agg(_n().alias("n"))
+
+
 # Rechecks and progress.
 
 

@@ -166,12 +166,12 @@ class Engine:
         size = store.bytes_of(df)
         parts = min(self.options.ranges, partitioning.ideal(size, self.options.partition_bytes)) if size else 1
         if parts < 2 or ns in capped:
-            return [{"lower": None, "upper": None}]
+            return [{"lower": None, "upper": None, "bytes": size}]
         if len(key) == 1 and key[0] in df.columns and ordering.reads_back(df.schema[key[0]].dataType):
             found = partitioning.bucket_bounds(df, key[0], parts).select("part", *(F.when(F.col(b).isNotNull(), ordering.encoded(F.col(b), df.schema[key[0]].dataType)).alias(b) for b in ("lower", "upper")))
         else:
             found = partitioning.bucket_bounds(df.select(keys.order_text(df, key).alias("k")), "k", parts)
-        return [{"lower": r["lower"], "upper": r["upper"]} for r in found.orderBy("part").collect()]  # options.ranges at most
+        return [{"lower": r["lower"], "upper": r["upper"], "bytes": size // parts} for r in found.orderBy("part").collect()]  # options.ranges at most
 
     def _inside(self, df: DataFrame, key: tuple[str, ...], unit: dict) -> DataFrame:
         """The rows of a unit's range. Bounds of one plain field become values of its type, so that they reach the files' statistics."""
@@ -522,14 +522,17 @@ class Engine:
         }
 
     def _units(self) -> tuple[int, int]:
-        """Units of this generation that are left and that are whole."""
+        """What is left of this generation's units and what is whole: bytes of their tables, or units if a table's bytes aren't known."""
         g = self.generation()
         noted = store.text(self.spark, f"{self.folder}/plans/{g}.json")
-        done = len(store.names(self.spark, f"{self.folder}/done/generation={g}"))
-        return (len(json.loads(noted)["units"]) - done if noted else 0), done
+        units = json.loads(noted)["units"] if noted else []
+        whole = set(store.names(self.spark, f"{self.folder}/done/generation={g}"))
+        known = all(u.get("bytes") for u in units)
+        done = sum(u["bytes"] if known else 1 for u in units if u["unit"] in whole)
+        return sum(u["bytes"] if known else 1 for u in units) - done, done
 
     def _eta(self, phase: str) -> float | None:
-        """Seconds until the first check is done, by how long its whole units took."""
+        """Seconds until the first check is done, by how long what is whole took."""
         left, done = self._units()
         passed = time.monotonic() - self.began if self.began is not None else 0.0
         return statistics.eta_seconds(phase, left, done / passed if passed > 0 else 0.0)

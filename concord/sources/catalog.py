@@ -115,6 +115,12 @@ def natural_scan(df: DataFrame, file: str, lower: int | None = None, upper: int
     return found if upper is None else found.where(place < upper)
 
 
+def natural_parts(df: DataFrame, rows: int, at: str = "_at") -> DataFrame:
+    """Adds a column (file, part, place) to a table's rows: the natural order cut into stretches of so many rows, each within one file. One scan, whatever the number of files."""
+    place = F.col("_metadata.row_index")
+    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.floor(place / rows).alias("part"), place.alias("place")).alias(at))
+
+
 def indexes_of(specs: DataFrame) -> DataFrame:
     """namespace, name, spec of the indexes that tables' specifications list (column indexes: JSON), with the one on the key as _id. An index without a name is an error."""
     each = F.explode(F.from_json("indexes", "array<string>")).alias("spec")
