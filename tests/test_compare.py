@@ -216,7 +216,7 @@ def test_hot_keys_are_looked_for_where_left_over_documents_are_written(spark, tm
     for n, expected in ((0, None), (3, None), (30, 8)):
         left = diff.left_over(rows(n, "s"), rows(n // 2, "d"), diff.Method.HASH)
         assert diff._looked_at(left, settle)[1] == expected
-    told = [sorted(map(tuple, diff.compare(rows(30, "s"), rows(11, "d"), "toHashedIndexKey", **more).collect())) for more in ({}, {"settle": settle}, {"hot": True})]
+    told = [sorted(map(tuple, diff.compare(rows(30, "s"), rows(11, "d"), "toHashedIndexKey", **more).collect())) for more in ({}, {"settle": settle}, {"hot": 8})]
     assert told[0] == told[1] == told[2] and len(told[0]) == 30
 
 
