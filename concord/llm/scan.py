@@ -15,6 +15,7 @@ from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 
 OTHER, LETTER, NUMBER, SPACE, BLANK, END = range(6)  # BLANK: U+0020
 APOSTROPHE = 39
@@ -139,7 +140,7 @@ def byte_level() -> Machine:
 
 @lru_cache(1)
 def word_level() -> Machine:
-    """'s|'t|'re|'ve|'m|'ll|'d|letters|number|others; white space starts a piece of its own, which is dropped."""
+    """'s|'t|'re|'ve|'m|'ll|'d|letters|number|others; white space starts a piece of its own, which is dropped. words() finds the same without stepping and is tested against this."""
     fresh, letters, others, one, two = range(5)
     step, starts = [], []
     for s in range(5):
@@ -184,6 +185,45 @@ def cut(points: np.ndarray, starts: np.ndarray) -> list[str]:
     return marked.tobytes().decode("utf-32-le").split(chr(mark))
 
 
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of word_level() without white space: their code points, where each starts in these, and how many there are up to the end of each text.
+
+    Neighbours alone tell where they start: an apostrophe begins a contraction unless it stands in a run of others, that is, behind one of them.
+    """
+    points = np.frombuffer(("\0".join(texts) + "\0\0\0").encode("utf-32-le"), np.uint32)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+    kind = classes()[points]
+    kind[ends] = kind[-2:] = END
+    start = kind >= NUMBER
+    start[0] = True
+    start[1:] |= kind[1:] != kind[:-1]
+    at = np.flatnonzero(points == APOSTROPHE)
+    at = at[start[at]]
+    first, second = points[at + 1], points[at + 2]  # an end follows every text, and two more the last
+    for size, short in ((1, np.isin(first, [ord(c) for c in ONE_LETTER])), (2, np.any([(first == ord(a)) & (second == ord(b)) for a, b in TWO_LETTERS], axis=0))):
+        start[at[short] + 1] = False
+        start[at[short] + 1 + size] = True
+    own = kind < SPACE
+    starts = np.flatnonzero(start[own])
+    return points[own], starts, np.searchsorted(starts, np.cumsum(own)[ends])
+
+
+def distinct(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Which of the different pieces each one is, and these pieces, each the bytes of its code points. starts: as for cut(), or none."""
+    places = 4 * np.append(starts, len(points))
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(points)]).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
+
+
+def texts(pieces: pa.Array) -> list[str]:
+    """Pieces of distinct() as texts."""
+    if not len(pieces):
+        return []
+    _, places, values = pieces.buffers()
+    places = np.frombuffer(places, np.int64, pieces.offset + len(pieces) + 1)[pieces.offset :] // 4
+    return cut(np.frombuffer(values, np.uint32, int(places[-1]))[places[0] :], places[:-1] - places[0])
+
+
 def groups(texts: list[str], most: int = 1 << 20):
     """Runs of texts with at most so many code points together, a longer text alone."""
     run, size = [], 0

@@ -23,21 +23,22 @@ import struct
 import unicodedata
 import zlib
 from functools import lru_cache, partial
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scan
-from .bpe import MergeCache, as_bytes, vocabulary
+from .bpe import CACHED_LENGTH, vocabulary
 from .common import bounded_batches, partitions, text_or_empty, written
 
 BLOCK, PAGE, COVER, END_ID = 128, 1 << 16, 0.9, 1
 VOCABULARY = "word_bpe_49k.json"
 MAGIC = b"PFR1"
 NO_ID = -(1 << 63)
+RUN, KNOWN = 1 << 22, 250_000
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -45,6 +46,36 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
 
 
+def _narrow(x: np.ndarray, w: int) -> np.ndarray:
+    """The bytes of numbers, a multiple of eight, of w bits each. Up to 16 bits, eight of them are two words, made of halves of four."""
+    if w > 16:
+        bits = np.unpackbits(x.astype("<u4").view(np.uint8), bitorder="little").reshape(-1, 32)
+        return np.packbits(bits[:, :w], bitorder="little")
+    eight = x.reshape(-1, 8).astype("<u8")
+    eight <<= np.arange(8, dtype=np.uint64) % np.uint64(4) * np.uint64(w)
+    half = eight[:, 0::4] | eight[:, 1::4] | eight[:, 2::4] | eight[:, 3::4]
+    words = np.empty((len(half), 2), "<u8")
+    words[:, 0] = half[:, 0] | half[:, 1] << np.uint64(4 * w)
+    words[:, 1] = half[:, 1] >> np.uint64(64 - 4 * w)
+    return words.view(np.uint8)[:, :w].reshape(-1)
+
+
+def _wide(packed: np.ndarray, w: int) -> np.ndarray:
+    """The numbers again."""
+    if w > 16:
+        bits = np.zeros((len(packed) * 8 // w, 32), np.uint8)
+        bits[:, :w] = np.unpackbits(packed, bitorder="little").reshape(-1, w)
+        return np.packbits(bits, bitorder="little").view("<u4")
+    room = np.zeros((len(packed) // w, 16), np.uint8)
+    room[:, :w] = packed.reshape(-1, w)
+    half = room.view("<u8")
+    half[:, 1] = half[:, 0] >> np.uint64(4 * w) | half[:, 1] << np.uint64(64 - 4 * w)
+    out = np.empty((len(half), 2, 4), np.uint32)
+    for k in range(4):
+        out[:, :, k] = half >> np.uint64(k * w) & np.uint64((1 << w) - 1)
+    return out.reshape(-1)
+
+
 def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     n, blocks = len(ids), -(-len(ids) // BLOCK)
     padded = np.empty(blocks * BLOCK, np.uint32)
@@ -53,23 +84,21 @@ def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     grid = padded.reshape(blocks, BLOCK)
     least = grid.min(axis=1) if blocks else np.zeros(0, np.uint32)
     rest = grid - least[:, None]
-    need = _bits(rest)
-    width = np.sort(need, axis=1)[:, int(np.ceil(COVER * BLOCK)) - 1] if blocks else np.zeros(0, np.uint8)
-    over = need > width[:, None]
+    width = _bits(np.sort(rest, axis=1)[:, int(np.ceil(COVER * BLOCK)) - 1]) if blocks else np.zeros(0, np.uint8)
+    over = rest > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     start = np.concatenate([[0], np.cumsum(width.astype(np.int64) * (BLOCK // 8))])
     packed = np.zeros(int(start[-1]), np.uint8)
     low = np.where(over, 0, rest)
     for w in np.unique(width[width > 0]).tolist():
         at = np.flatnonzero(width == w)
-        bits = (low[at][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
         size = w * BLOCK // 8
-        packed[start[at][:, None] + np.arange(size)] = np.packbits(bits.astype(np.uint8).reshape(len(at), -1), axis=1, bitorder="little")
-    where = np.nonzero(over)
+        packed[start[at][:, None] + np.arange(size)] = _narrow(low[at], w).reshape(len(at), size)
+    where = np.flatnonzero(over)
     parts = (
-        doc_ids.astype("<i8"), lengths.astype("<u4"), least.astype("<u4"), width.astype("u1"), start[:-1].astype("<u4"), over.sum(axis=1).astype("<u2"),
-        packed, where[1].astype("u1"), rest[where].astype("<u4"),
+        doc_ids.astype("<i8"), lengths.astype("<u4"), least.astype("<u4"), width.astype("u1"), start[:-1].astype("<u4"), np.bincount(where // BLOCK, minlength=blocks).astype("<u2"),
+        packed, (where % BLOCK).astype("u1"), rest.reshape(-1)[where].astype("<u4"),
     )
-    return MAGIC + struct.pack("<5I", len(doc_ids), n, blocks, len(packed), len(where[0])) + b"".join(p.tobytes() for p in parts)
+    return MAGIC + struct.pack("<5I", len(doc_ids), n, blocks, len(packed), len(where)) + b"".join(p.tobytes() for p in parts)
 
 
 def unpack(page: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,11 +120,7 @@ def unpack(page: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for w in np.unique(width[width > 0]).tolist():
         own = np.flatnonzero(width == w)
         rows = packed[start[own].astype(np.int64)[:, None] + np.arange(w * BLOCK // 8)]
-        bits = np.unpackbits(rows, axis=1, bitorder="little").reshape(len(own), BLOCK, w)
-        values = np.zeros((len(own), BLOCK), np.uint32)
-        for k in range(w):
-            values |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-        grid[own] = values
+        grid[own] = _wide(rows.reshape(-1), w).reshape(len(own), BLOCK)
     grid[np.repeat(np.arange(blocks), counts), places] = rest
     return doc_ids, lengths, (grid + least[:, None]).reshape(-1)[:n]
 
@@ -116,7 +141,10 @@ def block(page: bytes, k: int) -> np.ndarray:
 
 
 class WordBPE:
-    """Ids as the tokenizers library gives them: its normalisation by Python's Unicode tables, pieces by array scans, each new piece by the library's model.
+    """Ids as the tokenizers library gives them: its normalisation by Python's Unicode tables, pieces by arrays, each new piece by the library's model.
+
+    A run of texts asks once for each of its different pieces, and the library once for all that are new. Pieces are held
+    in columns; when there are too many, those used least lately go, so that frequent ones stay and memory is bounded.
 
     A text with a code point that Python's tables don't know goes to the library whole. encode() takes markers
     such as <|endoftext|> for ordinary text; ids() reads them as the library does by itself, as the tokens they name.
@@ -124,14 +152,21 @@ class WordBPE:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.whole = Tokenizer.from_file(path)
         self.markers = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        model = self.whole.model
+        self.model = self.whole.model
+        self.bulk = Tokenizer(self.model)
+        self.bulk.pre_tokenizer = CharDelimiterSplit("\n")
+        suffix, tokens = self.model.end_of_word_suffix, self.whole.get_vocab()
+        self.last = np.zeros(max(tokens.values()) + 1, bool)
+        self.last[[i for token, i in tokens.items() if suffix and token.endswith(suffix)]] = True
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
-        letters = [chr(b) if b in printable else chr(next(others)) for b in range(256)]
-        self.known = MergeCache(lambda piece: as_bytes([t.id for t in model.tokenize("".join([letters[b] for b in piece.encode()]))]))
+        self.letters = [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+        self.known, self.ids_of = pa.array([], pa.large_binary()), np.zeros(0, np.uint32)
+        self.size, self.used, self.runs = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
     @staticmethod
     def normal(text: str) -> str | None:
@@ -154,17 +189,62 @@ class WordBPE:
 
     def encode(self, texts: list[str]):
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        for run in scan.groups(texts):
+        for run in scan.groups(texts, RUN):
             normal = [self.normal(t) for t in run]
-            points, starts, ends = scan.located(scan.word_level(), [t or "" for t in normal])
-            kinds = scan.classes()[points[starts]]
-            kept = (kinds != scan.SPACE) & (kinds != scan.BLANK)
-            kept[ends] = True
-            found = list(map(self.known.__getitem__, compress(scan.cut(points, starts), kept.tolist())))
-            a = 0
-            for text, own, b in zip(run, normal, (np.cumsum(kept)[ends] - 1).tolist(), strict=True):
-                yield self._library(text, True) if own is None else b"".join(found[a:b])
-                a = b + 1
+            points, starts, ends = scan.words([t or "" for t in normal])
+            number, pieces = scan.distinct(points, starts)
+            at = self.places(pieces)
+            ids, after = joined(self.ids_of, self.size, at[number])
+            self._forget()
+            raw, a = ids.tobytes(), 0
+            for text, own, b in zip(run, normal, (4 * after[ends]).tolist(), strict=True):
+                yield self._library(text, True) if own is None else raw[a:b]
+                a = b
+
+    def places(self, pieces: pa.Array) -> np.ndarray:
+        """The places of different pieces among those known, as all of them are from now on."""
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            added = pieces.take(pa.array(new))
+            ids, size = self._made(scan.texts(added))
+            at[new] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, added])
+            self.ids_of, self.size = np.concatenate([self.ids_of, ids]), np.concatenate([self.size, size])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        self.runs += 1
+        self.used[at] = self.runs
+        return at
+
+    def _made(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces and each one's number of them, parted behind ids that end a piece; one by one if the vocabulary doesn't mark these."""
+        letters = [p if p.isascii() and p.isprintable() else "".join([self.letters[b] for b in p.encode()]) for p in pieces]
+        ids = np.array(self.bulk.encode_batch_fast(["\n".join(letters)], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.flatnonzero(self.last[ids]) + 1
+        if len(stops) == len(pieces):
+            return ids, np.diff(stops, prepend=0)
+        each = [[t.id for t in self.model.tokenize(p)] for p in letters]
+        return np.array([i for own in each for i in own], np.uint32), np.array([len(own) for own in each], np.int64)
+
+    def _forget(self) -> None:
+        """Long pieces always; if too many others are known, the half used least lately."""
+        kept = pc.binary_length(self.known).to_numpy() <= 4 * CACHED_LENGTH
+        if kept.all() and len(kept) <= KNOWN:
+            return
+        kept = np.flatnonzero(kept)
+        if len(kept) > KNOWN:
+            kept = np.sort(kept[np.argsort(self.used[kept], kind="stable")[-KNOWN // 2 :]])
+        self.ids_of, _ = joined(self.ids_of, self.size, kept)
+        self.known, self.size, self.used = self.known.take(pa.array(kept)), self.size[kept], self.used[kept]
+
+
+def joined(ids: np.ndarray, size: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids holds lists of these sizes: list n for each n in number, one after the other, and how many ids there are before each and in all."""
+    own = size[number]
+    after = np.concatenate([[0], np.cumsum(own)])
+    places = np.repeat((np.cumsum(size) - size)[number] - after[:-1], own)
+    places += np.arange(len(places))
+    return ids[places], after
 
 
 @lru_cache(2)

@@ -1,12 +1,14 @@
 import random
+import sys
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pytest
 from conftest import odd_rows
 from tokenizers import Tokenizer
 
-from concord.llm import tokenfile
+from concord.llm import scan, tokenfile
 from concord.llm.bpe import vocabulary
 
 
@@ -69,3 +71,57 @@ def test_markers_are_the_tokens_they_name(make):
     ids = [np.array([*theirs.encode(t, add_special_tokens=False).ids, 1], "<u4") for _, t in rows]
     assert 49407 in ids[0]
     assert got == [(1, 0, len(ids[0]), zlib.crc32(ids[0].tobytes())), (2, len(ids[0]), len(ids[1]), zlib.crc32(ids[1].tobytes()))]
+
+
+def test_words_are_those_of_the_machine():
+    rng = random.Random(6)
+    for _ in range(300):
+        texts = ["".join(rng.choices(ALPHABET, k=rng.randint(0, 30))).lower() for _ in range(10)] + ["", "'", "'s's'll've'rex", "a''s", "'"]
+        points, starts, ends = scan.located(scan.word_level(), texts)
+        kinds = scan.classes()[points[starts]]
+        kept = (kinds != scan.SPACE) & (kinds != scan.BLANK)
+        kept[ends] = False
+        expected = [[p for p, k in zip(scan.cut(points, starts)[a:b], kept[a:b], strict=True) if k] for a, b in pairwise([0, *(ends + 1).tolist()])]
+        number, pieces = scan.distinct(*scan.words(texts)[:2])
+        named, stops = [scan.texts(pieces)[n] for n in number], scan.words(texts)[2].tolist()
+        assert [named[a:b] for a, b in pairwise([0, *stops])] == expected
+        assert scan.texts(pieces.slice(1)) == scan.texts(pieces)[1:]
+
+
+def test_a_run_of_texts_asks_the_library_once():
+    words, calls = tokenfile.WordBPE(vocabulary(tokenfile.VOCABULARY)), []
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}qzv{chr(97 + k % 26)}" for k in range(60)) for i in range(600)]
+    list(words.encode([texts[0], "é"]))  # tables are made
+    sys.setprofile(lambda frame, event, f: calls.append(f.__name__) if event == "c_call" and "tokenizers" in str(type(getattr(f, "__self__", None))) else None)
+    try:
+        got = list(words.encode(texts))
+    finally:
+        sys.setprofile(None)
+    assert 0 < len(calls) <= 3, len(calls)
+    theirs = library()
+    assert [np.frombuffer(x, "<u4").tolist() for x in got[::50]] == [theirs.encode(t, add_special_tokens=False).ids for t in texts[::50]]
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_frequent_pieces_stay_known(monkeypatch, marked):
+    monkeypatch.setattr(tokenfile, "KNOWN", 60)
+    words, theirs = tokenfile.WordBPE(vocabulary(tokenfile.VOCABULARY)), library()
+    if not marked:
+        words.last[:] = False
+    for i in range(30):
+        text = "the same words " + " ".join(f"{'abcdefghij'[i % 10]}x{'klmnopqrst'[k]}{'uvw'[i // 10]}" for k in range(10)) + " " + "é" * (20 + i)
+        assert [np.frombuffer(x, "<u4").tolist() for x in words.encode([text, ""])] == [theirs.encode(text, add_special_tokens=False).ids, []]
+        known = scan.texts(words.known)
+        assert {"the", "same", "words"} <= set(known) and len(known) == len(set(known)) == len(words.size) == len(words.used) <= 60
+        assert max(map(len, known)) <= tokenfile.CACHED_LENGTH and words.size.sum() == len(words.ids_of)
+
+
+@pytest.mark.parametrize("width", range(33))
+def test_pages_of_each_width(width):
+    rng = np.random.default_rng(width)
+    for n in (1, 128, 700):
+        ids = rng.integers(0, 1 << width, n, dtype=np.uint64).astype(np.uint32)
+        ids[rng.random(n) < 0.05] = 2**32 - 1
+        page = tokenfile.pack(np.arange(1), np.array([n]), ids)
+        assert tokenfile.unpack(page)[2].tolist() == ids.tolist()
+        assert [i for k in range(-(-n // tokenfile.BLOCK)) for i in tokenfile.block(page, k).tolist()] == ids.tolist()
