@@ -136,13 +136,13 @@ class Options:
     namespaces: dict[str, str] = field(default_factory=dict)
     strict_namespaces: bool = False
     partition_bytes: int = 400 << 20
-    ranges: int = 64  # of one table at most; each is a job of its own, and what a run that was cut off repeats
+    ranges: int = 64  # of one table at most, about so many in a generation of rechecks; each is jobs of its own, and what a run that was cut off repeats
     workers: int = 10
     pause_seconds: float = 1.0
     feed_files: int = 100  # of a change feed, that one batch takes in at most
     recheck_ids: int = 10_000
     recheck_id_bytes: int = 1 << 20
-    recheck_unit_ids: int = 1_000_000  # of one table that one unit of a generation rechecks at most; partition_bytes bounds it, too
+    recheck_unit_ids: int = 1_000_000  # of one table that one unit of a generation rechecks; partition_bytes bounds it, too; a table that asks for more units than ranges has larger ones
     indexed_files: int = 16  # tables of so many files or more get an index of which file holds which keys
     ddl_until: tuple[int, int] | None = None  # schema events of the source up to this logical time are old news
     drain_seconds: float = 600.0  # that feeds are waited for, if writes went off at a logical time they haven't reached

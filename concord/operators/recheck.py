@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import partial
 
 import pandas as pd
@@ -42,13 +43,13 @@ def by_count(rows: DataFrame, by: str, order: str, most: int, ranges: int | None
     return dealt.join(F.broadcast(heads), ["_part", by]).withColumn("chunk", F.floor((F.col("_at") - F.col("_zero")) / most).cast("long")).drop("_part", "_at", "_zero")
 
 
-def _greedy(frames, most_ids, most_id_bytes, most_bytes):
-    part, at, chunk, ids, id_bytes, size = None, None, -1, 0, 0, 0
+def _greedy(frames, most_ids, most_id_bytes, most_bytes, times):
+    part, at, chunk, ids, id_bytes, size, k = None, None, -1, 0, 0, 0, 1
     for frame in frames:
         out = []
         for ns, doc_id, data in zip(frame["namespace"], frame["doc_id"], frame["data_size"], strict=True):
-            if ns != at or ids >= most_ids or id_bytes >= most_id_bytes or size >= most_bytes:
-                at, chunk, ids, id_bytes, size = ns, chunk + 1, 0, 0, 0
+            if ns != at or ids >= k * most_ids or id_bytes >= k * most_id_bytes or size >= k * most_bytes:
+                at, chunk, ids, id_bytes, size, k = ns, chunk + 1, 0, 0, 0, times.get(ns, 1)
             ids, id_bytes, size = ids + 1, id_bytes + len((doc_id or "").encode()), size + int(data or 0)
             out.append(chunk)
         if part is None:
@@ -58,14 +59,15 @@ def _greedy(frames, most_ids, most_id_bytes, most_bytes):
         yield pd.DataFrame({"namespace": frame["namespace"], "doc_id": frame["doc_id"], "data_size": frame["data_size"], "task": [f"{part}-{c}" for c in out]})
 
 
-def greedy(rows: DataFrame, most_ids: int = 10_000, most_id_bytes: int = 1 << 20, most_bytes: int = 400 << 20, ranges: int | None = None) -> DataFrame:
+def greedy(rows: DataFrame, most_ids: int = 10_000, most_id_bytes: int = 1 << 20, most_bytes: int = 400 << 20, ranges: int | None = None, times: Mapping[str, int] | None = None) -> DataFrame:
     """namespace, doc_id, data_size, task: a task ends where the namespace does or once it has so many ids, bytes of ids, or bytes of documents.
 
     Ranges of (namespace, doc_id) are walked in order, a batch at a time; a task also ends where a range does, so a hot namespace has several ranges.
+    times: by what the limits are multiplied in some namespaces.
     """
     n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("namespace", "doc_id", F.col("data_size").cast("long").alias("data_size")).repartitionByRange(n, "namespace", "doc_id").sortWithinPartitions("namespace", "doc_id")
-    return dealt.mapInPandas(partial(_greedy, most_ids=most_ids, most_id_bytes=most_id_bytes, most_bytes=most_bytes), "namespace string, doc_id string, data_size long, task string")
+    return dealt.mapInPandas(partial(_greedy, most_ids=most_ids, most_id_bytes=most_id_bytes, most_bytes=most_bytes, times=dict(times or {})), "namespace string, doc_id string, data_size long, task string")
 
 
 def tasks(chunked: DataFrame) -> DataFrame:

@@ -185,7 +185,7 @@ class Engine:
         return df.where(partitioning.within(own, *(None if unit[b] is None else read(unit[b]) for b in ("lower", "upper"))))
 
     def _due(self, g: int, pairs: list[tuple[str, str]]) -> list[dict]:
-        """Units of a generation of rechecks: of each table that the queue names, as many as its ids and bytes ask for. The queue is read once and written by table, in the order of its keys."""
+        """Units of a generation of rechecks: of each table that the queue names, as many as its ids and bytes ask for, about options.ranges at most: where they ask for more, each takes so many times more. The queue is read once and written by table, in the order of its keys."""
         queue = self.queue(g).withColumn("namespace", F.concat_ws(".", "db", "coll"))
         named = {r["namespace"] for r in queue.select("namespace").distinct().collect()}  # a row a table
         to = {ns: other for ns, other in pairs if ns in named}
@@ -206,12 +206,13 @@ class Engine:
         kept = self.spark.read.schema(known.schema).parquet(path)
         sizes = kept.groupBy("namespace").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("data_size").cast("long")).alias("bytes")).collect()  # a row a table
         o, units = self.options, []
-        parts = {r["namespace"]: max(-(-r["n"] // o.recheck_unit_ids), -(-(r["bytes"] or 0) // o.partition_bytes)) for r in sizes}
+        asked = {r["namespace"]: max(-(-r["n"] // o.recheck_unit_ids), -(-(r["bytes"] or 0) // o.partition_bytes)) for r in sizes}
+        parts = {ns: min(o.ranges, n) for ns, n in asked.items()}
         many = [ns for ns, n in parts.items() if n > 1]
         cut: dict[str, list] = {}
         if many:
             rows = kept.where(F.col("namespace").isin(many)).select("namespace", "doc_id", "data_size")
-            greedy = recheck.greedy(rows, o.recheck_unit_ids, 1 << 62, o.partition_bytes, ranges=sum(parts[ns] for ns in many))
+            greedy = recheck.greedy(rows, o.recheck_unit_ids, 1 << 62, o.partition_bytes, ranges=sum(parts[ns] for ns in many), times={ns: -(-asked[ns] // parts[ns]) for ns in many})
             for r in recheck.tasks(greedy).orderBy("namespace", "lower").collect():  # a row a unit
                 cut.setdefault(r["namespace"], []).append({"first": r["lower"], "last": r["upper"]})
         for ns in sorted(parts):

@@ -197,3 +197,14 @@ def test_progress_has_an_estimate_while_a_check_runs(spark, tmp_path):
     engine._work_unit = lambda g, u, m: (work(g, u, m), seen.append(engine.summary()["etaSecs"]))
     engine.run_generation()
     assert seen == [0.0] and engine.summary()["etaSecs"] is None
+
+
+def test_a_table_that_asks_for_many_units_has_about_as_many_as_ranges(spark, tmp_path):
+    src, dst = [(i, "a") for i in range(60)], [(i, "b") for i in range(60)]
+    engine = Engine(side(spark, src), side(spark, dst), str(tmp_path / "state"), Options(recheck_unit_ids=2, ranges=3))
+    engine.run_generation()
+    engine.finish_generation()
+    dst[:30] = src[:30]
+    assert engine.run_generation()["contentDiffers"] == 30
+    tasks = engine.tasks().where("generation = 1 and type = 'verifyDocuments'").collect()
+    assert 3 <= len(tasks) <= 6 and sum(t.documents_count for t in tasks) == 60
