@@ -13,6 +13,7 @@ import json
 import logging
 import threading
 import time
+from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor, wait
 from datetime import datetime, timezone
 
@@ -49,6 +50,7 @@ class Engine:
         self.streams: dict[str, StreamingQuery] = {}
         self.rates = {SRC: Last(), DST: Last()}
         self._queue_lock, self._still = threading.RLock(), threading.Event()
+        self._index_locks: dict[tuple[str, str], threading.Lock] = defaultdict(threading.Lock)
         self._warning = reports.SchemaWarning()
 
     # Tables.
@@ -264,7 +266,7 @@ class Engine:
 
     def _rows_of(self, cluster: str, ns: str, df: DataFrame, ids: DataFrame, key: tuple[str, ...]) -> DataFrame:
         """A table's rows with these keys (column key: texts): of the files that hold any, by plain key columns where the keys' types can be read back, else by their texts."""
-        index = keyindex.KeyIndex(self.spark, f"{self.folder}/index/{cluster}/{ns}")
+        index = keyindex.KeyIndex(self.spark, f"{self.folder}/index/{cluster}/{ns}", self._index_locks[cluster, ns])  # units of one table work side by side
         df = keyindex.narrowed(df, index, ids, key, self.options.indexed_files)
         few = diff.restricted_rows(df, ids, key)
         return few if few is not None else df.join(ids.select("key").distinct(), keys.key_text(df, key) == F.col("key"), "left_semi")

@@ -2,6 +2,7 @@
 
 The index of one side of a table has a row for each file and each key hash in it, dealt to folders by the hash. Files are indexed once, by a scan of their key columns alone; a file that is new, or
 isn't as it was, is indexed before the next lookup, and what is no longer there is passed over. Hashes of 64 bits may name a file too many, never one too few.
+Of several that look into one index at a time, one indexes what is new and the others wait for it.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
+from contextlib import AbstractContextManager, nullcontext
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -29,8 +31,8 @@ def _as_metadata(file: str) -> str:
 
 
 class KeyIndex:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, lock: AbstractContextManager | None = None):
+        self.spark, self.folder, self.lock = spark, folder.rstrip("/"), lock or nullcontext()
 
     def _known(self) -> dict[str, list[int]]:
         found = store.text(self.spark, f"{self.folder}/files.json")
@@ -43,12 +45,15 @@ class KeyIndex:
 
     def update(self, df: DataFrame, key: Sequence[str]) -> dict[str, list[int]]:
         """Indexes the files of df that aren't yet. Returns the files of df, as they are."""
-        now, known = {_as_metadata(f): state for f, state in store.manifest(self.spark, df).items()}, self._known()
-        new = [f for f, state in now.items() if known.get(f) != state]
-        if new:
-            rows = df.where(F.col(FILE).isin(new)).select(*self._hashed(keys.key_text(df, key)), F.col(FILE).alias("file")).distinct()
-            rows.repartition("bucket").sortWithinPartitions("hash").write.partitionBy("bucket").mode("append").parquet(f"{self.folder}/keys")
-            store.touch(self.spark, f"{self.folder}/files.json", json.dumps({f: s for f, s in known.items() if f in now} | now))
+        now = {_as_metadata(f): state for f, state in store.manifest(self.spark, df).items()}
+        with self.lock:
+            known = self._known()
+            new = [f for f, state in now.items() if known.get(f) != state]
+            if new:
+                rows = df.where(F.col(FILE).isin(new)).select(*self._hashed(keys.key_text(df, key)), F.col(FILE).alias("file"))
+                # Rows that are the same lie in one bucket, so telling them apart needs no other exchange.
+                rows.repartition("bucket").distinct().sortWithinPartitions("bucket", "hash").write.partitionBy("bucket").mode("append").parquet(f"{self.folder}/keys")
+                store.touch(self.spark, f"{self.folder}/files.json", json.dumps({f: s for f, s in known.items() if f in now} | now))
         return now
 
     def files(self, ids: DataFrame, now: dict[str, list[int]]) -> list[str]:

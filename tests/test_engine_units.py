@@ -208,3 +208,14 @@ def test_a_table_that_asks_for_many_units_has_about_as_many_as_ranges(spark, tmp
     assert engine.run_generation()["contentDiffers"] == 30
     tasks = engine.tasks().where("generation = 1 and type = 'verifyDocuments'").collect()
     assert 3 <= len(tasks) <= 6 and sum(t.documents_count for t in tasks) == 60
+
+
+def test_units_of_one_table_share_one_index(spark, tmp_path):
+    make = lambda n, v: frames(spark, tmp_path / n, spark.range(400).select(F.col("id").alias("_id"), F.lit(v).alias("v")).repartition(8, "_id"))
+    sides = [Side(spark, {"db.c": make(*nv)}) for nv in (("s", "a"), ("d", "b"))]
+    engine = Engine(*sides, str(tmp_path / "state"), Options(recheck_unit_ids=50, indexed_files=1, workers=8))
+    engine.run_generation()
+    engine.finish_generation()
+    assert engine.run_generation()["contentDiffers"] == 400
+    for cluster in (SRC, DST):
+        assert spark.read.parquet(str(tmp_path / f"state/index/{cluster}/db.c/keys")).count() == 400  # not once a unit
