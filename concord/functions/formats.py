@@ -25,10 +25,10 @@ def duration(seconds: float) -> str:
     return sign + " ".join(parts)
 
 
-def unit(n: int) -> str:
-    """The largest unit that n has one of."""
+def unit(n: int, most: str = UNITS[-1]) -> str:
+    """The largest unit that n has one of, most at most."""
     k = 0
-    while k + 1 < len(UNITS) and n >= 1 << 10 * (k + 1):
+    while UNITS[k] != most and n >= 1 << 10 * (k + 1):
         k += 1
     return UNITS[k]
 
@@ -37,8 +37,9 @@ def bytes_in(n: int, name: str) -> str:
     return number(n / (1 << 10 * UNITS.index(name)))
 
 
-def bytes_(n: int) -> str:
-    return f"{bytes_in(n, unit(n))} {unit(n)}"
+def bytes_(n: int, most: str = UNITS[-1]) -> str:
+    """In the largest unit that n has one of, most at most."""
+    return f"{bytes_in(n, unit(n, most))} {unit(n, most)}"
 
 
 def percent(part: int, whole: int) -> str:

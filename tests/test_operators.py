@@ -259,3 +259,12 @@ def test_both_forms_of_a_range_are_one(spark):
             continue
         tried += 1
         assert frame.select(*two).where("x is distinct from coalesce(y, false)").count() == 0
+
+
+def test_sizes_beyond_a_tebibyte_are_in_gib_as_the_sql_has_them(spark, tmp_path):
+    from concord.plans.catalogue_operators import formatted
+
+    i, of_a = F.col("id"), (1 << 20) + 416
+    spark.range(of_a + 1524).select(i.alias("o_orderkey"), F.when(i < of_a, "a").otherwise("b").alias("o_orderpriority")).write.parquet(str(tmp_path / "orders.parquet"))
+    assert sorted(tuple(r) for r in formatted(spark, str(tmp_path)).collect()) == [("a", "1,048,992", "99.85", "23m 11s", "1,024.41 GiB"), ("b", "1,524", "0.15", "48m 35s", "1.49 GiB")]
+    assert formats.bytes_(1 << 41) == "2 TiB" and formats.bytes_(1 << 41, "GiB") == "2,048 GiB" and formats.bytes_(1 << 9, "GiB") == "512 bytes"
