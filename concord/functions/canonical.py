@@ -11,6 +11,8 @@ A VARIANT value has its own type in each row. VARIANT objects keep no order of f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,18 +102,34 @@ VARIANTS = {
 }
 
 
+#: Of these the frequent ones, which are asked for first: within a lambda, branches are tried one by one and aren't compiled.
+_FREQUENT = ("BIGINT", "STRING")
+
+
 def _variant_text(c: Column, schema: Column) -> Column:
-    out = F.when(schema == "VOID", "z;").when(schema.startswith("DECIMAL"), F.concat(F.lit("n"), F.try_variant_get(c, "$", "string"), F.lit(";")))
-    for name, (kind, _) in VARIANTS.items():
-        out = out.when(schema == name, _atom(F.try_variant_get(c, "$", kind.simpleString()), kind))
-    return out.otherwise(F.concat(F.lit("v"), _text(F.to_json(c)), _text(schema), F.lit(";")))
+    def atom(name: str) -> Column:
+        kind = VARIANTS[name][0]
+        value = F.try_variant_get(c, "$", kind.simpleString())
+        return let(value, lambda x: _atom(x, kind)) if isinstance(kind, T.StringType) else _atom(value, kind)
+
+    whole = F.concat(F.lit("v"), let(F.to_json(c), _text), _text(schema), F.lit(";"))
+    rest = F.when(schema == "VOID", "z;").when(schema.startswith("DECIMAL"), F.concat(F.lit("n"), F.try_variant_get(c, "$", "string"), F.lit(";")))
+    for name in (n for n in VARIANTS if n not in _FREQUENT):
+        rest = rest.when(schema == name, atom(name))
+    out = F.when(schema.startswith("OBJECT"), whole)
+    for name in _FREQUENT:
+        out = out.when(schema == name, atom(name))
+    return out.otherwise(rest.otherwise(whole))
 
 
 def _variant_type(schema: Column) -> Column:
-    out = F.when(schema.isNull() | (schema == "VOID"), "null").when(schema.startswith("DECIMAL"), "decimal").when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array")
-    for name, (_, told) in VARIANTS.items():
-        out = out.when(schema == name, told)
-    return out.otherwise(F.lower(schema))
+    rest = F.when(schema.isNull() | (schema == "VOID"), "null").when(schema.startswith("DECIMAL"), "decimal").when(schema.startswith("ARRAY"), "array")
+    for name in (n for n in VARIANTS if n not in _FREQUENT):
+        rest = rest.when(schema == name, VARIANTS[name][1])
+    out = F.when(schema.startswith("OBJECT"), "object")
+    for name in _FREQUENT:
+        out = out.when(schema == name, VARIANTS[name][1])
+    return out.otherwise(rest.otherwise(F.lower(schema)))
 
 
 def _of_variant(c: Column) -> Column:
@@ -150,25 +168,41 @@ def fields_of(schema: T.StructType, missing_if_null: bool = False, source: str |
     return F.array_compact(F.array(*parts)) if parts else F.array().cast(FIELDS)
 
 
-def fields_of_variant(c: Column) -> Column:
-    """A variant that holds an object as a document: the fields that this very row has. Null is a document without fields; what holds anything else is an error."""
-    whole = F.when(F.schema_of_variant(c).startswith("OBJECT"), c).otherwise(F.raise_error(F.concat(F.lit("not a document: "), F.schema_of_variant(c))).cast("variant"))
-    each = F.map_entries(whole.cast("map<string,variant>"))
+def _of_each_field(c: Column, made: Callable[[Column, Column, Column], Column], kind: T.ArrayType) -> Column:
+    """What is made of name, canonical text and schema of each field that a variant's object has. Null is a document without fields; what holds anything else is an error."""
+    odd = F.raise_error(F.concat(F.lit("not a document: "), F.schema_of_variant(c))).cast(kind)
 
     def entry(e: Column) -> Column:
         v = e["value"]
-        told = lambda schema: let(F.when(v.isNull(), "z;").otherwise(_variant_text(v, schema)), lambda t: F.struct(e["key"].alias("name"), t.alias("ordered"), t.alias("sorted"), _variant_type(schema).alias("type")))
-        return let(F.schema_of_variant(v), told)
+        return let(F.schema_of_variant(v), lambda schema: made(e["key"], F.when(v.isNull(), "z;").otherwise(_variant_text(v, schema)), schema))
+
+    every = lambda m: F.when(c.isNull(), F.array().cast(kind)).when(m.isNull(), odd).otherwise(F.transform(F.map_entries(m), entry))
+    return let(F.try_variant_get(c, "$", "map<string,variant>"), every)
 
-    return F.when(c.isNull(), F.array().cast(FIELDS)).otherwise(F.transform(each, entry))
 
+def fields_of_variant(c: Column) -> Column:
+    """A variant that holds an object as a document: the fields that this very row has."""
+    told = lambda name, text, schema: let(text, lambda t: F.struct(name.alias("name"), t.alias("ordered"), t.alias("sorted"), _variant_type(schema).alias("type")))
+    return _of_each_field(c, told, FIELDS)
 
-def row_text(schema: T.StructType, by_name: bool, missing_if_null: bool = False) -> Column:
-    """What ordered_text or sorted_text say of a row as a document, by plain concatenation of its columns."""
+
+def texts_of_variant(c: Column) -> Column:
+    """The parts that ordered_text and sorted_text join for the same document, in the order of its fields."""
+    return _of_each_field(c, lambda name, text, schema: F.concat(_text(name), F.lit("="), text), T.ArrayType(T.StringType()))
+
+
+def variant_text(c: Column, by_name: bool) -> Column:
+    """What ordered_text or sorted_text say of the same document."""
+    parts = texts_of_variant(c)
+    return F.array_join(F.sort_array(parts) if by_name else parts, "")
+
+
+def row_text(schema: T.StructType, by_name: bool, missing_if_null: bool = False, source: str | None = None) -> Column:
+    """What ordered_text or sorted_text say of a row as a document, by plain concatenation of its columns. source: a column that holds the row."""
     parts = []
     head = lambda f: f"{len(f.name)}:{f.name}="
     for f in sorted(schema.fields, key=head) if by_name else schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = F.col(f"`{f.name}`") if source is None else F.col(source).getField(f.name)
         entry = F.concat(F.lit(head(f)), _encode(c, f.dataType, by_name))
         parts.append(F.when(c.isNotNull(), entry).otherwise("") if missing_if_null else entry)
     return F.concat(*parts) if parts else F.lit("")
@@ -179,7 +213,7 @@ def ordered_text(fields: Column) -> Column:
 
 
 def sorted_text(fields: Column) -> Column:
-    return F.array_join(F.array_sort(F.transform(fields, lambda f: F.concat(_text(f["name"]), F.lit("="), f["sorted"]))), "")
+    return F.array_join(F.sort_array(F.transform(fields, lambda f: F.concat(_text(f["name"]), F.lit("="), f["sorted"]))), "")
 
 
 def document(value: dict) -> list[tuple[str, str, str, str]]:

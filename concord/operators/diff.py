@@ -1,7 +1,7 @@
 """Document differences: two sides meet on the document key, and what isn't equal is compared by type.
 
 Both sides are first made into documents: key (canonical text), canonical text with fields as they stand and
-in order of their names, size, and the row itself or its fields (name, ordered and sorted canonical value, type). Each side may be filtered before; a document that
+in order of their names, size, and the row or VARIANT itself or its fields (name, ordered and sorted canonical value, type). Each side may be filtered before; a document that
 only one side's filter lets through is missing on the other.
 
 Only key, two hashes and the size of each document are shuffled, once, for both sides together: an aggregation
@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.functions import canonical, filters, keys
+from concord.functions.ordering import let
 from concord.model import DST, MISMATCH, MISSING, SRC, Method
 
 ORDER_ONLY = f"{MISMATCH} : only field order differs"
 
 
-#: Column that holds a table's row: with nulls as values, or as fields that aren't there.
-ROW, PRESENT = "row", "present"
+#: Column that holds a table's row: with nulls as values, or as fields that aren't there; and one that holds a document without a schema.
+ROW, PRESENT, VARIANT = "row", "present", "variant"
 
 
 def documents(df: DataFrame, key: Sequence[str], *, missing_if_null: bool = False, filter: str | dict | Column | None = None) -> DataFrame:
@@ -52,7 +53,8 @@ def variant_documents(df: DataFrame, key: Sequence[str], document: str, *, filte
         df = df.where(filters.condition(filter, df.schema))
     doc = F.col(f"`{document}`")
     text = F.concat(*(canonical.sorted_(F.try_variant_get(doc, f"$.{k}", "variant"), T.VariantType()) for k in key))
-    return sized(df.select(text.alias("key"), canonical.fields_of_variant(doc).alias("fields")))
+    made = df.select(text.alias("key"), canonical.variant_text(doc, False).alias("ordered"), canonical.variant_text(doc, True).alias("sorted"), doc.alias(VARIANT))
+    return made.withColumn("size", F.octet_length("ordered"))
 
 
 def occurring(df: DataFrame, document: str) -> DataFrame:
@@ -65,7 +67,17 @@ def _fields(docs: DataFrame) -> Column:
     for name in (ROW, PRESENT):
         if name in docs.columns:
             return canonical.fields_of(docs.schema[name].dataType, name == PRESENT, source=name)
-    return F.col("fields")
+    return canonical.fields_of_variant(F.col(VARIANT)) if VARIANT in docs.columns else F.col("fields")
+
+
+def _again(docs: DataFrame, by_name: bool) -> Column:
+    """Either text of a document, made anew of the document itself."""
+    for name in (ROW, PRESENT):
+        if name in docs.columns:
+            return canonical.row_text(docs.schema[name].dataType, by_name, name == PRESENT, source=name)
+    if VARIANT in docs.columns:
+        return canonical.variant_text(F.col(VARIANT), by_name)
+    return (canonical.sorted_text if by_name else canonical.ordered_text)(F.col("fields"))
 
 
 def by_fields(docs: DataFrame) -> DataFrame:
@@ -194,8 +206,8 @@ def paired(left: DataFrame, natural: bool, dealt: int | None = DEALT) -> DataFra
 
 def _by_name(fields: Column) -> Column:
     """Name to sorted value and type; of fields that share a name the last counts. Fields are put in the order of name and place, so that each looks at its neighbour only."""
-    placed = F.array_sort(F.transform(fields, lambda f, i: F.struct(f["name"].alias("name"), i.alias("i"), f["sorted"].alias("sorted"), f["type"].alias("type"))))
-    last = F.filter(placed, lambda f, i: ~F.coalesce(F.get(placed, i + 1)["name"] == f["name"], F.lit(False)))
+    placed = F.sort_array(F.transform(fields, lambda f, i: F.struct(f["name"].alias("name"), i.alias("i"), f["sorted"].alias("sorted"), f["type"].alias("type"))))
+    last = let(placed, lambda p: F.filter(p, lambda f, i: ~F.coalesce(F.get(p, i + 1)["name"] == f["name"], F.lit(False))))
     return F.map_from_entries(F.transform(last, lambda f: F.struct(f["name"], F.struct(f["sorted"], f["type"]))))
 
 
@@ -245,14 +257,16 @@ def compare(
     else:
         tables = _table_of(src), _table_of(dst)
         whole = [F.col(PRESENT if t[1] else ROW) if None not in tables else _fields(x) for x, t in zip((src, dst), tables, strict=True)]
-        both = _with_fields(_with_fields(pair, src, "s", method, whole[0]), dst, "d", method, whole[1])
+        few = pair.select("key").distinct()
+        both = _with_fields(_with_fields(pair, src, few, "s", method, whole[0]), dst, few, "d", method, whole[1])
         if None in tables:
             named = both.select("key", "data_size", _by_name(F.col("s_fields")).alias("sv"), _by_name(F.col("d_fields")).alias("dv")).select("key", "data_size", _rows_of_pair(method).alias("rows"))
         else:
             named = both.select("key", "data_size", _rows_of_tables(*tables).alias("rows"))
         order = F.array(_row(F.lit(""), F.lit(ORDER_ONLY), DST))
         rows = F.when(F.size("rows") == 0, order).otherwise(F.col("rows")) if method is Method.BINARY else F.col("rows")
-        told = named.select("key", "data_size", F.explode(rows).alias("r"))
+        # explode() would have rows made twice more, by filters for empty ones that go down below what rows are made of.
+        told = named.select("key", "data_size", F.explode_outer(rows).alias("r")).where("r is not null")
     return one.unionByName(told.select(F.col("key").alias("id"), "r.field", "r.details", "r.cluster", "data_size"))
 
 
@@ -286,9 +300,14 @@ def _rows_of_tables(s_kind: tuple[T.StructType, bool], d_kind: tuple[T.StructTyp
     return F.array_compact(F.array(*rows))
 
 
-def _with_fields(pair: DataFrame, docs: DataFrame, side: str, method: Method, whole: Column) -> DataFrame:
-    """Adds the fields of the document that a digest is of (whole), as s_fields or d_fields. Documents of one digest are alike."""
-    wanted = docs.join(pair.select("key").distinct(), "key", "left_semi").select("key", whole.alias("fields"), *_digest(method))
+def _with_fields(pair: DataFrame, docs: DataFrame, few: DataFrame, side: str, method: Method, whole: Column) -> DataFrame:
+    """Adds the fields of the document that a digest is of (whole), as s_fields or d_fields. Documents of one digest are alike. few: the keys of pair, which itself may have been joined by now, and would be again.
+
+    Keys alone are made of all documents; texts are made anew of those that are left.
+    """
+    by_name = method is Method.IGNORE_ORDER
+    left = docs.select("key", *(c for c in (ROW, PRESENT, VARIANT, "fields") if c in docs.columns)).join(few, "key", "left_semi")
+    wanted = left.select("key", whole.alias("fields"), _again(docs, by_name).alias("sorted" if by_name else "ordered")).select("key", "fields", *_digest(method))
     once = wanted.groupBy("key", "a", "b").agg(F.first("fields").alias(f"{side}_fields")).withColumnsRenamed({"key": "_key", "a": "_a", "b": "_b"})
     return pair.join(once, (F.col("key") == F.col("_key")) & (F.col(f"{side}.a") == F.col("_a")) & (F.col(f"{side}.b") == F.col("_b"))).drop("_key", "_a", "_b")
 

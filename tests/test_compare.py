@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from concord.functions import canonical, keys, ordering
@@ -233,3 +234,28 @@ def test_a_key_with_very_many_differing_copies_is_many_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", kept)
     assert sum(r.n for r in by_task) == n and sum(r.d for r in by_task) == own("d").where("ordered < 'd5'").count()
     assert len(by_task) == 4 and max(r.n for r in by_task) < n * 0.75  # five blocks of 65,536 places over four tasks
+
+
+def test_documents_that_differ_are_fetched_once_a_side(spark, tmp_path):
+    make = lambda n, v: spark.range(40).select(F.col("id").alias("_id"), F.when(F.col("id") % 4 == 0, v).otherwise("a").alias("v")).write.parquet(str(tmp_path / n))
+    make("s", "b"), make("d", "c")
+    tables = [spark.read.parquet(str(tmp_path / n)) for n in "sd"]
+    variants = [t.select(F.parse_json(F.to_json(F.struct("*"))).alias("doc")) for t in tables]
+    for docs in ([diff.documents(t, ["_id"]) for t in tables], [diff.variant_documents(v, ["_id"], "doc") for v in variants]):
+        found = diff.compare(*docs)
+        assert sorted(r.id for r in found.collect()) == sorted(f"l{i};" for i in range(0, 40, 4))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 10  # four times what differs, of both sides; and each side for its documents
+        assert not [line for line in plan.split("\n") if "Join" in line and "size(" in line]  # rows of differences are made once, not in a join's condition too
+
+
+def test_a_variant_documents_texts_are_those_of_its_fields(spark):
+    rows = ['{"b":1,"a":"ä\\"x","long name":[1,{"c":2.50}],"n":null,"o":{"y":1,"x":"z"},"d":1e3,"t":true}', "{}", '{"bb":"","c":-1}', None]
+    docs = spark.createDataFrame([(r,) for r in rows], "j string").select(F.parse_json("j").alias("v"))
+    fields = canonical.fields_of_variant(F.col("v"))
+    for r in docs.select(canonical.variant_text(F.col("v"), False), canonical.ordered_text(fields), canonical.variant_text(F.col("v"), True), canonical.sorted_text(fields)).collect():
+        assert r[0] == r[1] and r[2] == r[3]
+    one = docs.where("v is not null").select(canonical.variant_text(F.col("v"), True)).first()[0]
+    assert one.startswith("1:a=s3:ä\"x;1:b=l1;1:d=") and "1:n=z;" in one and "1:t=btrue;" in one and "9:long name=v" in one
+    with pytest.raises(PySparkException, match="not a document: BIGINT"):
+        spark.range(1).select(F.parse_json(F.lit("1")).alias("v")).select(canonical.variant_text(F.col("v"), True)).collect()
